@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Stands for a null id inside the operators: smaller than every real id.
 NULL_ID = -(2**63)
@@ -34,7 +36,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    names = df.columns
+    names, kinds = df.columns, to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +44,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
                 part = batch.slice(at, rows)
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 if out and len(next(iter(out.values()))):
-                    yield pa.RecordBatch.from_pydict(out) if not isinstance(out, pa.RecordBatch) else out
+                    yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return df.mapInArrow(run, schema)
 

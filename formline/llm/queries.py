@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bitpack, byte_bpe, host_rules, poisson_mix
+from formline.llm import bitpack, byte_bpe, host_rules, merkle, pii_crf, poisson_mix, quality_knn
 
 #: Target shares of the mix: the hot source is brought down, the others share the rest evenly.
 MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 20)}
@@ -18,6 +18,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(_docs(spark, sf_dir))
+
+
 def op5_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,6 +56,10 @@ FROM n, unnest(range(1, k + 1)) t(c)
 """
 
 
+def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(_docs(spark, sf_dir)).drop("redacted")
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply(_docs(spark, sf_dir))
 
@@ -57,8 +69,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_knn": op1_quality_knn,
+    "op2_merkle": op2_merkle,
     "op5_bit_packing": op5_bit_packing,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op8_pii_crf": op8_pii_crf,
     "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
