@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bitpack, byte_bpe, host_rules, merkle, pii_crf, poisson_mix, quality_knn
+from formline.llm import bitpack, byte_bpe, host_rules, lyndon_sa, merkle, pii_crf, poisson_mix, quality_knn
 
 #: Target shares of the mix: the hot source is brought down, the others share the rest evenly.
 MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 20)}
@@ -56,6 +56,10 @@ FROM n, unnest(range(1, k + 1)) t(c)
 """
 
 
+def op7_lyndon_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_sa.remove_repeats(_docs(spark, sf_dir))
+
+
 def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find(_docs(spark, sf_dir)).drop("redacted")
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_merkle": op2_merkle,
     "op5_bit_packing": op5_bit_packing,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_lyndon_suffix_array": op7_lyndon_suffix_array,
     "op8_pii_crf": op8_pii_crf,
     "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
