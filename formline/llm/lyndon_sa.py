@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import map_batches, narrow, real_id, written
+from formline.llm.common import map_batches, narrow, real_id, unique_ids, written
 
 LENGTH = 100
 ANCHOR = 32
@@ -309,16 +309,6 @@ def _suffix_blocks(batches):
         yield flush()
 
 
-def _unique_ids(docs: DataFrame) -> DataFrame:
-    """The narrow input, with ids renumbered in the order of (id, text) where an id has several texts."""
-    several = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b")
-    if several.isEmpty():
-        return docs.withColumn("given_id", F.col("doc_id"))
-    order = docs.select("doc_id", "text").distinct().sort("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    keys = docs.sparkSession.createDataFrame(order, "given_id long, text string, doc_id long")
-    return docs.withColumnRenamed("doc_id", "given_id").join(keys, ["given_id", "text"]).select("doc_id", "text", "given_id")
-
-
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, stop) byte intervals, as a table, that together cover all repeated windows of a narrow input."""
     spark = docs.sparkSession
@@ -355,7 +345,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that share id and text are one document; texts that share an id only are documents of their
     own, in the order of their text.  Texts under 100 bytes, empty and null ones lose nothing.
     """
-    docs = _unique_ids(narrow(df, id_col, text_col))
+    docs = unique_ids(narrow(df, id_col, text_col))
     spans = repeated_intervals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
     rows = docs.join(spans, "doc_id", "left").select("given_id", "text", "spans")
 
