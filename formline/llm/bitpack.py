@@ -132,7 +132,7 @@ def write_parts(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
         if docs:
             yield close()
 
-    ordered = narrow(df, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = narrow(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, "file_no int, part_no int, file_start long, n_ids long, part binary"), "bitpack")
 
 
@@ -140,11 +140,12 @@ def read_parts(parts: DataFrame) -> DataFrame:
     """Per document, from the files alone: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
     ``start`` counts the ids of all documents before it: those of earlier files (a running sum
-    over one row per file), of earlier parts of its file, and of its part.
+    over one row per file, broadcast: there are as many as tasks wrote), of earlier parts of its
+    file, and of its part.
     """
     order = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = parts.groupBy("file_no").agg(F.sum("n_ids").alias("n")).select("file_no", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    rows = parts.join(files, "file_no").select((F.col("before") + F.col("file_start")).alias("start"), "part")
+    rows = parts.join(F.broadcast(files), "file_no").select((F.col("before") + F.col("file_start")).alias("start"), "part")
 
     def run(x):
         out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}

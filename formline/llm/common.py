@@ -77,14 +77,18 @@ def unique_ids(docs: DataFrame) -> DataFrame:
 
 
 class Cache(dict):
-    """A dict that fills itself by ``make`` and starts anew once it holds ``limit`` keys."""
+    """A dict that fills itself by ``make``; at ``limit`` keys it ages, and what is not asked for again while it refills is forgotten."""
 
     def __init__(self, make: Callable, limit: int = 400_000) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value

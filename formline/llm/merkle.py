@@ -161,7 +161,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last is not None:
             yield pa.RecordBatch.from_pylist([{"file_no": file_no, "kind": "last", "doc_id": last[0], "text": last[1]} | blank], schema=kinds)
 
-    ordered = narrow(df, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = narrow(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     done = written(ordered.mapInArrow(run, schema), "merkle")
     firsts = done.where("kind = 'first'").select("file_no", "doc_id", "text")
     files = firsts.select("file_no")  # one short row per range

@@ -11,6 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formline.llm.common import written
+
+#: So many sources' rates are at most a few megabytes.
+BROADCAST_SOURCES = 100_000
+SALTS = 64
+
 
 def uniform(seed: str, *parts: Column) -> Column:
     """In (0, 1), from 48 bits of an MD5 over seed and parts."""
@@ -56,12 +62,18 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, total: float | N
         id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True) -> DataFrame:
     """Every input column plus ``mix_rate``, ``mix_count``, ``mix_copy`` (1..count) and ``mix_key`` (place in the global order).
 
-    Documents with count 0 leave.  Repeated rows have equal ids and so equal counts.  The join is on
-    a table of one row per source whose size Spark sees at run time; a hot source's rows are never
-    brought together for it unless that table outgrows a broadcast, and then skewed partitions are split.
+    Documents with count 0 leave.  Repeated rows have equal ids and so equal counts.  The rates, one
+    row per source, are written and counted: up to BROADCAST_SOURCES they are broadcast and no text
+    moves for the join; more are joined by (source, salt), so that a hot source is dealt over SALTS tasks.
     """
-    by = rates(df, weights, total, source_col).select(F.col("mix_source").alias("_mix_source"), F.col("rate").alias("mix_rate"))
-    joined = df.join(by, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_mix_source")).drop("_mix_source")
+    by = written(rates(df, weights, total, source_col), "rates").select(F.col("mix_source").alias("_mix_source"), F.col("rate").alias("mix_rate"))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    if by.count() <= BROADCAST_SOURCES:
+        joined = df.join(F.broadcast(by), source == F.col("_mix_source")).drop("_mix_source")
+    else:
+        salted = by.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
+        joined = df.join(salted, (source == F.col("_mix_source")) & (salt == F.col("_mix_salt"))).drop("_mix_source", "_mix_salt")
     counted = joined.withColumn("mix_count", poisson_inverse(uniform(seed, F.col(id_col)), F.col("mix_rate"))).where("mix_count > 0")
     out = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))

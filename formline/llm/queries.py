@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bitpack, byte_bpe, host_rules, lyndon_sa, merkle, pii_crf, poisson_mix, quality_knn, trie_join
+from formline.llm import attention_lm, bitpack, byte_bpe, host_rules, lyndon_sa, merkle, pii_crf, poisson_mix, quality_knn, trie_join
 
 #: Target shares of the mix: the hot source is brought down, the others share the rest evenly.
 MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 20)}
@@ -30,6 +30,11 @@ def op3_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.jaccard_components(_docs(spark, sf_dir))
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and end are the vocabulary's own symbols, 49406 and 49407."""
+    return attention_lm.score(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), start_id=49406, end_id=49407)
+
+
 def op5_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_merkle": op2_merkle,
     "op3_trie_jaccard": op3_trie_jaccard,
+    "op4_attention_lm": op4_attention_lm,
     "op5_bit_packing": op5_bit_packing,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_lyndon_suffix_array": op7_lyndon_suffix_array,

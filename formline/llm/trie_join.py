@@ -35,7 +35,7 @@ BLOCK = 256
 HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 16, 8, 65_536
 #: Up to so many ids a list of wanted documents is broadcast (some megabytes); a longer one is joined by shuffling.
 BROADCAST_IDS = 400_000
-_WORDS = Cache(xxhash.xxh3_64_intdigest, 600_000)
+_WORDS = Cache(xxhash.xxh3_64_intdigest, 300_000)
 _STEP = np.random.default_rng(41).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -23,7 +23,7 @@ class WordCodec:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocab_size <= 65536 else "<u4")
         self.tails = Cache(self._library, 10_000)
-        self.words = Cache(self._word)
+        self.words = Cache(self._word, 500_000)
 
     @staticmethod
     def shared(tokenizer_json: bytes) -> "WordCodec":
