@@ -1,4 +1,4 @@
 """All registered queries of the library and the SQL each is held against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from formline.plans import form  # noqa: F401  (modules register their queries)
+from formline.plans.tables import ORACLE_SQL, QUERIES  # noqa: F401
