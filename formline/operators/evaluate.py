@@ -37,7 +37,8 @@ def spearman(df: DataFrame, keys: Sequence[str], round_key: str, predicted: str,
     """Mean over rounds of the rank correlation, ties at average ranks; rounds with one constant side are left out."""
     part = [*keys, round_key]
     ranked = df.select(*part, average_rank(predicted, part).alias("a"), average_rank(actual, part).alias("b"))
-    per = ranked.groupBy(*part).agg(F.when((F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0), F.corr("a", "b")).alias("rho"))
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    per = ranked.groupBy(*part).agg(F.try_divide(F.covar_pop("a", "b"), F.when(spread > 0, spread)).alias("rho"))
     return per.where("rho is not null").groupBy(*keys).agg(F.avg("rho").alias("spearman"), F.count(F.lit(1)).alias("rounds"))
 
 
