@@ -7,9 +7,9 @@ order gives the same links.
 1. Texts with equal sets are one class; its smallest id stands for it.
 2. Classes that agree in a band of min-hashes meet that band's hub (its largest class, or another
    chosen by hash); the pairs are verified and most classes of a group of copies are connected.
-3. The exact step: two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 elements.
+3. The exact step: any two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 elements.
    Classes meet by these elements; pairs that are already connected are skipped (only components are
-   asked for), pairs that lengths or places rule out too, and all others are verified.
+   asked for), pairs that lengths, places or parity bitmaps rule out too, and all others are verified.
 
 Verification groups the pairs by hub, at most ``BLOCK`` sets of a hub in a block: the block's ordered
 sets go into a trie, and the hub's set is traversed against it, so that common beginnings are counted
@@ -31,8 +31,10 @@ from formline.llm.components import connected
 
 BANDS = 10
 BLOCK = 256
-#: One text in HOT_SAMPLE is looked at for the order; at most HOT_KEPT n-grams are put last (half a megabyte).
-HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 16, 8, 65_536
+#: Groups of up to so many members give their pairs at once; larger ones are compared by bitmap, in blocks of GROUP_BLOCK.
+SMALL_GROUP, GROUP_BLOCK = 4, 2048
+#: One text in HOT_SAMPLE is looked at for the order; at most HOT_KEPT n-grams are put last (a megabyte).
+HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 16, 3, 131_072
 #: Up to so many ids a list of wanted documents is broadcast (some megabytes); a longer one is joined by shuffling.
 BROADCAST_IDS = 400_000
 _WORDS = Cache(xxhash.xxh3_64_intdigest, 300_000)
@@ -75,6 +77,29 @@ def bands(s: np.ndarray, count: int = BANDS) -> list[int]:
     return [hash((k, least[2 * k], least[2 * k + 1])) for k in range(count)]  # of integers: the same in every process
 
 
+def parity(s: np.ndarray) -> bytes:
+    """One bit per bucket of about one element each: whether their number is odd.
+
+    Two sets' intersection is at most half of both sizes less the differing bits; a longer bitmap
+    folds into a shorter one, since buckets are low bits.
+    """
+    b = min(max(64, 1 << (max(len(s), 1) - 1).bit_length()), 65_536)
+    return np.packbits((np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(m: int, n: int, a: bytes, b: bytes, percent: int) -> bool:
+    """False only if bitmaps ``a`` and ``b`` of sets of m and n elements rule a link out."""
+    size = min(len(a), len(b))
+    return (m + n - int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())) // 2 >= needed(m, n, percent)
+
+
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(bitmap, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 class Trie:
     """Ordered sets by their common beginnings; a node holds a run of elements."""
 
@@ -141,17 +166,18 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, n))
 
     def run(x):
-        out = {"doc_id": x["doc_id"], "given_id": x["given_id"], "n_shingles": [], "digest": [], "bands": [], "prefix": []}
+        out = {"doc_id": x["doc_id"], "given_id": x["given_id"], "n_shingles": [], "digest": [], "bands": [], "parity": [], "prefix": []}
         for text in x["text"]:
             s = shingles(text, n)
             out["n_shingles"].append(len(s))
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             out["bands"].append(bands(s))
+            out["parity"].append(parity(s))
             late = hot.value[np.minimum(np.searchsorted(hot.value, s), len(hot.value) - 1)] == s if len(hot.value) else np.zeros(len(s), bool)
             out["prefix"].append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent) if len(s) else 0].tobytes())
         return out
 
-    return written(map_batches(docs.select("doc_id", "given_id", "text"), run, "doc_id long, given_id long, n_shingles long, digest binary, bands array<long>, prefix binary"), "sets")
+    return written(map_batches(docs.select("doc_id", "given_id", "text"), run, "doc_id long, given_id long, n_shingles long, digest binary, bands array<long>, parity binary, prefix binary"), "sets")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -202,32 +228,47 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return written(met.mapInArrow(check, "a long, b long"), "links")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parity bitmaps do not rule out."""
+    one, two = (sets.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")) for k in ("hub", "member"))
+    both = pairs.join(one, "hub").join(two, "member").select("hub", "member", "n_hub", "n_member", "p_hub", "p_member")
+
+    def run(x):
+        keep = [i for i in range(len(x["hub"])) if may_link(x["n_hub"][i], x["n_member"][i], x["p_hub"][i], x["p_member"][i], percent)]
+        return {k: [x[k][i] for i in keep] for k in ("hub", "member")}
+
+    return map_batches(both, run, "hub long, member long")
+
+
 def _candidates(batches, percent: int):
-    """Postings (token, doc_id, comp, n, pos) sorted by token: pairs in different components that can still be linked."""
-    kinds = pa.schema([("hub", pa.int64()), ("member", pa.int64())])
+    """Postings (token, doc_id, comp, n, pos) sorted by token, of tokens in several components: the pairs of a
+    small group that can still be linked, the members of a larger one (which go on to ``_large``)."""
+    kinds = pa.schema([("hub", pa.int64()), ("member", pa.int64()), ("token", pa.int64()), ("size", pa.int32())])
     held = None
 
-    def pairs(cols):
+    def found(cols):
         token, doc, comp, n, pos = cols
         edge = np.concatenate([[0], (token[1:] != token[:-1]).nonzero()[0] + 1])
         low, high = np.minimum.reduceat(comp, edge), np.maximum.reduceat(comp, edge)
-        stop = np.concatenate([edge[1:], [len(token)]])
-        out = []
-        for a, z in zip(edge[low != high], stop[low != high], strict=True):
-            by = np.argsort(n[a:z], kind="stable")
-            d, c, m, p = doc[a:z][by], comp[a:z][by], n[a:z][by], pos[a:z][by]
-            for i in range(0, len(d), 256):
-                top = np.searchsorted(m, m[min(i + 256, len(m)) - 1] * 100 // percent, side="right")
-                x, y = np.s_[i : min(i + 256, len(d))], np.s_[i:top]
-                most = np.minimum(p[x, None], p[None, y]) + 1 + np.minimum((m - p)[x, None], (m - p)[None, y]) - 1
-                need = -(-percent * (m[x, None] + m[None, y]) // (100 + percent))
-                ok = (c[x, None] != c[None, y]) & (most >= need)
-                ok &= np.arange(x.start, x.stop)[:, None] < np.arange(i, top)[None, :]
-                r, s = ok.nonzero()
-                out.append(np.stack([np.minimum(d[x][r], d[y][s]), np.maximum(d[x][r], d[y][s])]))
-        if not out:
-            return np.zeros((2, 0), np.int64)
-        return np.unique(np.concatenate(out, 1), axis=1)
+        size = np.diff(np.concatenate([edge, [len(token)]]))
+        mixed = low != high
+        out = [np.zeros((2, 0), np.int64)]
+        for g in range(2, SMALL_GROUP + 1):  # all groups of one size at a time
+            at = edge[mixed & (size == g)]
+            for i in range(g):
+                for j in range(i + 1, g):
+                    x, y = at + i, at + j
+                    most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+                    ok = (comp[x] != comp[y]) & (most >= -(-percent * (n[x] + n[y]) // (100 + percent)))
+                    out.append(np.stack([np.minimum(doc[x], doc[y])[ok], np.maximum(doc[x], doc[y])[ok]]))
+        pairs = np.unique(np.concatenate(out, 1), axis=1)
+        group = np.repeat(np.arange(len(edge)), size)
+        big = (mixed & (size > SMALL_GROUP))[group]
+        k, m = pairs.shape[1], int(big.sum())
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([pairs[0], doc[big]])), pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)])),
+            pa.array(np.concatenate([np.zeros(k, np.int64), token[big]])), pa.array(np.concatenate([np.zeros(k, np.int32), size[group[big]].astype(np.int32)])),
+        ], schema=kinds)
 
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -238,11 +279,58 @@ def _candidates(batches, percent: int):
         cut = int((cols[0] != cols[0][-1]).sum())  # tokens are sorted: the last one's group may go on
         held = [c[cut:] for c in cols]
         if cut:
-            found = pairs([c[:cut] for c in cols])
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=kinds)
+            yield found([c[:cut] for c in cols])
     if held is not None:
-        found = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=kinds)
+        yield found(held)
+
+
+def _large(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of large groups (rows doc_id, token, size) that lengths and parity bitmaps leave, compared in blocks.
+
+    A group of over GROUP_BLOCK members is cut into blocks, and every two blocks meet in a task of their own.
+    """
+    n_blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = members.withColumn("blocks", n_blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("doc_id", "token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    rows = rows.join(sets.select("doc_id", F.col("n_shingles").alias("n"), "comp", "parity"), "doc_id").select("token", "x", "y", "own", "doc_id", "n", "comp", "parity")
+
+    def run(batches):
+        kinds = pa.schema([("hub", pa.int64()), ("member", pa.int64())])
+        key, group = None, []
+
+        def pairs():
+            shortest = min(len(g[4]) for g in group)
+            bits = np.stack([_folded(g[4], shortest) for g in group])
+            own, doc, n, comp = (np.array([g[i] for g in group], np.int64) for i in range(4))
+            out = []
+            for i in range(0, len(group), 128):
+                z = np.s_[i : i + 128]
+                off = np.bitwise_count(bits[z, None, :] ^ bits[None, i:, :]).sum(2, dtype=np.int64)
+                both = n[z, None] + n[None, i:]
+                ok = ((both - off) // 2 >= -(-percent * both // (100 + percent))) & (comp[z, None] != comp[None, i:])
+                ok &= 100 * np.minimum(n[z, None], n[None, i:]) >= percent * np.maximum(n[z, None], n[None, i:])
+                ok &= np.arange(len(own[z]))[:, None] < np.arange(len(group) - i)[None, :]
+                if key[1] != key[2]:  # pairs inside a block meet where the block meets itself
+                    ok &= own[z, None] != own[None, i:]
+                for r, s in zip(*ok.nonzero(), strict=True):
+                    a, b = i + r, i + s
+                    if may_link(int(n[a]), int(n[b]), group[a][4], group[b][4], percent):
+                        out.append((min(doc[a], doc[b]), max(doc[a], doc[b])))
+            return out
+
+        for batch in batches:
+            out = []
+            for t, x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if (t, x, y) != key:
+                    out += pairs() if len(group) > 1 else []
+                    key, group = (t, x, y), []
+                group.append(row)
+            yield pa.RecordBatch.from_pydict({"hub": [p[0] for p in out], "member": [p[1] for p in out]}, schema=kinds)
+        out = pairs() if len(group) > 1 else []
+        yield pa.RecordBatch.from_pydict({"hub": [p[0] for p in out], "member": [p[1] for p in out]}, schema=kinds)
+
+    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "hub long, member long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -255,7 +343,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = _sets(docs, n, percent)
     some = sets.where("n_shingles > 0")
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    firsts = sets.join(classes.select("doc_id", "copies"), "doc_id").select("doc_id", "copies", "n_shingles", "bands", "prefix")
+    firsts = sets.join(classes.select("doc_id", "copies"), "doc_id").select("doc_id", "copies", "n_shingles", "bands", "parity", "prefix")
     firsts = written(firsts, "firsts")
 
     banded = firsts.select("doc_id", "n_shingles", "copies", F.posexplode("bands").alias("k", "band"))
@@ -264,10 +352,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.max_by(F.struct("doc_id", "n_shingles"), rank).alias("hub")).where("c > 1")
     near = banded.join(hubs, "band").select(F.col("hub.doc_id").alias("hub"), F.col("doc_id").alias("member"), F.col("hub.n_shingles").alias("m"), F.col("n_shingles").alias("k"))
     near = near.where((F.col("hub") != F.col("member")) & (100 * F.least("m", "k") >= percent * F.greatest("m", "k"))).select("hub", "member").distinct()
-    links = verified(docs, near, n, percent)
+    links = verified(docs, _possible(near, firsts, percent), n, percent)
     groups = connected(links)
 
-    labelled = firsts.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp"), "prefix")
+    labelled = firsts.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp"), "parity", "prefix")
 
     def post(x):
         sizes = [len(p) // 8 for p in x["prefix"]]
@@ -277,8 +365,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         }
 
     postings = map_batches(labelled.select("doc_id", "n_shingles", "comp", "prefix"), post, "token long, doc_id long, comp long, n long, pos long")
-    found = postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _candidates(b, percent), "hub long, member long").distinct()
-    more = verified(docs, found, n, percent)
+    found = written(postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _candidates(b, percent), "hub long, member long, token long, size int"), "candidates")
+    small = _possible(found.where("size = 0").select("hub", "member").distinct(), firsts, percent)
+    large = _large(found.where("size > 0").select(F.col("hub").alias("doc_id"), "token", "size"), labelled, percent)
+    more = verified(docs, small.union(large).distinct(), n, percent)
     if not more.isEmpty():
         groups = connected(links.union(more))
     return _answer(sets, classes, groups)
