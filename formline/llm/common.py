@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Stands for a null id inside the operators: smaller than every real id.
-NULL_ID = -(2**63)
+NULL_ID = 1 - 2**63
 
 
 def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

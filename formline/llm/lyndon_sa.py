@@ -284,29 +284,39 @@ def _meet(batches):
 
 
 def _suffix_blocks(batches):
-    """Rows of (key, doc, start, bytes) sorted by key: repeated windows of every key with several rows."""
+    """Rows of (key, doc, start, bytes) sorted by all but the bytes: repeated windows within every key.
+
+    Of equal byte strings under a key the first stays and the others are repeats as a whole; only
+    keys with several different strings go into suffix arrays.
+    """
     kinds = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("stop", pa.int64())])
-    held, size, key, group = [], 0, None, []
+    held, size, key, group = [], 0, None, {}
 
-    def flush():
-        spans = repeated_windows(held)
+    def rows(spans):
         return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], schema=kinds)
 
+    def close():
+        nonlocal held, size
+        if len(group) > 1:
+            held += [(doc, start, raw) for raw, (doc, start) in group.items()]
+            size += sum(map(len, group))
+
     for batch in batches:
+        whole = []
         for k, doc, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if k != key:
-                if len(group) > 1:
-                    held += group
-                    size += sum(len(g[2]) for g in group)
-                    if size >= BLOCK:
-                        yield flush()
-                        held, size = [], 0
-                key, group = k, []
-            group.append((doc, start, raw))
-    if len(group) > 1:
-        held += group
+                close()
+                key, group = k, {}
+                if size >= BLOCK:
+                    yield rows(repeated_windows(held))
+                    held, size = [], 0
+            first = group.setdefault(raw, (doc, start))
+            if first != (doc, start):
+                whole.append((doc, start, start + len(raw)))
+        yield rows(whole)
+    close()
     if held:
-        yield flush()
+        yield rows(repeated_windows(held))
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
@@ -335,7 +345,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
         return out
 
     parts = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), surroundings, "key long, doc_id long, start long, part binary")
-    edges = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_suffix_blocks, "doc_id long, pos long, stop long")
+    edges = parts.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_suffix_blocks, "doc_id long, pos long, stop long")
     return met.where("stop >= 0").select("doc_id", "pos", "stop").unionByName(edges)
 
 

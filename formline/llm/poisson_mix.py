@@ -74,7 +74,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, total: float | N
         salted = by.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
         joined = df.join(salted, (source == F.col("_mix_source")) & (salt == F.col("_mix_salt"))).drop("_mix_source", "_mix_salt")
-    counted = joined.withColumn("mix_count", poisson_inverse(uniform(seed, F.col(id_col)), F.col("mix_rate"))).where("mix_count > 0")
-    out = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
+    counted = joined.withColumn("mix_count", poisson_inverse(uniform(seed, F.col(id_col)), F.col("mix_rate")))
+    copies = F.posexplode(F.array_repeat(F.lit(1), F.col("mix_count"))).alias("mix_copy", "_mix_one")  # none where the count is 0
+    out = counted.select("*", copies).drop("_mix_one").withColumn("mix_copy", F.col("mix_copy") + 1)
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))
     return out.orderBy("mix_key", id_col, "mix_copy") if shuffle else out
