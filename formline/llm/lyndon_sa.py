@@ -61,6 +61,24 @@ def suffix_array(data: list[int]) -> list[int]:
     end = n
     while end > 0:
         start = group[items[end - 1]]
+        if end - start == 1:  # most groups: one suffix, which moves at most one other
+            s = items[start]
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = prev[p]
+            prev[s] = p
+            end = start
+            if p >= 0:
+                old = group[p]
+                n_old = size[old]
+                if n_old > 1:
+                    last, at = old + n_old - 1, place[p]
+                    other = items[last]
+                    items[at], items[last] = other, p
+                    place[other], place[p] = at, last
+                    group[p] = last
+                    size[last], size[old] = 1, n_old - 1
+            continue
         members = sorted(items[start:end])
         for s in members:
             p = s - 1
