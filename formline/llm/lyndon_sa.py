@@ -301,11 +301,47 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in outs]).astype(np.int64)) for i in range(5)], schema=_KINDS)
 
 
+def _agreement(parts: list[bytes]) -> list[int]:
+    """Of each string, the longest beginning it shares with any other of them: with a neighbour in their order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        a, b = parts[i], parts[j]
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            if a[:mid] == b[:mid]:
+                low = mid
+            else:
+                high = mid - 1
+        out[i], out[j] = max(out[i], low), max(out[j], low)
+    return out
+
+
+def _shared_parts(group: dict[bytes, tuple[int, int, int]]) -> list[tuple[int, int, bytes]]:
+    """(doc, start, bytes) of each different string, cut to what can be shared: outside it no window repeats.
+
+    All hold the same core (anchor and near side); a string whose longest agreements left and right of
+    the core leave less than a window takes no part.
+    """
+    width = ANCHOR + SIDE
+    raws = list(group)
+    cores = [group[r][2] for r in raws]
+    left = _agreement([r[:c][::-1] for r, c in zip(raws, cores, strict=True)])
+    right = _agreement([r[c + width :] for r, c in zip(raws, cores, strict=True)])
+    out = []
+    for raw, core, a, z in zip(raws, cores, left, right, strict=True):
+        if a + width + z >= LENGTH:
+            doc, start, _ = group[raw]
+            out.append((doc, start + core - a, raw[core - a : core + width + z]))
+    return out
+
+
 def _suffix_blocks(batches):
-    """Rows of (key, doc, start, bytes) sorted by all but the bytes: repeated windows within every key.
+    """Rows of (key, doc, start, core, bytes) sorted by all but the bytes: repeated windows within every key.
 
-    Of equal byte strings under a key the first stays and the others are repeats as a whole; only
-    keys with several different strings go into suffix arrays.
+    Of equal byte strings under a key the first stays and the others are repeats as a whole; keys with
+    several different strings go into suffix arrays.
     """
     kinds = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("stop", pa.int64())])
     held, size, key, group = [], 0, None, {}
@@ -316,20 +352,21 @@ def _suffix_blocks(batches):
     def close():
         nonlocal held, size
         if len(group) > 1:
-            held += [(doc, start, raw) for raw, (doc, start) in group.items()]
-            size += sum(map(len, group))
+            parts = _shared_parts(group)
+            held += parts
+            size += sum(len(p[2]) for p in parts)
 
     for batch in batches:
         whole = []
-        for k, doc, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for k, doc, start, core, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if k != key:
                 close()
                 key, group = k, {}
                 if size >= BLOCK:
                     yield rows(repeated_windows(held))
                     held, size = [], 0
-            first = group.setdefault(raw, (doc, start))
-            if first != (doc, start):
+            first = group.setdefault(raw, (doc, start, core))
+            if first[:2] != (doc, start):
                 whole.append((doc, start, start + len(raw)))
         yield rows(whole)
     close()
@@ -345,24 +382,24 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     wanted = met.where("stop < 0").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos")).alias("at"))  # at most a document's bytes
 
     def surroundings(x):
-        out = {"key": [], "doc_id": [], "start": [], "part": []}
+        out = {"key": [], "doc_id": [], "start": [], "core": [], "part": []}
         for doc, text, at in zip(x["doc_id"], x["text"], x["at"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for row in at:
                 p = row["pos"]
                 sides = []
                 if p >= SIDE:
-                    sides.append((b"L", raw[p - SIDE : p], max(0, p - 2 * SIDE), p + ANCHOR + SIDE))
+                    sides.append((b"L", raw[p - SIDE : p], max(0, p - 2 * SIDE), p - SIDE, p + ANCHOR + SIDE))
                 if p + ANCHOR + SIDE <= len(raw):
-                    sides.append((b"R", raw[p + ANCHOR : p + ANCHOR + SIDE], max(0, p - SIDE), p + LENGTH))
-                for side, near, a, z in sides:
+                    sides.append((b"R", raw[p + ANCHOR : p + ANCHOR + SIDE], max(0, p - SIDE), p, p + LENGTH))
+                for side, near, a, core, z in sides:
                     if min(z, len(raw)) - a >= LENGTH:
                         digest = hashlib.blake2b(side + row["anchor"].to_bytes(8, "little", signed=True) + near, digest_size=8).digest()
-                        for name, value in (("key", int.from_bytes(digest, "little", signed=True)), ("doc_id", doc), ("start", a), ("part", raw[a:z])):
+                        for name, value in (("key", int.from_bytes(digest, "little", signed=True)), ("doc_id", doc), ("start", a), ("core", core - a), ("part", raw[a:z])):
                             out[name].append(value)
         return out
 
-    parts = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), surroundings, "key long, doc_id long, start long, part binary")
+    parts = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), surroundings, "key long, doc_id long, start long, core int, part binary")
     edges = parts.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_suffix_blocks, "doc_id long, pos long, stop long")
     return met.where("stop >= 0").select("doc_id", "pos", "stop").unionByName(edges)
 
