@@ -76,6 +76,13 @@ def class_log_loss(df: DataFrame, keys: Sequence[str], label: str, probs: Sequen
     return df.groupBy(*keys).agg((-F.avg(F.ln(picked + EPS))).alias("log_loss"))
 
 
+def best_route(df: DataFrame, keys: Sequence[str], routes: Sequence[str], actual: str) -> DataFrame:
+    """Per key the prediction column of least mean absolute error on the given (held-out) rows, ties to the first named."""
+    errors = df.groupBy(*keys).agg(*[F.avg(F.abs(F.col(r) - F.col(actual))).alias(r) for r in routes])
+    least = F.array_min(F.array(*[F.struct(F.round(r, 9).alias("mae"), F.lit(i).alias("i"), F.lit(r).alias("route")) for i, r in enumerate(routes)]))
+    return errors.select(*keys, least.alias("x")).select(*keys, "x.route", "x.mae")
+
+
 def pick_weight(df: DataFrame, grid: Sequence[float], fold: str, round_key: str, ev: str, extra: str, actual: str, tie: str, top: int = 3, haul: float = 10, tolerance: float = 0.02) -> DataFrame:
     """Per weight on the extra term: mean points and haul rate of each (fold, round)'s top picks, whether its points are
     within the tolerance of the best, and whether its haul rate is a standard error above weight 0's; then the choice."""

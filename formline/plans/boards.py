@@ -253,6 +253,12 @@ def e9_e10_baselines_and_gate(spark, d):
     return m.select("kind", r6("last5").alias("last5"), r6("flat").alias("flat"), (F.col("last5") <= F.col("flat") * 1.2).alias("accepted"))
 
 
+@query(f"""WITH {_PRED}, h AS (SELECT kind, avg(abs(predicted - actual)) AS a, avg(abs(minutes - actual)) AS b FROM x WHERE event_id % 2 = 1 GROUP BY kind) SELECT kind, CASE WHEN a <= b THEN 'predicted' ELSE 'minutes' END AS route, round(least(a, b), 6) AS mae FROM h""")
+def e11_best_route(spark, d):
+    held = _pred(spark, d).where("event_id % 2 = 1").withColumn("minutes", F.col("minutes").cast("double"))
+    return E.best_route(held, ["kind"], ["predicted", "minutes"], "actual").select("kind", "route", r6("mae").alias("mae"))
+
+
 @query("SELECT unnest(['avg3', 'sum10', 'ewm3']) AS feature, unnest([0, 0, 0])::BIGINT AS n_changed")
 def e12_leakage_audit(spark, d):
     """Features at or before a cut-off must not move when every later value is changed."""

@@ -244,7 +244,7 @@ def s3_nested_json(spark, d):
     c = table(spark, d, "conversations")
     docs = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", "text")).alias("history"))).alias("j"))
     parsed = docs.select("conv_id", F.from_json("j", "history array<struct<turn long, text string>>").alias("p")).select("conv_id", "p.history")
-    return files.nested_rows(parsed, "history", ["conv_id"]).select("conv_id", "turn", F.length("text").alias("n"))
+    return files.nested_rows(parsed, "history", ["conv_id"]).select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
 @query("""WITH l AS (SELECT n_name AS team, r_name AS league FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 3), m AS (SELECT o_custkey AS uid, o_orderkey % 50 AS match_id, o_orderkey AS seq, year(o_orderdate) AS season, 'NATION_' || (o_orderkey % 30) AS home, 'NATION_' || (o_custkey % 25) AS away FROM orders WHERE year(o_orderdate) >= 1998),
