@@ -24,6 +24,9 @@ class WordCodec:
         self.kind = np.dtype("<u2" if self.vocab_size <= 65536 else "<u4")
         self.tails = Cache(self._library, 10_000)
         self.words = Cache(self._word, 500_000)
+        self.ends_word = np.zeros(self.vocab_size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
 
     @staticmethod
     def shared(tokenizer_json: bytes) -> "WordCodec":
@@ -42,9 +45,36 @@ class WordCodec:
             return self.words[core] + self.tails[word[len(core) :]]
         return self._library(word)
 
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; runs of letters go through the library joined by spaces and are parted at word ends."""
+        split = [(w, w.rstrip(b".,")) for w in words]
+        split = [(w, core, core.decode("utf-8")) for w, core in split]
+        letters = [text for _, core, text in split if text.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, self.kind)
+        stops = self.ends_word[ids].nonzero()[0] + 1 if len(ids) else np.zeros(0, np.int64)
+        if len(stops) != len(letters):  # some letter was split by normalisation
+            return [self._word(w) for w in words]
+        edges, raw, size, out, k = [0, *stops.tolist()], ids.tobytes(), self.kind.itemsize, [], 0
+        for w, core, text in split:
+            if text.isalpha():
+                own = raw[edges[k] * size : edges[k + 1] * size]
+                out.append(own + self.tails[w[len(core) :]] if len(core) < len(w) else own)
+                k += 1
+            else:
+                out.append(self._word(w))
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        """Put the ids of all words that are not in the cache there, in one go."""
+        new = [w for w in set(words) if w not in self.words and w not in self.words.old]
+        for w, raw in zip(new, self.many(new), strict=True):
+            self.words.put(w, raw)
+
     def raw(self, text: str) -> bytes:
         """The ids as little-endian integers of ``kind``."""
-        return b"".join(map(self.words.__getitem__, text.encode("utf-8").lower().split()))
+        words = text.encode("utf-8").lower().split()
+        self.learn(words)
+        return b"".join(map(self.words.__getitem__, words))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), self.kind)

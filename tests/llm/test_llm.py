@@ -119,6 +119,9 @@ def test_word_codec_equals_the_library():
     tok.encode_special_tokens = True
     for t in ("It's 12 a.m., don't!", "ÉTÉ, ñ.,.  x y <|endoftext|> \x1c z", "a" * 300, "ΟΔΟΣ, ΟΔΟΣ", "é. Å,", "!!., ..", "日本語。テスト, 12,345."):
         assert codec.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    words = [w.encode() for w in ("the", "été,", "a.m.", "İx", "don't", "12,", "x..", "...", "Straße")]
+    for some in (words, [w for w in words if w != "İx".encode()]):
+        assert [np.frombuffer(r, codec.kind).tolist() for r in codec.many(some)] == [tok.encode(w.decode(), add_special_tokens=False).ids for w in some]
 
 
 # -- 9: host rules
@@ -427,9 +430,9 @@ def test_model_is_causal_and_windows_cover_once():
 
 def test_distributions_sum_to_one():
     single = np.array([5.0, 3, 0, 2])
-    counts = attention_lm.Counts(4, single, {65535 << 16 | 1: 3, 1 << 16 | 0: 5}, {(65534 << 16 | 65535) << 16 | 1: 3})
+    counts = attention_lm.Counts(4, single, (np.array([65535 << 16 | 1, 1 << 16 | 0]), np.array([3, 5])), (np.array([(65534 << 16 | 65535) << 16 | 1]), np.array([3])))
     for a2, a in ((65534, 65535), (65535, 1), (0, 2)):
-        assert math.isclose(sum(counts.successor(a2, a, b) for b in range(4)), 1.0)
+        assert math.isclose(counts.successor(np.full(4, a2), np.full(4, a), np.arange(4)).sum(), 1.0)
     shapes = attention_lm.class_shapes([np.array([0, 1, 1]), np.array([3])], counts.share, 3)
     np.testing.assert_allclose(shapes.sum(0), 1)
 
