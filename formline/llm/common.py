@@ -76,6 +76,17 @@ def unique_ids(docs: DataFrame) -> DataFrame:
     return docs.withColumnRenamed("doc_id", "given_id").join(keys, ["given_id", "text"]).select("doc_id", "text", "given_id")
 
 
+def sample_texts(docs: DataFrame, most: int) -> list[str]:
+    """Whole texts of the at most ``most`` documents of a narrow frame with the smallest id hash, in that order.
+
+    Ids are chosen first, so tasks send no texts but those of the sample.
+    """
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = docs.select("doc_id").orderBy(*order).limit(most).distinct()
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``most`` ids
+    return [r.text for r in picked.orderBy(*order, "text").limit(most).collect()]
+
+
 class Cache(dict):
     """A dict that fills itself by ``make``; at ``limit`` keys it ages, and what is not asked for again while it refills is forgotten."""
 

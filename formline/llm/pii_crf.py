@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import map_batches, narrow, real_id
+from formline.llm.common import map_batches, narrow, real_id, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TRAIN_DOCS = 400
@@ -358,7 +358,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS, epochs: int = 12) -> BiLstmCrf | None:
     """A model from the ``max_docs`` documents with the smallest id hash among those with a digit or at sign; None without any."""
     rows = narrow(df, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
-    texts = [r.text for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(max_docs).collect()]  # bounded by max_docs
+    texts = sample_texts(rows, max_docs)
     ids, tags = training_windows(texts)
     if not ids.shape[1]:
         return None
