@@ -453,6 +453,28 @@ def test_language_model(docs, empty):
     assert attention_lm.score(empty, WORDS, 49406, 49407).count() == 0
 
 
+def test_language_model_uses_all_counts(spark, docs, monkeypatch):
+    score = lambda: sorted((str(r.doc_id), r.n_tokens, r.score) for r in attention_lm.score(docs, WORDS, 49406, 49407, max_train_docs=20).collect())
+    whole = score()
+    monkeypatch.setattr(attention_lm, "COMMON_TRIPLES", 5)
+    for a, b in zip(whole, score(), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-4), (a, b)
+
+
+def test_table_probabilities(spark):
+    start, none = attention_lm.Counts.START, attention_lm.Counts.NONE
+    held = {none << 32 | start << 16 | 1: 3, start << 32 | 1 << 16 | 0: 2, 2 << 32 | 1 << 16 | 0: 3}
+    tables = attention_lm.Tables(spark.createDataFrame(list(held.items()), "k long, c long"), 4)
+    pairs = Counter()
+    for k, c in held.items():
+        pairs[k & 0xFFFFFFFF] += c
+    both = [(np.array(list(x)), np.array(list(x.values()))) for x in (pairs, held)]
+    counts = attention_lm.Counts(4, np.array([5.0, 3, 0, 0]), *both)
+    keys = [a2 << 32 | a << 16 | b for a2, a in ((none, start), (start, 1), (2, 1), (3, 1), (0, 2)) for b in range(4)]
+    for k, p in tables.probabilities(attention_lm.keys_of(tables.triples, keys)).collect():
+        assert math.isclose(p, counts.successor(np.array([k >> 32]), np.array([k >> 16 & 0xFFFF]), np.array([k & 0xFFFF]))[0]), k
+
+
 # -- 6: mixing
 
 
