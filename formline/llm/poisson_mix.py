@@ -37,10 +37,12 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), state, step, lambda s: s["k"])
 
 
-def rates(df: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source") -> DataFrame:
+def rates(df: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source", other_weight: float = 1.0) -> DataFrame:
     """Per source: ``mix_source``, ``n_docs``, ``rate``.
 
-    ``weights`` are relative target shares by source (absent ones get 0; None: every source the same);
+    ``weights`` are relative target shares by source; a source that they don't name, the null one
+    included, gets ``other_weight``, so a source leaves only where 0 is stated for it (None: every
+    source the same; an empty dict states no target, and the mix is empty);
     ``total`` is the wanted number of output documents (None: as many as the input has).
     A null source is a source of its own, named ''.
     """
@@ -49,7 +51,7 @@ def rates(df: DataFrame, weights: dict[str, float] | None = None, total: float |
         weight = F.lit(1.0)
     elif weights:
         table = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-        weight = F.coalesce(F.try_element_at(table, F.col("mix_source")), F.lit(0.0))
+        weight = F.coalesce(F.try_element_at(table, F.col("mix_source")), F.lit(float(other_weight)))
     else:
         weight = F.lit(0.0)
     sums = counts.withColumn("w", weight).groupBy().agg(F.sum("w").alias("w_all"), F.sum("n_docs").alias("n_all"))
@@ -59,14 +61,14 @@ def rates(df: DataFrame, weights: dict[str, float] | None = None, total: float |
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = "mix",
-        id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True) -> DataFrame:
+        id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True, other_weight: float = 1.0) -> DataFrame:
     """Every input column plus ``mix_rate``, ``mix_count``, ``mix_copy`` (1..count) and ``mix_key`` (place in the global order).
 
     Documents with count 0 leave.  Repeated rows have equal ids and so equal counts.  The rates, one
     row per source, are written and counted: up to BROADCAST_SOURCES they are broadcast and no text
     moves for the join; more are joined by (source, salt), so that a hot source is dealt over SALTS tasks.
     """
-    by = written(rates(df, weights, total, source_col), "rates").select(F.col("mix_source").alias("_mix_source"), F.col("rate").alias("mix_rate"))
+    by = written(rates(df, weights, total, source_col, other_weight), "rates").select(F.col("mix_source").alias("_mix_source"), F.col("rate").alias("mix_rate"))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     if by.count() <= BROADCAST_SOURCES:
         joined = df.join(F.broadcast(by), source == F.col("_mix_source")).drop("_mix_source")

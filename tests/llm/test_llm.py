@@ -498,3 +498,12 @@ def test_mix(spark, docs, empty, monkeypatch):
     same = {}
     for r in poisson_mix.mix(docs, total=200.0).groupBy("doc_id", "text").agg(F.min("mix_count").alias("a"), F.max("mix_count").alias("b")).collect():
         assert r.a == r.b
+
+
+def test_unlisted_sources_stay(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("src1"), F.lit("new"), F.lit(None), F.lit("out")), (F.col("id") % 4 + 1).cast("int")).alias("source"), F.lit("t").alias("text"))
+    rate = {r.mix_source: r.rate for r in poisson_mix.rates(rows, {"src1": 1.0, "out": 0.0}).collect()}
+    assert {k: round(v, 9) for k, v in rate.items()} == {"src1": 1.333333333, "new": 1.333333333, "": 1.333333333, "out": 0.0}
+    assert {r.source for r in poisson_mix.mix(rows, {"src1": 1.0, "out": 0.0}).select("source").distinct().collect()} == {"src1", "new", None}
+    half = {r.mix_source: r.rate for r in poisson_mix.rates(rows, {"src1": 1.0}, other_weight=0.0).collect()}
+    assert half["new"] == half[""] == 0 and half["src1"] == 4
