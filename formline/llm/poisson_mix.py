@@ -28,11 +28,12 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     """The smallest k whose cumulative Poisson probability reaches ``u``.
 
     The sum runs to mean + 12 * sqrt(mean) + 40, beyond which the tail is below any u's distance to 1.
+    Terms are held as logarithms: exp(-mean) itself is 0 in double precision from a mean of about 745.
     """
     last = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
-    state = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
+    state = F.struct((-mean).alias("log_p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
     step = lambda s, j: F.when(u <= s["c"], s).otherwise(
-        F.struct((s["p"] * mean / j).alias("p"), (s["c"] + s["p"] * mean / j).alias("c"), j.alias("k"))
+        F.struct((s["log_p"] + F.log(mean / j)).alias("log_p"), (s["c"] + F.exp(s["log_p"] + F.log(mean / j))).alias("c"), j.alias("k"))
     )
     return F.aggregate(F.sequence(F.lit(1), last), state, step, lambda s: s["k"])
 

@@ -507,3 +507,11 @@ def test_unlisted_sources_stay(spark):
     assert {r.source for r in poisson_mix.mix(rows, {"src1": 1.0, "out": 0.0}).select("source").distinct().collect()} == {"src1", "new", None}
     half = {r.mix_source: r.rate for r in poisson_mix.rates(rows, {"src1": 1.0}, other_weight=0.0).collect()}
     assert half["new"] == half[""] == 0 and half["src1"] == 4
+
+
+def test_poisson_inverse_of_large_means(spark):
+    df = spark.range(20).select(((F.col("id") + 0.5) / 20).alias("u"))
+    for mean in (800.0, 5000.0):
+        cdf = np.cumsum([math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(int(2 * mean))])
+        want = [int((cdf < (i + 0.5) / 20).sum()) for i in range(20)]
+        assert [r.k for r in df.orderBy("u").select(poisson_mix.poisson_inverse(F.col("u"), F.lit(mean)).alias("k")).collect()] == want
