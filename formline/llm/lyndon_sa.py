@@ -16,6 +16,8 @@ anchors, so only occurrences of one anchor need to meet:
 3. The rest, edges of edits and of passages, fetch their bytes and meet again by anchor and the 34
    bytes left or right of it; suffix arrays over these bytes find the equal windows, and the
    earliest of each keeps.
+4. An anchor with more than HOT such rows is dealt over salts and cut into blocks: each block finds
+   its own repeats and names the earliest place of each of its windows, and these meet by window.
 """
 
 from __future__ import annotations
@@ -32,8 +34,11 @@ from formline.llm.common import map_batches, narrow, real_id, unique_ids, writte
 LENGTH = 100
 ANCHOR = 32
 SIDE = (LENGTH - ANCHOR) // 2
-#: Suffix arrays are built over blocks of about so many bytes; a group of one key is not cut.
+#: Suffix arrays are built over blocks of about so many bytes; only groups of anchors with over HOT rows are cut.
 BLOCK = 32_768
+HOT = 4096
+#: So many hot anchors are a few megabytes.
+BROADCAST_ANCHORS = 200_000
 
 
 def suffix_array(data: list[int]) -> list[int]:
@@ -211,6 +216,12 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def repeated_windows(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
     """(doc, start, end) spans covered by windows that also lie earlier in ``rows`` of (doc, start, bytes)."""
+    d, p, again, _, _ = _windows(rows)
+    return list(zip(*(x.tolist() for x in _merged(d[again], p[again], p[again] + LENGTH)), strict=True))
+
+
+def _windows(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """Of every window of ``rows``: document, place, whether it repeats an earlier one, and where it is in the symbols; and these."""
     symbols: list[int] = []
     for _, _, raw in rows:
         symbols += [x + 1 for x in raw]
@@ -225,10 +236,10 @@ def repeated_windows(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int,
         at += n + 1
     order = np.array(suffix_array(symbols), np.int64)
     order = order[legal[order]]
-    if len(order) < 2:
-        return []
+    if not len(order):
+        return docs[:0], places[:0], legal[:0], order, flat
     view = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
-    same = np.concatenate([(view[order[i : i + 4096]] == view[order[i + 1 : i + 4097]][: len(order[i : i + 4096])]).all(1) if i + 4097 <= len(order) else (view[order[i:-1]] == view[order[i + 1 :]]).all(1) for i in range(0, len(order) - 1, 4096)])
+    same = np.concatenate([(view[order[i : i + 4096]] == view[order[i + 1 : i + 4097]][: len(order[i : i + 4096])]).all(1) if i + 4097 <= len(order) else (view[order[i:-1]] == view[order[i + 1 :]]).all(1) for i in range(0, len(order) - 1, 4096)] or [np.zeros(0, bool)])
     run = np.concatenate([[0], np.cumsum(~same)])
     by = np.lexsort((places[order], docs[order], run))
     r, d, p = run[by], docs[order][by], places[order][by]
@@ -236,7 +247,7 @@ def repeated_windows(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int,
     new[1:] = r[1:] != r[:-1]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     again = ~new & ((d != d[lead]) | (p != p[lead]))
-    return list(zip(*(x.tolist() for x in _merged(d[again], p[again], p[again] + LENGTH)), strict=True))
+    return d, p, again, order[by], flat
 
 
 # -- jobs ----------------------------------------------------------------------------------------
@@ -338,16 +349,24 @@ def _shared_parts(group: dict[bytes, tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def _suffix_blocks(batches):
-    """Rows of (key, doc, start, core, bytes) sorted by all but the bytes: repeated windows within every key.
+    """Rows of (key, salt, doc, start, core, bytes) sorted by all but the bytes: repeated windows within every key.
 
     Of equal byte strings under a key the first stays and the others are repeats as a whole; keys with
-    several different strings go into suffix arrays.
+    several different strings go into suffix arrays.  A key with a salt (0 or more) is only a part of
+    its group and is cut at BLOCK: its blocks also give (doc, pos, -1, hash) of each window's earliest place.
     """
-    kinds = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("stop", pa.int64())])
-    held, size, key, group = [], 0, None, {}
+    kinds = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("stop", pa.int64()), ("window", pa.int64())])
+    held, size, key, group, hot_size = [], 0, None, {}, 0
 
     def rows(spans):
-        return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], schema=kinds)
+        return pa.RecordBatch.from_arrays([*(pa.array([s[i] for s in spans], pa.int64()) for i in range(3)), pa.nulls(len(spans), pa.int64())], schema=kinds)
+
+    def part_of_hot():
+        d, p, again, at, flat = _windows([(doc, start, raw) for raw, (doc, start, _) in group.items()])
+        raw = (flat - 1).astype(np.uint8).tobytes()
+        first = [int.from_bytes(hashlib.blake2b(raw[i : i + LENGTH], digest_size=8).digest(), "little", signed=True) for i in at[~again].tolist()]
+        yield rows(list(zip(*(x.tolist() for x in _merged(d[again], p[again], p[again] + LENGTH)), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(d[~again]), pa.array(p[~again]), pa.array(np.full(len(first), -1)), pa.array(first, pa.int64())], schema=kinds)
 
     def close():
         nonlocal held, size
@@ -358,18 +377,26 @@ def _suffix_blocks(batches):
 
     for batch in batches:
         whole = []
-        for k, doc, start, core, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if k != key:
-                close()
-                key, group = k, {}
+        for k, salt, doc, start, core, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if (k, salt) != key or (salt >= 0 and hot_size >= BLOCK):
+                if key and key[1] >= 0:
+                    yield from part_of_hot()
+                else:
+                    close()
+                key, group, hot_size = (k, salt), {}, 0
                 if size >= BLOCK:
                     yield rows(repeated_windows(held))
                     held, size = [], 0
             first = group.setdefault(raw, (doc, start, core))
             if first[:2] != (doc, start):
                 whole.append((doc, start, start + len(raw)))
+            else:
+                hot_size += len(raw)
         yield rows(whole)
-    close()
+    if key and key[1] >= 0:
+        yield from part_of_hot()
+    else:
+        close()
     if held:
         yield rows(repeated_windows(held))
 
@@ -379,10 +406,15 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     met = written(docs.select("doc_id", "text").mapInArrow(_occurrences, _SCHEMA).repartition("anchor").sortWithinPartitions("anchor", "around", "doc_id", "pos").mapInArrow(_meet, _SCHEMA), "sa-met")
-    wanted = met.where("stop < 0").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos")).alias("at"))  # at most a document's bytes
+    open_ = met.where("stop < 0").select("anchor", "doc_id", "pos")
+    hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)  # at most one in HOT rows
+    hot = written(hot.select("anchor", F.ceil(F.col("n") / HOT).cast("long").alias("salts")), "sa-hot")
+    dealt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(-1)).alias("salt")
+    open_ = open_.join(F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot, "anchor", "left").select("anchor", "doc_id", "pos", dealt)
+    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "salt")).alias("at"))  # at most a document's bytes
 
     def surroundings(x):
-        out = {"key": [], "doc_id": [], "start": [], "core": [], "part": []}
+        out = {"key": [], "salt": [], "doc_id": [], "start": [], "core": [], "part": []}
         for doc, text, at in zip(x["doc_id"], x["text"], x["at"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for row in at:
@@ -395,13 +427,20 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
                 for side, near, a, core, z in sides:
                     if min(z, len(raw)) - a >= LENGTH:
                         digest = hashlib.blake2b(side + row["anchor"].to_bytes(8, "little", signed=True) + near, digest_size=8).digest()
-                        for name, value in (("key", int.from_bytes(digest, "little", signed=True)), ("doc_id", doc), ("start", a), ("core", core - a), ("part", raw[a:z])):
+                        for name, value in (("key", int.from_bytes(digest, "little", signed=True)), ("salt", row["salt"]), ("doc_id", doc), ("start", a), ("core", core - a), ("part", raw[a:z])):
                             out[name].append(value)
         return out
 
-    parts = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), surroundings, "key long, doc_id long, start long, core int, part binary")
-    edges = parts.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_suffix_blocks, "doc_id long, pos long, stop long")
-    return met.where("stop >= 0").select("doc_id", "pos", "stop").unionByName(edges)
+    parts = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), surroundings, "key long, salt long, doc_id long, start long, core int, part binary")
+    edges = written(parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "start").mapInArrow(_suffix_blocks, "doc_id long, pos long, stop long, window long"), "sa-edges")
+    spans = met.where("stop >= 0").select("doc_id", "pos", "stop").unionByName(edges.where("stop >= 0").drop("window"))
+    if hot.isEmpty():
+        return spans
+    place = F.struct("doc_id", "pos")
+    named = edges.where("stop < 0").select("window", "doc_id", "pos")
+    first = named.groupBy("window").agg(F.min(place).alias("first"))
+    later = named.join(first, "window").where(place != F.col("first"))  # a block names a window once
+    return spans.unionByName(later.select("doc_id", "pos", (F.col("pos") + LENGTH).alias("stop")))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:

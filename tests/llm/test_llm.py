@@ -515,3 +515,29 @@ def test_poisson_inverse_of_large_means(spark):
         cdf = np.cumsum([math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(int(2 * mean))])
         want = [int((cdf < (i + 0.5) / 20).sum()) for i in range(20)]
         assert [r.k for r in df.orderBy("u").select(poisson_mix.poisson_inverse(F.col("u"), F.lit(mean)).alias("k")).collect()] == want
+
+
+def test_hot_passage_is_cut(spark, monkeypatch):
+    passage = long_text(60, 123)
+    rows = [(i, f"{long_text(12, 2000 + i)} {passage} {'same tail ' if i % 3 else ''}{long_text(20, 5000 + i % 250)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, want = set(), {}
+    for i, t in rows:
+        raw, gone = t.encode(), set()
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone.update(range(p, p + 100))
+            seen.add(raw[p : p + 100])
+        want[i] = len(gone)
+    monkeypatch.setattr(lyndon_sa, "HOT", 40, raising=False)
+    assert {r.doc_id: r.n_removed for r in lyndon_sa.remove_repeats(df).collect()} == want
+
+
+def test_hot_key_takes_bounded_suffix_arrays(monkeypatch):
+    most, array = [], lyndon_sa.suffix_array
+    monkeypatch.setattr(lyndon_sa, "suffix_array", lambda x: most.append(len(x)) or array(x))
+    core, n = b"c" * 20 + bytes(range(80)), 900
+    raws = [core + long_text(20, i).encode()[:34] for i in range(n)]
+    columns = {"key": [7] * n, "salt": [0] * n, "doc_id": list(range(n)), "start": [0] * n, "core": [34] * n, "part": raws}
+    out = [r for b in lyndon_sa._suffix_blocks(iter([lyndon_sa.pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+    assert max(most) < 2 * lyndon_sa.BLOCK and len(most) > 2 and {r["doc_id"] for r in out} == set(range(n))
