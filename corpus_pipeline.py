@@ -12,24 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.llm import byte_bpe, pii_crf, poisson_mix, quality_knn, trie_join
-from formline.llm.common import shared_root
+from formline.llm.common import NULL_ID, real_id, shared_root, unique_ids
 from formline.llm.queries import MIX_WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; labels of the tables teach it, on the learning split only."""
-    scores = quality_knn.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = scores.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    """Documents that the classifier accepts; labels of the tables teach it, on the learning split only.
+
+    Texts that share an id, or have none, are judged each by itself.
+    """
+    scores = quality_knn.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), text_key=True)
+    kept = scores.where("predicted = 1").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one that names its component."""
-    groups = trie_join.jaccard_components(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies: the one that names its component.
+
+    Different texts that share an id, or have none, are documents of their own; rows with equal id and text are one.
+    """
+    filled = {"doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text": F.coalesce("text", F.lit("")), "_none": F.col("text").isNull()}
+    keyed = unique_ids(docs.select(*COLUMNS).withColumns(filled))
+    groups = trie_join.jaccard_components(keyed)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id")).distinct()
+    kept = keyed.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.withColumns({"doc_id": real_id("given_id"), "text": F.when(~F.col("_none"), F.col("text"))}).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

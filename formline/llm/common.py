@@ -67,13 +67,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def unique_ids(docs: DataFrame) -> DataFrame:
-    """The narrow input, with ids renumbered in the order of (id, text) where an id has several texts."""
+    """The narrow input, with ids renumbered in the order of (id, text) where an id has several texts; other columns stay."""
     several = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b")
     if several.isEmpty():
         return docs.withColumn("given_id", F.col("doc_id"))
     order = docs.select("doc_id", "text").distinct().sort("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
     keys = docs.sparkSession.createDataFrame(order, "given_id long, text string, doc_id long")
-    return docs.withColumnRenamed("doc_id", "given_id").join(keys, ["given_id", "text"]).select("doc_id", "text", "given_id")
+    return docs.withColumnRenamed("doc_id", "given_id").join(keys, ["given_id", "text"]).select("doc_id", "text", "given_id", *[c for c in docs.columns if c not in ("doc_id", "text")])
 
 
 def sample_texts(docs: DataFrame, most: int) -> list[str]:

@@ -83,8 +83,8 @@ def train_split(id_col: str = "doc_id"):
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row per input row: ``doc_id``, ``held_out``, ``score``, ``predicted``.
+          max_labelled: int = MAX_LABELLED, text_key: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id``, ``held_out``, ``score``, ``predicted`` (and ``text_hash``, xxhash64 of the text).
 
     Only text is ever an input of a score.  Empty (and null) texts score 0.0; without any usable label
     every other text scores 0.5.  Repeated label rows of an id count once (the larger label).
@@ -114,9 +114,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             space, anchors, y = model
             out = vote(_unit(np.stack([features(t) for t in texts]) @ space), anchors, y).astype(np.float64)
         out[[i for i, t in enumerate(texts) if not t]] = 0.0
-        return {"doc_id": x["doc_id"], "score": np.clip(out, 0.0, 1.0)}
-
-    scored = map_batches(narrow(docs, id_col, text_col), run, "doc_id long, score double")
-    return scored.select(real_id(), "score").select(
-        "doc_id", (~train_split("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        return {"doc_id": x["doc_id"], "score": np.clip(out, 0.0, 1.0)} | {c: x[c] for c in key}
+
+    key = ["text_hash"] if text_key else []
+    rows = narrow(docs, id_col, text_col)
+    rows = rows.withColumn("text_hash", F.xxhash64("text")) if text_key else rows
+    scored = map_batches(rows, run, "doc_id long, score double" + ", text_hash long" * text_key)
+    return scored.select(real_id(), "score", *key).select(
+        "doc_id", (~train_split("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *key
     )

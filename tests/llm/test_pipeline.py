@@ -32,3 +32,17 @@ def test_stages(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_shared_and_null_ids(spark, monkeypatch):
+    a, b, c = ("".join(f"{w}{i} " for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (7, b + "end", "en", "s", 1), (8, c, "en", "s", 1), (8, c, "en", "s", 1), (8, a + "x", "en", "s", 1), (9, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == [(False, 8, c), (False, 9, ""), (True, 0, a), (True, 0, b)]
+    real = quality_knn.score
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    monkeypatch.setattr(quality_knn, "score", lambda d, _, **k: real(d, labels, **k))  # no label: empty texts score 0, all others 0.5
+    more = docs.union(spark.createDataFrame([(None, "", "en", "s", 0), (8, "", "en", "s", 0)], docs.schema))
+    got = corpus_pipeline.quality(spark, more, f"{DATA}").collect()
+    assert len(got) == 6 and all(r.text for r in got)
