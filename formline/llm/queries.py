@@ -31,8 +31,7 @@ def op3_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start and end are the vocabulary's own symbols, 49406 and 49407."""
-    return attention_lm.score(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), start_id=49406, end_id=49407)
+    return attention_lm.score(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
