@@ -28,6 +28,8 @@ _HEAD = struct.Struct("<4sIQQII")
 BLOCK_LEN = 4096
 #: A part is closed once it holds so many ids; a longer document is a part of its own.
 PART_IDS = 1_000_000
+#: Texts whose new words are looked up together.
+TEXTS = 128
 
 
 def bits_for(vocab_size: int) -> int:
@@ -71,17 +73,23 @@ class Part:
         self.ends = np.frombuffer(raw, "<u8", n_docs, at + 8 * n_docs)
         self.offsets = np.frombuffer(raw, "<u8", n_blocks + 1, at + 16 * n_docs)
         self.payload = memoryview(raw)[at + 16 * n_docs + 8 * (n_blocks + 1) :]
+        self.open = -1, np.zeros(0, np.uint32)
+
+    def block(self, b: int) -> np.ndarray:
+        """The ids of one block; the last one asked for is kept."""
+        if self.open[0] != b:
+            n = min(self.block_len, self.n_ids - b * self.block_len)
+            self.open = b, unpack(self.payload[int(self.offsets[b]) : int(self.offsets[b + 1])], self.bits, n)
+        return self.open[1]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         if stop <= start:
             return np.zeros(0, np.uint32)
         first, last = start // self.block_len, (stop - 1) // self.block_len
-        out = []
-        for b in range(first, last + 1):
-            n = min(self.block_len, self.n_ids - b * self.block_len)
-            out.append(unpack(bytes(self.payload[int(self.offsets[b]) : int(self.offsets[b + 1])]), self.bits, n))
         base = first * self.block_len
-        return np.concatenate(out)[start - base : stop - base]
+        if first == last:
+            return self.block(first)[start - base : stop - base]
+        return np.concatenate([self.block(b) for b in range(first, last + 1)])[start - base : stop - base]
 
     def docs(self):
         start = 0
@@ -121,14 +129,17 @@ def write_parts(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
             return pa.RecordBatch.from_pydict(row, schema=kinds)
 
         kinds = pa.schema([("file_no", pa.int32()), ("part_no", pa.int32()), ("file_start", pa.int64()), ("n_ids", pa.int64()), ("part", pa.binary())])
+        end = np.array([end_id], codec.kind).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(codec.ids(text), codec.kind.type(end_id))
-                doc_ids.append(doc_id)
-                docs.append(ids)
-                held += len(ids)
-                if held >= PART_IDS:
-                    yield close()
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                for doc_id, raw in zip(part.column(0).to_pylist(), codec.raws(part.column(1).to_pylist()), strict=True):
+                    ids = np.frombuffer(raw + end, codec.kind)
+                    doc_ids.append(doc_id)
+                    docs.append(ids)
+                    held += len(ids)
+                    if held >= PART_IDS:
+                        yield close()
         if docs:
             yield close()
 

@@ -104,7 +104,8 @@ def test_pack_export(tmp_path):
 
 def test_bitpack_round_trip(docs, empty):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
+    special = docs.sparkSession.createDataFrame([(2, "hello <|endoftext|> world <|startoftext|>it's <|ENDOFTEXT|>x"), (5, "<|endoftext|>")], "doc_id long, text string")
+    docs = docs.unionByName(special, allowMissingColumns=True)
     at, want = 0, Counter()
     for i, t in ordered(rows_of(docs)):
         ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
@@ -116,8 +117,8 @@ def test_bitpack_round_trip(docs, empty):
 
 def test_word_codec_equals_the_library():
     codec, tok = WordCodec(open(WORDS, "rb").read()), Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
-    for t in ("It's 12 a.m., don't!", "ÉTÉ, ñ.,.  x y <|endoftext|> \x1c z", "a" * 300, "ΟΔΟΣ, ΟΔΟΣ", "é. Å,", "!!., ..", "日本語。テスト, 12,345."):
+    assert codec.ids("hello <|endoftext|> world <|startoftext|>").tolist() == [3306, 49407, 1002, 49406]
+    for t in ("".join(f"{chr(c)}x{chr(c)}. ab{chr(c)} " for c in range(33, 1200)), "x<|endoftext|><|startoftext|>y <|EndOfText|>", "It's 12 a.m., don't!", "ÉTÉ, ñ.,.  x y <|endoftext|> \x1c z", "a" * 300, "ΟΔΟΣ, ΟΔΟΣ", "é. Å,", "!!., ..", "日本語。テスト, 12,345."):
         assert codec.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t
     words = [w.encode() for w in ("the", "été,", "a.m.", "İx", "don't", "12,", "x..", "...", "Straße")]
     for some in (words, [w for w in words if w != "İx".encode()]):
