@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,31 +59,51 @@ def recovered_thresholds(df: DataFrame, rules: DataFrame, recorded: str = "total
 # -- distributions and expectations --------------------------------------------------------------
 
 
+def _series(mean: Column, most: int, alpha: float | None) -> tuple[Column, list[float]]:
+    """(x, weights) with probabilities of 0..most events in proportion to weight[k] * x**k."""
+    if not alpha:
+        return mean, [1.0 / math.factorial(k) for k in range(most + 1)]
+    r = 1.0 / alpha
+    return mean / (r + mean), [math.exp(math.lgamma(k + r) - math.lgamma(r) - math.lgamma(k + 1)) for k in range(most + 1)]
+
+
+def _polynomial(x: Column, weights: Sequence[float]) -> Column:
+    out = F.lit(float(weights[-1]))
+    for w in reversed(weights[:-1]):
+        out = out * x + float(w)
+    return out
+
+
 def count_pmf(mean: Column, most: int = 10, alpha: float | None = None) -> Column:
     """Probabilities of 0..most events, Poisson or negative binomial with dispersion ``alpha``, scaled to sum to one."""
-    ks = F.sequence(F.lit(1), F.lit(most))
-    if alpha:
-        r = 1.0 / alpha
-        first = F.pow(r / (r + mean), F.lit(r))
-        ratio = lambda k: (k - 1 + r) / k * (mean / (r + mean))
-    else:
-        first = F.exp(-mean)
-        ratio = lambda k: mean / k
-    grown = F.aggregate(ks, F.array(first), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) * ratio(k))))
-    total = F.aggregate(grown, F.lit(0.0), lambda a, x: a + x)
-    return F.when(mean.isNotNull(), F.transform(grown, lambda x: x / total))
+    x, weights = _series(mean, most, alpha)
+    total = _polynomial(x, weights)
+    return F.when(mean.isNotNull(), F.array(*[w * F.pow(x, F.lit(k)) / total for k, w in enumerate(weights)]))
 
 
-def expected_steps(pmf: Column, step: int) -> Column:
-    """E[floor(k / step)] under a list of probabilities of 0, 1, ..."""
-    return F.aggregate(F.transform(pmf, lambda p, k: p * F.floor(k / step)), F.lit(0.0), lambda a, x: a + x)
+def expected_count_steps(mean: Column, step: int, most: int = 20, alpha: float | None = None) -> Column:
+    """E[floor(k / step)] under ``count_pmf(mean, most, alpha)``: two polynomials in the mean, no list per row."""
+    x, weights = _series(mean, most, alpha)
+    return _polynomial(x, [w * (k // step) for k, w in enumerate(weights)]) / _polynomial(x, weights)
+
+
+def expected_steps(pmf: Column, step: int, most: int, exposure: float = 1.0) -> Column:
+    """E[floor(k / step)] under a list of probabilities of 0..most where each event is kept with probability ``exposure``.
+
+    The exposure is one number for all rows, so what n events are worth is too: a sum of most + 1 products.
+    """
+    worth = [sum((k // step) * math.comb(n, k) * exposure**k * (1 - exposure) ** (n - k) for k in range(n + 1)) for n in range(most + 1)]
+    out = F.lit(0.0)
+    for n, w in enumerate(worth):
+        if w:
+            out = out + F.coalesce(F.get(pmf, F.lit(n)), F.lit(0.0)) * w
+    return F.when(pmf.isNotNull(), out)
 
 
 def thinned(pmf: Column, exposure: Column, most: int) -> Column:
-    """The same list when each event is kept with probability ``exposure``: a sum over totals of binomial terms."""
-    fact = lambda n: F.factorial(n).cast("double")
-    term = lambda n, k: F.element_at(pmf, n + 1) * fact(n) / (fact(k) * fact(n - k)) * F.pow(exposure, k) * F.pow(1 - exposure, n - k)
-    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.aggregate(F.sequence(k, F.lit(most)), F.lit(0.0), lambda a, n: a + term(n, k)))
+    """The list of probabilities when each event is kept with a row's own ``exposure``: a sum over totals of binomial terms."""
+    kept = lambda n, k: F.get(pmf, F.lit(n)) * float(math.comb(n, k)) * F.pow(exposure, F.lit(k)) * F.pow(1 - exposure, F.lit(n - k))
+    return F.array(*[sum((kept(n, k) for n in range(k + 1, most + 1)), kept(k, k)) for k in range(most + 1)])
 
 
 def step_scale(minutes: Column, edges: Sequence[tuple[float, float]] | None) -> Column:
@@ -107,13 +128,14 @@ def expected_points(df: DataFrame, rules: DataFrame, pool: Mapping[str, float],
     start, cameo = F.col("p_start"), F.col("p_cameo")
     xs, xc = float(pool["start"]) / FULL_GAME, float(pool["cameo"]) / FULL_GAME
     exposure = cameo * xc + start * xs
-    saves = lambda x: expected_steps(count_pmf(F.col("saves_rate") * max(x, 1e-9), 20), SAVES_STEP)
+    saves = lambda x: expected_count_steps(F.col("saves_rate") * max(x, 1e-9), SAVES_STEP)
+    conceded = lambda x: expected_steps(F.col(pmf), CONCEDED_STEP, pmf_most, x)
     parts = {
         "ev_minutes": start * r("long_play") + cameo * r("short_play"),
         "ev_goals": r("goals") * F.col("goals_rate") * exposure,
         "ev_assists": r("assists") * F.col("assists_rate") * exposure,
         "ev_clean_sheet": r("clean_sheets") * F.element_at(pmf, 1) * start,
-        "ev_conceded": r("goals_conceded") * (start * expected_steps(F.col(pmf), CONCEDED_STEP) + cameo * expected_steps(thinned(F.col(pmf), F.lit(xc), pmf_most), CONCEDED_STEP)),
+        "ev_conceded": r("goals_conceded") * (start * conceded(1.0) + cameo * conceded(xc)),
         "ev_saves": r("saves") * (start * saves(xs) + cameo * saves(xc)),
         "ev_dc": r("dc_award") * F.col("p_dc") * (start * float(pool["dc_start"]) + cameo * float(pool["dc_cameo"])),
         "ev_cards_bonus": (r("yellow_cards") * F.col("p_yellow") + r("red_cards") * F.col("p_red")) * (start + cameo) + r("bonus") * (start * F.col("bonus_if_start") + cameo * F.col("bonus_if_cameo")),

@@ -49,11 +49,11 @@ def a23_recovered_thresholds(spark, d):
     return S.recovered_thresholds(recorded, rules).select("position", "threshold", "quiet_to", "overlap")
 
 
-@query("""WITH {f}, k AS (SELECT unnest(range(0, 11)) AS k), g AS (SELECT DISTINCT round(points / 40, 1) AS lam FROM f WHERE points < 160),
+@query("""WITH {f}, k AS (SELECT unnest(range(0, 11)) AS k), g AS (SELECT DISTINCT round(points / 40, 1) AS lam FROM f),
 q AS (SELECT lam, k, exp(-lam) * pow(lam, k) / factorial(k::INTEGER) AS a, exp(lgamma(k + 4) - lgamma(4) - lgamma(k + 1)) * pow(4 / (4 + lam), 4) * pow(lam / (4 + lam), k) AS b FROM g, k)
 SELECT lam, k::INTEGER AS k, round(a / sum(a) OVER (PARTITION BY lam), 6) AS poisson, round(b / sum(b) OVER (PARTITION BY lam), 6) AS negbin FROM q""")
 def p24_count_pmf(spark, d):
-    g = fact(spark, d).where("points < 160").select(F.round(F.col("points") / 40, 1).alias("lam")).distinct()
+    g = fact(spark, d).select(F.round(F.col("points") / 40, 1).alias("lam")).distinct()
     both = g.select("lam", S.count_pmf(F.col("lam")).alias("a"), S.count_pmf(F.col("lam"), alpha=0.25).alias("b"))
     return both.select("lam", F.posexplode(F.arrays_zip("a", "b")).alias("k", "x")).select("lam", "k", r6("x.a").alias("poisson"), r6("x.b").alias("negbin"))
 

@@ -38,7 +38,11 @@ def test_pmf_and_thinning(spark):
     for r in df.select(S.count_pmf(F.col("lam")).alias("p"), S.count_pmf(F.col("lam"), alpha=0.3).alias("q"), S.thinned(S.count_pmf(F.col("lam")), F.lit(0.3), 10).alias("t")).collect():
         assert abs(sum(r.p) - 1) < 1e-12 and abs(sum(r.q) - 1) < 1e-12 and abs(sum(r.t) - 1) < 1e-9
     two = spark.createDataFrame([([0.0, 0.0, 1.0],)], "p array<double>")
-    assert abs(two.select(S.expected_steps(S.thinned(F.col("p"), F.lit(0.3), 2), 2).alias("x")).first().x - 0.09) < 1e-12
+    assert abs(two.select(S.expected_steps(S.thinned(F.col("p"), F.lit(0.3), 2), 2, 2).alias("x")).first().x - 0.09) < 1e-12
+    assert abs(two.select(S.expected_steps(F.col("p"), 2, 2, 0.3).alias("x")).first().x - 0.09) < 1e-12
+    for alpha in (None, 0.3):
+        listed = df.select(S.expected_steps(S.count_pmf(F.col("lam"), 20, alpha), 3, 20).alias("x"), S.expected_count_steps(F.col("lam"), 3, 20, alpha).alias("y"))
+        assert all(abs(r.x - r.y) < 1e-12 for r in listed.collect())
 
 
 def test_doubles_add_before_quantiles(spark):
