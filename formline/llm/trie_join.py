@@ -4,9 +4,10 @@ A text's set holds 64-bit hashes of its distinct word n-grams, in one global ord
 sample shows to be in very many texts last, otherwise by hash.  The order only steers the work; any
 order gives the same links.
 
-1. Texts with equal sets are one class; its smallest id stands for it.
-2. Classes that agree in a band of min-hashes meet that band's hub (its largest class, or another
-   chosen by hash); the pairs are verified and most classes of a group of copies are connected.
+1. Texts with equal sets are one class.  A task sends on the set's marks of only the first text of a
+   class that it meets; of these, one per class goes on.
+2. Classes that agree in a band of min-hashes meet that band's hub (the one that most tasks met, or
+   another chosen by hash); the pairs are verified and most classes of a group of copies are connected.
 3. The exact step: any two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 elements.
    Classes meet by these elements; pairs that are already connected are skipped (only components are
    asked for), pairs that lengths, places or parity bitmaps rule out too, and all others are verified.
@@ -25,18 +26,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from formline.llm.common import Cache, map_batches, narrow, real_id, unique_ids, written
 from formline.llm.components import connected
 
-BANDS = 10
+BANDS = 5
 BLOCK = 256
 #: Groups of up to so many members give their pairs at once; larger ones are compared by bitmap, in blocks of GROUP_BLOCK.
 SMALL_GROUP, GROUP_BLOCK = 4, 2048
 #: One text in HOT_SAMPLE is looked at for the order; at most HOT_KEPT n-grams are put last (a megabyte).
-HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 16, 3, 131_072
-#: Up to so many ids a list of wanted documents is broadcast (some megabytes); a longer one is joined by shuffling.
-BROADCAST_IDS = 400_000
+HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 32, 3, 131_072
+#: A list of wanted documents with up to so many places to go is broadcast (some megabytes); a longer one is joined by shuffling.
+BROADCAST_PLACES = 200_000
+#: Classes that a task remembers having met.
+MET = 1_000_000
 _WORDS = Cache(xxhash.xxh3_64_intdigest, 300_000)
 _STEP = np.random.default_rng(41).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -161,23 +166,63 @@ def _hot(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(np.array([r.s for r in top.select("s").collect()], np.int64).view(np.uint64))  # at most HOT_KEPT
 
 
+_MARKS = "bands array<long>, parity binary, prefix binary"
+
+
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Table of doc_id, given_id, n_shingles, digest of the set, its bands, and its prefix in the global order."""
+    """Table of doc_id, given_id, n_shingles, digest of the set; for one text of each class also how many tasks met it
+    (``copies``), its bands, its parity bitmap and its prefix in the global order (48 bits of each n-gram)."""
     hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, n))
 
-    def run(x):
-        out = {"doc_id": x["doc_id"], "given_id": x["given_id"], "n_shingles": [], "digest": [], "bands": [], "parity": [], "prefix": []}
-        for text in x["text"]:
-            s = shingles(text, n)
-            out["n_shingles"].append(len(s))
-            out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            out["bands"].append(bands(s))
-            out["parity"].append(parity(s))
-            late = hot.value[np.minimum(np.searchsorted(hot.value, s), len(hot.value) - 1)] == s if len(hot.value) else np.zeros(len(s), bool)
-            out["prefix"].append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent) if len(s) else 0].tobytes())
-        return out
+    ddl = [f"doc_id long, given_id long, n_shingles long, digest binary, {c}{_MARKS}" for c in ("", "copies long, ")]
+    kinds = [to_arrow_schema(StructType.fromDDL(d)) for d in ddl]
 
-    return written(map_batches(docs.select("doc_id", "given_id", "text"), run, "doc_id long, given_id long, n_shingles long, digest binary, bands array<long>, parity binary, prefix binary"), "sets")
+    def marks(s):
+        late = hot.value[np.minimum(np.searchsorted(hot.value, s), len(hot.value) - 1)] == s if len(hot.value) else np.zeros(len(s), bool)
+        prefix = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)] >> np.uint64(16)
+        return bands(s), parity(s), np.ascontiguousarray(prefix.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+    def run(batches):
+        met = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = {"doc_id": part.column(0).to_pylist(), "given_id": part.column(1).to_pylist(), "n_shingles": [], "digest": [], "bands": [], "parity": [], "prefix": []}
+                for text in part.column(2).to_pylist():
+                    s = shingles(text, n)
+                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    new = len(s) > 0 and digest not in met
+                    for name, value in zip(("n_shingles", "digest", "bands", "parity", "prefix"), (len(s), digest, *(marks(s) if new else (None, None, None))), strict=True):
+                        out[name].append(value)
+                    if new:
+                        if len(met) >= MET:
+                            met.clear()
+                        met.add(digest)
+                yield pa.RecordBatch.from_pydict(out, schema=kinds[0])
+
+    def one_of_each(batches):
+        """Rows by digest: the first with marks keeps them and learns how many there are; it is held until its class ends."""
+        held = None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["prefix"] is None:
+                    rows.append(r)
+                elif held and held["digest"] == r["digest"]:
+                    held["copies"] += 1
+                    rows.append(r | {"bands": None, "parity": None, "prefix": None})
+                else:
+                    rows += [held] if held else []
+                    held = r | {"copies": 1}
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds[1])
+        yield pa.RecordBatch.from_pylist([held] if held else [], schema=kinds[1])
+
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    made = docs.select("doc_id", "given_id", "text").mapInArrow(run, ddl[0])
+    key = F.when(F.col("prefix").isNotNull(), F.col("digest")).otherwise(F.col("doc_id").cast("string").cast("binary"))  # what is only listed goes anywhere
+    sorted_ = made.repartition(key).sortWithinPartitions("digest", "doc_id")
+    return written(sorted_.mapInArrow(one_of_each, ddl[1]), "sets")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -187,7 +232,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     hubs = blocks.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
     members = pairs.join(blocks, "hub").select(F.col("member").alias("doc_id"), "hub", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"))
     goes = written(hubs.unionByName(members).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "block", "kind")).alias("to")), "sends")
-    wanted = F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes
+    wanted = F.broadcast(goes) if (goes.agg(F.sum(F.size("to") + 1)).first()[0] or 0) <= BROADCAST_PLACES else goes
 
     def send(x):
         out = {"hub": [], "block": [], "kind": [], "doc_id": [], "s": []}
@@ -241,7 +286,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(batches, percent: int):
-    """Postings (token, doc_id, comp, n, pos) sorted by token, of tokens in several components: the pairs of a
+    """Postings (token, doc_id, comp, n << 32 | pos) sorted by token, of tokens in several components: the pairs of a
     small group that can still be linked, the members of a larger one (which go on to ``_large``)."""
     kinds = pa.schema([("hub", pa.int64()), ("member", pa.int64()), ("token", pa.int64()), ("size", pa.int32())])
     held = None
@@ -271,7 +316,8 @@ def _candidates(batches, percent: int):
         ], schema=kinds)
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        token, doc, comp, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        cols = [token, doc, comp, at >> 32, at & 0xFFFFFFFF]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if not len(cols[0]):
@@ -341,10 +387,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = unique_ids(narrow(df, id_col, text_col))
     sets = _sets(docs, n, percent)
-    some = sets.where("n_shingles > 0")
-    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    firsts = sets.join(classes.select("doc_id", "copies"), "doc_id").select("doc_id", "copies", "n_shingles", "bands", "parity", "prefix")
-    firsts = written(firsts, "firsts")
+    firsts = sets.where("prefix is not null")  # one text of each class
 
     banded = firsts.select("doc_id", "n_shingles", "copies", F.posexplode("bands").alias("k", "band"))
     rank = F.when(F.col("k") % 2 == 0, F.struct(F.col("copies").cast("long").alias("x"), (-F.col("doc_id")).alias("y"))).otherwise(
@@ -358,27 +401,34 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labelled = firsts.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp"), "parity", "prefix")
 
     def post(x):
-        sizes = [len(p) // 8 for p in x["prefix"]]
-        return {
-            "token": np.frombuffer(b"".join(x["prefix"]), np.int64), "doc_id": np.repeat(np.array(x["doc_id"], np.int64), sizes), "comp": np.repeat(np.array(x["comp"], np.int64), sizes),
-            "n": np.repeat(np.array(x["n_shingles"], np.int64), sizes), "pos": np.concatenate([np.arange(k) for k in sizes]).astype(np.int64),
-        }
-
-    postings = map_batches(labelled.select("doc_id", "n_shingles", "comp", "prefix"), post, "token long, doc_id long, comp long, n long, pos long")
+        sizes = [len(p) // 6 for p in x["prefix"]]
+        wide = np.zeros((sum(sizes), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(x["prefix"]), np.uint8).reshape(-1, 6)
+        each = lambda name: np.repeat(np.array(x[name], np.int64), sizes)
+        pos = np.concatenate([np.arange(k) for k in sizes]).astype(np.int64)
+        return {"token": wide.view("<i8").ravel(), "doc_id": each("doc_id"), "comp": each("comp"), "at": each("n_shingles") << 32 | pos}
+
+    postings = map_batches(labelled.select("doc_id", "n_shingles", "comp", "prefix"), post, "token long, doc_id long, comp long, at long")
     found = written(postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _candidates(b, percent), "hub long, member long, token long, size int"), "candidates")
     small = _possible(found.where("size = 0").select("hub", "member").distinct(), firsts, percent)
     large = _large(found.where("size > 0").select(F.col("hub").alias("doc_id"), "token", "size"), labelled, percent)
     more = verified(docs, small.union(large).distinct(), n, percent)
     if not more.isEmpty():
         groups = connected(links.union(more))
-    return _answer(sets, classes, groups)
+    return _answer(sets, groups)
 
 
-def _answer(sets: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Component of each document: its class's, else its class's smallest id, else its own; as ids were given."""
-    own = classes.select("digest", F.col("doc_id").alias("first"))
+def _answer(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each document with its component's smallest id, as ids were given: components of classes, named after all their members."""
+    shown = F.max(F.when(F.col("prefix").isNotNull(), F.col("doc_id"))).alias("shown")
+    classes = sets.where("n_shingles > 0").groupBy("digest").agg(shown, F.min("doc_id").alias("first"))
+    classes = classes.join(groups.select(F.col("id").alias("shown"), "comp"), "shown", "left").select("digest", "first", F.coalesce("comp", "shown").alias("comp"))
+    named = written(classes, "classes")
+    names = named.groupBy("comp").agg(F.min("first").alias("name"))
+    own = named.join(names, "comp").select("digest", "name")
     rows = sets.select("doc_id", "given_id", "n_shingles", "digest").join(own, "digest", "left")
-    rows = rows.join(groups.select(F.col("id").alias("first"), "comp"), "first", "left")
-    rows = rows.select("doc_id", "given_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "first")).otherwise(F.col("doc_id")).alias("comp"))
-    names = sets.select(F.col("doc_id").alias("comp"), F.col("given_id").alias("comp_given")).distinct()
-    return rows.join(names, "comp").select(real_id("given_id").alias("doc_id"), "n_shingles", real_id("comp_given").alias("component_id"))
+    rows = rows.select("given_id", "n_shingles", F.coalesce("name", "doc_id").alias("name"))
+    given = sets.where("doc_id != given_id").select(F.col("doc_id").alias("name"), F.col("given_id").alias("name_given")).distinct()
+    if not given.isEmpty():
+        rows = rows.join(given, "name", "left").withColumn("name", F.coalesce("name_given", "name"))
+    return rows.select(real_id("given_id").alias("doc_id"), "n_shingles", real_id("name").alias("component_id"))
