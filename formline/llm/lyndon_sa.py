@@ -4,18 +4,18 @@
 prefix, the groups are refined in descending order along previous-smaller pointers, and a last
 sweep along the same pointers emits each group's order.
 
-Spark's part is to bring together what can be equal.  Every window of 100 bytes holds at least one
-anchor (a 32-byte string whose hash is the smallest of the window's), and equal windows hold equal
-anchors, so only occurrences of one anchor need to meet:
-
-1. Texts are read once.  Of occurrences of an anchor with the same surroundings (all 100-byte
-   windows around it), a task sends on only the first; the others are known repeats at once, so a
-   passage in a third of all rows leaves each batch once.
-2. Occurrences meet by anchor in sorted streams: again later ones with the same surroundings are
-   repeats.  Anchors with one kind of surroundings are done.
-3. The rest, edges of edits and of passages, fetch their bytes and meet again by anchor and the 34
-   bytes left or right of it; suffix arrays over these bytes find the equal windows, and the
-   earliest of each keeps.
+Spark's part is to bring together what can be equal.  Every window of 100 bytes belongs to one
+anchor, the 32-byte string in it whose hash is smallest (the first such).  Equal windows belong to
+equal anchors, so only occurrences of one anchor need to meet, each with the run of windows that
+belong to it (its fragment):
+
+1. Texts are read once.  Of occurrences of an anchor with the same fragment a task sends on only the
+   first; the others are known repeats at once, so a passage in a third of all rows leaves each batch once.
+2. Occurrences meet by anchor in sorted streams: again later ones with the same fragment are
+   repeats.  Anchors with one kind of fragment are done.
+3. The rest, edges of edits and of passages, fetch their bytes and meet again by anchor.  Cut to what
+   another fragment shares, with the anchor itself as one symbol, they go into suffix arrays, which
+   find the equal windows; the earliest of each keeps.
 4. An anchor with more than HOT such rows is dealt over salts and cut into blocks: each block finds
    its own repeats and names the earliest place of each of its windows, and these meet by window.
 """
@@ -30,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formline.llm.common import map_batches, narrow, real_id, unique_ids, written
+from formline.llm.rolling import VALUE, mixed, powers, ragged
 
 LENGTH = 100
 ANCHOR = 32
-SIDE = (LENGTH - ANCHOR) // 2
-#: Suffix arrays are built over blocks of about so many bytes; only groups of anchors with over HOT rows are cut.
+#: Symbols of a window whose anchor is one symbol.
+SYMBOLS = LENGTH - ANCHOR + 1
+#: Texts are joined, and very long ones cut, to about so many bytes.
+PIECE = 1 << 18
+#: Suffix arrays are built over blocks of about so many symbols; only groups of anchors with over HOT rows are cut.
 BLOCK = 32_768
 HOT = 4096
 #: So many hot anchors are a few megabytes.
@@ -132,31 +136,6 @@ def suffix_array(data: list[int]) -> list[int]:
 
 # -- anchors -------------------------------------------------------------------------------------
 
-_RNG = np.random.default_rng(20240607)
-_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
-        m = 1 << n.bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p, step, have = np.empty(m, np.uint64), base, 1
-            p[0] = 1
-            while have < m:
-                p[have : 2 * have] = p[:have] * np.uint64(step)
-                step, have = step * step % 2**64, 2 * have
-            _POWERS[k] = p
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
 
 def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     """best over each run of w values."""
@@ -167,24 +146,46 @@ def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     return best(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, anchor hashes, hashes of the surroundings) of one text's bytes."""
-    n = len(raw)
-    if n < LENGTH:
-        none = np.zeros(0, np.uint64)
-        return none.astype(np.int64), none, none
-    b = np.frombuffer(raw, np.uint8)
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[b] * power[:n], out=total[1:])
-    h = _mixed((total[ANCHOR:] - total[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
-    w = LENGTH - ANCHOR + 1
-    least = _sliding(h, w, np.minimum)
-    pad = np.zeros(w - 1, np.uint64)
-    at = (_sliding(np.concatenate([pad, least, pad]), w, np.maximum) == h).nonzero()[0]
-    left, right = np.maximum(at - (LENGTH - ANCHOR), 0), np.minimum(at + LENGTH, n)
-    around = _mixed((total[right] - total[left]) * inverse[left] + (at - left).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (right - left).astype(np.uint64))
-    return at, h[at], around
+def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, place of the anchor in it, anchor hash, fragment hash) of all fragments, as arrays.
+
+    A fragment's ``windows`` windows begin at ``start`` and the places after it.  Long texts are cut
+    into overlapping pieces of about PIECE bytes, which may cut a run of windows in two.
+    """
+    found, group, size = [], [], 0
+    for i, raw in enumerate(texts):
+        for a in range(0, max(len(raw) - LENGTH + 1, 0), PIECE):
+            part = raw[a : a + PIECE + LENGTH - 1]
+            group.append((i, a, part))
+            size += len(part)
+            if size >= PIECE:
+                found.append(_fragments(group))
+                group, size = [], 0
+    if group:
+        found.append(_fragments(group))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (*(np.zeros(0, np.int64),) * 4, *(np.zeros(0, np.uint64),) * 2)
+
+
+def _fragments(group: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    size = np.array([len(p) for _, _, p in group])
+    begin = np.cumsum(size) - size
+    b = np.frombuffer(b"".join([p for _, _, p in group]), np.uint8)
+    power, inverse = powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(VALUE[b] * power[: len(b)], out=total[1:])
+    h = mixed((total[ANCHOR:] - total[:-ANCHOR]) * inverse[: len(b) - ANCHOR + 1])
+    low = np.uint64((1 << 24) - 1)  # hash first, then the place: the smallest is the first of the smallest hashes
+    least = _sliding((h & ~low) | np.arange(len(h), dtype=np.uint64), SYMBOLS, np.minimum)
+    count = size - LENGTH + 1
+    start = ragged(begin, count)  # of every window that lies in one piece
+    owner = np.repeat(np.arange(len(group)), count)
+    anchor = (least[start] & low).astype(np.int64)
+    first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]).nonzero()[0]
+    n = np.diff(np.append(first, len(start)))
+    lo, at, own = start[first], anchor[first], owner[first]
+    around = (total[lo + n + LENGTH - 1] - total[lo]) * inverse[lo] + (at - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + n.astype(np.uint64)
+    text, offset = (np.array([g[k] for g in group], np.int64) for k in (0, 1))
+    return text[own], lo - begin[own] + offset[own], n, at - lo, h[at], mixed(around)
 
 
 def _first_and_repeats(anchor, around, doc, pos):
@@ -214,89 +215,88 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeated_windows(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """(doc, start, end) spans covered by windows that also lie earlier in ``rows`` of (doc, start, bytes)."""
-    d, p, again, _, _ = _windows(rows)
-    return list(zip(*(x.tolist() for x in _merged(d[again], p[again], p[again] + LENGTH)), strict=True))
-
-
-def _windows(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """Of every window of ``rows``: document, place, whether it repeats an earlier one, and where it is in the symbols; and these."""
+def _windows(rows: list[tuple[int, int, bytes, int, int]]) -> tuple[np.ndarray, ...]:
+    """Of every window of ``rows`` of (doc, start, bytes, place of the anchor, key): document, place, whether it repeats an
+    earlier one of the same key, and the row it is from; by suffix array, in which a key's anchor is one symbol."""
     symbols: list[int] = []
-    for _, _, raw in rows:
-        symbols += [x + 1 for x in raw]
+    keys: dict[int, int] = {}
+    for _, _, raw, core, key in rows:
+        symbols += [x + 1 for x in raw[:core]]
+        symbols.append(257 + keys.setdefault(key, len(keys)))
+        symbols += [x + 1 for x in raw[core + ANCHOR :]]
         symbols.append(0)
     flat = np.array(symbols, np.int32)
-    docs, places, legal = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
-    at = 0
-    for doc, start, raw in rows:
-        n = len(raw)
-        docs[at : at + n], places[at : at + n] = doc, np.arange(start, start + n)
-        legal[at : at + max(0, n - LENGTH + 1)] = True
-        at += n + 1
+    size = np.array([len(r[2]) - ANCHOR + 2 for r in rows])
+    begin = np.cumsum(size) - size
+    place, row = np.arange(len(flat)) - np.repeat(begin, size), np.repeat(np.arange(len(rows)), size)
+    doc, start = (np.array([r[i] for r in rows], np.int64)[row] for i in (0, 1))
     order = np.array(suffix_array(symbols), np.int64)
-    order = order[legal[order]]
+    order = order[place[order] + SYMBOLS < size[row[order]]]  # every such window holds its anchor
     if not len(order):
-        return docs[:0], places[:0], legal[:0], order, flat
-    view = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
-    same = np.concatenate([(view[order[i : i + 4096]] == view[order[i + 1 : i + 4097]][: len(order[i : i + 4096])]).all(1) if i + 4097 <= len(order) else (view[order[i:-1]] == view[order[i + 1 :]]).all(1) for i in range(0, len(order) - 1, 4096)] or [np.zeros(0, bool)])
-    run = np.concatenate([[0], np.cumsum(~same)])
-    by = np.lexsort((places[order], docs[order], run))
-    r, d, p = run[by], docs[order][by], places[order][by]
+        return doc[:0], doc[:0], np.zeros(0, bool), doc[:0]
+    view = np.lib.stride_tricks.sliding_window_view(flat, SYMBOLS)
+    same = [(view[order[i : i + 4096]][: len(order) - 1 - i] == view[order[i + 1 : i + 4097]]).all(1) for i in range(0, len(order) - 1, 4096)]
+    run = np.concatenate([[0], np.cumsum(~np.concatenate(same))]) if same else np.zeros(1, np.int64)
+    d, p = doc[order], start[order] + place[order]
+    by = np.lexsort((p, d, run))
+    r, d, p = run[by], d[by], p[by]
     new = np.ones(len(r), bool)
     new[1:] = r[1:] != r[:-1]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-    again = ~new & ((d != d[lead]) | (p != p[lead]))
-    return d, p, again, order[by], flat
+    return d, p, ~new & ((d != d[lead]) | (p != p[lead])), row[order][by]
+
+
+def repeated_windows(rows: list[tuple[int, int, bytes, int, int]]) -> list[tuple[int, int, int]]:
+    """(doc, start, end) spans covered by windows that also lie earlier in ``rows``."""
+    d, p, again, _ = _windows(rows)
+    return list(zip(*(x.tolist() for x in _merged(d[again], p[again], p[again] + LENGTH)), strict=True))
 
 
 # -- jobs ----------------------------------------------------------------------------------------
 
-_KINDS = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("stop", pa.int64())])
-_SCHEMA = "anchor long, around long, doc_id long, pos long, stop long"
+#: ``shape`` is 256 times the anchor's place in the fragment plus the number of windows; ``stop`` is -1 or ends a finished interval.
+_NAMES = ("anchor", "around", "doc_id", "pos", "shape", "stop")
+_KINDS = pa.schema([(n, pa.int64()) for n in _NAMES])
+_SCHEMA = ", ".join(f"{n} long" for n in _NAMES)
 
 
 def _occurrences(batches):
-    """Anchor rows (stop -1) and finished intervals (stop set), one batch of texts at a time."""
+    """Fragment rows (stop -1) and finished intervals (stop set), one batch of texts at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            found = [(i, *anchors(t.encode("utf-8", "surrogatepass"))) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-            found = [x for x in found if len(x[1])]
-            if not found:
+            text, pos, n, core, anchor, around = fragments([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+            if not len(text):
                 continue
-            doc = np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in found])
-            pos, anchor, around = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3))
-            anchor, around = anchor.view(np.int64), around.view(np.int64)
+            doc, anchor, around, shape = part.column(0).to_numpy()[text], anchor.view(np.int64), around.view(np.int64), 256 * core + n
             order, new, again = _first_and_repeats(anchor, around, doc, pos)
             keep, rep = order[new], order[again]
-            d, s, e = _merged(doc[rep], np.maximum(pos[rep] - (LENGTH - ANCHOR), 0), pos[rep] + LENGTH)
-            spread = _mixed((d ^ (s << 40)).view(np.uint64)).view(np.int64) if len(d) else d
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([anchor[keep], spread])), pa.array(np.concatenate([around[keep], np.zeros(len(d), np.int64)])),
-                pa.array(np.concatenate([doc[keep], d])), pa.array(np.concatenate([pos[keep], s])), pa.array(np.concatenate([np.full(len(keep), -1), e])),
-            ], schema=_KINDS)
+            d, s, e = _merged(doc[rep], pos[rep], pos[rep] + n[rep] + LENGTH - 1)
+            spread = mixed((d ^ (s << 40)).view(np.uint64)).view(np.int64)
+            none = np.zeros(len(d), np.int64)
+            columns = ((anchor[keep], spread), (around[keep], none), (doc[keep], d), (pos[keep], s), (shape[keep], none), (np.full(len(keep), -1), e))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], schema=_KINDS)
 
 
 def _meet(batches):
-    """Sorted anchor rows: later ones with known surroundings become intervals; anchors with several kinds stay as rows."""
-    last = None  # the latest first-of-its-kind: (anchor, around, doc, pos, told)
+    """Sorted fragment rows: later ones with a known fragment become intervals; anchors with several kinds stay as rows."""
+    last = None  # the latest first-of-its-kind: (anchor, around, doc, pos, shape, told)
     for batch in batches:
-        a, c, d, p, z = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        a, c, d, p, w, z = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         done = z >= 0
-        outs = [(a[done], c[done], d[done], p[done], z[done])]
-        a, c, d, p = a[~done], c[~done], d[~done], p[~done]
+        outs = [(a[done], c[done], d[done], p[done], w[done], z[done])]
+        a, c, d, p, w = (x[~done] for x in (a, c, d, p, w))
         if len(a):
             told = False
             if last is not None:
-                told = last[4]
-                a, c, d, p = (np.concatenate([[x], y]) for x, y in zip(last[:4], (a, c, d, p), strict=True))
+                told = last[5]
+                a, c, d, p, w = (np.concatenate([[x], y]) for x, y in zip(last[:5], (a, c, d, p, w), strict=True))
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             again = ~new & ((d != d[lead]) | (p != p[lead]))
             again[0] = False
-            outs.append((a[again], c[again], d[again], np.maximum(p[again] - (LENGTH - ANCHOR), 0), p[again] + LENGTH))
+            outs.append((a[again], c[again], d[again], p[again], w[again], p[again] + w[again] % 256 + LENGTH - 1))
             heads = new.nonzero()[0]
             more = a[heads][1:] == a[heads][:-1]
             open_ = np.zeros(len(heads), bool)
@@ -306,10 +306,10 @@ def _meet(batches):
             if told:
                 open_[0] = False
             k = heads[open_]
-            outs.append((a[k], c[k], d[k], p[k], np.full(len(k), -1)))
+            outs.append((a[k], c[k], d[k], p[k], w[k], np.full(len(k), -1)))
             h = heads[-1]
-            last = (a[h], c[h], d[h], p[h], final)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in outs]).astype(np.int64)) for i in range(5)], schema=_KINDS)
+            last = (a[h], c[h], d[h], p[h], w[h], final)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in outs]).astype(np.int64)) for i in range(6)], schema=_KINDS)
 
 
 def _agreement(parts: list[bytes]) -> list[int]:
@@ -329,30 +329,27 @@ def _agreement(parts: list[bytes]) -> list[int]:
     return out
 
 
-def _shared_parts(group: dict[bytes, tuple[int, int, int]]) -> list[tuple[int, int, bytes]]:
-    """(doc, start, bytes) of each different string, cut to what can be shared: outside it no window repeats.
+def _shared_parts(key: int, group: dict[tuple[bytes, int], tuple[int, int]]) -> list[tuple[int, int, bytes, int, int]]:
+    """(doc, start, bytes, place of the anchor, key) of each different fragment, cut to what can be shared: outside it no window repeats.
 
-    All hold the same core (anchor and near side); a string whose longest agreements left and right of
-    the core leave less than a window takes no part.
+    All hold the same anchor; a fragment whose longest agreements left and right of it leave less than a window takes no part.
     """
-    width = ANCHOR + SIDE
     raws = list(group)
-    cores = [group[r][2] for r in raws]
-    left = _agreement([r[:c][::-1] for r, c in zip(raws, cores, strict=True)])
-    right = _agreement([r[c + width :] for r, c in zip(raws, cores, strict=True)])
+    left = _agreement([r[:c][::-1] for r, c in raws])
+    right = _agreement([r[c + ANCHOR :] for r, c in raws])
     out = []
-    for raw, core, a, z in zip(raws, cores, left, right, strict=True):
-        if a + width + z >= LENGTH:
-            doc, start, _ = group[raw]
-            out.append((doc, start + core - a, raw[core - a : core + width + z]))
+    for (raw, core), a, z in zip(raws, left, right, strict=True):
+        if a + ANCHOR + z >= LENGTH:
+            doc, start = group[raw, core]
+            out.append((doc, start + core - a, raw[core - a : core + ANCHOR + z], a, key))
     return out
 
 
 def _suffix_blocks(batches):
     """Rows of (key, salt, doc, start, core, bytes) sorted by all but the bytes: repeated windows within every key.
 
-    Of equal byte strings under a key the first stays and the others are repeats as a whole; keys with
-    several different strings go into suffix arrays.  A key with a salt (0 or more) is only a part of
+    Of equal fragments under a key the first stays and the others are repeats as a whole; keys with
+    several different ones go into suffix arrays.  A key with a salt (0 or more) is only a part of
     its group and is cut at BLOCK: its blocks also give (doc, pos, -1, hash) of each window's earliest place.
     """
     kinds = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("stop", pa.int64()), ("window", pa.int64())])
@@ -362,18 +359,19 @@ def _suffix_blocks(batches):
         return pa.RecordBatch.from_arrays([*(pa.array([s[i] for s in spans], pa.int64()) for i in range(3)), pa.nulls(len(spans), pa.int64())], schema=kinds)
 
     def part_of_hot():
-        d, p, again, at, flat = _windows([(doc, start, raw) for raw, (doc, start, _) in group.items()])
-        raw = (flat - 1).astype(np.uint8).tobytes()
-        first = [int.from_bytes(hashlib.blake2b(raw[i : i + LENGTH], digest_size=8).digest(), "little", signed=True) for i in at[~again].tolist()]
+        whole = [(doc, start, raw, core, 0) for (raw, core), (doc, start) in group.items()]
+        d, p, again, row = _windows(whole)
+        first = [hashlib.blake2b(whole[r][2][q - whole[r][1] : q - whole[r][1] + LENGTH], digest_size=8).digest() for r, q in zip(row[~again].tolist(), p[~again].tolist(), strict=True)]
         yield rows(list(zip(*(x.tolist() for x in _merged(d[again], p[again], p[again] + LENGTH)), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(d[~again]), pa.array(p[~again]), pa.array(np.full(len(first), -1)), pa.array(first, pa.int64())], schema=kinds)
+        names = np.frombuffer(b"".join(first), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(d[~again]), pa.array(p[~again]), pa.array(np.full(len(first), -1)), pa.array(names, pa.int64())], schema=kinds)
 
     def close():
         nonlocal held, size
         if len(group) > 1:
-            parts = _shared_parts(group)
+            parts = _shared_parts(key[0], group)
             held += parts
-            size += sum(len(p[2]) for p in parts)
+            size += sum(len(p[2]) - ANCHOR + 2 for p in parts)
 
     for batch in batches:
         whole = []
@@ -387,8 +385,8 @@ def _suffix_blocks(batches):
                 if size >= BLOCK:
                     yield rows(repeated_windows(held))
                     held, size = [], 0
-            first = group.setdefault(raw, (doc, start, core))
-            if first[:2] != (doc, start):
+            first = group.setdefault((raw, core), (doc, start))
+            if first != (doc, start):
                 whole.append((doc, start, start + len(raw)))
             else:
                 hot_size += len(raw)
@@ -406,29 +404,21 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     met = written(docs.select("doc_id", "text").mapInArrow(_occurrences, _SCHEMA).repartition("anchor").sortWithinPartitions("anchor", "around", "doc_id", "pos").mapInArrow(_meet, _SCHEMA), "sa-met")
-    open_ = met.where("stop < 0").select("anchor", "doc_id", "pos")
+    open_ = met.where("stop < 0").select("anchor", "doc_id", "pos", "shape")
     hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)  # at most one in HOT rows
     hot = written(hot.select("anchor", F.ceil(F.col("n") / HOT).cast("long").alias("salts")), "sa-hot")
     dealt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(-1)).alias("salt")
-    open_ = open_.join(F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot, "anchor", "left").select("anchor", "doc_id", "pos", dealt)
-    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "salt")).alias("at"))  # at most a document's bytes
+    open_ = open_.join(F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot, "anchor", "left").select("anchor", "doc_id", "pos", "shape", dealt)
+    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "shape", "salt")).alias("at"))  # at most a document's bytes
 
     def surroundings(x):
         out = {"key": [], "salt": [], "doc_id": [], "start": [], "core": [], "part": []}
         for doc, text, at in zip(x["doc_id"], x["text"], x["at"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for row in at:
-                p = row["pos"]
-                sides = []
-                if p >= SIDE:
-                    sides.append((b"L", raw[p - SIDE : p], max(0, p - 2 * SIDE), p - SIDE, p + ANCHOR + SIDE))
-                if p + ANCHOR + SIDE <= len(raw):
-                    sides.append((b"R", raw[p + ANCHOR : p + ANCHOR + SIDE], max(0, p - SIDE), p, p + LENGTH))
-                for side, near, a, core, z in sides:
-                    if min(z, len(raw)) - a >= LENGTH:
-                        digest = hashlib.blake2b(side + row["anchor"].to_bytes(8, "little", signed=True) + near, digest_size=8).digest()
-                        for name, value in (("key", int.from_bytes(digest, "little", signed=True)), ("salt", row["salt"]), ("doc_id", doc), ("start", a), ("core", core - a), ("part", raw[a:z])):
-                            out[name].append(value)
+                core, n = divmod(row["shape"], 256)
+                for name, value in (("key", row["anchor"]), ("salt", row["salt"]), ("doc_id", doc), ("start", row["pos"]), ("core", core), ("part", raw[row["pos"] : row["pos"] + n + LENGTH - 1])):
+                    out[name].append(value)
         return out
 
     parts = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), surroundings, "key long, salt long, doc_id long, start long, core int, part binary")
