@@ -50,9 +50,12 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; where the session names none, a temporary one in local mode and an error elsewhere."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-formline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -67,24 +70,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def unique_ids(docs: DataFrame) -> DataFrame:
-    """The narrow input, with ids renumbered in the order of (id, text) where an id has several texts; other columns stay."""
+    """The narrow input, with ids renumbered in the order of (id, text) where an id has several texts; other columns stay.
+
+    The new ids count the rows of a range-partitioned, written sort, so an id with very many texts is spread too.
+    """
     several = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b")
     if several.isEmpty():
         return docs.withColumn("given_id", F.col("doc_id"))
-    order = docs.select("doc_id", "text").distinct().sort("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    keys = docs.sparkSession.createDataFrame(order, "given_id long, text string, doc_id long")
-    return docs.withColumnRenamed("doc_id", "given_id").join(keys, ["given_id", "text"]).select("doc_id", "text", "given_id", *[c for c in docs.columns if c not in ("doc_id", "text")])
-
-
-def sample_texts(docs: DataFrame, most: int) -> list[str]:
-    """Whole texts of the at most ``most`` documents of a narrow frame with the smallest id hash, in that order.
-
-    Ids are chosen first, so tasks send no texts but those of the sample.
-    """
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = docs.select("doc_id").orderBy(*order).limit(most).distinct()
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``most`` ids
-    return [r.text for r in picked.orderBy(*order, "text").limit(most).collect()]
+    same = {"_h": F.xxhash64("text"), "_n": F.length("text")}
+    order = docs.select("doc_id", "text").distinct().repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    keys = written(order.select(F.col("doc_id").alias("given_id"), *[c.alias(n) for n, c in same.items()], F.monotonically_increasing_id().alias("doc_id")), "ids")
+    found = docs.withColumnRenamed("doc_id", "given_id").withColumns(same).join(keys, ["given_id", "_h", "_n"])
+    return found.select("doc_id", "text", "given_id", *[c for c in docs.columns if c not in ("doc_id", "text")])
 
 
 class Cache(dict):

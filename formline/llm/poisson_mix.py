@@ -65,20 +65,26 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, total: float | N
         id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True, other_weight: float = 1.0) -> DataFrame:
     """Every input column plus ``mix_rate``, ``mix_count``, ``mix_copy`` (1..count) and ``mix_key`` (place in the global order).
 
-    Documents with count 0 leave.  Repeated rows have equal ids and so equal counts.  The rates, one
-    row per source, are written and counted: up to BROADCAST_SOURCES they are broadcast and no text
-    moves for the join; more are joined by (source, salt), so that a hot source is dealt over SALTS tasks.
+    Inside, input columns go by number, so no name of theirs can clash; an input column with one of
+    the four added names is replaced.  Documents with count 0 leave.  Repeated rows have equal ids and
+    so equal counts.  The rates, one row per source, are written and counted: up to BROADCAST_SOURCES
+    they are broadcast and no text moves for the join; more are joined by (source, salt), so that a hot
+    source is dealt over SALTS tasks.
     """
-    by = written(rates(df, weights, total, source_col, other_weight), "rates").select(F.col("mix_source").alias("_mix_source"), F.col("rate").alias("mix_rate"))
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    by = written(rates(df, weights, total, source_col, other_weight), "rates").select("mix_source", F.col("rate").alias("mix_rate"))
+    names = df.columns
+    rows = df.toDF(*[f"c{i}" for i in range(len(names))])
+    doc, source = (F.col(f"c{names.index(c)}") for c in (id_col, source_col))
+    named = F.coalesce(source.cast("string"), F.lit(""))
     if by.count() <= BROADCAST_SOURCES:
-        joined = df.join(F.broadcast(by), source == F.col("_mix_source")).drop("_mix_source")
+        joined = rows.join(F.broadcast(by), named == F.col("mix_source"))
     else:
-        salted = by.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
-        joined = df.join(salted, (source == F.col("_mix_source")) & (salt == F.col("_mix_salt"))).drop("_mix_source", "_mix_salt")
-    counted = joined.withColumn("mix_count", poisson_inverse(uniform(seed, F.col(id_col)), F.col("mix_rate")))
-    copies = F.posexplode(F.array_repeat(F.lit(1), F.col("mix_count"))).alias("mix_copy", "_mix_one")  # none where the count is 0
-    out = counted.select("*", copies).drop("_mix_one").withColumn("mix_copy", F.col("mix_copy") + 1)
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))
-    return out.orderBy("mix_key", id_col, "mix_copy") if shuffle else out
+        salted = by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, (named == F.col("mix_source")) & (F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int") == F.col("salt")))
+    counted = joined.withColumn("mix_count", poisson_inverse(uniform(seed, doc), F.col("mix_rate")))
+    out = counted.select("*", F.posexplode(F.array_repeat(F.lit(1), F.col("mix_count"))).alias("before", "one"))  # none where the count is 0
+    out = out.withColumn("mix_copy", F.col("before") + 1)
+    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(doc.cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))
+    out = out.orderBy("mix_key", doc, "mix_copy") if shuffle else out
+    added = ("mix_rate", "mix_count", "mix_copy", "mix_key")
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in added], *added)

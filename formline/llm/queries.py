@@ -48,7 +48,7 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH counts AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
-w AS (SELECT s, n, CASE WHEN s = 'src0' THEN 2.0 WHEN regexp_full_match(s, 'src([1-9]|1[0-9])') THEN 1.0 ELSE 0.0 END::DOUBLE AS w FROM counts),
+w AS (SELECT s, n, CASE WHEN s = 'src0' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM counts),
 rates AS (SELECT s, coalesce(w / nullif(sum(w) OVER (), 0), 0) * (sum(n) OVER ())::DOUBLE / n AS rate FROM w),
 u AS (SELECT d.doc_id, d.source, d.text, r.rate,
         (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '~')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
@@ -73,7 +73,28 @@ def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.apply(_docs(spark, sf_dir))
+    return host_rules.apply(_docs(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 9))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT i, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+tri AS (SELECT i, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM w, unnest(range(1, len(w) - 1)) r(p)),
+twice AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY i, g) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT i, count(DISTINCT p + k) AS n FROM twice, range(3) s(k) GROUP BY i),
+line AS (SELECT i, unnest(string_split(t, chr(10))) AS l FROM d),
+dup AS (SELECT i, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY i),
+m AS (SELECT d.i, doc_id, host, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+       coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d JOIN w USING (i) LEFT JOIN dup USING (i) LEFT JOIN rep USING (i)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT host, count(*) AS n_docs, sum(base_failed::INT) AS n_failed FROM f GROUP BY host),
+p AS (SELECT avg(n_failed / n_docs) AS mean, coalesce(var_samp(n_failed / n_docs), 0) AS v FROM h),
+k AS (SELECT mean, CASE WHEN v > 0 THEN greatest(mean * (1 - mean) / v - 1, 2) ELSE 2 END AS k FROM p),
+r AS (SELECT host, (n_failed + mean * k) / (n_docs + k) AS host_rate FROM h, k)
+SELECT doc_id, f.host, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       base_failed, round(host_rate, 9) AS host_rate, NOT base_failed AND host_rate <= 0.5 AS kept
+FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
+"""
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +113,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": OP6_SQL, "op9_host_rules": OP9_SQL}

@@ -148,6 +148,17 @@ def test_host_rules(docs, empty, texts):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert r.kept == (not r.base_failed and r.host_rate <= host_rules.MAX_HOST_RATE)
     assert {r.host for r in out} == {None, "src0", "src1", "src2"}
+    hosts = {}
+    for r in out:
+        n, bad = hosts.get(r.host, (0, 0))
+        hosts[r.host] = (n + 1, bad + r.base_failed)
+    rates = [bad / n for n, bad in hosts.values()]
+    mean = sum(rates) / len(rates)
+    spread = sum((x - mean) ** 2 for x in rates) / (len(rates) - 1)
+    strength = max(mean * (1 - mean) / spread - 1, 2.0) if spread else 2.0
+    for r in out:
+        n, bad = hosts[r.host]
+        assert math.isclose(r.host_rate, (bad + mean * strength) / (n + strength), rel_tol=1e-9)
     assert host_rules.apply(empty).count() == 0
 
 
@@ -397,6 +408,65 @@ def test_fingerprints(docs, empty):
     assert one.near_next == 1.0 and one.n_chars > 0
 
 
+def plain_tree(text):
+    """Chunks, paragraphs and sections by the rules in words, one byte at a time."""
+    raw, edges = text.encode(), [0]
+    for z in range(1, len(raw) + 1):
+        code = int.from_bytes(raw[z - 5 : z - 1], "big") if z >= 5 else 0
+        marked = z >= 6 - 1 and raw[z - 1] == 32 and z >= 5 and (code * 2654435761 % 2**32) >> 29 == 0
+        if raw[z - 1] == 10 or marked or (z <= merkle.HEAD and raw[z - 1] == 32) or z == len(raw) or z - edges[-1] == merkle.MAX_CHUNK:
+            edges.append(z)
+    h = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    chunks = [(h(raw[a:z]), a, z) for a, z in zip(edges, edges[1:])]
+
+    def grouped(mark, nodes, closes):
+        out, held = [], []
+        for i, n in enumerate(nodes):
+            held.append(n)
+            if closes(n) or i == len(nodes) - 1:
+                out.append((h(mark + b"".join(x[0] for x in held)), held[0][1], held[-1][2], held))
+                held = []
+        return out
+
+    paragraphs = grouped(b"P", chunks, lambda n: raw[n[2] - 1] == 10)
+    sections = grouped(b"S", paragraphs, lambda n: n[0][0] < 64)
+    return h(b"R" + b"".join(s[0] for s in sections)).hex(), sections, len(raw)
+
+
+def plain_likeness(a, b):
+    """Twice the bytes under shared branches over all bytes, opening only the branches that differ."""
+    (root_a, mine, size_a), (root_b, other, size_b) = plain_tree(a), plain_tree(b)
+    if root_a == root_b:
+        return 1.0
+    shared = 0
+    for _ in range(3):
+        left = Counter(n[0] for n in mine) & Counter(n[0] for n in other)
+        rest = []
+        for nodes, count in ((mine, Counter(left)), (other, Counter(left))):
+            keep = []
+            for n in nodes if nodes is mine else nodes[::-1]:
+                if count[n[0]] > 0:
+                    count[n[0]] -= 1
+                    shared += (n[2] - n[1]) * (nodes is mine)
+                else:
+                    keep.append(n)
+            rest.append(keep if nodes is mine else keep[::-1])
+        mine, other = ([c for n in r for c in (n[3] if len(n) > 3 else [])] for r in rest)
+    return 2.0 * shared / (size_a + size_b)
+
+
+def test_fingerprints_equal_a_plain_tree(docs):
+    rows = ordered(rows_of(docs))
+    plain_edit = lambda t, o: t[: len(t) - len(t) // 2] + o[: len(t) // 2]
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        other = rows[k - 1][1]
+        new = plain_edit(t, other)
+        want[(i, plain_tree(t)[0], plain_tree(new)[0], hashlib.sha256(new.encode()).hexdigest(), round(plain_likeness(t, new), 9), round(plain_likeness(t, other), 9))] += 1
+    got = Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in merkle.fingerprint_edits(docs).collect())
+    assert got == want
+
+
 def test_merkle_trees():
     a = "\n".join(long_text(20, i) for i in range(30))
     b = a.replace(a[400:460], "CHANGED HERE", 1)
@@ -435,6 +505,30 @@ def test_quality(spark, empty):
     assert quality_knn.score(empty, labels).count() == 0
 
 
+def test_vote_equals_a_plain_loop():
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    anchors, z = unit(rng.standard_normal((40, 8))).astype(np.float32), unit(rng.standard_normal((30, 8))).astype(np.float32)
+    anchors[20:30] = anchors[:10]  # ties: the smaller number is nearer
+    labels = rng.integers(0, 2, 40).astype(np.float32)
+    got = quality_knn.vote(z, anchors, labels, 7)
+    np.testing.assert_array_equal(got, np.concatenate([quality_knn.vote(z[i : i + 1], anchors, labels, 7) for i in range(30)]))
+    for row, value in zip(z, got, strict=True):
+        cos = [round(float(np.dot(row.astype(np.float64), a.astype(np.float64))) * 1e5) for a in anchors]
+        near = sorted(range(40), key=lambda i: (-cos[i], i))[:7]
+        weight = [(max(cos[i], 0) / 1e5) ** 8 + 1e-9 for i in near]
+        assert math.isclose(value, sum(w * labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight), rel_tol=2e-3)
+    assert quality_knn.vote(z, anchors[:3], labels[:3]).shape == (30,)
+
+
+def test_quality_of_odd_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 120, 3)] * 2 + [(None, 1)], "doc_id long, quality int")
+    out = quality_knn.score(docs, labels).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows_of(docs)) and all(0 <= r.score <= 1 for r in out)
+    assert len({(r.score, r.predicted) for r in out if r.doc_id == 18}) == 1  # the repeated row
+    assert quality_knn.score(docs, labels.limit(0)).count() == len(out) and quality_knn.score(empty, labels.limit(0)).count() == 0
+
+
 # -- 4: language model
 
 
@@ -633,6 +727,15 @@ def test_mix(spark, docs, empty, monkeypatch):
         assert r.a == r.b
 
 
+def test_mix_with_clashing_names(spark):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("t").alias("text"), *[F.lit("x").alias(c) for c in ("mix_rate", "mix_copy", "mix_count", "mix_key", "mix_source", "_mix_source", "_mix_one", "c0", "before", "salt")])
+    out = poisson_mix.mix(rows)
+    assert out.columns == ["doc_id", "source", "text", "mix_source", "_mix_source", "_mix_one", "c0", "before", "salt", "mix_rate", "mix_count", "mix_copy", "mix_key"]
+    plain = poisson_mix.mix(rows.select("doc_id", "source", "text"))
+    assert sorted(out.select("doc_id", "mix_copy", "mix_key").collect()) == sorted(plain.select("doc_id", "mix_copy", "mix_key").collect())
+    assert {r.c for r in out.select(F.concat("mix_source", "_mix_one", "c0", "before", "salt").alias("c")).collect()} == {"xxxxx"}
+
+
 def test_unlisted_sources_stay(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("src1"), F.lit("new"), F.lit(None), F.lit("out")), (F.col("id") % 4 + 1).cast("int")).alias("source"), F.lit("t").alias("text"))
     rate = {r.mix_source: r.rate for r in poisson_mix.rates(rows, {"src1": 1.0, "out": 0.0}).collect()}
@@ -644,8 +747,8 @@ def test_unlisted_sources_stay(spark):
 
 def test_poisson_inverse_of_large_means(spark):
     df = spark.range(20).select(((F.col("id") + 0.5) / 20).alias("u"))
-    for mean in (800.0, 5000.0):
-        cdf = np.cumsum([math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(int(2 * mean))])
+    for mean in (0.5, 700.0, 800.0, 5000.0):
+        cdf = np.cumsum([math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(int(2 * mean) + 40)])
         want = [int((cdf < (i + 0.5) / 20).sum()) for i in range(20)]
         assert [r.k for r in df.orderBy("u").select(poisson_mix.poisson_inverse(F.col("u"), F.lit(mean)).alias("k")).collect()] == want
 
