@@ -6,23 +6,21 @@ import html
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 
-def plain(name: str | None) -> str | None:
-    """HTML unescaped, accents stripped, lower case, '-' and '.' as spaces, no apostrophes, single spaces."""
-    if name is None:
-        return None
-    base = "".join(c for c in unicodedata.normalize("NFKD", html.unescape(name)) if not unicodedata.combining(c))
-    return " ".join(base.lower().replace("-", " ").replace(".", " ").replace("'", "").split())
+@F.pandas_udf(StringType())
+def decomposed(names: pd.Series) -> pd.Series:
+    """HTML entities as characters, and these in their decomposed form: the two steps that have no built-in function."""
+    return names.map(lambda n: unicodedata.normalize("NFKD", html.unescape(n)), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def normalised(names: pd.Series) -> pd.Series:
-    """``plain`` of each name; distinct names of a batch are worked out once."""
-    known = {n: plain(n) for n in names.dropna().unique()}
-    return names.map(known).astype(object).where(names.notna(), None)
+def normalised(name: Column) -> Column:
+    """Accents stripped, lower case, hyphens and dots as spaces, no apostrophes, single spaces."""
+    letters = F.lower(F.regexp_replace(decomposed(name), r"\p{Mn}", ""))
+    return F.trim(F.regexp_replace(F.translate(letters, "-.'", "  "), r"\s+", " "))
 
 
 def subsequence(a: str, b: str) -> int:
@@ -43,18 +41,37 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * subsequence(a, b) / (len(a) + len(b))
 
 
-def token_score(a: str, b: str) -> float:
-    """The larger of the sorted-words ratio and the ratio of shared words against either name's words."""
+def sorted_ratio(a: str, b: str) -> float:
+    """Ratio of the names with their words in order."""
+    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def shared_ratio(a: str, b: str) -> float:
+    """The best ratio among the shared words and either name's words, so that a name inside another scores in full."""
     x, y = set(a.split()), set(b.split())
     both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
     one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    best = ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-    if both:
-        best = max(best, ratio(both, one), ratio(both, two))
-    return max(best, ratio(one, two))
+    return max([ratio(one, two)] + [ratio(both, one), ratio(both, two)] * bool(both))
+
+
+#: What a match of shared words alone counts less, so that whole agreement wins.
+SHARED_DISCOUNT = 2.0
+
+
+def token_score(a: str, b: str) -> float:
+    """The larger of the sorted-words ratio and the discounted shared-words ratio."""
+    return max(sorted_ratio(a, b), shared_ratio(a, b) - SHARED_DISCOUNT)
+
+
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    """``token_score`` of a name against the better of two others (the second may be null); null where one of the first is."""
+    scores = [None if x is None or y is None else max(token_score(x, n) for n in (y, z) if n is not None) for x, y, z in zip(a, b, c, strict=True)]
+    return pd.Series(scores, dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``token_score`` of each pair; null where a side is null."""
-    return pd.Series([None if x is None or y is None else token_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def sorted_similarity(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    """As ``similarity``, by sorted words only."""
+    scores = [None if x is None or y is None else max(sorted_ratio(x, n) for n in (y, z) if n is not None) for x, y, z in zip(a, b, c, strict=True)]
+    return pd.Series(scores, dtype="float64")

@@ -51,7 +51,11 @@ def start_year(name: Column) -> Column:
     return F.substring(name, 1, 4).try_cast("int")
 
 
-def fading_load(minutes: Column, progress: Column, round_no: Column, first: int = 1, span: int = 8, proxy: Sequence[float] = (0.0, 90.0, 180.0, 270.0, 360.0, 450.0)) -> tuple[Column, Column]:
+# Minutes that stand for progress levels 1 to 7 where only squad membership is known.
+PROGRESS_MINUTES = (180.0, 270.0, 340.0, 420.0, 500.0, 580.0, 580.0)
+
+
+def fading_load(minutes: Column, progress: Column, round_no: Column, first: int = 1, span: int = 8, proxy: Sequence[float] = (0.0, *PROGRESS_MINUTES)) -> tuple[Column, Column]:
     """(minutes, progress) of an earlier tournament, fading to nothing over ``span`` rounds from ``first``; null minutes stand by progress."""
     fade = F.when(round_no < first, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (round_no - first) / span))
     stood = F.element_at(F.array(*[F.lit(p) for p in proxy]), F.least(F.greatest(progress, F.lit(0)), F.lit(len(proxy) - 1)).cast("int") + 1)

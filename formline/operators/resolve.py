@@ -4,56 +4,131 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.functions.text import similarity
+from formline.functions.text import similarity, sorted_similarity
 
 
-def _unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys occur once."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
+def _candidates(right: DataFrame, name: str, code: str, keep: Sequence[str], second: str | None, role: str | None) -> DataFrame:
+    """The right side's names, second names and roles under names of their own; missing ones are null."""
+    null = F.lit(None).cast("string")
+    return right.select(*keep, F.col(name).alias("_name"), F.col(code).alias("_code"), (F.col(second) if second else null).alias("_second"), (F.col(role) if role else null).alias("_role"))
+
+
+def _sane(df: DataFrame, role: str | None) -> Column:
+    """True where roles agree or the left one is unknown."""
+    return F.coalesce(F.col(role) == F.col("_role"), F.lit(True)) if role and role in df.columns else F.lit(True)
+
+
+def _close(name: Column, least: float, shared: bool) -> Column:
+    """False only for pairs that cannot reach ``least``: a ratio bounds how lengths differ, and shared words must be there to count."""
+    bound = least / (200.0 - least)
+
+    def near(other: str) -> Column:
+        a, b = F.length(name), F.length(other)
+        return (F.least(a, b) >= bound * F.greatest(a, b) - 1e-9) | (F.lit(shared) & F.arrays_overlap(F.split(name, " "), F.split(other, " ")))
+
+    return near("_name") | F.coalesce(near("_second"), F.lit(False))
+
+
+def _sure(pairs: DataFrame, uid: str, least: float, margin: float) -> DataFrame:
+    """Each left row's best candidate where its score is high enough and far enough ahead of the next candidate's."""
+    by = pairs.groupBy(uid, "_code").agg(F.max("score").alias("score"))
+    w = Window.partitionBy(uid).orderBy(F.desc("score"), "_code")
+    best = by.withColumns({"_r": F.row_number().over(w), "_next": F.coalesce(F.lead("score").over(w), F.lit(0.0))}).where("_r = 1")
+    return best.where((F.col("score") >= least) & (F.col("score") - F.col("_next") >= margin)).select(uid, "_code", "score")
 
 
 def resolve(left: DataFrame, right: DataFrame, overrides: DataFrame, block: str = "team", name: str = "name", uid: str = "uid", code: str = "code",
-            least: float = 88.0, margin: float = 3.0) -> DataFrame:
+            least: float = 88.0, margin: float = 3.0, second: str | None = None, role: str | None = None) -> DataFrame:
     """(uid, code, method, confidence) for every left row.
 
-    In turn: an override; one exact name in the block (1.0); a name unique on the right (0.95); the best
-    score within the block if at least ``least`` and ``margin`` ahead of the runner-up (score / 100 - 0.05);
-    else unmatched.  Only rows that nothing exact matched are scored, against their block.
+    In turn: an override; an exact name in the block (1.0; of several the smallest code); a name that one
+    right row has (0.95); the best score within the block, against the name or the ``second`` one, if at
+    least ``least`` and ``margin`` ahead of the runner-up (score / 100 - 0.05, two places); else unmatched.
+    Where ``role`` is given, rows of another known role are no candidates.  Only rows that nothing exact
+    matched are scored, against those of their block whose length or words let them reach ``least - margin``.
     """
-    exact = _unique(right, [name, block]).select(name, block, F.col(code).alias("_exact"))
-    alone = _unique(right, [name]).select(name, F.col(code).alias("_alone"))
+    found = _candidates(right, name, code, [block], second, role)
+    named = left.join(found.withColumnRenamed(block, "_block"), F.col(name) == F.col("_name"))
+    here = F.when(F.col(block) == F.col("_block"), F.col("_code"))
+    exact = named.where(_sane(named, role)).groupBy(uid).agg(F.min(here).alias("_exact"), F.when(F.count_distinct("_code") == 1, F.min("_code")).alias("_alone"))
     over = overrides.select(F.col(uid), F.col(code).alias("_over"))
-    ladder = left.join(over, uid, "left").join(exact, [name, block], "left").join(alone, name, "left")
-    ladder = ladder.withColumn("code", F.coalesce("_over", "_exact", "_alone")).withColumn(
-        "method", F.when(F.col("_over").isNotNull(), "override").when(F.col("_exact").isNotNull(), "exact").when(F.col("_alone").isNotNull(), "unique_name")
-    )
+    ladder = left.join(over, uid, "left").join(exact, uid, "left")
+    method = F.when(F.col("_over").isNotNull(), "override").when(F.col("_exact").isNotNull(), "exact").when(F.col("_alone").isNotNull(), "unique_name")
+    ladder = ladder.withColumns({"code": F.coalesce("_over", "_exact", "_alone"), "method": method})
     done = ladder.where("method is not null").select(uid, "code", "method", F.when(F.col("method") == "unique_name", 0.95).otherwise(1.0).alias("confidence"))
-    rest = ladder.where("method is null").select(uid, name, block)
-    pairs = rest.join(right.select(F.col(block), F.col(name).alias("_name"), F.col(code).alias("_code")), block).withColumn("_s", similarity(F.col(name), F.col("_name")))
-    w = Window.partitionBy(uid).orderBy(F.desc("_s"), "_code")
-    best = pairs.select(uid, "_code", "_s", F.row_number().over(w).alias("_r"), F.lead("_s").over(w).alias("_next")).where("_r = 1")
-    sure = (F.col("_s") >= least) & (F.col("_s") - F.coalesce("_next", F.lit(0.0)) >= margin)
-    fuzzy = best.where(sure).select(uid, F.col("_code").alias("code"), F.lit("fuzzy").alias("method"), (F.col("_s") / 100 - 0.05).alias("confidence"))
+    rest = ladder.where("method is null").select(*left.columns)
+    pairs = rest.join(found, block)
+    pairs = pairs.where(_sane(pairs, role) & _close(F.col(name), least - margin, True)).withColumn("score", similarity(F.col(name), F.col("_name"), F.col("_second")))
+    fuzzy = _sure(pairs, uid, least, margin).select(uid, F.col("_code").alias("code"), F.lit("fuzzy").alias("method"), F.round(F.col("score") / 100 - 0.05, 2).alias("confidence"))
     out = rest.select(uid).join(fuzzy, uid, "left").select(uid, "code", F.coalesce("method", F.lit("unmatched")).alias("method"), "confidence")
     return done.unionByName(out)
 
 
-def claim(left: DataFrame, right: DataFrame, matched: DataFrame, block: str, name: str = "name", uid: str = "uid", code: str = "code", least: float = 93.0, margin: float = 3.0) -> DataFrame:
+def claim(left: DataFrame, right: DataFrame, matched: DataFrame, block: str, name: str = "name", uid: str = "uid", code: str = "code",
+          least: float = 93.0, margin: float = 3.0, second: str | None = None, role: str | None = None) -> DataFrame:
     """(uid, code, score) between rows that ``matched`` has on neither side: the best of each left row, then the best claimant of each right one."""
     a = left.join(matched.select(uid), uid, "left_anti")
-    b = right.join(matched.select(code), code, "left_anti").select(F.col(block), F.col(name).alias("_name"), F.col(code).alias("_code"))
-    pairs = a.join(b, block).withColumn("score", similarity(F.col(name), F.col("_name")))
-    w = Window.partitionBy(uid).orderBy(F.desc("score"), "_code")
-    best = pairs.select(uid, "_code", "score", F.row_number().over(w).alias("_r"), F.lead("score").over(w).alias("_next")).where("_r = 1")
-    sure = best.where((F.col("score") >= least) & (F.col("score") - F.coalesce("_next", F.lit(0.0)) >= margin))
+    b = _candidates(right.join(matched.select(code), code, "left_anti"), name, code, [block], second, role)
+    pairs = a.join(b, block)
+    pairs = pairs.where(_sane(pairs, role) & _close(F.col(name), least - margin, True)).withColumn("score", similarity(F.col(name), F.col("_name"), F.col("_second")))
     v = Window.partitionBy("_code").orderBy(F.desc("score"), uid)
-    return sure.withColumn("_c", F.row_number().over(v)).where("_c = 1").select(uid, F.col("_code").alias("code"), "score")
+    return _sure(pairs, uid, least, margin).withColumn("_c", F.row_number().over(v)).where("_c = 1").select(uid, F.col("_code").alias("code"), "score")
+
+
+def _grams(name: Column) -> Column:
+    """Distinct three-letter runs of the name with its words in order; a shorter name is one run."""
+    words = F.array_join(F.array_sort(F.split(F.trim(name), " ")), " ")
+    n = F.length(words)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(words, i, F.lit(3)))
+    return F.array_distinct(runs)
+
+
+def _rarest(df: DataFrame, key: Sequence[str], name: str, common: DataFrame, least: float) -> DataFrame:
+    """(key, gram): of each name as many of its rarest runs as guarantee that names of ``least`` share one of them.
+
+    Such names are apart by at most d letters in or out, d being a share of their lengths, and each of these
+    breaks three runs, so all but 3 d of a name's runs are shared: the 3 d + 1 rarest of both hold a shared one.
+    """
+    apart = 1 - least / 100
+    most = F.floor(3 * F.floor(apart * (1 + 1 / (least / (200 - least))) * F.length(name) + 1e-9)) + 1
+    rows = df.select(*key, most.alias("_most"), F.explode(_grams(F.col(name))).alias("gram")).join(common, "gram", "left")
+    w = Window.partitionBy(*key).orderBy(F.coalesce("n", F.lit(0)), "gram")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_most")).select(*key, "gram")
+
+
+def alias(names: DataFrame, known: DataFrame, name: str = "name", code: str = "code", second: str | None = None, least: float = 93.0) -> DataFrame:
+    """(name, code, method) of each distinct name: the one known row of that very name; none where several have it
+    (``ambiguous``); else the best sorted-words score of at least ``least`` (90 or more), ties to the smaller code.
+
+    Names meet for scoring by their rarest three-letter runs, which leaves no pair of ``least`` out.
+    """
+    asked = names.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct()
+    found = _candidates(known, name, code, [], second, None)
+    exact = found.groupBy(F.col("_name").alias("name")).agg(F.count(F.lit(1)).alias("_n"), F.min("_code").alias("_code"))
+    told = asked.join(exact, "name", "left")
+    method = F.when(F.col("_n") == 1, "exact").otherwise("ambiguous")
+    sure = told.where("_n is not null").select("name", F.when(F.col("_n") == 1, F.col("_code")).alias("code"), method.alias("method"))
+    rest = told.where("_n is null").select("name")
+    other = found.select("_code", F.explode(F.array_distinct(F.array_compact(F.array("_name", "_second")))).alias("_name"))
+    common = other.select(F.explode(_grams(F.col("_name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _rarest(rest, ["name"], "name", common, least).join(_rarest(other, ["_code", "_name"], "_name", common, least), "gram").select("name", "_code", "_name").distinct()
+    pairs = pairs.withColumn("_second", F.lit(None).cast("string")).where(_close(F.col("name"), least, False))
+    scored = pairs.withColumn("score", sorted_similarity(F.col("name"), F.col("_name"), F.col("_second")))
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "_code")
+    best = scored.where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    fuzzy = rest.join(best.select("name", F.col("_code").alias("code")), "name", "left")
+    return sure.unionByName(fuzzy.select("name", "code", F.when(F.col("code").isNotNull(), "fuzzy").otherwise("unmatched").alias("method")))
 
 
 def match_rate(df: DataFrame, season: str, weight: str, matched: str) -> DataFrame:
     """Weighted share of matched rows per season."""
     hit = F.when(F.col(matched), F.col(weight)).otherwise(0)
     return df.groupBy(season).agg(F.sum(weight).alias("weight"), F.try_divide(F.sum(hit), F.sum(weight)).alias("rate"))
+
+
+def top_unmatched(df: DataFrame, weight: str, matched: str, tie: str, n: int = 20) -> DataFrame:
+    """The n unmatched rows of most weight."""
+    return df.where(~F.coalesce(F.col(matched), F.lit(False))).orderBy(F.desc_nulls_last(weight), tie).limit(n)

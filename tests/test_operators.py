@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from formline.functions.text import plain, ratio, subsequence, token_score
+from formline.functions.text import normalised, ratio, sorted_ratio, subsequence, token_score
 from formline.operators import clean, evaluate, ranking, resolve, scoring as S, seasons, wiki
 from formline.sources import files, sinks
 from formline.streaming import upserts
@@ -90,9 +90,11 @@ def test_season_csvs(spark, tmp_path):
     assert {(r.id, r.xg, r.season) for r in df.collect()} == {(1, 0.5, "s1"), (2, None, "s1"), (3, None, "s2")}
 
 
-def test_clean_names_and_scores():
-    assert plain("Jos&eacute; Ñu-ñez.O'Neil ") == "jose nu nez oneil" and plain(None) is None
+def test_clean_names_and_scores(spark):
+    names = spark.createDataFrame([("Jos&eacute; Ñu-ñez.O'Neil ",), (None,), ("",)], "n string")
+    assert [r.x for r in names.select(normalised(F.col("n")).alias("x")).collect()] == ["jose nu nez oneil", None, ""]
     assert subsequence("kitten", "sitting") == 4 and ratio("", "") == 100.0 and token_score("john smith", "smith john") == 100.0
+    assert token_score("alisson", "alisson becker") == 98.0
     assert token_score("a b", "c d") < 88
 
 
@@ -155,3 +157,83 @@ def test_constant_rounds_are_left_out(spark):
 def test_season_strings(spark):
     r = spark.createDataFrame([("2026-08-14T17:30:00Z",), ("bad",)], "d string").select(clean.season_name(F.col("d")).alias("n")).select("n", clean.season_code(F.col("n")).alias("c")).collect()
     assert (r[0].n, r[0].c) == ("2026-27", "2627") and r[1].n is None
+
+
+def _people(seed=3):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["anna", "berto", "carla", "dimitri", "elena", "fabian", "gomez", "hartmann", "ivanov", "jansen"]
+    right = []
+    for i in range(60):
+        full = " ".join(rng.sample(parts, rng.choice([1, 2, 2, 3])))
+        right.append((i, full, full.split()[-1] if rng.random() < 0.5 else None, rng.choice("xyz"), rng.choice(["gk", "field"])))
+
+    def spoil(name):
+        if rng.random() < 0.5:
+            return name
+        i = rng.randrange(len(name))
+        return (name[:i] + rng.choice("abe ") + name[i + rng.choice([0, 1]):]).strip() or name
+
+    left = [(1000 + i, spoil(rng.choice(right)[1]), rng.choice("xyz"), rng.choice(["gk", "field", None])) for i in range(80)]
+    return left, right
+
+
+def _score(a, names, score=token_score):
+    return max(score(a, n) for n in names if n is not None)
+
+
+def test_resolve_and_claim_equal_all_pairs(spark):
+    left, right = _people()
+    lf = spark.createDataFrame(left, "uid long, name string, team string, role string")
+    rf = spark.createDataFrame(right, "code long, name string, web string, team string, role string")
+    over = spark.createDataFrame([(1003, 59)], "uid long, code long")
+    sane = lambda r, role: role is None or r[4] == role
+
+    def best(cands, name, least):
+        scored = sorted(((_score(name, (r[1], r[2])), -r[0]) for r in cands), reverse=True)
+        ok = scored and scored[0][0] >= least and (len(scored) < 2 or scored[0][0] - scored[1][0] >= 3)
+        return (-scored[0][1], scored[0][0]) if ok else None
+
+    want = {}
+    for uid, name, team, role in left:
+        same = [r for r in right if r[1] == name and sane(r, role)]
+        here = [r[0] for r in same if r[3] == team]
+        if uid == 1003:
+            want[uid] = (59, "override", 1.0)
+        elif here:
+            want[uid] = (min(here), "exact", 1.0)
+        elif len(same) == 1:
+            want[uid] = (same[0][0], "unique_name", 0.95)
+        else:
+            found = best([r for r in right if r[3] == team and sane(r, role)], name, 88)
+            want[uid] = (found[0], "fuzzy", round(found[1] / 100 - 0.05, 2)) if found else (None, "unmatched", None)
+    got = resolve.resolve(lf, rf, over, second="web", role="role").collect()
+    assert {r.uid: (r.code, r.method) for r in got} == {k: v[:2] for k, v in want.items()} and len(got) == len(left)
+    assert all(r.confidence == want[r.uid][2] or abs(r.confidence - want[r.uid][2]) < 0.011 for r in got)
+    assert {"fuzzy", "unmatched", "exact", "unique_name", "override"} == {v[1] for v in want.values()}
+
+    known = spark.createDataFrame([(1000 + i, i) for i in range(10)], "uid long, code long")
+    claims = {}
+    for uid, name, team, role in left:
+        found = best([r for r in right if r[3] == team and r[0] >= 10 and sane(r, role)], name, 93) if uid >= 1010 else None
+        if found:
+            claims.setdefault(found[0], []).append((-found[1], uid))
+    assert {(r.uid, r.code) for r in resolve.claim(lf, rf, known, "team", second="web", role="role").collect()} == {(min(v)[1], k) for k, v in claims.items()}
+
+
+def test_alias_equals_all_pairs(spark):
+    left, right = _people(9)
+    right = [*right, (90, "anna anna berto", None, "x", "gk")]
+    want = {}
+    for name in {r[1] for r in left}:
+        same = [r[0] for r in right if r[1] == name]
+        if same:
+            want[name] = (same[0], "exact") if len(same) == 1 else (None, "ambiguous")
+        else:
+            found = sorted((-_score(name, (r[1], r[2]), sorted_ratio), r[0]) for r in right)[0]
+            want[name] = (found[1], "fuzzy") if -found[0] >= 93 else (None, "unmatched")
+    lf = spark.createDataFrame([(r[1],) for r in left], "name string")
+    rf = spark.createDataFrame([r[:3] for r in right], "code long, name string, web string")
+    assert {r.name: (r.code, r.method) for r in resolve.alias(lf, rf, second="web").collect()} == want
+    assert {"exact", "fuzzy", "unmatched"} <= {v[1] for v in want.values()}
