@@ -40,6 +40,7 @@ SMALL_GROUP, GROUP_BLOCK = 4, 2048
 HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 32, 3, 131_072
 #: A list of wanted documents with up to so many places to go is broadcast (some megabytes); a longer one is joined by shuffling.
 BROADCAST_PLACES = 200_000
+SALTS = 16
 #: Classes that a task remembers having met.
 MET = 1_000_000
 _WORDS = Cache(xxhash.xxh3_64_intdigest, 300_000)
@@ -274,9 +275,12 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their parity bitmaps do not rule out."""
+    """The pairs that their parity bitmaps do not rule out; a hub's bitmap goes to SALTS tasks, its members are dealt over them."""
+    pairs = written(pairs.select("hub", "member"), "near")
     one, two = (sets.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")) for k in ("hub", "member"))
-    both = pairs.join(one, "hub").join(two, "member").select("hub", "member", "n_hub", "n_member", "p_hub", "p_member")
+    one = one.join(pairs.select("hub").distinct(), "hub", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")).join(one, ["hub", "salt"]).join(two, "member")
+    both = both.select("hub", "member", "n_hub", "n_member", "p_hub", "p_member")
 
     def run(x):
         keep = [i for i in range(len(x["hub"])) if may_link(x["n_hub"][i], x["n_member"][i], x["p_hub"][i], x["p_member"][i], percent)]
