@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Markup of a squad page and of a match block.
 HEADING = r"^===\s*([^=]+?)\s*===\s*$"
 PLAYER = r"\{\{nat fs (?:g )?player.*?\|name=(?:\[\[)?(?:[^\]|}]*\|)?([^\]|}]+)"
+BOX = r"\{\{\s*(?:#invoke:\s*football box\s*\|\s*main|football box)"
+OWN_GOAL = r"(?i)own goal|\(og\)|o\.g\.|\{\{og"
 FULL, EXTRA = 90, 120
 
 
@@ -24,10 +26,10 @@ def squads(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFra
     return named.where("name != ''").select(page, "country", "name", "line_no")
 
 
-def blocks(df: DataFrame, page: str = "page", text: str = "wikitext", mark: str = "{{football box") -> DataFrame:
-    """(page, block, body): the page cut before every match mark; what stands before the first is left out."""
-    cut = df.select(page, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"(?=" + mark.replace("{", r"\{") + ")")).alias("block", "body"))
-    return cut.where(F.col("body").startswith(mark))
+def blocks(df: DataFrame, page: str = "page", text: str = "wikitext", mark: str = BOX) -> DataFrame:
+    """(page, block, body): the page cut before every match mark, of either form; what stands before the first is left out."""
+    cut = df.select(page, F.posexplode(F.split(F.coalesce(text, F.lit("")), f"(?i)(?={mark})")).alias("block", "body"))
+    return cut.where(F.col("body").rlike(f"(?i)^{mark}"))
 
 
 def _marks(line: Column, template: str) -> Column:
@@ -37,15 +39,16 @@ def _marks(line: Column, template: str) -> Column:
 def appearances(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFrame:
     """(page, block, match_date, name, started, minutes): one row per player who was on the pitch.
 
-    In a block, lines after a substitutes' heading are substitutes until the next table starts; a running
-    sum of markers tells which.  An off-marker ends a starter's time, an on-marker starts a substitute's;
+    In a block, lines after a substitutes' heading are substitutes until the next table or a manager's line; a
+    running sum of markers tells which.  An off-marker ends a player's time, an on-marker starts a substitute's;
     substitutes without one did not play.  A block with extra time lasts 120 minutes.
     """
     games = blocks(df, page, text)
-    long = F.when(F.col("body").rlike(r"(?i)\b(aet|after extra time)\b"), EXTRA).otherwise(FULL)
+    long = F.when(F.col("body").rlike(r"(?i)\|\s*aet\s*=\s*y|after extra time"), EXTRA).otherwise(FULL)
     date = F.expr(r"try_cast(concat_ws('-', regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 1), lpad(regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 2), 2, '0'), lpad(regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 3), 2, '0')) as date)")
     rows = lines(games.select(page, "block", long.alias("_long"), date.alias("match_date"), "body"), [page, "block", "_long", "match_date"], "body")
-    opens, subs = F.col("line").startswith("{|").cast("int"), F.col("line").rlike(r"(?i)'''substitut").cast("int")
+    opens = (F.col("line").startswith("{|") | F.col("line").contains("'''Manager:'''")).cast("int")
+    subs = F.col("line").rlike(r"(?i)'''substitut").cast("int")
     w = Window.partitionBy(page, "block").orderBy("line_no")
     rows = rows.withColumns({"_open": F.sum(opens).over(w), "_subs": F.sum(subs).over(w)})
     rows = rows.withColumn("_bench", F.col("_subs") > F.coalesce(F.max(F.when(opens == 1, F.col("_subs"))).over(w), F.lit(0)))
@@ -55,16 +58,22 @@ def appearances(df: DataFrame, page: str = "page", text: str = "wikitext") -> Da
     return rows.where(~F.col("_bench") | F.col("on").isNotNull()).select(page, "block", "match_date", "name", (~F.col("_bench")).alias("started"), F.greatest(left - came, F.lit(0)).alias("minutes"))
 
 
+def _credited(line: Column) -> Column:
+    """Goals that one line credits its player with: minutes of its goal templates, else bare minutes; own goals do not count."""
+    minutes = lambda args: F.size(F.filter(F.split(args, r"\|"), lambda x: F.trim(x).rlike(r"^[0-9]+(\+[0-9]+)?$")))
+    templates = F.regexp_extract_all(line, F.lit(r"(?i)\{\{\s*goal\s*\|([^}]*)\}\}"), 1)
+    counted = F.aggregate(templates, F.lit(0), lambda a, t: a + F.when(t.rlike(OWN_GOAL), 0).otherwise(minutes(t)))
+    bare = F.size(F.regexp_extract_all(line, F.lit(r"([0-9]+(?:\+[0-9]+)?)'"), 1))
+    return F.when(F.size(templates) > 0, counted).when(line.rlike(OWN_GOAL), 0).otherwise(bare)
+
+
 def goals(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFrame:
-    """(page, block, name, goals) from the goal fields of each block: a template with several minutes counts each; own goals do not count."""
+    """(page, block, name, goals) from the lines of the two goal fields of each block."""
     games = blocks(df, page, text)
-    rows = lines(games, [page, "block"], "body").withColumn("_field", F.nullif(F.regexp_extract("line", r"^\|\s*([a-z]+[0-9]?)\s*=", 1), F.lit("")))
+    rows = lines(games, [page, "block"], "body").withColumn("_field", F.nullif(F.regexp_extract("line", r"^\s*\|\s*([a-z_]+[0-9]?)\s*=", 1), F.lit("")))
     rows = rows.withColumn("_in", F.last("_field", ignorenulls=True).over(Window.partitionBy(page, "block").orderBy("line_no"))).where(F.col("_in").isin("goals1", "goals2"))
     rows = rows.withColumn("name", F.trim(F.regexp_extract("line", r"\[\[(?:[^\]|]*\|)?([^\]|]+)\]\]", 1))).where("name != ''")
-    body = F.regexp_extract("line", r"\{\{goal\|([^}]*)\}\}", 1)
-    minutes = F.size(F.filter(F.split(body, r"\|"), lambda x: x.rlike(r"^[0-9]+(\+[0-9]+)?$")))
-    own = F.size(F.filter(F.split(body, r"\|"), lambda x: x.rlike(r"^(o\.?g\.?)$")))
-    return rows.groupBy(page, "block", "name").agg(F.sum(minutes - own).alias("goals"))
+    return rows.groupBy(page, "block", "name").agg(F.sum(_credited(F.col("line"))).cast("int").alias("goals"))
 
 
 def tournament_totals(seen: DataFrame, scored: DataFrame, page: str = "page") -> DataFrame:

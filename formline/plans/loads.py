@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from formline.functions.numeric import bins, clip, flag
 from formline.functions.text import normalised
-from formline.operators import clean as C, joins as J, resolve, windows as W
-from formline.sources import files, sinks
+from formline.operators import clean as C, joins as J, resolve, wiki, windows as W
+from formline.sources import files, sinks, staging
 from formline.plans.tables import fact, query, r6, table
 
 K, O = ["entity"], ["ts", "event_id"]
@@ -227,7 +227,7 @@ def a10_strength_backfill(spark, d):
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS season, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS xg, o_custkey::INTEGER AS points FROM orders""")
 def s1_s2_drifting_columns(spark, d):
-    """Two seasons' rows as text with different columns and names, conformed to one schema and united."""
+    """Two seasons' CSV files with different columns and names, read, conformed to one schema and united."""
     from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
     schema = StructType([StructField("id", LongType()), StructField("xg", DoubleType()), StructField("points", IntegerType())])
@@ -235,18 +235,19 @@ def s1_s2_drifting_columns(spark, d):
     text = lambda df, *c: df.select(*[x.cast("string").alias(n) for n, x in c])
     even = text(o.where("o_orderkey % 2 = 0"), ("element", F.col("o_orderkey")), ("expected_goals", F.col("o_totalprice")), ("pts", F.col("o_custkey")))
     odd = text(o.where("o_orderkey % 2 = 1"), ("element", F.col("o_orderkey")), ("pts", F.col("o_custkey")), ("extra", F.lit("x")))
-    names = {"id": "element", "xg": "expected_goals", "points": "pts"}
-    names = {v: k for k, v in names.items()}
-    return C.conform(even, schema, names).withColumn("season", F.lit("even")).unionByName(C.conform(odd, schema, names).withColumn("season", F.lit("odd")))
+    paths = {"even": staging.scratch(spark, "season-even"), "odd": staging.scratch(spark, "season-odd")}
+    for season, rows in (("even", even), ("odd", odd)):
+        rows.write.csv(paths[season], header=True)
+    return files.season_csvs(spark, paths, schema, {"element": "id", "expected_goals": "xg", "pts": "points"})
 
 
 @query("""SELECT conv_id, turn, length(text) AS n FROM conversations""")
 def s3_nested_json(spark, d):
-    """Conversations folded to nested JSON text, parsed by schema and exploded to a row per turn."""
-    c = table(spark, d, "conversations")
-    docs = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", "text")).alias("history"))).alias("j"))
-    parsed = docs.select("conv_id", F.from_json("j", "history array<struct<turn long, text string>>").alias("p")).select("conv_id", "p.history")
-    return files.nested_rows(parsed, "history", ["conv_id"]).select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    """Conversations as nested JSON files, read by schema and exploded to a row per turn."""
+    path = staging.scratch(spark, "nested")
+    table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "text")).alias("history")).write.json(path)
+    rows = files.json_table(spark, path, "conv_id long, history array<struct<turn long, text string>>", "history", ["conv_id"], lines=True)
+    return rows.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
 @query("""WITH l AS (SELECT n_name AS team, r_name AS league FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 3), m AS (SELECT o_custkey AS uid, o_orderkey % 50 AS match_id, o_orderkey AS seq, year(o_orderdate) AS season, 'NATION_' || (o_orderkey % 30) AS home, 'NATION_' || (o_custkey % 25) AS away FROM orders WHERE year(o_orderdate) >= 1998),
@@ -312,7 +313,9 @@ def s11_row_counts(spark, d):
 @query("WITH {f}, p AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'v2' ELSE 'v3' END AS model_version, round(points, 6) AS predicted FROM f) SELECT event_id, model_version, predicted FROM p WHERE model_version = 'v3'")
 def s12_versioned_predictions(spark, d):
     p = fact(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, "v2").otherwise("v3").alias("model_version"), r6("points").alias("predicted"))
-    return sinks.model_version(p, "v3")
+    path = staging.scratch(spark, "predictions")
+    sinks.write_partitioned(p, path, ["model_version"])
+    return sinks.model_version(spark.read.parquet(path), "v3").select("event_id", "model_version", "predicted")
 
 
 # -- resolution and parsing ----------------------------------------------------------------------
@@ -390,9 +393,57 @@ def p32_page_rows(spark, d):
 @query("""WITH s AS (SELECT c_custkey, c_nationkey FROM customer), a AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1996 GROUP BY 1)
 SELECT c_custkey, coalesce(n, 0) AS n, coalesce(last, max(last) OVER (PARTITION BY c_nationkey)) AS last_match FROM s LEFT JOIN a ON o_custkey = c_custkey""")
 def j16_enrich_squads(spark, d):
-    from formline.operators.wiki import enrich
-
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("country"))
     a = table(spark, d, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 1996)).groupBy(F.col("o_custkey").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last_match"))
     zero = [F.lit(0).cast("long").alias(c) for c in ("minutes", "matches", "starts", "goals")]
-    return enrich(s, a.select("*", *zero)).select(F.col("name").alias("c_custkey"), F.coalesce("n", F.lit(0)).alias("n"), "last_match")
+    return wiki.enrich(s, a.select("*", *zero)).select(F.col("name").alias("c_custkey"), F.coalesce("n", F.lit(0)).alias("n"), "last_match")
+
+
+def _pages(spark, d):
+    """Match pages in line markup made of the given tables: a customer is a match block, its orders are the players on the pitch.
+
+    Starters are orders not divisible by 3; of the others those divisible by 2 never came on.  Every fifth
+    customer's match has extra time, every second block is of the module form.
+    """
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.concat(F.lit("[[P"), k.cast("string"), F.lit("]]"))
+    off = F.when(k % 4 == 1, F.concat(F.lit(" || {{suboff|"), (k % 30 + 60).cast("string"), F.lit("}}"))).otherwise("")
+    on = F.when(k % 2 == 1, F.concat(F.lit(" || {{subon|"), (k % 30 + 20).cast("string"), F.lit("}}"))).otherwise("")
+    row = F.concat(F.lit("|DF || '''4''' || "), name, F.when(k % 3 == 0, on).otherwise(off))
+    goal = F.when(k % 7 == 1, F.concat(F.lit("* "), name, F.lit(" {{goal|12|45+2}}"))).when(k % 7 == 2, F.concat(F.lit("* "), name, F.lit(" 50', 82'"))).when(k % 7 == 3, F.concat(F.lit("* "), name, F.lit(" {{goal|30|o.g.}}")))
+    listed = lambda x, when: F.array_join(F.array_sort(F.collect_list(F.when(when, x))), "\n")
+    per = table(spark, d, "orders").groupBy("o_custkey").agg(listed(row, k % 3 != 0).alias("start"), listed(row, k % 3 == 0).alias("bench"), listed(goal, k > 0).alias("goals"))
+    box = F.when(c % 2 == 0, "{{#invoke:football box|main").otherwise("{{football box")
+    date = F.concat(F.lit("| date = {{Start date|2024|"), (c % 12 + 1).cast("string"), F.lit("|"), (c % 28 + 1).cast("string"), F.lit("}}"))
+    block = F.concat_ws("\n", box, date, F.concat(F.lit("| goals1 =\n"), F.col("goals")), F.lit("| penalties1 =\n* [[P1]] {{goal|120}}"), F.when(c % 5 == 0, "| aet = y"), F.lit("}}\n{|"), F.col("start"),
+                        F.lit("|-\n'''Substitutions:'''"), F.col("bench"), F.lit("'''Manager:'''\n|}\n"))
+    pages = per.select((c % 100).alias("page"), "o_custkey", block.alias("block")).groupBy("page")
+    return pages.agg(F.concat(F.lit("intro\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_custkey", "block"))), lambda x: x["block"]), "")).alias("wikitext"))
+
+
+_PAGES_SQL = """p AS (SELECT o_custkey % 100 AS page, 'P' || o_orderkey AS name, o_orderkey AS k, o_custkey AS c, o_orderkey % 3 <> 0 AS started, make_date(2024, (o_custkey % 12 + 1)::INTEGER, (o_custkey % 28 + 1)::INTEGER) AS match_date, CASE WHEN o_custkey % 5 = 0 THEN 120 ELSE 90 END AS full_time FROM orders),
+a AS (SELECT page, name, match_date, started, CASE WHEN started THEN CASE WHEN k % 4 = 1 THEN k % 30 + 60 ELSE full_time END ELSE full_time - (k % 30 + 20) END AS minutes, CASE WHEN k % 7 IN (1, 2) THEN 2 ELSE 0 END AS goals FROM p WHERE started OR k % 2 = 1)"""
+
+
+@query(f"WITH {_PAGES_SQL} SELECT page, name, match_date::VARCHAR AS match_date, started, minutes::INTEGER AS minutes FROM a")
+def p33_lineup_pages(spark, d):
+    """Appearances parsed from match pages: starters, substitutes by their markers, extra time."""
+    return wiki.appearances(_pages(spark, d)).select("page", "name", F.col("match_date").cast("string").alias("match_date"), "started", "minutes")
+
+
+@query(f"""WITH {_PAGES_SQL}, g AS (SELECT 'P' || k AS name, 2 AS goals FROM p WHERE k % 7 IN (1, 2))
+SELECT name, sum(minutes)::BIGINT AS minutes, count(*) AS matches, count(*) FILTER (started) AS starts, sum(goals)::BIGINT AS goals, max(match_date)::VARCHAR AS last_match FROM a GROUP BY name""")
+def a28_tournament_totals(spark, d):
+    pages = staging.staged(_pages(spark, d), "pages")
+    totals = wiki.tournament_totals(wiki.appearances(pages), wiki.goals(pages))
+    return totals.select("name", F.col("minutes").cast("long").alias("minutes"), "matches", "starts", F.col("goals").cast("long").alias("goals"), F.col("last_match").cast("string").alias("last_match"))
+
+
+@query("""SELECT n_regionkey AS page, n_name AS country, 'C' || c_custkey AS name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def p32_squad_pages(spark, d):
+    """Squad pages made of the given tables: a region is a page, a nation a heading, its customers the players."""
+    member = F.concat(F.lit("{{nat fs g player|no=1|pos=DF|name=[[C"), F.col("c_custkey").cast("string"), F.lit("]]|age=20}}"))
+    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey").groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list(member)), "\n").alias("players"))
+    n = table(spark, d, "nation").join(c, "n_nationkey").select("n_regionkey", F.concat(F.lit("=== "), F.col("n_name"), F.lit(" ===\n"), F.col("players")).alias("part"))
+    pages = n.groupBy(F.col("n_regionkey").alias("page")).agg(F.concat(F.lit("intro\n"), F.array_join(F.array_sort(F.collect_list("part")), "\n")).alias("wikitext"))
+    return wiki.squads(pages).select("page", "country", "name")

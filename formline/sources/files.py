@@ -23,8 +23,9 @@ def nested_rows(df: DataFrame, array: str, keep: Sequence[str] = ()) -> DataFram
     return df.select(*keep, F.explode(array).alias("_e")).select(*keep, "_e.*")
 
 
-def json_table(spark: SparkSession, path: str, schema: StructType, array: str, keep: Sequence[str] = ()) -> DataFrame:
-    return nested_rows(spark.read.json(path, schema=schema, multiLine=True), array, keep)
+def json_table(spark: SparkSession, path: str, schema: StructType | str, array: str, keep: Sequence[str] = (), lines: bool = False) -> DataFrame:
+    """Rows of a nested array in JSON files: one document a file, or one a line."""
+    return nested_rows(spark.read.json(path, schema=schema, multiLine=not lines), array, keep)
 
 
 def match_rows(matches: DataFrame, leagues: DataFrame, first_season: int = 2018) -> DataFrame:

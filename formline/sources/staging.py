@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share; where none is named, a temporary one in local mode and an error elsewhere."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-formline-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, beside: str) -> DataFrame:
