@@ -40,7 +40,7 @@ SYMBOLS = LENGTH - ANCHOR + 1
 PIECE = 1 << 18
 #: Suffix arrays are built over blocks of about so many symbols; only groups of anchors with over HOT rows are cut.
 BLOCK = 32_768
-HOT = 4096
+HOT = 1024
 #: So many hot anchors are a few megabytes.
 BROADCAST_ANCHORS = 200_000
 
