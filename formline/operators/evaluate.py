@@ -98,6 +98,28 @@ def pick_weight(df: DataFrame, grid: Sequence[float], fold: str, round_key: str,
     return out.select("weight", "points", "haul_rate", "n", allowed.alias("allowed"))
 
 
+def acceptance(metrics: DataFrame, fold: str, model: str, new: str, old: str, at: object, mae_tolerance: float, spearman_tolerance: float) -> DataFrame:
+    """(check, passed) of the new model against the old one, with a last row ``all``.
+
+    ``metrics`` has a row per fold and model: mae, spearman, brier, tail_rmse, and whether the fold's test
+    season has the late rule and whether its training rows could fit it.  At the fold ``at`` rank
+    correlation and MAE may be worse by their tolerances and the Brier score must be better; the tail
+    error must be better on every fold where the two flags agree, of which there must be one.
+    """
+    of = lambda m, c: F.max(F.when(F.col(model) == m, F.col(c)))
+    pairs = metrics.groupBy(fold).agg(*[of(m, c).alias(f"{side}_{c}") for side, m in (("n", new), ("o", old)) for c in ("mae", "spearman", "brier", "tail_rmse")],
+                                      F.bool_and(F.col("rule_in_test") == F.col("rule_fitted")).alias("agree"))
+    there = lambda c: F.coalesce(F.max(F.when(F.col(fold) == at, c)), F.lit(False))
+    tail = F.coalesce(F.min(F.when(F.col("agree"), F.coalesce(F.col("n_tail_rmse") < F.col("o_tail_rmse"), F.lit(False)))), F.lit(False))
+    one = pairs.agg(
+        there(F.col("n_spearman") > F.col("o_spearman") - spearman_tolerance).alias("spearman_tolerance"), tail.alias("tail_rmse"),
+        there(F.col("n_brier") < F.col("o_brier")).alias("haul_calibration"), there(F.col("n_mae") < F.col("o_mae") + mae_tolerance).alias("mae_tolerance"),
+    )
+    checks = ["spearman_tolerance", "tail_rmse", "haul_calibration", "mae_tolerance"]
+    every = one.withColumn("all", F.expr(" AND ".join(checks)))
+    return every.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("passed")) for c in [*checks, "all"]])).alias("x")).select("x.*")
+
+
 def differing(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
     """Per column the number of keys whose values differ (null-safe): all zero when a change of the future reaches no past feature."""
     both = a.select(key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in columns]), key)

@@ -29,6 +29,28 @@ def fit_dispersion(df: DataFrame, group: str, y: str, mean: str, grid: Sequence[
     return by.groupBy(group).agg(F.max_by("alpha", "ll").alias("alpha"), F.max("n_rows").alias("n_rows"), F.max("ll").alias("ll")).where(F.col("n_rows") >= least)
 
 
+def choose_family(held: DataFrame, fitted: DataFrame, group: str, y: str, mean: str) -> DataFrame:
+    """Per group with a fitted dispersion: mean held-out log-likelihood of Poisson and of the negative binomial, and the better one.
+
+    Ties go to Poisson.  Rows are first counted by (group, y, mean), as in the fit.
+    """
+    small = held.where(F.col(y).isNotNull() & (F.col(mean) > 0)).groupBy(group, y, mean).agg(F.count(F.lit(1)).alias("n"))
+    r, mu, k = 1 / F.col("alpha"), F.col(mean), F.col(y)
+    fact = F.ln(F.factorial(y).cast("double"))
+    poisson = k * F.ln(mu) - mu - fact
+    negative = log_rising(k, r) - fact + r * F.ln(r / (r + mu)) + k * F.ln(mu / (r + mu))
+    mean_of = lambda ll: F.round(F.sum(ll * F.col("n")) / F.sum("n"), 9)
+    by = small.join(F.broadcast(fitted.select(group, "alpha")), group).groupBy(group).agg(mean_of(poisson).alias("poisson"), mean_of(negative).alias("negbin"))  # one row per group
+    return by.withColumn("family", F.when(F.col("negbin") > F.col("poisson"), "negbin").otherwise("poisson"))
+
+
+def held_out_losses(df: DataFrame, result: str, routes: dict[str, Sequence[Column]]) -> DataFrame:
+    """(route, loss): mean log loss of each route's home, draw and away probabilities."""
+    one = lambda p: F.avg(-F.ln(F.element_at(F.array(*p), F.col(result) + 1) + LEAST_PROB))
+    row = df.agg(*[one(p).alias(n) for n, p in routes.items()])
+    return row.unpivot([], list(routes), "route", "loss")
+
+
 def fit_elo(df: DataFrame, diff: str, result: str, hfa: Sequence[float], c: Sequence[float], s: Sequence[float]) -> DataFrame:
     """One row: the map parameters of least mean log loss, ties to the smallest; call again around it to refine."""
     grid = df.sparkSession.createDataFrame([tuple(map(float, x)) for x in product(hfa, c, s)], "hfa double, c double, s double")

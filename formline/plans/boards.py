@@ -253,6 +253,34 @@ def e9_e10_baselines_and_gate(spark, d):
     return m.select("kind", r6("last5").alias("last5"), r6("flat").alias("flat"), (F.col("last5") <= F.col("flat") * 1.2).alias("accepted"))
 
 
+_GATE = _PRED + """, y AS (SELECT kind, round, actual, unnest(['new', 'old']) AS model, unnest([predicted, minutes::DOUBLE]) AS p FROM x),
+r AS (SELECT *, rank() OVER (PARTITION BY kind, model, round ORDER BY p) + (count(*) OVER (PARTITION BY kind, model, round, p) - 1) / 2 AS a,
+             rank() OVER (PARTITION BY kind, model, round ORDER BY actual) + (count(*) OVER (PARTITION BY kind, model, round, actual) - 1) / 2 AS b FROM y),
+g AS (SELECT kind, model, round, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM r GROUP BY ALL),
+sp AS (SELECT kind, model, avg(rho) AS spearman FROM g GROUP BY ALL),
+m AS (SELECT kind, model, avg(abs(p - actual)) AS mae, avg(pow(p / (p + 40) - (actual >= 50)::INT, 2)) AS brier, sqrt(avg(pow(p - actual, 2)) FILTER (actual >= 80)) AS tail_rmse FROM y GROUP BY ALL),
+w AS (SELECT n.kind, n.mae AS n_mae, o.mae AS o_mae, n.brier AS n_brier, o.brier AS o_brier, n.tail_rmse AS n_tail, o.tail_rmse AS o_tail, ns.spearman AS n_sp, os.spearman AS o_sp,
+             (n.kind IN ('click', 'view')) = (n.kind <> 'view') AS agree
+      FROM m n JOIN m o ON o.kind = n.kind AND o.model = 'old' JOIN sp ns ON ns.kind = n.kind AND ns.model = 'new' JOIN sp os ON os.kind = n.kind AND os.model = 'old' WHERE n.model = 'new'),
+z AS (SELECT bool_or(kind = 'click' AND n_sp > o_sp - 0.02) AS a, coalesce(bool_and(n_tail < o_tail) FILTER (agree), false) AS b, bool_or(kind = 'click' AND n_brier < o_brier) AS c, bool_or(kind = 'click' AND n_mae < o_mae + 0.05) AS d FROM w)"""
+
+
+@query(f"""WITH {_GATE} SELECT unnest(['spearman_tolerance', 'tail_rmse', 'haul_calibration', 'mae_tolerance', 'all']) AS "check", unnest([a, b, c, d, a AND b AND c AND d]) AS passed FROM z""")
+def e9_acceptance_gate(spark, d):
+    """The last-five average against minutes as a prediction, kinds as folds; the late rule is said to be in some of them."""
+    x = _pred(spark, d)
+    models = F.array(F.struct(F.lit("new").alias("model"), F.col("predicted").alias("p")), F.struct(F.lit("old").alias("model"), F.col("minutes").cast("double").alias("p")))
+    y = x.select("kind", "round", "actual", F.explode(models).alias("m")).select("kind", "round", "actual", "m.*").withColumns({"q": F.col("p") / (F.col("p") + 40), "hit": F.col("actual") >= 50})
+    keys = ["kind", "model"]
+    tail = E.tail_metrics(y, keys, "p", "actual", [80], least=1).select(*keys, F.col("rmse").alias("tail_rmse"))
+    metrics = (
+        E.point_metrics(y, keys, "p", "actual").select(*keys, "mae").join(E.spearman(y, keys, "round", "p", "actual").select(*keys, "spearman"), keys, "left")
+        .join(E.probability_metrics(y, keys, "q", "hit").select(*keys, "brier"), keys).join(tail, keys, "left")
+        .withColumns({"rule_in_test": F.col("kind").isin("click", "view"), "rule_fitted": F.col("kind") != "view"})
+    )
+    return E.acceptance(metrics, "kind", "model", "new", "old", "click", 0.05, 0.02)
+
+
 @query(f"""WITH {_PRED}, h AS (SELECT kind, avg(abs(predicted - actual)) AS a, avg(abs(minutes - actual)) AS b FROM x WHERE event_id % 2 = 1 GROUP BY kind) SELECT kind, CASE WHEN a <= b THEN 'predicted' ELSE 'minutes' END AS route, round(least(a, b), 6) AS mae FROM h""")
 def e11_best_route(spark, d):
     held = _pred(spark, d).where("event_id % 2 = 1").withColumn("minutes", F.col("minutes").cast("double"))
@@ -269,6 +297,21 @@ def e12_leakage_audit(spark, d):
     return E.differing(made(f), made(later), "event_id", ["avg3", "sum10", "ewm3"]).select("feature", "n_changed")
 
 
+@query("""WITH {f}, g AS (SELECT event_id, ts, entity, points, CASE WHEN ts > TIMESTAMP '2024-01-15' THEN points * 3 + 7 ELSE points END AS later FROM f),
+v AS (SELECT ts, avg(points) OVER own AS a, avg(later) OVER own AS b, avg(points) OVER ahead AS c, avg(later) OVER ahead AS d FROM g
+      WINDOW own AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)),
+c AS (SELECT count(*) FILTER (abs(a - b) > 1e-9) AS own, count(*) FILTER (abs(c - d) > 1e-9) AS ahead FROM v WHERE ts <= TIMESTAMP '2024-01-15')
+SELECT unnest(['own_row', 'next_row']) AS feature, unnest([own, ahead])::BIGINT AS n_changed FROM c""")
+def e12_leaking_feature(spark, d):
+    """The audit must find a feature whose window reaches the next row, and clear one that ends at its own."""
+    f = fact(spark, d)
+    cut = F.lit("2024-01-15").cast("timestamp")
+    later = f.withColumn("points", F.when(F.col("ts") > cut, F.col("points") * 3 + 7).otherwise(F.col("points")))
+    w = W.over(K, O)
+    made = lambda x: x.select("event_id", "ts", F.avg("points").over(w.rowsBetween(-2, 0)).alias("own_row"), F.avg("points").over(w.rowsBetween(-2, 1)).alias("next_row")).where(F.col("ts") <= cut)
+    return E.differing(made(f), made(later), "event_id", ["own_row", "next_row"]).select("feature", "n_changed")
+
+
 @query("WITH {f}, m AS (SELECT avg(points) FILTER (kind = 'click') AS a, avg(points) FILTER (kind = 'view') AS b FROM f) SELECT round(a, 6) AS a, round(b, 6) AS b, a > 3 * b AS sane FROM m")
 def e13_rate_sanity(spark, d):
     m = fact(spark, d).agg(F.avg(F.when(F.col("kind") == "click", F.col("points"))).alias("a"), F.avg(F.when(F.col("kind") == "view", F.col("points"))).alias("b"))

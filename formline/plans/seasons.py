@@ -113,3 +113,36 @@ def a27_fit_elo_map(spark, d):
 
     g = table(spark, d, "orders").select((F.col("o_totalprice") / 1000 - 200).alias("diff"), (F.col("o_orderkey") % 3).cast("int").alias("res"))
     return fits.fit_elo(g, "diff", "res", [0.0, 50.0, 100.0], [0.2, 0.27, 0.33], [150.0, 270.0])
+
+
+_COUNTS = """g AS (SELECT l_linenumber % 4 + 1 AS position, l_orderkey, floor(l_quantity / 10)::INTEGER AS y, 2.0 + l_discount * 10 AS mu FROM lineitem), a AS (SELECT unnest([0.02, 0.1, 0.3, 1.0]) AS alpha),
+l AS (SELECT position, alpha, sum(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))) AS ll, count(*) AS n FROM g, a WHERE l_orderkey % 5 <> 0 GROUP BY ALL),
+b AS (SELECT position, arg_max(alpha, ll) AS alpha FROM l GROUP BY position HAVING max(n) >= 500)"""
+
+
+@query(f"""WITH {_COUNTS}, h AS (SELECT position, round(avg(y * ln(mu) - mu - lgamma(y + 1)), 9) AS po,
+ round(avg(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))), 9) AS nb FROM g JOIN b USING (position) WHERE l_orderkey % 5 = 0 GROUP BY position)
+SELECT position::INTEGER AS position, round(po, 6) AS poisson, round(nb, 6) AS negbin, CASE WHEN nb > po THEN 'negbin' ELSE 'poisson' END AS family FROM h""")
+def a26_choose_family(spark, d):
+    """Dispersion fitted on four fifths of the orders, the family chosen on the rest."""
+    from formline.plans.tables import table
+
+    g = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 4 + 1).cast("int").alias("position"), F.floor(F.col("l_quantity") / 10).cast("int").alias("y"), (2.0 + F.col("l_discount") * 10).alias("mu"))
+    held = F.col("l_orderkey") % 5 == 0
+    fitted = fits.fit_dispersion(g.where(~held), "position", "y", "mu", [0.02, 0.1, 0.3, 1.0])
+    return fits.choose_family(g.where(held), fitted, "position", "y", "mu").select("position", r6("poisson").alias("poisson"), r6("negbin").alias("negbin"), "family")
+
+
+@query("""WITH g AS (SELECT (o_totalprice / 1000 - 200) AS diff, o_orderkey % 3 AS res, 1.5 + o_orderkey % 7 / 2 AS h, 3.0 + o_orderkey % 3 / 4 AS d, 1.8 + o_orderkey % 5 AS a FROM orders WHERE o_orderkey % 4 = 0),
+e AS (SELECT *, greatest(least(0.27 * exp(-pow(diff + 50, 2) / (2 * 270 * 270)), 0.6), 1e-6) AS ed, 1 / (1 + pow(10, -(diff + 50) / 400)) AS s FROM g), f AS (SELECT *, greatest(s - ed / 2, 1e-6) AS eh FROM e), x AS (SELECT *, greatest(1 - eh - ed, 1e-6) AS ea FROM f)
+SELECT 'elo' AS route, round(avg(-ln(CASE res WHEN 0 THEN eh WHEN 1 THEN ed ELSE ea END / (eh + ed + ea) + 1e-6)), 6) AS loss FROM x
+UNION ALL SELECT 'odds', round(avg(-ln(CASE res WHEN 0 THEN 1 / h WHEN 1 THEN 1 / d ELSE 1 / a END / (1 / h + 1 / d + 1 / a) + 1e-6)), 6) FROM x""")
+def a27_held_out_losses(spark, d):
+    """Held-out log loss of the rating map against what the odds imply."""
+    from formline.operators import scoring as S
+    from formline.plans.tables import table
+
+    k = F.col("o_orderkey")
+    g = table(spark, d, "orders").where(k % 4 == 0).select((F.col("o_totalprice") / 1000 - 200).alias("diff"), (k % 3).cast("int").alias("res"), (1.5 + k % 7 / 2).alias("h"), (3.0 + k % 3 / 4).alias("dr"), (1.8 + (k % 5)).alias("a"))
+    routes = {"elo": S.elo_probabilities(F.col("diff"), 50.0, 0.27, 270.0), "odds": S.implied(F.col("h"), F.col("dr"), F.col("a"))}
+    return fits.held_out_losses(g, "res", routes).select("route", r6("loss").alias("loss"))
