@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKET_SECONDS = 30 * 86_400
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, right_ts: str, values: Sequence[str], exact: bool = True,
-              tie: Sequence[str] = (), bucket_seconds: int | None = None) -> DataFrame:
+              tie: Sequence[str] = (), bucket_seconds: int | None = BUCKET_SECONDS) -> DataFrame:
     """Each left row with the latest right row of its keys at or before (``exact``) or before its time.
 
     The matched row is taken whole: its null values stay null.  Left rows with a null key or time get
-    nulls.  ``tie`` orders right rows of one time, the last winning.  With ``bucket_seconds`` a hot key
-    is cut into time buckets: each bucket starts from the last right row of the buckets before it,
-    which come from one small aggregate, so no key has to be sorted in one task.
+    nulls.  ``tie`` orders right rows of one time, the last winning.  Keys are cut into time buckets:
+    each bucket starts from the last right row of the buckets before it, which come from one small
+    aggregate, so no key has to be sorted in one task.  Without ``bucket_seconds`` a key is sorted whole.
     """
     names = left.columns
     row = F.struct(*[F.col(right_ts).alias("_rts"), *values])
@@ -26,12 +28,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, r
     part = [f"_k{i}" for i in range(len(keys))]
     both = own.unionByName(other)
     if bucket_seconds:
-        both = both.withColumn("_b", F.floor(F.unix_seconds("_t") / bucket_seconds))
+        both = both.withColumn("_b", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / bucket_seconds))
     order = ["_t", "_side", *[f"_o{i}" for i in range(len(tie))]]
     w = Window.partitionBy(*part, *(["_b"] if bucket_seconds else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
     if bucket_seconds:
-        ends = other.withColumn("_b", F.floor(F.unix_seconds("_t") / bucket_seconds)).groupBy(*part, "_b").agg(F.max_by("_right", F.struct(*order)).alias("_right"))
+        ends = other.withColumn("_b", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / bucket_seconds)).groupBy(*part, "_b").agg(F.max_by("_right", F.struct(*order)).alias("_right"))
         spine = both.select(*part, "_b").distinct().join(ends, [*part, "_b"], "left")
         seed = F.last("_right", ignorenulls=True).over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
         seeds = spine.withColumn("_seed", seed).select(*part, "_b", "_seed")

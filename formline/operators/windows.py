@@ -32,20 +32,37 @@ def rolling_rate(value: Column, exposure: Column, keys: Names, order: Names, row
     return F.when(total.isNotNull(), F.sum(value).over(frame) / F.greatest(total, F.lit(1)) * per)
 
 
-def lagged_ewma(value: Column, keys: Names, order: Names, half_life: float) -> Column:
-    """Exponentially weighted mean of earlier rows; nulls weigh nothing but still age what is before them.
+def with_lagged_ewma(df: DataFrame, value: Column, keys: Names, order: Names, half_lives: dict[str, float]) -> DataFrame:
+    """Adds, per name, the exponentially weighted mean of earlier rows by half-life; nulls weigh nothing but still age what is before them.
 
-    Weights under 2**-60 vanish, so a frame of 60 half-lives is exact to double precision, and the
-    exponent is rebased to the frame: no series is too long.
+    A series is cut into segments of 64 half-lives, inside which 2 ** (place / half-life) stays in double
+    precision: prefix sums give numerator and denominator, and the last two earlier segments with any value
+    are carried in, faded by their distance.  What is further back weighs under 2 ** -64 of that and vanishes.
+    All windows of a half-life are by the keys: one shuffle, and no row looks at more than running sums.
     """
-    frame = over(keys, order).rowsBetween(-int(60 * half_life) - 1, -1)
-    values = F.collect_list(F.struct(value.cast("double").alias("x"))).over(frame)
-    decay = float(2.0 ** (-1.0 / half_life))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    step = lambda a, r: F.struct(
-        (a["s"] * decay + F.coalesce(r["x"], F.lit(0.0))).alias("s"), (a["w"] * decay + F.when(r["x"].isNull(), 0.0).otherwise(1.0)).alias("w")
-    )
-    return F.aggregate(values, start, step, lambda a: F.when(a["w"] > 0, a["s"] / F.when(a["w"] > 0, a["w"])))
+    made = df.withColumns({"_x": value.cast("double"), "_i": F.row_number().over(over(keys, order)) - 1})
+    for name, half_life in half_lives.items():
+        size = max(int(64 * half_life), 1)
+        segment, place = F.floor(F.col("_i") / size), F.col("_i") % size
+        weight = F.when(F.col("_x").isNotNull(), F.pow(F.lit(2.0), place / half_life))
+        made = made.withColumns({"_g": segment, "_w": weight})
+        inside = Window.partitionBy(*keys, "_g").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*keys, "_g").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        made = made.withColumns({
+            "_s": zero(F.sum(F.col("_x") * F.col("_w")).over(inside)), "_n": zero(F.sum("_w").over(inside)),
+            "_t": F.when(F.sum("_w").over(whole) > 0, F.struct("_g", F.sum(F.col("_x") * F.col("_w")).over(whole).alias("s"), F.sum("_w").over(whole).alias("n"))),
+        })
+        earlier = Window.partitionBy(*keys).orderBy("_g").rangeBetween(Window.unboundedPreceding, -1)
+        fade = F.pow(F.lit(2.0), (F.col("_c._g") - F.col("_g")) * F.lit(size / half_life))
+        with_carried = lambda c, d, f: c + F.coalesce(F.col(f"_c.{d}") * f, F.lit(0.0))
+        made = made.withColumn("_c", F.last("_t", ignorenulls=True).over(earlier))
+        both = F.struct("_g", *[with_carried(F.col(f"_t.{d}"), d, fade).alias(d) for d in "sn"])  # a segment may hold values at its start only
+        made = made.withColumn("_t", F.when(F.col("_t").isNotNull(), both)).withColumn("_c", F.last("_t", ignorenulls=True).over(earlier))
+        alone = F.when(F.col("_n") > 0, fade).otherwise(1.0)  # where nothing else counts the scale cancels
+        s, n = with_carried(F.col("_s"), "s", alone), with_carried(F.col("_n"), "n", alone)
+        made = made.withColumn(name, F.when(n > 0, s / F.when(n > 0, n))).drop("_g", "_w", "_s", "_n", "_t", "_c")
+    return made.drop("_x", "_i")
 
 
 def season_to_date(value: Column, keys: Names, order: Names) -> Column:
@@ -109,15 +126,63 @@ def average_rank(value: str, keys: Names) -> Column:
 
 def rating(value: str, keys: Names, labels: Sequence[tuple[float, str]] = ((0.90, "excellent"), (0.65, "good"), (0.35, "average")), lowest: str = "poor") -> Column:
     """Label by average rank over group size."""
-    share = average_rank(value, keys) / F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return labelled(average_rank(value, keys) / F.count(F.lit(1)).over(Window.partitionBy(*keys)), labels, lowest)
+
+
+def _spread(df: DataFrame, value: str, parts: int) -> DataFrame:
+    """Adds ``_b``, the number of about evenly spaced approximate quantiles below the value: a range partition without a sort."""
+    probs = F.array(*[F.lit(i / parts) for i in range(1, max(parts, 2))])
+    edges = df.agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(1000))).alias("_edges"))
+    below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
+    return df.crossJoin(F.broadcast(edges)).withColumn("_b", below).drop("_edges")  # one row
+
+
+def _running(counts: DataFrame, value: str, parts: int) -> DataFrame:
+    """(value, n, before): rows before each distinct value, from counts by value; ranges sum by themselves, their totals are a short table."""
+    ranged = _spread(counts, value, parts)
+    totals = ranged.groupBy("_b").agg(F.sum("n").alias("_n"))  # at most ``parts`` rows
+    starts = totals.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.sum("n").over(Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "_b").select(value, "n", (F.col("_start") + F.col("_inside")).alias("before"))
+
+
+def rank_share(df: DataFrame, value: str, out: str = "share", parts: int = 64) -> DataFrame:
+    """Adds the average rank of the value over the number of rows with one, over the whole table; null stays null.
+
+    Ranges of values are ranked beside each other, so no task sorts the table.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    every = df.agg(F.count(value).alias("_all"))
+    share = _running(counts, value, parts).crossJoin(F.broadcast(every)).select(value, ((F.col("before") + (F.col("n") + 1) / 2) / F.col("_all")).alias(out))  # one row
+    return df.join(share, value, "left").select(*df.columns, out)
+
+
+def labelled(share: Column, labels: Sequence[tuple[float, str]] = ((0.90, "excellent"), (0.65, "good"), (0.35, "average")), lowest: str = "poor") -> Column:
+    """The label of the highest bound that the share reaches."""
     out = F.lit(lowest)
     for bound, label in reversed(labels):
         out = F.when(share >= bound, F.lit(label)).otherwise(out)
     return out
 
 
+def quantile_edges(df: DataFrame, value: str, probs: Sequence[float], parts: int = 64) -> DataFrame:
+    """One row: the distinct linear-interpolated quantiles of a column, ascending; nulls are left out.
+
+    Exact: rows are counted by value, the counts run along ranges of values, and only the values at the
+    quantiles' places (two for each) come together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
+    place = lambda p: F.lit(float(p)) * (F.col("_all") - 1)
+    wanted = F.array(*[f(place(p)) for p in probs for f in (F.floor, F.ceil)])
+    rows = _running(counts, "v", parts).crossJoin(F.broadcast(every.withColumn("_at", wanted)))  # one row
+    hit = F.filter("_at", lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
+    found = rows.select("v", "_all", F.explode(F.array_distinct(hit)).alias("k")).agg(F.max("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # two places for each quantile
+    at = lambda p: F.try_element_at("m", F.floor(place(p))) + (F.try_element_at("m", F.ceil(place(p))) - F.try_element_at("m", F.floor(place(p)))) * (place(p) - F.floor(place(p)))
+    return found.select(F.array_distinct(F.array_compact(F.array(*[at(p) for p in probs]))).alias("edges"))
+
+
 def quantile_buckets(df: DataFrame, value: str, probs: Sequence[float], out: str = "bucket") -> DataFrame:
-    """The number of distinct quantile edges at or below each value; the edges are one row, found in one aggregate."""
-    edges = df.agg(F.array_distinct(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs]))).alias("_edges"))
-    joined = df.crossJoin(F.broadcast(edges))  # one row
-    return joined.withColumn(out, F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+    """The number of distinct quantile edges at or below each value."""
+    joined = df.crossJoin(F.broadcast(quantile_edges(df, value, probs)))  # one row
+    return joined.withColumn(out, F.size(F.filter("edges", lambda e: e <= F.col(value)))).drop("edges")

@@ -293,7 +293,8 @@ def e12_leakage_audit(spark, d):
     f = fact(spark, d)
     cut = F.lit("2024-01-15").cast("timestamp")
     later = f.withColumn("points", F.when(F.col("ts") > cut, F.col("points") * 3 + 7).otherwise(F.col("points")))
-    made = lambda x: x.select("event_id", "ts", W.rolling(F.col("points"), K, O, 3).alias("avg3"), W.rolling(F.col("points"), K, O, 10, "sum").alias("sum10"), W.lagged_ewma(F.col("points"), K, O, 3).alias("ewm3")).where(F.col("ts") <= cut)
+    rolled = {"avg3": W.rolling(F.col("points"), K, O, 3), "sum10": W.rolling(F.col("points"), K, O, 10, "sum")}
+    made = lambda x: W.with_lagged_ewma(x, F.col("points"), K, O, {"ewm3": 3}).withColumns(rolled).where(F.col("ts") <= cut)
     return E.differing(made(f), made(later), "event_id", ["avg3", "sum10", "ewm3"]).select("feature", "n_changed")
 
 

@@ -24,9 +24,7 @@ def slice_top_form(spark, d):
         F.avg(F.when(F.col("rn") <= 5, F.col("points"))).alias("form"), F.sum(F.when(F.col("rn") <= 5, F.col("minutes"))).alias("mins"),
         F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("o"), "points"))).alias("r"),
     )
-    per = per.where("mins >= 90").withColumn("all", F.lit(1))
-    # Ranks over all entities are the feature here: one small row per entity.
-    rated = per.withColumn("rating", W.rating("form", ["all"]))
+    rated = W.rank_share(per.where("mins >= 90"), "form").withColumn("rating", W.labelled(F.col("share")))
     recent = F.array_join(F.transform("r", lambda x: F.format_string("%.2f", x["points"])), ";")
     return rated.select("entity", r6("form").alias("form"), recent.alias("recent"), "mins", "rating").orderBy(F.desc("form"), "entity").limit(20)
 
@@ -71,7 +69,8 @@ SELECT event_id, round(sum(p * pow(2, i / 3.0)) OVER w / sum(CASE WHEN p IS NOT
 WINDOW w AS (PARTITION BY entity ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def w6_lagged_ewma(spark, d):
     p = F.when(F.col("minutes") >= 10, F.col("points"))
-    return fact(spark, d).select("event_id", r6(W.lagged_ewma(p, K, O, 3)).alias("ewm3"), r6(W.lagged_ewma(p, K, O, 8)).alias("ewm8"))
+    made = W.with_lagged_ewma(fact(spark, d), p, K, O, {"ewm3": 3, "ewm8": 8})
+    return made.select("event_id", r6("ewm3").alias("ewm3"), r6("ewm8").alias("ewm8"))
 
 
 @query("""WITH {f}, g AS (SELECT *, CASE WHEN minutes >= 10 THEN points END AS p FROM f)

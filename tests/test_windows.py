@@ -36,13 +36,42 @@ def test_rolling(frame, w, least):
 def test_ewma(frame, half_life):
     pdf, df = frame
     want = by_key(pdf, lambda s: s.shift(1).ewm(halflife=half_life, min_periods=1).mean())
-    have = got(df, W.lagged_ewma(F.col("x"), ["k"], ["t"], half_life))
-    np.testing.assert_allclose(have[~np.isnan(want)], want[~np.isnan(want)])
+    have = W.with_lagged_ewma(df, F.col("x"), ["k"], ["t"], {"v": half_life}).toPandas().sort_values("t").v.to_numpy()
+    np.testing.assert_allclose(have, want)
 
 
-def test_long_series_does_not_overflow(spark):
-    df = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("t"), (F.col("id") % 7).cast("double").alias("x"))
-    assert df.select(W.lagged_ewma(F.col("x"), ["k"], ["t"], 3).alias("v")).where("isnan(v) or v > 7").count() == 0
+def test_ewma_of_long_series(spark):
+    """Over many segments, with a stretch of nulls longer than any weight reaches."""
+    x = np.random.default_rng(1).standard_normal(3000)
+    x[np.random.default_rng(2).random(3000) < 0.3] = np.nan
+    x[700:1900] = np.nan
+    rows = [(i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "t long, x double").withColumn("k", F.lit(1))
+    have = W.with_lagged_ewma(df, F.col("x"), ["k"], ["t"], {"a": 3, "b": 1.5}).toPandas().sort_values("t")
+    for name, half_life in (("a", 3), ("b", 1.5)):
+        s = w = 0.0
+        want = []
+        for v in x:
+            want.append(s / w if w > 0 else np.nan)
+            s, w = s * 2 ** (-1 / half_life), w * 2 ** (-1 / half_life)
+            if w and w < 1e-250:  # rescale: only the ratio counts
+                s, w = s * 1e200, w * 1e200
+            if not np.isnan(v):
+                s, w = s + v, w + 1
+        np.testing.assert_allclose(have[name].to_numpy()[:1901], np.array(want)[:1901], rtol=1e-9)
+        np.testing.assert_allclose(have[name].to_numpy()[2100:], pd.Series(x).shift(1).ewm(halflife=half_life, min_periods=1).mean().to_numpy()[2100:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_rank_share_and_quantile_edges(spark, parts):
+    x = np.random.default_rng(3).integers(0, 40, 500).astype(float)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(900, None)], "t long, x double").repartition(5)
+    have = W.rank_share(df, "x", parts=parts).toPandas().sort_values("t")
+    np.testing.assert_allclose(have.share.to_numpy()[:500], pd.Series(x).rank(pct=True).to_numpy())
+    assert np.isnan(have.share.to_numpy()[500])
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    np.testing.assert_allclose(W.quantile_edges(df, "x", probs, parts).first().edges, np.unique(np.quantile(x, probs)))
+    assert W.rank_share(df.limit(0), "x").count() == 0 and W.quantile_edges(df.limit(0), "x", probs).first().edges in ([], None)
 
 
 def test_season_to_date(frame):
