@@ -12,10 +12,13 @@ K, O = ["entity"], ["ts", "event_id"]
 
 
 @query("""WITH {f}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) AS rn FROM f),
-a AS (SELECT entity, avg(points) FILTER (rn <= 5) AS form, list(points ORDER BY rn DESC) FILTER (rn <= 10) AS recent, sum(minutes) FILTER (rn <= 5) AS mins FROM r GROUP BY entity),
-b AS (SELECT entity, CASE WHEN mins >= 90 THEN form END AS form, array_to_string(list_transform(recent, lambda x: printf('%.2f', x)), ';') AS recent, mins FROM a),
+a AS (SELECT entity, avg(points) FILTER (rn <= 5) AS form, list(points ORDER BY rn DESC) FILTER (rn <= 10) AS recent,
+  sum(minutes) FILTER (rn <= 5) AS mins FROM r GROUP BY entity),
+b AS (SELECT entity, CASE WHEN mins >= 90 THEN form END AS form, array_to_string(list_transform(recent, lambda x: printf('%.2f', x)), ';') AS recent,
+  mins FROM a),
 c AS (SELECT *, (rank() OVER (ORDER BY form) + (count(*) OVER (PARTITION BY form) - 1) / 2) / count(*) OVER () AS pct FROM b WHERE form IS NOT NULL)
-SELECT entity, round(form, 6) AS form, recent, mins::BIGINT AS mins, CASE WHEN pct >= 0.9 THEN 'excellent' WHEN pct >= 0.65 THEN 'good' WHEN pct >= 0.35 THEN 'average' ELSE 'poor' END AS rating
+SELECT entity, round(form, 6) AS form, recent, mins::BIGINT AS mins,
+  CASE WHEN pct >= 0.9 THEN 'excellent' WHEN pct >= 0.65 THEN 'good' WHEN pct >= 0.35 THEN 'average' ELSE 'poor' END AS rating
 FROM c ORDER BY form DESC, entity LIMIT 20""")
 def slice_top_form(spark, d):
     """The flagship: recent form with a minimum sample, the last ten values, a rating, the best twenty."""
@@ -36,36 +39,45 @@ def w1_lagged_rolling(spark, d):
 
 
 @query("""WITH {f}, g AS (SELECT *, CASE WHEN minutes >= 20 THEN points END AS p FROM f)
-SELECT event_id, round(CASE WHEN count(p) OVER w6 >= 3 THEN avg(p) OVER w6 END, 6) AS r6, round(CASE WHEN count(p) OVER w10 >= 5 THEN avg(p) OVER w10 END, 6) AS r10 FROM g
-WINDOW w6 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+SELECT event_id, round(CASE WHEN count(p) OVER w6 >= 3 THEN avg(p) OVER w6 END, 6) AS r6,
+  round(CASE WHEN count(p) OVER w10 >= 5 THEN avg(p) OVER w10 END, 6) AS r10 FROM g
+WINDOW w6 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW),
+  w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def w2_inclusive_rolling(spark, d):
     p = F.when(F.col("minutes") >= 20, F.col("points"))
     return fact(spark, d).select("event_id", r6(W.rolling(p, K, O, 6, min_obs=3, lagged=False)).alias("r6"), r6(W.rolling(p, K, O, 10, min_obs=5, lagged=False)).alias("r10"))
 
 
 @query("""WITH {f}, g AS (SELECT *, CASE WHEN minutes >= 20 THEN points END AS p, CASE WHEN minutes >= 20 THEN (points < 10)::INT::DOUBLE END AS low FROM f)
-SELECT event_id, round(CASE WHEN count(p) OVER w6 >= 2 THEN avg(p) OVER w6 END, 6) AS p6, round(CASE WHEN count(low) OVER w10 >= 3 THEN avg(low) OVER w10 END, 6) AS low10 FROM g
-WINDOW w6 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
+SELECT event_id, round(CASE WHEN count(p) OVER w6 >= 2 THEN avg(p) OVER w6 END, 6) AS p6,
+  round(CASE WHEN count(low) OVER w10 >= 3 THEN avg(low) OVER w10 END, 6) AS low10 FROM g
+WINDOW w6 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING),
+  w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def w3_lagged_rolling_min_obs(spark, d):
     p = F.when(F.col("minutes") >= 20, F.col("points"))
     low = F.when(p.isNotNull(), (p < 10).cast("double"))
     return fact(spark, d).select("event_id", r6(W.rolling(p, K, O, 6, min_obs=2)).alias("p6"), r6(W.rolling(low, K, O, 10, min_obs=3)).alias("low10"))
 
 
-@query("""WITH {f} SELECT event_id, round(sum(points) OVER w5 / greatest(sum(minutes) OVER w5, 1) * 90, 6) AS per90_5, round(sum(points) OVER w10 / greatest(sum(minutes) OVER w10, 1) * 90, 6) AS per90_10 FROM f
-WINDOW w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
+@query("""WITH {f} SELECT event_id, round(sum(points) OVER w5 / greatest(sum(minutes) OVER w5, 1) * 90, 6) AS per90_5,
+  round(sum(points) OVER w10 / greatest(sum(minutes) OVER w10, 1) * 90, 6) AS per90_10 FROM f
+WINDOW w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+  w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def w4_rolling_per90(spark, d):
     return fact(spark, d).select("event_id", r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 5)).alias("per90_5"), r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 10)).alias("per90_10"))
 
 
-@query("""WITH {f} SELECT event_id, round(sum(points) OVER w5 / greatest(sum(minutes) OVER w5, 1) * 90, 6) AS rate5, round(sum(points) OVER w20 / greatest(sum(minutes) OVER w20, 1) * 90, 6) AS rate20 FROM f
-WINDOW w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+@query("""WITH {f} SELECT event_id, round(sum(points) OVER w5 / greatest(sum(minutes) OVER w5, 1) * 90, 6) AS rate5,
+  round(sum(points) OVER w20 / greatest(sum(minutes) OVER w20, 1) * 90, 6) AS rate20 FROM f
+WINDOW w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+  w20 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def w5_inclusive_rates(spark, d):
     return fact(spark, d).select("event_id", r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 5, lagged=False)).alias("rate5"), r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 20, lagged=False)).alias("rate20"))
 
 
 @query("""WITH {f}, g AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS i, CASE WHEN minutes >= 10 THEN points END AS p FROM f)
-SELECT event_id, round(sum(p * pow(2, i / 3.0)) OVER w / sum(CASE WHEN p IS NOT NULL THEN pow(2, i / 3.0) END) OVER w, 6) AS ewm3, round(sum(p * pow(2, i / 8.0)) OVER w / sum(CASE WHEN p IS NOT NULL THEN pow(2, i / 8.0) END) OVER w, 6) AS ewm8 FROM g
+SELECT event_id, round(sum(p * pow(2, i / 3.0)) OVER w / sum(CASE WHEN p IS NOT NULL THEN pow(2, i / 3.0) END) OVER w, 6) AS ewm3,
+  round(sum(p * pow(2, i / 8.0)) OVER w / sum(CASE WHEN p IS NOT NULL THEN pow(2, i / 8.0) END) OVER w, 6) AS ewm8 FROM g
 WINDOW w AS (PARTITION BY entity ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def w6_lagged_ewma(spark, d):
     p = F.when(F.col("minutes") >= 10, F.col("points"))
@@ -81,14 +93,16 @@ def w7_season_to_date(spark, d):
 
 
 @query("""WITH {f}, g AS (SELECT *, CASE WHEN minutes >= 10 THEN points END AS p FROM f),
-h AS (SELECT event_id, coalesce(sum(CASE WHEN p IS NOT NULL THEN minutes END) OVER w, 0) AS seen, sum(p) OVER w AS s FROM g WINDOW w AS (PARTITION BY entity, kind ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+h AS (SELECT event_id, coalesce(sum(CASE WHEN p IS NOT NULL THEN minutes END) OVER w, 0) AS seen, sum(p) OVER w AS s FROM g
+  WINDOW w AS (PARTITION BY entity, kind ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT event_id, seen::BIGINT AS seen, round(s / nullif(seen, 0) * 90, 6) AS rate FROM h""")
 def w8_rate_to_date(spark, d):
     rate, seen = W.rate_to_date(F.when(F.col("minutes") >= 10, F.col("points")), F.col("minutes"), ["entity", "kind"], O)
     return fact(spark, d).select("event_id", seen.cast("long").alias("seen"), r6(rate).alias("rate"))
 
 
-@query("""WITH {f}, g AS (SELECT event_id, coalesce(sum((minutes > 60)::INT) OVER (PARTITION BY entity, round ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM f)
+@query("""WITH {f}, g AS (SELECT event_id, coalesce(sum((minutes > 60)::INT) OVER (PARTITION BY entity, round ORDER BY ts,
+  event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM f)
 SELECT event_id, n::BIGINT AS n, (CASE WHEN n < 5 THEN 5 - n WHEN n < 10 THEN 10 - n WHEN n < 15 THEN 15 - n ELSE 4 END)::DOUBLE AS gap FROM g""")
 def w10_p17_suspension_gap(spark, d):
     from formline.functions.numeric import gap_to_next
@@ -97,26 +111,32 @@ def w10_p17_suspension_gap(spark, d):
     return fact(spark, d).select("event_id", n.alias("n")).select("event_id", "n", gap_to_next(F.col("n"), (5, 10, 15), 4.0).alias("gap"))
 
 
-@query("""WITH {f} SELECT event_id, CASE WHEN lag(kind) OVER w IS NULL THEN 1.0 ELSE (lag(kind) OVER w <> kind)::INT END::DOUBLE AS new_kind, CASE WHEN lag(round) OVER w IS NULL THEN 1.0 ELSE (lag(round) OVER w <> round)::INT END::DOUBLE AS new_round FROM f WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)""")
+@query("""WITH {f} SELECT event_id, CASE WHEN lag(kind) OVER w IS NULL THEN 1.0 ELSE (lag(kind) OVER w <> kind)::INT END::DOUBLE AS new_kind,
+  CASE WHEN lag(round) OVER w IS NULL THEN 1.0 ELSE (lag(round) OVER w <> round)::INT END::DOUBLE AS new_round FROM f
+  WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)""")
 def w11_change_flags(spark, d):
     return fact(spark, d).select("event_id", W.changed(F.col("kind"), K, O).alias("new_kind"), W.changed(F.col("round"), K, O).alias("new_round"))
 
 
 @query("""WITH {f} SELECT event_id, coalesce(lag((minutes >= 60)::INT::DOUBLE) OVER w, 0.0) AS started_last,
-round(avg((minutes >= 60)::INT) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS start5, round(avg((minutes >= 60)::INT) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS start10,
-round(avg((minutes > 0)::INT) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS played5 FROM f WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)""")
+round(avg((minutes >= 60)::INT) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS start5,
+  round(avg((minutes >= 60)::INT) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS start10,
+round(avg((minutes > 0)::INT) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS played5 FROM f
+  WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)""")
 def w12_start_shares(spark, d):
     started, played = (F.col("minutes") >= 60).cast("double"), (F.col("minutes") > 0).cast("double")
     return fact(spark, d).select("event_id", W.lagged_flag(F.col("minutes") >= 60, K, O).alias("started_last"), r6(W.rolling(started, K, O, 5)).alias("start5"), r6(W.rolling(started, K, O, 10)).alias("start10"), r6(W.rolling(played, K, O, 5)).alias("played5"))
 
 
-@query("""WITH {f} SELECT event_id, round(avg(points) OVER w, 6) AS vs_mean, count(points) OVER w AS vs_n FROM f WINDOW w AS (PARTITION BY entity, kind ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+@query("""WITH {f} SELECT event_id, round(avg(points) OVER w, 6) AS vs_mean, count(points) OVER w AS vs_n FROM f
+  WINDOW w AS (PARTITION BY entity, kind ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def w13_versus_expanding(spark, d):
     mean, n = W.expanding(F.col("points"), ["entity", "kind"], O)
     return fact(spark, d).select("event_id", r6(mean).alias("vs_mean"), n.alias("vs_n"))
 
 
-@query("""WITH {f} SELECT event_id, CASE WHEN lag(ts) OVER w IS NOT NULL THEN least((epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 86400000000, 60) END::BIGINT AS rest FROM f WINDOW w AS (PARTITION BY entity, kind ORDER BY ts, event_id)""")
+@query("""WITH {f} SELECT event_id, CASE WHEN lag(ts) OVER w IS NOT NULL THEN least((epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 86400000000,
+  60) END::BIGINT AS rest FROM f WINDOW w AS (PARTITION BY entity, kind ORDER BY ts, event_id)""")
 def w14_rest_days(spark, d):
     return fact(spark, d).select("event_id", W.rest_days(F.col("ts"), ["entity", "kind"], O).cast("long").alias("rest"))
 
@@ -127,14 +147,16 @@ def w15_recency_rank(spark, d):
 
 
 @query("""WITH g AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey), 8)::INTEGER AS place FROM g""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  least(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey), 8)::INTEGER AS place FROM g""")
 def w16_capped_rank(spark, d):
     g = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").distinct()
     return g.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", W.capped_rank("l_extendedprice", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).alias("place"))
 
 
 @query("""WITH g AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority AS p, round(o_totalprice / 1000) AS v FROM orders),
-c AS (SELECT *, (rank() OVER (PARTITION BY y, p ORDER BY v) + (count(*) OVER (PARTITION BY y, p, v) - 1) / 2) / count(*) OVER (PARTITION BY y, p) AS pct FROM g)
+c AS (SELECT *, (rank() OVER (PARTITION BY y, p ORDER BY v) + (count(*) OVER (PARTITION BY y, p, v) - 1) / 2) / count(*) OVER (PARTITION BY y,
+  p) AS pct FROM g)
 SELECT o_orderkey, CASE WHEN pct >= 0.9 THEN 'excellent' WHEN pct >= 0.65 THEN 'good' WHEN pct >= 0.35 THEN 'average' ELSE 'poor' END AS rating FROM c""")
 def w17_percent_rank_rating(spark, d):
     g = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), F.round(F.col("o_totalprice") / 1000).alias("v"))
@@ -189,14 +211,18 @@ def j6_asof_day_offset(spark, d):
     return asof.asof_join(cut, right, K, "cut", "rts", ["elo"], tie=["rid"]).where("rts_asof is not null").select("event_id", r6("elo").alias("elo"))
 
 
-@query("""WITH {f} SELECT event_id, count(*) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND 1 PRECEDING) AS last2d, count(*) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS last7d,
-CASE WHEN lag(ts) OVER (PARTITION BY entity ORDER BY ts) IS NOT NULL THEN least((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity ORDER BY ts))) // 86400000000, 60) END::BIGINT AS since FROM f""")
+@query("""WITH {f} SELECT event_id, count(*) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND 1 PRECEDING) AS last2d,
+  count(*) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS last7d,
+CASE WHEN lag(ts) OVER (PARTITION BY entity ORDER BY ts) IS NOT NULL THEN least((epoch_us(ts) - epoch_us(lag(ts)
+  OVER (PARTITION BY entity ORDER BY ts))) // 86400000000, 60) END::BIGINT AS since FROM f""")
 def j7_interval_counts(spark, d):
     return fact(spark, d).select("event_id", asof.trailing_count("ts", K, 2).alias("last2d"), asof.trailing_count("ts", K, 7).alias("last7d"), asof.days_since_last("ts", K).cast("long").alias("since"))
 
 
-@query("""WITH {f} SELECT event_id, round(avg(points) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS form FROM f
-UNION ALL SELECT -event_id - 1, round(avg(points) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) FROM f QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) = 1""")
+@query("""WITH {f} SELECT event_id, round(avg(points) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS form
+  FROM f
+UNION ALL SELECT -event_id - 1, round(avg(points) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) FROM f
+  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) = 1""")
 def t10_history_with_stubs(spark, d):
     """A stub row after each entity's history goes through the same windows as history."""
     f = fact(spark, d).withColumn("is_inference", F.lit(False))

@@ -14,7 +14,8 @@ from formline.plans.tables import fact, query, r6, table
 K, O = ["entity"], ["ts", "event_id"]
 
 
-@query("""SELECT o_orderkey, c_name, n_name, r_name, round(o_totalprice, 2) AS price FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey IS NOT NULL""")
+@query("""SELECT o_orderkey, c_name, n_name, r_name, round(o_totalprice, 2) AS price FROM orders JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey IS NOT NULL""")
 def j1_star_join(spark, d):
     c = table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey").withColumnRenamed("c_nationkey", "n_nationkey")
     n, r = table(spark, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), table(spark, d, "region")
@@ -22,13 +23,15 @@ def j1_star_join(spark, d):
     return star.select("o_orderkey", "c_name", "n_name", "r_name", F.round("o_totalprice", 2).alias("price"))
 
 
-@query("""SELECT p_partkey, p_brand, o_orderkey, true AS is_inference FROM part JOIN (SELECT o_orderkey, 'Brand#' || (o_orderkey % 25 + 1)::VARCHAR AS p_brand FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) = 1) USING (p_brand)""")
+@query("""SELECT p_partkey, p_brand, o_orderkey, true AS is_inference FROM part JOIN (SELECT o_orderkey, 'Brand#' || (o_orderkey % 25 + 1)::VARCHAR AS p_brand
+  FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) = 1) USING (p_brand)""")
 def j2_inference_stubs(spark, d):
     fx = table(spark, d, "orders").where((F.year("o_orderdate") == 1995) & (F.month("o_orderdate") == 1)).select("o_orderkey", F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 25 + 1).cast("string")).alias("p_brand"))
     return J.stubs(table(spark, d, "part").select("p_partkey", "p_brand"), fx, "p_brand")
 
 
-_VIEWS = """v AS (SELECT l_orderkey, l_linenumber, l_suppkey AS team, l_partkey AS opponent, l_quantity AS scored, true AS was_home FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax * 100, false FROM lineitem)"""
+_VIEWS = """v AS (SELECT l_orderkey, l_linenumber, l_suppkey AS team, l_partkey AS opponent, l_quantity AS scored, true AS was_home FROM lineitem UNION ALL
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax * 100, false FROM lineitem)"""
 
 
 @query(f"WITH {_VIEWS} SELECT team, was_home, count(*) AS n, round(sum(scored), 4) AS scored FROM v GROUP BY ALL")
@@ -38,7 +41,8 @@ def p8_home_away_views(spark, d):
     return v.groupBy("team", "was_home").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("scored"), 4).alias("scored"))
 
 
-@query(f"WITH {_VIEWS}, n AS (SELECT team, count(*) AS n, min(l_orderkey) AS first FROM v WHERE l_orderkey >= 9000 GROUP BY team) SELECT s_suppkey, n, first FROM supplier LEFT JOIN n ON team = s_suppkey")
+@query(f"""WITH {_VIEWS}, n AS (SELECT team, count(*) AS n, min(l_orderkey) AS first FROM v WHERE l_orderkey >= 9000 GROUP BY team) SELECT s_suppkey, n, first
+  FROM supplier LEFT JOIN n ON team = s_suppkey""")
 def j18_either_side_next(spark, d):
     li = table(spark, d, "lineitem").where("l_orderkey >= 9000")
     v = J.both_views(li, ["l_orderkey"], {"team": ("l_suppkey", "l_partkey")})
@@ -46,14 +50,16 @@ def j18_either_side_next(spark, d):
     return table(spark, d, "supplier").select("s_suppkey").join(n, "s_suppkey", "left")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_custkey END::DOUBLE AS picked FROM orders WHERE o_orderkey % 5 + 1 BETWEEN 1 AND 4")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_custkey END::DOUBLE AS picked FROM orders
+  WHERE o_orderkey % 5 + 1 BETWEEN 1 AND 4""")
 def p6_p7_position_and_side(spark, d):
     o = table(spark, d, "orders").withColumn("position", F.col("o_orderkey") % 5 + 1).where(F.col("position").between(1, 4))
     return o.select("o_orderkey", J.pick_side(F.col("o_orderkey") % 2 == 0, "o_totalprice", "o_custkey").cast("double").alias("picked"))
 
 
 @query("""WITH k AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
-SELECT CASE WHEN c_custkey IS NULL THEN 'unmatched' ELSE 'matched' END AS side, count(*) AS n FROM orders LEFT JOIN k ON c_custkey = o_custkey GROUP BY 1""")
+SELECT CASE WHEN c_custkey IS NULL THEN 'unmatched' ELSE 'matched' END AS side, count(*) AS n FROM orders LEFT JOIN k ON c_custkey = o_custkey
+  GROUP BY 1""")
 def j9_match_report(spark, d):
     customers = table(spark, d, "customer")
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
@@ -62,8 +68,10 @@ def j9_match_report(spark, d):
     return both.groupBy(F.when(F.col("matched"), "matched").otherwise("unmatched").alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH {f}, o AS (SELECT entity, round, points AS other FROM f WHERE kind = 'view' QUALIFY row_number() OVER (PARTITION BY entity, round ORDER BY ts, event_id) = 1)
-SELECT event_id, CASE WHEN minutes < 30 AND round < TIMESTAMP '2024-01-20' THEN other WHEN minutes < 30 THEN NULL ELSE points END AS xg FROM f LEFT JOIN o USING (entity, round) WHERE kind = 'click'""")
+@query("""WITH {f}, o AS (SELECT entity, round, points AS other FROM f WHERE kind = 'view'
+  QUALIFY row_number() OVER (PARTITION BY entity, round ORDER BY ts, event_id) = 1)
+SELECT event_id, CASE WHEN minutes < 30 AND round < TIMESTAMP '2024-01-20' THEN other WHEN minutes < 30 THEN NULL ELSE points END AS xg FROM f
+  LEFT JOIN o USING (entity, round) WHERE kind = 'click'""")
 def j10_same_day_fill(spark, d):
     f = fact(spark, d)
     click = f.where("kind = 'click'").withColumn("xg", F.when(F.col("minutes") >= 30, F.col("points")))
@@ -71,8 +79,11 @@ def j10_same_day_fill(spark, d):
     return filled.select("event_id", "xg")
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_suppkey AS team, sum(l_quantity) AS form FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey, team, form, CASE WHEN team = min(team) OVER w THEN max(team) OVER w ELSE min(team) OVER w END AS opponent FROM t WINDOW w AS (PARTITION BY l_orderkey))
-SELECT a.l_orderkey, a.team, a.form, b.form AS opp_form FROM g a LEFT JOIN g b ON a.l_orderkey = b.l_orderkey AND a.opponent = b.team WHERE a.team IN (SELECT min(team) FROM g x WHERE x.l_orderkey = a.l_orderkey UNION SELECT max(team) FROM g x WHERE x.l_orderkey = a.l_orderkey)""")
+@query("""WITH t AS (SELECT l_orderkey, l_suppkey AS team, sum(l_quantity) AS form FROM lineitem
+  GROUP BY ALL), g AS (SELECT l_orderkey, team, form, CASE WHEN team = min(team) OVER w THEN max(team) OVER w ELSE min(team) OVER w END AS opponent
+  FROM t WINDOW w AS (PARTITION BY l_orderkey))
+SELECT a.l_orderkey, a.team, a.form, b.form AS opp_form FROM g a LEFT JOIN g b ON a.l_orderkey = b.l_orderkey AND a.opponent = b.team
+  WHERE a.team IN (SELECT min(team) FROM g x WHERE x.l_orderkey = a.l_orderkey UNION SELECT max(team) FROM g x WHERE x.l_orderkey = a.l_orderkey)""")
 def j11_opponent_form(spark, d):
     t = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_suppkey").alias("team")).agg(F.sum("l_quantity").alias("form"))
     w = Window.partitionBy("l_orderkey")
@@ -80,7 +91,8 @@ def j11_opponent_form(spark, d):
     return J.opposite(g, ["l_orderkey"], "team", "opponent", ["form"]).select("l_orderkey", "team", "form", "opp_form")
 
 
-@query("""WITH t AS (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 4 <> 0), j AS (SELECT DISTINCT l_orderkey, l_suppkey, s_acctbal AS v FROM lineitem LEFT JOIN t ON l_suppkey = s_suppkey) SELECT l_orderkey, l_suppkey, round(coalesce(v, avg(v) OVER (), 1.4), 6) AS lam FROM j""")
+@query("""WITH t AS (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 4 <> 0), j AS (SELECT DISTINCT l_orderkey, l_suppkey, s_acctbal AS v
+  FROM lineitem LEFT JOIN t ON l_suppkey = s_suppkey) SELECT l_orderkey, l_suppkey, round(coalesce(v, avg(v) OVER (), 1.4), 6) AS lam FROM j""")
 def j12_lookup_with_fallback(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).distinct()
     out = J.look_up(li, table(spark, d, "supplier").where("s_suppkey % 4 != 0"), ["s_suppkey"], "s_acctbal", 1.4, "lam")
@@ -93,8 +105,10 @@ def j17_semi_filter(spark, d):
     return J.on_both(f.where("kind = 'click'"), f.where("kind = 'view'"), ["entity", "round"]).select("event_id")
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_suppkey AS team, l_partkey % 100 AS other, l_quantity AS g, true AS was_home FROM lineitem UNION ALL SELECT l_orderkey, l_partkey % 100, l_suppkey, l_discount * 100, false FROM lineitem)
-SELECT team, was_home, n_name, count(*) AS n, round(avg(g), 6) AS g FROM v JOIN supplier ON team = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL""")
+@query("""WITH v AS (SELECT l_orderkey, l_suppkey AS team, l_partkey % 100 AS other, l_quantity AS g, true AS was_home FROM lineitem UNION ALL
+  SELECT l_orderkey, l_partkey % 100, l_suppkey, l_discount * 100, false FROM lineitem)
+SELECT team, was_home, n_name, count(*) AS n, round(avg(g), 6) AS g FROM v JOIN supplier ON team = s_suppkey
+  LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL""")
 def j19_team_fixture_star(spark, d):
     li = table(spark, d, "lineitem").withColumns({"away": F.col("l_partkey") % 100, "ag": F.col("l_discount") * 100})
     v = J.both_views(li, ["l_orderkey"], {"s_suppkey": ("l_suppkey", "away"), "g": ("l_quantity", "ag")})
@@ -103,7 +117,8 @@ def j19_team_fixture_star(spark, d):
     return out.groupBy(F.col("s_suppkey").alias("team"), "was_home", "n_name").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("g")).alias("g"))
 
 
-@query("SELECT c_custkey, c_name, n_name, count(o_orderkey) AS orders_1998 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3 LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1998 GROUP BY ALL")
+@query("""SELECT c_custkey, c_name, n_name, count(o_orderkey) AS orders_1998 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3
+  LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1998 GROUP BY ALL""")
 def j20_pool_detail(spark, d):
     n = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     o = table(spark, d, "orders").where(F.year("o_orderdate") == 1998).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k"))
@@ -114,19 +129,22 @@ def j20_pool_detail(spark, d):
 # -- cleaning ------------------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey, year(o_orderdate)::INTEGER AS y, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey) = 1")
+@query("""SELECT o_custkey, year(o_orderdate)::INTEGER AS y, o_orderkey FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey) = 1""")
 def p1_first_rows(spark, d):
     o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
     return C.first_rows(o, ["o_custkey", "y"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "y", "o_orderkey")
 
 
-@query("SELECT count(*) FILTER (c_custkey IS NULL) AS n_dropped, count(c_custkey) AS n_kept FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) ON o_custkey = c_custkey")
+@query("""SELECT count(*) FILTER (c_custkey IS NULL) AS n_dropped, count(c_custkey) AS n_kept FROM orders
+  LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) ON o_custkey = c_custkey""")
 def p2_id_mapping(spark, d):
     kept, dropped = C.map_ids(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer").where("c_custkey % 10 != 0"), "c_custkey", "c_name", "code")
     return dropped.crossJoin(kept.agg(F.count(F.lit(1)).alias("n_kept")))  # one row each
 
 
-@query("""SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE value::VARCHAR END AS DOUBLE) AS x, TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'soon' ELSE '2024-01-0' || (event_id % 9 + 1)::VARCHAR END AS DATE)::VARCHAR AS day FROM events""")
+@query("""SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE value::VARCHAR END AS DOUBLE) AS x,
+  TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'soon' ELSE '2024-01-0' || (event_id % 9 + 1)::VARCHAR END AS DATE)::VARCHAR AS day FROM events""")
 def p3_lenient_parses(spark, d):
     e = table(spark, d, "events")
     text = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))
@@ -134,7 +152,9 @@ def p3_lenient_parses(spark, d):
     return e.select("event_id", text.try_cast("double").alias("x"), day.try_cast("date").cast("string").alias("day"))
 
 
-@query("""SELECT o_orderkey, year(o_orderdate)::VARCHAR || '-' || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS name, substr(year(o_orderdate)::VARCHAR, 3, 2) || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS code, year(o_orderdate)::INTEGER AS start FROM orders""")
+@query("""SELECT o_orderkey, year(o_orderdate)::VARCHAR || '-' || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS name,
+  substr(year(o_orderdate)::VARCHAR, 3, 2) || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS code, year(o_orderdate)::INTEGER AS start
+  FROM orders""")
 def p4_season_names(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", C.season_name(F.col("o_orderdate")).alias("name"))
     return o.select("o_orderkey", "name", C.season_code(F.col("name")).alias("code"), C.start_year(F.col("name")).alias("start"))
@@ -145,12 +165,15 @@ def p5_name_normalisation(spark, d):
     return table(spark, d, "part").select("p_partkey", normalised(F.concat("p_name", F.lit(" &Uuml;nï-Côdé.x"))).alias("name"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 130 < 45 THEN 0 WHEN o_custkey % 130 < 55 THEN 1 WHEN o_custkey % 130 < 65 THEN 2 WHEN o_custkey % 130 < 80 THEN 3 WHEN o_custkey % 130 < 100 THEN 4 ELSE 5 END AS bucket FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 130 < 45 THEN 0 WHEN o_custkey % 130 < 55 THEN 1 WHEN o_custkey % 130 < 65 THEN 2
+  WHEN o_custkey % 130 < 80 THEN 3 WHEN o_custkey % 130 < 100 THEN 4 ELSE 5 END AS bucket FROM orders""")
 def p9_price_buckets(spark, d):
     return table(spark, d, "orders").select("o_orderkey", bins(F.col("o_custkey") % 130, [0, 45, 55, 65, 80, 100, 1000]).alias("bucket"))
 
 
-@query("""WITH {f}, g AS (SELECT event_id, CASE WHEN minutes % 4 = 0 THEN NULL ELSE minutes * 5 END AS m, minutes % 7 AS pr, event_id % 20 + 1 AS gw FROM f), h AS (SELECT *, greatest(0, 1 - (gw - 1) / 8) AS a, CASE WHEN gw < 17 THEN 0 ELSE greatest(0, 1 - (gw - 17) / 8) END AS b, coalesce(m, CASE pr WHEN 0 THEN 0 WHEN 1 THEN 180 WHEN 2 THEN 270 WHEN 3 THEN 340 WHEN 4 THEN 420 WHEN 5 THEN 500 ELSE 580 END) AS mm FROM g)
+@query("""WITH {f}, g AS (SELECT event_id, CASE WHEN minutes % 4 = 0 THEN NULL ELSE minutes * 5 END AS m, minutes % 7 AS pr, event_id % 20 + 1 AS gw
+  FROM f), h AS (SELECT *, greatest(0, 1 - (gw - 1) / 8) AS a, CASE WHEN gw < 17 THEN 0 ELSE greatest(0, 1 - (gw - 17) / 8) END AS b,
+  coalesce(m, CASE pr WHEN 0 THEN 0 WHEN 1 THEN 180 WHEN 2 THEN 270 WHEN 3 THEN 340 WHEN 4 THEN 420 WHEN 5 THEN 500 ELSE 580 END) AS mm FROM g)
 SELECT event_id, round(greatest(mm * a, mm * b), 6) AS load, round(greatest(pr * a, pr * b), 6) AS progress FROM h""")
 def p10_fading_load(spark, d):
     m, pr, gw = F.when(F.col("minutes") % 4 != 0, F.col("minutes") * 5), F.col("minutes") % 7, F.col("event_id") % 20 + 1
@@ -158,8 +181,11 @@ def p10_fading_load(spark, d):
     return fact(spark, d).select("event_id", r6(F.greatest(a, b)).alias("load"), r6(F.greatest(x, y)).alias("progress"))
 
 
-@query("""WITH t AS (SELECT o_custkey, year(o_orderdate) + 1 AS y, sum(o_totalprice) AS m, count(*) AS n, max(o_orderdate) AS last FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)
-SELECT o_orderkey, round(coalesce(m, 0), 2) AS minutes, coalesce(n, 0) AS n, CASE WHEN last IS NOT NULL THEN least(greatest(date_diff('day', last, o_orderdate), 0), 90) END::BIGINT AS rest FROM orders o LEFT JOIN t ON t.o_custkey = o.o_custkey AND t.y = year(o_orderdate)""")
+@query("""WITH t AS (SELECT o_custkey, year(o_orderdate) + 1 AS y, sum(o_totalprice) AS m, count(*) AS n, max(o_orderdate) AS last FROM orders
+  WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)
+SELECT o_orderkey, round(coalesce(m, 0), 2) AS minutes, coalesce(n, 0) AS n,
+  CASE WHEN last IS NOT NULL THEN least(greatest(date_diff('day', last, o_orderdate), 0), 90) END::BIGINT AS rest FROM orders o
+  LEFT JOIN t ON t.o_custkey = o.o_custkey AND t.y = year(o_orderdate)""")
 def p11_bridge_features(spark, d):
     o = table(spark, d, "orders")
     t = o.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey", (F.year("o_orderdate") + 1).alias("y")).agg(F.sum("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last"))
@@ -167,7 +193,9 @@ def p11_bridge_features(spark, d):
     return j.select("o_orderkey", F.round(F.coalesce("m", F.lit(0.0)), 2).alias("minutes"), F.coalesce("n", F.lit(0)).alias("n"), clip(F.datediff("o_orderdate", "last"), 0, 90).cast("long").alias("rest"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_linenumber END = 1)::INT, 0)::DOUBLE AS taker, (coalesce(CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_linenumber END, 9) <= 2)::INT::DOUBLE AS corner FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_linenumber END = 1)::INT,
+  0)::DOUBLE AS taker, (coalesce(CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_linenumber END, 9) <= 2)::INT::DOUBLE AS corner
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""")
 def p12_duty_flags(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     order = F.when(F.col("l_suppkey") % 6 != 0, F.col("l_linenumber"))
@@ -181,7 +209,7 @@ def p13_competition_level(spark, d):
     return s.select("s_suppkey", F.coalesce("level", F.lit(0)).alias("level"))
 
 
-@query("SELECT o_orderkey, round((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1970-03-01')) // 86400000000 / 365.25, 6) AS age FROM orders")
+@query("""SELECT o_orderkey, round((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1970-03-01')) // 86400000000 / 365.25, 6) AS age FROM orders""")
 def p14_age(spark, d):
     return table(spark, d, "orders").select("o_orderkey", r6(C.age_years(F.col("o_orderdate"), F.lit("1970-03-01"))).alias("age"))
 
@@ -194,26 +222,33 @@ def p21_json_round_trip(spark, d):
     return e.select("event_id", back.alias("b")).select("event_id", F.col("b.components")[0]["points"].cast("int").alias("k"), F.col("b.p_start").alias("p"))
 
 
-@query("SELECT p_partkey, round(p_retailprice / 10, 4) AS price, round(p_size / (p_retailprice / 10), 6) AS per_million, p_size - coalesce(nullif(p_partkey % 3, 0), 0) AS net FROM part")
+@query("""SELECT p_partkey, round(p_retailprice / 10, 4) AS price, round(p_size / (p_retailprice / 10), 6) AS per_million,
+  p_size - coalesce(nullif(p_partkey % 3, 0), 0) AS net FROM part""")
 def p29_price_arithmetic(spark, d):
     price = F.col("p_retailprice") / 10
     return table(spark, d, "part").select("p_partkey", F.round(price, 4).alias("price"), r6(F.col("p_size") / price).alias("per_million"), (F.col("p_size") - F.coalesce(F.nullif(F.col("p_partkey") % 3, F.lit(0)), F.lit(0))).alias("net"))
 
 
-@query("""WITH c AS (SELECT l_suppkey, l_shipdate, l_linenumber, max(l_extendedprice) AS x FROM lineitem WHERE l_quantity >= 25 GROUP BY ALL) SELECT l_suppkey, l_shipdate, l_linenumber, x FROM c""")
+@query("""WITH c AS (SELECT l_suppkey, l_shipdate, l_linenumber, max(l_extendedprice) AS x FROM lineitem WHERE l_quantity >= 25 GROUP BY ALL)
+  SELECT l_suppkey, l_shipdate, l_linenumber, x FROM c""")
 def a8_team_max(spark, d):
     return table(spark, d, "lineitem").where("l_quantity >= 25").groupBy("l_suppkey", "l_shipdate", "l_linenumber").agg(F.max("l_extendedprice").alias("x"))
 
 
-@query("""WITH {f}, c AS (SELECT kind, round, entity % 4 AS pos, avg(points) AS pts FROM f WHERE minutes >= 60 GROUP BY ALL) SELECT kind, round::TIMESTAMP AS round, pos, round(CASE WHEN count(pts) OVER w >= 5 THEN avg(pts) OVER w END, 6) AS conceded FROM c WINDOW w AS (PARTITION BY kind, pos ORDER BY round ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+@query("""WITH {f}, c AS (SELECT kind, round, entity % 4 AS pos, avg(points) AS pts FROM f WHERE minutes >= 60 GROUP BY ALL)
+  SELECT kind, round::TIMESTAMP AS round, pos, round(CASE WHEN count(pts) OVER w >= 5 THEN avg(pts) OVER w END, 6) AS conceded FROM c
+  WINDOW w AS (PARTITION BY kind, pos ORDER BY round ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def a9_conceded_by_position(spark, d):
     c = fact(spark, d).where("minutes >= 60").groupBy("kind", F.col("round").cast("timestamp_ntz").alias("round"), (F.col("entity") % 4).alias("pos")).agg(F.avg("points").alias("pts"))
     return c.select("kind", "round", "pos", r6(W.rolling(F.col("pts"), ["kind", "pos"], ["round"], 10, min_obs=5, lagged=False)).alias("conceded"))
 
 
-@query("""WITH s AS (SELECT o_custkey AS team, year(o_orderdate) AS y, CASE WHEN count(*) % 3 = 0 THEN 0 ELSE count(*) END AS strength FROM orders GROUP BY ALL), c AS (SELECT DISTINCT team FROM s),
-b AS (SELECT team, max_by(strength, y) FILTER (strength > 0) AS last FROM s WHERE y < 2001 GROUP BY team), m AS (SELECT round(avg(strength)) AS mean FROM s WHERE strength > 0 AND y < 2001)
-SELECT c.team, coalesce(nullif(n.strength, 0), b.last, m.mean)::BIGINT AS strength FROM c LEFT JOIN (SELECT * FROM s WHERE y = 2001) n USING (team) LEFT JOIN b USING (team), m""")
+@query("""WITH s AS (SELECT o_custkey AS team, year(o_orderdate) AS y, CASE WHEN count(*) % 3 = 0 THEN 0 ELSE count(*) END AS strength FROM orders
+  GROUP BY ALL), c AS (SELECT DISTINCT team FROM s),
+b AS (SELECT team, max_by(strength, y) FILTER (strength > 0) AS last FROM s WHERE y < 2001 GROUP BY team), m AS (SELECT round(avg(strength)) AS mean
+  FROM s WHERE strength > 0 AND y < 2001)
+SELECT c.team, coalesce(nullif(n.strength, 0), b.last, m.mean)::BIGINT AS strength FROM c LEFT JOIN (SELECT * FROM s WHERE y = 2001) n USING (team)
+  LEFT JOIN b USING (team), m""")
 def a10_strength_backfill(spark, d):
     n = F.count(F.lit(1))
     s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("team"), F.year("o_orderdate").alias("y")).agg(F.when(n % 3 != 0, n).alias("strength"))
@@ -225,7 +260,8 @@ def a10_strength_backfill(spark, d):
 # -- sources and sinks ---------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS season, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS xg, o_custkey::INTEGER AS points FROM orders""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS season, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS xg,
+  o_custkey::INTEGER AS points FROM orders""")
 def s1_s2_drifting_columns(spark, d):
     """Two seasons' CSV files with different columns and names, read, conformed to one schema and united."""
     from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
@@ -250,8 +286,12 @@ def s3_nested_json(spark, d):
     return rows.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
-@query("""WITH l AS (SELECT n_name AS team, r_name AS league FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 3), m AS (SELECT o_custkey AS uid, o_orderkey % 50 AS match_id, o_orderkey AS seq, year(o_orderdate) AS season, 'NATION_' || (o_orderkey % 30) AS home, 'NATION_' || (o_custkey % 25) AS away FROM orders WHERE year(o_orderdate) >= 1998),
-k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY uid, match_id ORDER BY seq DESC) = 1) SELECT uid, match_id, season::INTEGER AS season, coalesce(h.league, a.league, 'unknown') AS league FROM k LEFT JOIN l h ON h.team = home LEFT JOIN l a ON a.team = away""")
+@query("""WITH l AS (SELECT n_name AS team, r_name AS league FROM nation JOIN region ON n_regionkey = r_regionkey
+  WHERE n_nationkey % 4 <> 3), m AS (SELECT o_custkey AS uid, o_orderkey % 50 AS match_id, o_orderkey AS seq, year(o_orderdate) AS season,
+  'NATION_' || (o_orderkey % 30) AS home, 'NATION_' || (o_custkey % 25) AS away FROM orders WHERE year(o_orderdate) >= 1998),
+k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY uid, match_id ORDER BY seq DESC) = 1)
+  SELECT uid, match_id, season::INTEGER AS season, coalesce(h.league, a.league, 'unknown') AS league FROM k LEFT JOIN l h ON h.team = home
+  LEFT JOIN l a ON a.team = away""")
 def s4_match_rows(spark, d):
     leagues = table(spark, d, "nation").where("n_nationkey % 4 != 3").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")).select(F.col("n_name").alias("team"), F.col("r_name").alias("league"))
     k = F.col("o_orderkey")
@@ -259,14 +299,19 @@ def s4_match_rows(spark, d):
     return files.match_rows(m, leagues, 1998).select("uid", "match_id", "season", "league")
 
 
-@query("""WITH p AS (SELECT o_orderkey AS seq, 'L' || (o_orderkey % 5) AS league, unnest(string_split('T' || (o_custkey % 40) || ', T' || (o_custkey % 7), ',')) AS team FROM orders) SELECT trim(team) AS team, max_by(league, seq) AS league FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT o_orderkey AS seq, 'L' || (o_orderkey % 5) AS league,
+  unnest(string_split('T' || (o_custkey % 40) || ', T' || (o_custkey % 7), ',')) AS team FROM orders)
+  SELECT trim(team) AS team, max_by(league, seq) AS league FROM p GROUP BY 1""")
 def s5_team_leagues(spark, d):
     k = F.col("o_custkey")
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("L"), (F.col("o_orderkey") % 5).cast("string")).alias("league"), F.concat(F.lit("T"), (k % 40).cast("string"), F.lit(", T"), (k % 7).cast("string")).alias("team_title"))
     return files.team_leagues(p)
 
 
-@query("""WITH c AS (SELECT o_orderkey, 'S' || year(o_orderdate) AS season_name FROM orders), s AS (SELECT DISTINCT 'S' || year(o_orderdate) AS name, year(o_orderdate) - 1990 AS id FROM orders WHERE year(o_orderdate) < 2000) SELECT 'known' AS side, count(*) AS n, sum(id)::BIGINT AS ids FROM c JOIN s ON name = season_name UNION ALL SELECT 'unknown', count(*), NULL FROM c WHERE season_name NOT IN (SELECT name FROM s)""")
+@query("""WITH c AS (SELECT o_orderkey, 'S' || year(o_orderdate) AS season_name
+  FROM orders), s AS (SELECT DISTINCT 'S' || year(o_orderdate) AS name, year(o_orderdate) - 1990 AS id FROM orders WHERE year(o_orderdate) < 2000)
+  SELECT 'known' AS side, count(*) AS n, sum(id)::BIGINT AS ids FROM c JOIN s ON name = season_name UNION ALL SELECT 'unknown', count(*), NULL FROM c
+  WHERE season_name NOT IN (SELECT name FROM s)""")
 def s6_known_seasons(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
     name = F.concat(F.lit("S"), F.col("y").cast("string"))
@@ -275,14 +320,17 @@ def s6_known_seasons(spark, d):
     return known.agg(F.count(F.lit(1)).alias("n"), F.sum("season_id").alias("ids")).select(F.lit("known").alias("side"), "n", "ids").unionByName(unknown.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown").alias("side"), "n", F.lit(None).cast("long").alias("ids")))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS valid_from, (o_orderdate + INTERVAL 30 DAY)::DATE::VARCHAR AS valid_to FROM orders WHERE o_orderdate + INTERVAL 30 DAY >= DATE '1999-06-01'")
+@query("""SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS valid_from, (o_orderdate + INTERVAL 30 DAY)::DATE::VARCHAR AS valid_to FROM orders
+  WHERE o_orderdate + INTERVAL 30 DAY >= DATE '1999-06-01'""")
 def s7_rating_history(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("valid_from"), F.date_add(F.to_date("o_orderdate"), 30).cast("string").alias("valid_to"))
     return files.rating_history(o, "1999-06-01").select("o_orderkey", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
 
-@query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice * 2 END AS price FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey + 1000000, 1.5 FROM orders WHERE o_orderkey % 100 = 1)
-SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, t.o_orderstatus AS status, CASE WHEN s.o_orderkey IS NOT NULL THEN s.price ELSE t.o_totalprice END AS price FROM orders t FULL JOIN s ON s.o_orderkey = t.o_orderkey""")
+@query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice * 2 END AS price FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT o_orderkey + 1000000, 1.5 FROM orders WHERE o_orderkey % 100 = 1)
+SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, t.o_orderstatus AS status,
+  CASE WHEN s.o_orderkey IS NOT NULL THEN s.price ELSE t.o_totalprice END AS price FROM orders t FULL JOIN s ON s.o_orderkey = t.o_orderkey""")
 def s8_upsert(spark, d):
     o = table(spark, d, "orders")
     target = o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
@@ -291,7 +339,8 @@ def s8_upsert(spark, d):
     return sinks.upsert(target, changed.unionByName(new), ["o_orderkey"])
 
 
-@query("""WITH s AS (SELECT c_custkey, 'X' || c_custkey AS seg FROM customer WHERE c_custkey % 7 = 0) SELECT customer.c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, c_acctbal FROM customer LEFT JOIN s USING (c_custkey)""")
+@query("""WITH s AS (SELECT c_custkey, 'X' || c_custkey AS seg FROM customer WHERE c_custkey % 7 = 0)
+  SELECT customer.c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, c_acctbal FROM customer LEFT JOIN s USING (c_custkey)""")
 def s9_partial_update(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     rows = c.where("c_custkey % 7 = 0").select("c_custkey", F.concat(F.lit("X"), F.col("c_custkey").cast("string")).alias("c_mktsegment"))
@@ -305,12 +354,13 @@ def s10_flip_current(spark, d):
     return sinks.flip_current(table(spark, d, "region"), "r_regionkey", 2).select("r_regionkey", "is_current")
 
 
-@query("SELECT 'orders' AS \"table\", count(*) AS n_rows FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events")
+@query("""SELECT 'orders' AS "table", count(*) AS n_rows FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events""")
 def s11_row_counts(spark, d):
     return sinks.row_counts({t: table(spark, d, t) for t in ("orders", "part", "events")})
 
 
-@query("WITH {f}, p AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'v2' ELSE 'v3' END AS model_version, round(points, 6) AS predicted FROM f) SELECT event_id, model_version, predicted FROM p WHERE model_version = 'v3'")
+@query("""WITH {f}, p AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'v2' ELSE 'v3' END AS model_version, round(points, 6) AS predicted FROM f)
+  SELECT event_id, model_version, predicted FROM p WHERE model_version = 'v3'""")
 def s12_versioned_predictions(spark, d):
     p = fact(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, "v2").otherwise("v3").alias("model_version"), r6("points").alias("predicted"))
     path = staging.scratch(spark, "predictions")
@@ -330,7 +380,10 @@ def _names(spark, d):
     return left, right
 
 
-@query("""WITH k AS (SELECT c_custkey AS k FROM customer) SELECT (k + 500000)::BIGINT AS uid, CASE WHEN k % 3 <> 0 OR k = 9 THEN k END AS code, CASE WHEN k = 9 THEN 'override' WHEN k % 3 <> 0 AND k % 5 <> 1 THEN 'exact' WHEN k % 3 <> 0 THEN 'unique_name' ELSE 'unmatched' END AS method FROM k WHERE k % 3 <> 0 OR k = 9""")
+@query("""WITH k AS (SELECT c_custkey AS k FROM customer)
+  SELECT (k + 500000)::BIGINT AS uid, CASE WHEN k % 3 <> 0 OR k = 9 THEN k END AS code,
+  CASE WHEN k = 9 THEN 'override' WHEN k % 3 <> 0 AND k % 5 <> 1 THEN 'exact' WHEN k % 3 <> 0 THEN 'unique_name' ELSE 'unmatched' END AS method FROM k
+  WHERE k % 3 <> 0 OR k = 9""")
 def j13_entity_resolution(spark, d):
     left, right = _names(spark, d)
     over = left.where("uid = 500009").select("uid", (F.col("uid") - 500000).alias("code"))
@@ -370,28 +423,33 @@ def j15_fuzzy_alias(spark, d):
 query(name="j15_fuzzy_alias")(j15_fuzzy_alias)
 
 
-@query("""WITH w AS (SELECT o_custkey AS name, sum(o_totalprice) AS minutes FROM orders GROUP BY 1) SELECT name, round(minutes, 2) AS minutes FROM w WHERE name % 4 = 0 ORDER BY minutes DESC, name LIMIT 20""")
+@query("""WITH w AS (SELECT o_custkey AS name, sum(o_totalprice) AS minutes FROM orders GROUP BY 1) SELECT name, round(minutes, 2) AS minutes FROM w
+  WHERE name % 4 = 0 ORDER BY minutes DESC, name LIMIT 20""")
 def a29_top_unmatched(spark, d):
     w = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.sum("o_totalprice").alias("minutes"))
     top = resolve.top_unmatched(w.withColumn("hit", F.col("name") % 4 != 0), "minutes", "hit", "name")
     return top.select("name", F.round("minutes", 2).alias("minutes"))
 
 
-@query("SELECT year(o_orderdate)::INTEGER AS season, round(sum(o_totalprice), 2) AS weight, round(sum(CASE WHEN o_custkey % 4 <> 0 THEN o_totalprice ELSE 0 END) / sum(o_totalprice), 6) AS rate FROM orders GROUP BY 1")
+@query("""SELECT year(o_orderdate)::INTEGER AS season, round(sum(o_totalprice), 2) AS weight,
+  round(sum(CASE WHEN o_custkey % 4 <> 0 THEN o_totalprice ELSE 0 END) / sum(o_totalprice), 6) AS rate FROM orders GROUP BY 1""")
 def a29_match_rate(spark, d):
     o = table(spark, d, "orders").select(F.year("o_orderdate").alias("season"), "o_totalprice", (F.col("o_custkey") % 4 != 0).alias("hit"))
     m = resolve.match_rate(o, "season", "o_totalprice", "hit")
     return m.select("season", F.round("weight", 2).alias("weight"), r6("rate").alias("rate"))
 
 
-@query(r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS href FROM pages) SELECT page_id, count(*) AS links, min(href) AS first_link FROM p GROUP BY page_id""")
+@query(r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS href FROM pages)
+  SELECT page_id, count(*) AS links, min(href) AS first_link FROM p GROUP BY page_id""")
 def p32_page_rows(spark, d):
     p = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)">'), 1)).alias("href"))
     return p.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.min("href").alias("first_link"))
 
 
-@query("""WITH s AS (SELECT c_custkey, c_nationkey FROM customer), a AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1996 GROUP BY 1)
-SELECT c_custkey, coalesce(n, 0) AS n, coalesce(last, max(last) OVER (PARTITION BY c_nationkey)) AS last_match FROM s LEFT JOIN a ON o_custkey = c_custkey""")
+@query("""WITH s AS (SELECT c_custkey, c_nationkey FROM customer), a AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders
+  WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1996 GROUP BY 1)
+SELECT c_custkey, coalesce(n, 0) AS n, coalesce(last, max(last) OVER (PARTITION BY c_nationkey)) AS last_match FROM s
+  LEFT JOIN a ON o_custkey = c_custkey""")
 def j16_enrich_squads(spark, d):
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("country"))
     a = table(spark, d, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 1996)).groupBy(F.col("o_custkey").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last_match"))
@@ -421,8 +479,12 @@ def _pages(spark, d):
     return pages.agg(F.concat(F.lit("intro\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_custkey", "block"))), lambda x: x["block"]), "")).alias("wikitext"))
 
 
-_PAGES_SQL = """p AS (SELECT o_custkey % 100 AS page, 'P' || o_orderkey AS name, o_orderkey AS k, o_custkey AS c, o_orderkey % 3 <> 0 AS started, make_date(2024, (o_custkey % 12 + 1)::INTEGER, (o_custkey % 28 + 1)::INTEGER) AS match_date, CASE WHEN o_custkey % 5 = 0 THEN 120 ELSE 90 END AS full_time FROM orders),
-a AS (SELECT page, name, match_date, started, CASE WHEN started THEN CASE WHEN k % 4 = 1 THEN k % 30 + 60 ELSE full_time END ELSE full_time - (k % 30 + 20) END AS minutes, CASE WHEN k % 7 IN (1, 2) THEN 2 ELSE 0 END AS goals FROM p WHERE started OR k % 2 = 1)"""
+_PAGES_SQL = """p AS (SELECT o_custkey % 100 AS page, 'P' || o_orderkey AS name, o_orderkey AS k, o_custkey AS c, o_orderkey % 3 <> 0 AS started,
+  make_date(2024, (o_custkey % 12 + 1)::INTEGER, (o_custkey % 28 + 1)::INTEGER) AS match_date,
+  CASE WHEN o_custkey % 5 = 0 THEN 120 ELSE 90 END AS full_time FROM orders),
+a AS (SELECT page, name, match_date, started,
+  CASE WHEN started THEN CASE WHEN k % 4 = 1 THEN k % 30 + 60 ELSE full_time END ELSE full_time - (k % 30 + 20) END AS minutes,
+  CASE WHEN k % 7 IN (1, 2) THEN 2 ELSE 0 END AS goals FROM p WHERE started OR k % 2 = 1)"""
 
 
 @query(f"WITH {_PAGES_SQL} SELECT page, name, match_date::VARCHAR AS match_date, started, minutes::INTEGER AS minutes FROM a")
@@ -432,7 +494,8 @@ def p33_lineup_pages(spark, d):
 
 
 @query(f"""WITH {_PAGES_SQL}, g AS (SELECT 'P' || k AS name, 2 AS goals FROM p WHERE k % 7 IN (1, 2))
-SELECT name, sum(minutes)::BIGINT AS minutes, count(*) AS matches, count(*) FILTER (started) AS starts, sum(goals)::BIGINT AS goals, max(match_date)::VARCHAR AS last_match FROM a GROUP BY name""")
+SELECT name, sum(minutes)::BIGINT AS minutes, count(*) AS matches, count(*) FILTER (started) AS starts, sum(goals)::BIGINT AS goals,
+  max(match_date)::VARCHAR AS last_match FROM a GROUP BY name""")
 def a28_tournament_totals(spark, d):
     pages = staging.staged(_pages(spark, d), "pages")
     totals = wiki.tournament_totals(wiki.appearances(pages), wiki.goals(pages))

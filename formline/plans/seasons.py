@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 from formline.operators import fits, seasons as A
 from formline.plans.tables import query, r6, yearly
 
-_TOTALS = """{fy}, t AS (SELECT entity, year, sum(points) AS points, sum(minutes) AS exposure, count(points) AS games, count(*) FILTER (minutes >= 60) AS starts, sum(stat) AS stat_sum, sum(CASE WHEN stat IS NOT NULL THEN minutes END) AS stat_exposure FROM fy GROUP BY entity, year)"""
+_TOTALS = """{fy}, t AS (SELECT entity, year, sum(points) AS points, sum(minutes) AS exposure, count(points) AS games, count(*) FILTER (minutes >= 60) AS starts,
+  sum(stat) AS stat_sum, sum(CASE WHEN stat IS NOT NULL THEN minutes END) AS stat_exposure FROM fy GROUP BY entity, year)"""
 
 
 def _totals(spark, d):
     return A.season_totals(yearly(spark, d), ["entity"], "year", "points", "minutes", ["stat"], 60)
 
 
-@query(f"WITH {_TOTALS} SELECT entity, year::INTEGER AS year, round(points, 2) AS points, exposure::BIGINT AS exposure, games, starts, round(stat_sum, 4) AS stat_sum, stat_exposure::BIGINT AS stat_exposure FROM t")
+@query(f"""WITH {_TOTALS} SELECT entity, year::INTEGER AS year, round(points, 2) AS points, exposure::BIGINT AS exposure, games, starts,
+  round(stat_sum, 4) AS stat_sum, stat_exposure::BIGINT AS stat_exposure FROM t""")
 def a1_season_totals(spark, d):
     return _totals(spark, d).select("entity", "year", F.round("points", 2).alias("points"), "exposure", "games", "starts", F.round("stat_sum", 4).alias("stat_sum"), "stat_exposure")
 
 
-@query(f"""WITH {_TOTALS} SELECT entity, year::INTEGER AS year, round(CASE WHEN sum(exposure) OVER w2 >= 200 THEN sum(points) OVER w2 / sum(games) OVER w2 END, 4) AS ppg2, round(CASE WHEN sum(exposure) OVER w3 >= 200 THEN sum(points) OVER w3 / sum(games) OVER w3 END, 4) AS ppg3 FROM t
-WINDOW w2 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), w3 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
+@query(f"""WITH {_TOTALS} SELECT entity, year::INTEGER AS year, round(CASE WHEN sum(exposure) OVER w2 >= 200 THEN sum(points) OVER w2 / sum(games) OVER w2 END,
+  4) AS ppg2, round(CASE WHEN sum(exposure) OVER w3 >= 200 THEN sum(points) OVER w3 / sum(games) OVER w3 END, 4) AS ppg3 FROM t
+WINDOW w2 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING),
+  w3 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
 def a2_trailing_years(spark, d):
     return _totals(spark, d).select("entity", "year", F.round(A.trailing_rate(["entity"], "year", 2, least=200), 4).alias("ppg2"), F.round(A.trailing_rate(["entity"], "year", 3, least=200), 4).alias("ppg3"))
 
 
-@query(f"""WITH {_TOTALS} SELECT a.entity, a.year::INTEGER AS year, round(b.points / b.games, 4) AS prev_ppg, round(b.exposure / 3420, 6) AS prev_share, b.starts AS prev_starts, round(c.points / c.games, 4) AS ppg_two_back, count(*) OVER (PARTITION BY a.entity ORDER BY a.year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS experience
+@query(f"""WITH {_TOTALS} SELECT a.entity, a.year::INTEGER AS year, round(b.points / b.games, 4) AS prev_ppg, round(b.exposure / 3420, 6) AS prev_share,
+  b.starts AS prev_starts, round(c.points / c.games, 4) AS ppg_two_back,
+  count(*) OVER (PARTITION BY a.entity ORDER BY a.year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS experience
 FROM t a LEFT JOIN t b ON b.entity = a.entity AND b.year = a.year - 1 LEFT JOIN t c ON c.entity = a.entity AND c.year = a.year - 2""")
 def a3_j8_previous_season(spark, d):
     t = _totals(spark, d).withColumn("ppg", F.col("points") / F.col("games"))
@@ -35,7 +41,9 @@ def a3_j8_previous_season(spark, d):
 
 
 _LADDER = """l AS (SELECT entity, year, CASE WHEN e1 >= 90 THEN s1 / e1 * 90 WHEN e3 >= 40 THEN s3 / e3 * 90 ELSE s1 / nullif(e1, 0) * 90 END AS prior FROM
-(SELECT entity, year, sum(stat_sum) OVER w1 AS s1, sum(stat_exposure) OVER w1 AS e1, sum(stat_sum) OVER w3 AS s3, sum(stat_exposure) OVER w3 AS e3 FROM t WINDOW w1 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), w3 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)))"""
+(SELECT entity, year, sum(stat_sum) OVER w1 AS s1, sum(stat_exposure) OVER w1 AS e1, sum(stat_sum) OVER w3 AS s3, sum(stat_exposure) OVER w3 AS e3
+  FROM t WINDOW w1 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING),
+  w3 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)))"""
 
 
 @query(f"WITH {_TOTALS}, {_LADDER} SELECT entity, year::INTEGER AS year, round(prior, 4) AS prior FROM l")
@@ -43,8 +51,12 @@ def a4_prior_ladder(spark, d):
     return _totals(spark, d).select("entity", "year", F.round(A.prior_ladder("stat_sum", "stat_exposure", ["entity"], "year", 90, 90, 40), 4).alias("prior"))
 
 
-_LEAGUE = """cells AS (SELECT year, grp, bucket, sum(stat) AS s, count(stat) AS n FROM fy WHERE stat IS NOT NULL GROUP BY ALL), spine AS (SELECT y.year, g.grp, g.bucket, coalesce(s, 0) AS s, coalesce(n, 0) AS n FROM (SELECT DISTINCT year FROM fy) y CROSS JOIN (SELECT DISTINCT grp, bucket FROM fy) g LEFT JOIN cells c ON c.year = y.year AND c.grp = g.grp AND c.bucket = g.bucket),
-b AS (SELECT year, grp, bucket, sum(s) OVER w AS s, sum(n) OVER w AS n, sum(s) OVER v AS gs, sum(n) OVER v AS gn FROM spine WINDOW w AS (PARTITION BY grp, bucket ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY grp ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+_LEAGUE = """cells AS (SELECT year, grp, bucket, sum(stat) AS s, count(stat) AS n FROM fy WHERE stat IS NOT NULL
+  GROUP BY ALL), spine AS (SELECT y.year, g.grp, g.bucket, coalesce(s, 0) AS s, coalesce(n, 0) AS n FROM (SELECT DISTINCT year FROM fy) y
+  CROSS JOIN (SELECT DISTINCT grp, bucket FROM fy) g LEFT JOIN cells c ON c.year = y.year AND c.grp = g.grp AND c.bucket = g.bucket),
+b AS (SELECT year, grp, bucket, sum(s) OVER w AS s, sum(n) OVER w AS n, sum(s) OVER v AS gs, sum(n) OVER v AS gn FROM spine
+  WINDOW w AS (PARTITION BY grp, bucket ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  v AS (PARTITION BY grp ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lp AS (SELECT year, grp, bucket, CASE WHEN n >= 20 THEN s / n WHEN gn > 0 THEN gs / gn END AS prior FROM b)"""
 
 
@@ -53,7 +65,9 @@ def a5_league_prior(spark, d):
     return A.league_prior(yearly(spark, d), "year", "grp", "bucket", "stat").select("year", "grp", "bucket", F.round("prior", 5).alias("prior"))
 
 
-_BLEND = f"""{{fy}}, {_LEAGUE}, o AS (SELECT id, entity, year, grp, bucket, stat, coalesce(count(stat) OVER w, 0) AS n, avg(stat) OVER w AS cur FROM fy WINDOW w AS (PARTITION BY entity, year ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), x AS (SELECT o.*, lp.prior FROM o LEFT JOIN lp USING (year, grp, bucket))"""
+_BLEND = f"""{{fy}}, {_LEAGUE}, o AS (SELECT id, entity, year, grp, bucket, stat, coalesce(count(stat) OVER w, 0) AS n, avg(stat) OVER w AS cur FROM fy
+  WINDOW w AS (PARTITION BY entity, year ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), x AS (SELECT o.*, lp.prior FROM o
+  LEFT JOIN lp USING (year, grp, bucket))"""
 
 
 def _blend_frame(spark, d):
@@ -63,20 +77,26 @@ def _blend_frame(spark, d):
     return cur.join(A.league_prior(f, "year", "grp", "bucket", "stat"), ["year", "grp", "bucket"], "left")
 
 
-@query(f"WITH {_BLEND} SELECT id, round(coalesce(n / (n + 6.0) * cur + (1 - n / (n + 6.0)) * prior, cur, prior), 5) AS eb, round(n / (n + 6.0), 6) AS w FROM x")
+@query(f"""WITH {_BLEND} SELECT id, round(coalesce(n / (n + 6.0) * cur + (1 - n / (n + 6.0)) * prior, cur, prior), 5) AS eb, round(n / (n + 6.0), 6) AS w FROM x""")
 def w9_shrinkage_blend(spark, d):
     b, w = A.blend(F.col("cur"), F.col("prior"), F.col("n"), 6)
     return _blend_frame(spark, d).select("id", F.round(b, 5).alias("eb"), r6(w).alias("w"))
 
 
-@query(f"""WITH {_BLEND}, g AS (SELECT unnest([1.0, 3.0, 10.0, 30.0, 100.0]) AS k), u AS (SELECT k, round(sum(pow(stat - coalesce(n / (n + k) * cur + (1 - n / (n + k)) * prior, prior), 2)), 6) AS loss, count(*) AS c FROM x, g WHERE prior IS NOT NULL AND stat IS NOT NULL GROUP BY k)
+@query(f"""WITH {_BLEND}, g AS (SELECT unnest([1.0, 3.0, 10.0, 30.0, 100.0]) AS k),
+  u AS (SELECT k, round(sum(pow(stat - coalesce(n / (n + k) * cur + (1 - n / (n + k)) * prior, prior), 2)), 6) AS loss, count(*) AS c FROM x, g
+  WHERE prior IS NOT NULL AND stat IS NOT NULL GROUP BY k)
 SELECT CASE WHEN max(c) >= 500 THEN arg_min(k, (loss, k)) ELSE 10.0 END::DOUBLE AS k, max(c) AS n_rows FROM u""")
 def a25_fit_shrinkage(spark, d):
     return A.fit_strength(_blend_frame(spark, d), [1, 3, 10, 30, 100], "cur", "prior", "n", "stat")
 
 
-@query("""WITH {fy}, s AS (SELECT entity, year, sum(minutes) AS m, sum(points * c.coef) AS p, max_by(c.coef, id) AS last_coef FROM fy JOIN (SELECT grp, 0.5 + row_number() OVER (ORDER BY grp) / 10 AS coef FROM (SELECT DISTINCT grp FROM fy)) c USING (grp) GROUP BY entity, year)
-SELECT a.entity, a.year::INTEGER AS year, round(CASE WHEN coalesce(b.m, 0) + coalesce(c.m, 0) >= 100 THEN (coalesce(b.p, 0) + coalesce(c.p, 0)) / (coalesce(b.m, 0) + coalesce(c.m, 0)) * 90 END, 3) AS career, round(coalesce(b.last_coef, c.last_coef), 6) AS coef FROM s a LEFT JOIN s b ON b.entity = a.entity AND b.year = a.year - 1 LEFT JOIN s c ON c.entity = a.entity AND c.year = a.year - 2""")
+@query("""WITH {fy}, s AS (SELECT entity, year, sum(minutes) AS m, sum(points * c.coef) AS p, max_by(c.coef, id) AS last_coef FROM fy
+  JOIN (SELECT grp, 0.5 + row_number() OVER (ORDER BY grp) / 10 AS coef FROM (SELECT DISTINCT grp FROM fy)) c USING (grp) GROUP BY entity, year)
+SELECT a.entity, a.year::INTEGER AS year,
+  round(CASE WHEN coalesce(b.m, 0) + coalesce(c.m, 0) >= 100 THEN (coalesce(b.p, 0) + coalesce(c.p, 0)) / (coalesce(b.m, 0) + coalesce(c.m,
+  0)) * 90 END, 3) AS career, round(coalesce(b.last_coef, c.last_coef), 6) AS coef FROM s a
+  LEFT JOIN s b ON b.entity = a.entity AND b.year = a.year - 1 LEFT JOIN s c ON c.entity = a.entity AND c.year = a.year - 2""")
 def a6_weighted_career(spark, d):
     f = yearly(spark, d)
     coef = f.select("grp").distinct().withColumn("coef", 0.5 + F.row_number().over(A.Window.orderBy("grp")) / 10)  # five rows
@@ -86,7 +106,8 @@ def a6_weighted_career(spark, d):
     return s.select("entity", "year", F.round(F.when(two("m") >= 100, two("p") / two("m") * 90), 3).alias("career"), r6(F.coalesce(back("c", 1), back("c", 2))).alias("coef"))
 
 
-@query("""WITH a AS (SELECT n_regionkey AS league, avg(s_acctbal) AS level FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) SELECT league, round(least(greatest(pow(10, (level - (SELECT level FROM a WHERE league = 0)) / 4000), 0.5), 1.0), 6) AS coef FROM a""")
+@query("""WITH a AS (SELECT n_regionkey AS league, avg(s_acctbal) AS level FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+  SELECT league, round(least(greatest(pow(10, (level - (SELECT level FROM a WHERE league = 0)) / 4000), 0.5), 1.0), 6) AS coef FROM a""")
 def a7_league_coefficients(spark, d):
     from formline.plans.tables import table
 
@@ -95,9 +116,12 @@ def a7_league_coefficients(spark, d):
     return a.crossJoin(F.broadcast(base)).select("league", r6(F.least(F.greatest(F.pow(F.lit(10.0), (F.col("level") - F.col("base")) / 4000), F.lit(0.5)), F.lit(1.0))).alias("coef"))  # base is one row
 
 
-@query("""WITH g AS (SELECT l_linenumber % 4 + 1 AS position, floor(l_quantity / 10)::INTEGER AS y, 2.0 + l_discount * 10 AS mu FROM lineitem), a AS (SELECT unnest([0.02, 0.1, 0.3, 1.0]) AS alpha),
-l AS (SELECT position, alpha, sum(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))) AS ll, count(*) AS n FROM g, a GROUP BY ALL)
-SELECT position::INTEGER AS position, arg_max(alpha, ll)::DOUBLE AS alpha, max(n) AS n_rows, round(max(ll), 2) AS ll FROM l GROUP BY position HAVING max(n) >= 500""")
+@query("""WITH g AS (SELECT l_linenumber % 4 + 1 AS position, floor(l_quantity / 10)::INTEGER AS y, 2.0 + l_discount * 10 AS mu
+  FROM lineitem), a AS (SELECT unnest([0.02, 0.1, 0.3, 1.0]) AS alpha),
+l AS (SELECT position, alpha, sum(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))) AS ll,
+  count(*) AS n FROM g, a GROUP BY ALL)
+SELECT position::INTEGER AS position, arg_max(alpha, ll)::DOUBLE AS alpha, max(n) AS n_rows, round(max(ll), 2) AS ll FROM l GROUP BY position
+  HAVING max(n) >= 500""")
 def a26_fit_dispersion(spark, d):
     from formline.plans.tables import table
 
@@ -105,9 +129,13 @@ def a26_fit_dispersion(spark, d):
     return fits.fit_dispersion(g, "position", "y", "mu", [0.02, 0.1, 0.3, 1.0]).select("position", "alpha", "n_rows", F.round("ll", 2).alias("ll"))
 
 
-@query("""WITH g AS (SELECT (o_totalprice / 1000 - 200) AS diff, o_orderkey % 3 AS res FROM orders), p AS (SELECT unnest([0.0, 50.0, 100.0]) AS hfa, 0 AS j), q AS (SELECT unnest([0.2, 0.27, 0.33]) AS c), r AS (SELECT unnest([150.0, 270.0]) AS s),
-a AS (SELECT hfa, c, s, res, greatest(least(c * exp(-pow(diff + hfa, 2) / (2 * s * s)), 0.6), 1e-6) AS d, 1 / (1 + pow(10, -(diff + hfa) / 400)) AS e FROM g, p, q, r), b AS (SELECT *, greatest(e - d / 2, 1e-6) AS h FROM a), x AS (SELECT *, greatest(1 - h - d, 1e-6) AS w FROM b),
-l AS (SELECT hfa, c, s, round(avg(-ln(CASE res WHEN 0 THEN h WHEN 1 THEN d ELSE w END / (h + d + w) + 1e-6)), 9) AS loss FROM x GROUP BY ALL) SELECT hfa::DOUBLE AS hfa, c::DOUBLE AS c, s::DOUBLE AS s, round(loss, 6) AS loss FROM l ORDER BY loss, hfa, c, s LIMIT 1""")
+@query("""WITH g AS (SELECT (o_totalprice / 1000 - 200) AS diff, o_orderkey % 3 AS res
+  FROM orders), p AS (SELECT unnest([0.0, 50.0, 100.0]) AS hfa, 0 AS j), q AS (SELECT unnest([0.2, 0.27, 0.33]) AS c),
+  r AS (SELECT unnest([150.0, 270.0]) AS s),
+a AS (SELECT hfa, c, s, res, greatest(least(c * exp(-pow(diff + hfa, 2) / (2 * s * s)), 0.6), 1e-6) AS d, 1 / (1 + pow(10, -(diff + hfa) / 400)) AS e
+  FROM g, p, q, r), b AS (SELECT *, greatest(e - d / 2, 1e-6) AS h FROM a), x AS (SELECT *, greatest(1 - h - d, 1e-6) AS w FROM b),
+l AS (SELECT hfa, c, s, round(avg(-ln(CASE res WHEN 0 THEN h WHEN 1 THEN d ELSE w END / (h + d + w) + 1e-6)), 9) AS loss FROM x GROUP BY ALL)
+  SELECT hfa::DOUBLE AS hfa, c::DOUBLE AS c, s::DOUBLE AS s, round(loss, 6) AS loss FROM l ORDER BY loss, hfa, c, s LIMIT 1""")
 def a27_fit_elo_map(spark, d):
     from formline.plans.tables import table
 
@@ -115,14 +143,18 @@ def a27_fit_elo_map(spark, d):
     return fits.fit_elo(g, "diff", "res", [0.0, 50.0, 100.0], [0.2, 0.27, 0.33], [150.0, 270.0])
 
 
-_COUNTS = """g AS (SELECT l_linenumber % 4 + 1 AS position, l_orderkey, floor(l_quantity / 10)::INTEGER AS y, 2.0 + l_discount * 10 AS mu FROM lineitem), a AS (SELECT unnest([0.02, 0.1, 0.3, 1.0]) AS alpha),
-l AS (SELECT position, alpha, sum(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))) AS ll, count(*) AS n FROM g, a WHERE l_orderkey % 5 <> 0 GROUP BY ALL),
+_COUNTS = """g AS (SELECT l_linenumber % 4 + 1 AS position, l_orderkey, floor(l_quantity / 10)::INTEGER AS y, 2.0 + l_discount * 10 AS mu
+  FROM lineitem), a AS (SELECT unnest([0.02, 0.1, 0.3, 1.0]) AS alpha),
+l AS (SELECT position, alpha, sum(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))) AS ll,
+  count(*) AS n FROM g, a WHERE l_orderkey % 5 <> 0 GROUP BY ALL),
 b AS (SELECT position, arg_max(alpha, ll) AS alpha FROM l GROUP BY position HAVING max(n) >= 500)"""
 
 
 @query(f"""WITH {_COUNTS}, h AS (SELECT position, round(avg(y * ln(mu) - mu - lgamma(y + 1)), 9) AS po,
- round(avg(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))), 9) AS nb FROM g JOIN b USING (position) WHERE l_orderkey % 5 = 0 GROUP BY position)
-SELECT position::INTEGER AS position, round(po, 6) AS poisson, round(nb, 6) AS negbin, CASE WHEN nb > po THEN 'negbin' ELSE 'poisson' END AS family FROM h""")
+ round(avg(lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) + 1 / alpha * ln(1 / alpha / (1 / alpha + mu)) + y * ln(mu / (1 / alpha + mu))),
+  9) AS nb FROM g JOIN b USING (position) WHERE l_orderkey % 5 = 0 GROUP BY position)
+SELECT position::INTEGER AS position, round(po, 6) AS poisson, round(nb, 6) AS negbin, CASE WHEN nb > po THEN 'negbin' ELSE 'poisson' END AS family
+  FROM h""")
 def a26_choose_family(spark, d):
     """Dispersion fitted on four fifths of the orders, the family chosen on the rest."""
     from formline.plans.tables import table
@@ -133,8 +165,10 @@ def a26_choose_family(spark, d):
     return fits.choose_family(g.where(held), fitted, "position", "y", "mu").select("position", r6("poisson").alias("poisson"), r6("negbin").alias("negbin"), "family")
 
 
-@query("""WITH g AS (SELECT (o_totalprice / 1000 - 200) AS diff, o_orderkey % 3 AS res, 1.5 + o_orderkey % 7 / 2 AS h, 3.0 + o_orderkey % 3 / 4 AS d, 1.8 + o_orderkey % 5 AS a FROM orders WHERE o_orderkey % 4 = 0),
-e AS (SELECT *, greatest(least(0.27 * exp(-pow(diff + 50, 2) / (2 * 270 * 270)), 0.6), 1e-6) AS ed, 1 / (1 + pow(10, -(diff + 50) / 400)) AS s FROM g), f AS (SELECT *, greatest(s - ed / 2, 1e-6) AS eh FROM e), x AS (SELECT *, greatest(1 - eh - ed, 1e-6) AS ea FROM f)
+@query("""WITH g AS (SELECT (o_totalprice / 1000 - 200) AS diff, o_orderkey % 3 AS res, 1.5 + o_orderkey % 7 / 2 AS h, 3.0 + o_orderkey % 3 / 4 AS d,
+  1.8 + o_orderkey % 5 AS a FROM orders WHERE o_orderkey % 4 = 0),
+e AS (SELECT *, greatest(least(0.27 * exp(-pow(diff + 50, 2) / (2 * 270 * 270)), 0.6), 1e-6) AS ed, 1 / (1 + pow(10, -(diff + 50) / 400)) AS s
+  FROM g), f AS (SELECT *, greatest(s - ed / 2, 1e-6) AS eh FROM e), x AS (SELECT *, greatest(1 - eh - ed, 1e-6) AS ea FROM f)
 SELECT 'elo' AS route, round(avg(-ln(CASE res WHEN 0 THEN eh WHEN 1 THEN ed ELSE ea END / (eh + ed + ea) + 1e-6)), 6) AS loss FROM x
 UNION ALL SELECT 'odds', round(avg(-ln(CASE res WHEN 0 THEN 1 / h WHEN 1 THEN 1 / d ELSE 1 / a END / (1 / h + 1 / d + 1 / a) + 1e-6)), 6) FROM x""")
 def a27_held_out_losses(spark, d):
