@@ -21,7 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; labels of the tables teach it, on the learning split only.
 
-    Texts that share an id, or have none, are judged each by itself.
+    Texts that share an id, or have none, are judged each by itself.  Null and empty texts score 0 and go;
+    repeated rows get one verdict, so they stay or go together.  Extra columns are dropped, an empty table stays empty.
     """
     scores = quality_knn.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), text_key=True)
     kept = scores.where("predicted = 1").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
@@ -33,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies: the one that names its component.
 
     Different texts that share an id, or have none, are documents of their own; rows with equal id and text are one.
+    Of a group the smallest id stays (null is the smallest).  Null and empty texts are near nothing and stay.
     """
     filled = {"doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text": F.coalesce("text", F.lit("")), "_none": F.col("text").isNull()}
     keyed = unique_ids(docs.select(*COLUMNS).withColumns(filled))
@@ -43,17 +45,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; ``n_chars`` follows the new text."""
+    """Personal data replaced by its kind; ``n_chars`` follows the new text.
+
+    A null text stays null, with a null ``n_chars``; every row stays, repeated ones too.
+    """
     return pii_crf.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their target shares by Poisson replication, in random order."""
+    """Sources brought to their target shares by Poisson replication, in random order.
+
+    The null source and sources without a stated weight get weight 1.  Repeated rows have equal counts.
+    """
     return poisson_mix.mix(docs, MIX_WEIGHTS).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy as token ids: count and digests of ids and of the decoded bytes."""
+    """Every copy as token ids: count and digests of ids and of the decoded bytes; null and empty texts have none."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -64,7 +72,7 @@ STAGES = [
     ("mixing to target weights", mixing),
     ("byte-level BPE", encoding),
 ]
-#: Stages 1, 2, 3 and 5 can't be said in SQL; tests/llm hold the stages against brute force.
+#: Stages 1, 2, 3 and 5 can't be said in SQL; tests/llm hold the stages against what they say and the operators against brute force.
 ORACLE_SQL = None
 
 
