@@ -146,11 +146,11 @@ def w15_recency_rank(spark, d):
     return fact(spark, d).select("event_id", W.recency(K, O).alias("rn"))
 
 
-@query("""WITH g AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   least(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey), 8)::INTEGER AS place FROM g""")
 def w16_capped_rank(spark, d):
-    g = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").distinct()
+    g = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return g.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", W.capped_rank("l_extendedprice", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).alias("place"))
 
 

@@ -195,9 +195,9 @@ def p11_bridge_features(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_linenumber END = 1)::INT,
   0)::DOUBLE AS taker, (coalesce(CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_linenumber END, 9) <= 2)::INT::DOUBLE AS corner
-  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""")
+  FROM lineitem""")
 def p12_duty_flags(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = F.when(F.col("l_suppkey") % 6 != 0, F.col("l_linenumber"))
     return li.select("*", flag(order == 1).alias("taker"), (F.coalesce(order, F.lit(9)) <= 2).cast("double").alias("corner"))
 
