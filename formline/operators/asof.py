@@ -33,7 +33,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, r
     w = Window.partitionBy(*part, *(["_b"] if bucket_seconds else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
     if bucket_seconds:
-        ends = other.withColumn("_b", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / bucket_seconds)).groupBy(*part, "_b").agg(F.max_by("_right", F.struct(*order)).alias("_right"))
+        ends = other.withColumn(
+            "_b", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / bucket_seconds)
+        ).groupBy(*part, "_b").agg(F.max_by("_right", F.struct(*order)).alias("_right"))
         spine = both.select(*part, "_b").distinct().join(ends, [*part, "_b"], "left")
         seed = F.last("_right", ignorenulls=True).over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
         seeds = spine.withColumn("_seed", seed).select(*part, "_b", "_seed")

@@ -83,7 +83,10 @@ def best_route(df: DataFrame, keys: Sequence[str], routes: Sequence[str], actual
     return errors.select(*keys, least.alias("x")).select(*keys, "x.route", "x.mae")
 
 
-def pick_weight(df: DataFrame, grid: Sequence[float], fold: str, round_key: str, ev: str, extra: str, actual: str, tie: str, top: int = 3, haul: float = 10, tolerance: float = 0.02) -> DataFrame:
+def pick_weight(
+    df: DataFrame, grid: Sequence[float], fold: str, round_key: str, ev: str, extra: str, actual: str, tie: str, top: int = 3, haul: float = 10,
+    tolerance: float = 0.02
+) -> DataFrame:
     """Per weight on the extra term: mean points and haul rate of each (fold, round)'s top picks, whether its points are
     within the tolerance of the best, and whether its haul rate is a standard error above weight 0's; then the choice."""
     weights = df.sparkSession.createDataFrame([(float(g),) for g in grid], "weight double")

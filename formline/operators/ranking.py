@@ -50,7 +50,10 @@ def changes(df: DataFrame, owner: str, week: str, member: str, starts: str) -> D
     return both.withColumn("_first", F.min(week).over(first)).where(F.col(week) > F.col("_first")).select(owner, week, member, kind.alias("change")).where("change is not null")
 
 
-def row_filter(df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]] = {}, sets: Mapping[str, Sequence] = {}, search: str | None = None, over: Sequence[str] = ()) -> DataFrame:
+def row_filter(
+    df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]] = {}, sets: Mapping[str, Sequence] = {}, search: str | None = None,
+    over: Sequence[str] = ()
+) -> DataFrame:
     """Stacked predicates: membership, minimum and maximum bounds (null fails a bound), and a case-blind search."""
     conditions = [F.col(c).isin(list(v)) for c, v in sets.items() if v]
     for c, (low, high) in bounds.items():

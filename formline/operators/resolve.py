@@ -13,7 +13,10 @@ from formline.functions.text import similarity, sorted_similarity
 def _candidates(right: DataFrame, name: str, code: str, keep: Sequence[str], second: str | None, role: str | None) -> DataFrame:
     """The right side's names, second names and roles under names of their own; missing ones are null."""
     null = F.lit(None).cast("string")
-    return right.select(*keep, F.col(name).alias("_name"), F.col(code).alias("_code"), (F.col(second) if second else null).alias("_second"), (F.col(role) if role else null).alias("_role"))
+    return right.select(
+        *keep, F.col(name).alias("_name"), F.col(code).alias("_code"), (F.col(second) if second else null).alias("_second"),
+        (F.col(role) if role else null).alias("_role")
+    )
 
 
 def _sane(df: DataFrame, role: str | None) -> Column:

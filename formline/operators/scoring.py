@@ -138,7 +138,9 @@ def expected_points(df: DataFrame, rules: DataFrame, pool: Mapping[str, float],
         "ev_conceded": r("goals_conceded") * (start * conceded(1.0) + cameo * conceded(xc)),
         "ev_saves": r("saves") * (start * saves(xs) + cameo * saves(xc)),
         "ev_dc": r("dc_award") * F.col("p_dc") * (start * float(pool["dc_start"]) + cameo * float(pool["dc_cameo"])),
-        "ev_cards_bonus": (r("yellow_cards") * F.col("p_yellow") + r("red_cards") * F.col("p_red")) * (start + cameo) + r("bonus") * (start * F.col("bonus_if_start") + cameo * F.col("bonus_if_cameo")),
+        "ev_cards_bonus": (
+            r("yellow_cards") * F.col("p_yellow") + r("red_cards") * F.col("p_red")
+        ) * (start + cameo) + r("bonus") * (start * F.col("bonus_if_start") + cameo * F.col("bonus_if_cameo")),
     }
     joined = df.join(F.broadcast(rules), ["season", "position"])
     made = joined.select(*df.columns, *[v.alias(k) for k, v in parts.items()])  # a stage of its own keeps generated code small
@@ -169,7 +171,10 @@ def sample_summary(df: DataFrame, keys: Sequence[str], draw: str, value: str, ma
     sums = df.groupBy(*keys, draw).agg(F.sum(value).alias("x"))
     low, mid, high = marks
     q = F.percentile("x", F.array(*[F.lit(p) for p in (0.1, 0.5, 0.9)]))
-    by = sums.groupBy(*keys).agg(F.avg("x").alias("mean"), F.avg((F.col("x") <= low).cast("int")).alias("p_blank"), F.avg((F.col("x") >= mid).cast("int")).alias("p_return"), F.avg((F.col("x") >= high).cast("int")).alias("p_haul"), q.alias("q"))
+    by = sums.groupBy(*keys).agg(
+        F.avg("x").alias("mean"), F.avg((F.col("x") <= low).cast("int")).alias("p_blank"), F.avg((F.col("x") >= mid).cast("int")).alias("p_return"),
+        F.avg((F.col("x") >= high).cast("int")).alias("p_haul"), q.alias("q")
+    )
     return by.select(*keys, "mean", "p_blank", "p_return", "p_haul", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
@@ -178,7 +183,9 @@ def conditional_distribution(df: DataFrame, bucket: str, returns: str, outcome:
 
     All levels come from one grouping-sets aggregate.
     """
-    sets = df.groupingSets([[F.col(bucket), F.col(returns)], [F.col(bucket)], [F.col(returns)]], bucket, returns).agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("m"), F.grouping_id().alias("g"))
+    sets = df.groupingSets(
+        [[F.col(bucket), F.col(returns)], [F.col(bucket)], [F.col(returns)]], bucket, returns
+    ).agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("m"), F.grouping_id().alias("g"))
     sets = sets.where(F.col("n") >= least)
     cells = df.select(bucket).distinct().crossJoin(df.select(returns).distinct())  # both are capped categories
     level = lambda g, k, name: F.broadcast(sets.where(F.col("g") == g).select(*k, F.col("m").alias(name)))
@@ -190,7 +197,9 @@ def hit_scaling(df: DataFrame, bucket: str, hit: Column, full: int, least: int =
     """Hit rate by minutes bucket relative to the full bucket; thin cells are 0, the full one 1."""
     by = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("rate"))
     base = by.where(F.col(bucket) == full).select(F.col("rate").alias("base"))
-    rel = F.when(F.col(bucket) == full, 1.0).when((F.col("n") < least) | F.col("base").isNull() | (F.col("base") == 0), 0.0).otherwise(F.col("rate") / F.when(F.col("base") != 0, F.col("base")))
+    rel = F.when(F.col(bucket) == full, 1.0).when(
+        (F.col("n") < least) | F.col("base").isNull() | (F.col("base") == 0), 0.0
+    ).otherwise(F.col("rate") / F.when(F.col("base") != 0, F.col("base")))
     return by.join(F.broadcast(base), how="left").select(bucket, "n", rel.alias("scale"))
 
 

@@ -63,7 +63,10 @@ def blend(current: Column, prior: Column, n: Column, k: float) -> tuple[Column,
     return F.coalesce(w * current + (1 - w) * prior, current, prior), w
 
 
-def fit_strength(df: DataFrame, grid: Sequence[float], current: str, prior: str, n: str, target: str, exposure: str | None = None, default: float = 10.0, least: int = 500) -> DataFrame:
+def fit_strength(
+    df: DataFrame, grid: Sequence[float], current: str, prior: str, n: str, target: str, exposure: str | None = None, default: float = 10.0,
+    least: int = 500
+) -> DataFrame:
     """One row: the k of least loss (squared error, or Poisson deviance with an exposure), ties to the smallest.
 
     The grid is broadcast and losses are summed where the rows are; with fewer than ``least`` usable rows the default stands.

@@ -45,7 +45,9 @@ def appearances(df: DataFrame, page: str = "page", text: str = "wikitext") -> Da
     """
     games = blocks(df, page, text)
     long = F.when(F.col("body").rlike(r"(?i)\|\s*aet\s*=\s*y|after extra time"), EXTRA).otherwise(FULL)
-    date = F.expr(r"try_cast(concat_ws('-', regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 1), lpad(regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 2), 2, '0'), lpad(regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 3), 2, '0')) as date)")
+    date = F.expr(
+        r"try_cast(concat_ws('-', regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 1), lpad(regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 2), 2, '0'), lpad(regexp_extract(body, '\\{\\{Start date\\|([0-9]{4})\\|([0-9]{1,2})\\|([0-9]{1,2})', 3), 2, '0')) as date)"
+    )
     rows = lines(games.select(page, "block", long.alias("_long"), date.alias("match_date"), "body"), [page, "block", "_long", "match_date"], "body")
     opens = (F.col("line").startswith("{|") | F.col("line").contains("'''Manager:'''")).cast("int")
     subs = F.col("line").rlike(r"(?i)'''substitut").cast("int")
@@ -55,7 +57,9 @@ def appearances(df: DataFrame, page: str = "page", text: str = "wikitext") -> Da
     name = F.regexp_extract("line", r"^\|[A-Z]{2}\s*\|\|.*?\|\|\s*\[\[(?:[^\]|]*\|)?([^\]|]+)\]\]", 1)
     rows = rows.withColumn("name", F.trim(name)).where("name != ''").withColumns({"on": F.get(_marks(F.col("line"), "subon"), 0), "off": F.get(_marks(F.col("line"), "suboff"), 0)})
     came, left = F.when(F.col("_bench"), F.col("on")).otherwise(0), F.coalesce("off", "_long")
-    return rows.where(~F.col("_bench") | F.col("on").isNotNull()).select(page, "block", "match_date", "name", (~F.col("_bench")).alias("started"), F.greatest(left - came, F.lit(0)).alias("minutes"))
+    return rows.where(~F.col("_bench") | F.col("on").isNotNull()).select(
+        page, "block", "match_date", "name", (~F.col("_bench")).alias("started"), F.greatest(left - came, F.lit(0)).alias("minutes")
+    )
 
 
 def _credited(line: Column) -> Column:
@@ -79,7 +83,10 @@ def goals(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFram
 def tournament_totals(seen: DataFrame, scored: DataFrame, page: str = "page") -> DataFrame:
     """Per name: minutes, matches, starts, goals and the last match date."""
     keyed = seen.join(scored, [page, "block", "name"], "left")
-    return keyed.groupBy("name").agg(F.sum("minutes").alias("minutes"), F.count(F.lit(1)).alias("matches"), F.count_if("started").alias("starts"), F.sum(F.coalesce("goals", F.lit(0))).alias("goals"), F.max("match_date").alias("last_match"))
+    return keyed.groupBy("name").agg(
+        F.sum("minutes").alias("minutes"), F.count(F.lit(1)).alias("matches"), F.count_if("started").alias("starts"),
+        F.sum(F.coalesce("goals", F.lit(0))).alias("goals"), F.max("match_date").alias("last_match")
+    )
 
 
 def health(seen: DataFrame, scored: DataFrame, n_blocks: DataFrame, page: str = "page") -> DataFrame:
@@ -89,7 +96,10 @@ def health(seen: DataFrame, scored: DataFrame, n_blocks: DataFrame, page: str =
     g = scored.agg(F.coalesce(F.sum("goals"), F.lit(0)).alias("goals"))
     both = a.crossJoin(g).crossJoin(n_blocks.agg(F.count(F.lit(1)).alias("blocks")))  # one row each
     share, per_game = F.try_divide("parsed", "blocks"), F.try_divide("goals", "parsed")
-    return both.select("blocks", "parsed", "slots", per_game.alias("goals_per_block"), ((share >= 0.95) & F.col("slots").between(24, 42) & per_game.between(1.5, 4.0)).alias("healthy"))
+    return both.select(
+        "blocks", "parsed", "slots", per_game.alias("goals_per_block"),
+        ((share >= 0.95) & F.col("slots").between(24, 42) & per_game.between(1.5, 4.0)).alias("healthy")
+    )
 
 
 def enrich(squad: DataFrame, totals: DataFrame, name: str = "name", country: str = "country") -> DataFrame:

@@ -177,8 +177,12 @@ def quantile_edges(df: DataFrame, value: str, probs: Sequence[float], parts: int
     wanted = F.array(*[f(place(p)) for p in probs for f in (F.floor, F.ceil)])
     rows = _running(counts, "v", parts).crossJoin(F.broadcast(every.withColumn("_at", wanted)))  # one row
     hit = F.filter("_at", lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
-    found = rows.select("v", "_all", F.explode(F.array_distinct(hit)).alias("k")).agg(F.max("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # two places for each quantile
-    at = lambda p: F.try_element_at("m", F.floor(place(p))) + (F.try_element_at("m", F.ceil(place(p))) - F.try_element_at("m", F.floor(place(p)))) * (place(p) - F.floor(place(p)))
+    found = rows.select("v", "_all", F.explode(F.array_distinct(hit)).alias("k")).agg(
+        F.max("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")
+    )  # two places for each quantile
+    at = lambda p: F.try_element_at("m", F.floor(place(p))) + (
+        F.try_element_at("m", F.ceil(place(p))) - F.try_element_at("m", F.floor(place(p)))
+    ) * (place(p) - F.floor(place(p)))
     return found.select(F.array_distinct(F.array_compact(F.array(*[at(p) for p in probs]))).alias("edges"))
 
 

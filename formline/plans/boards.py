@@ -28,7 +28,9 @@ SELECT p_partkey, p_brand FROM p QUALIFY row_number() OVER (PARTITION BY p_brand
   p_partkey) <= 5 OR row_number() OVER (PARTITION BY p_brand ORDER BY peak DESC, p_partkey) <= 3 OR row_number() OVER (PARTITION BY p_brand
   ORDER BY cost, p_partkey) <= 2""")
 def t3_candidate_pruning(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("total"), (F.col("p_size") * 10.0).alias("peak"), (F.col("p_partkey") % 97).alias("cost"))
+    p = table(spark, d, "part").select(
+        "p_partkey", "p_brand", F.col("p_retailprice").alias("total"), (F.col("p_size") * 10.0).alias("peak"), (F.col("p_partkey") % 97).alias("cost")
+    )
     return R.prune(p, "p_brand", "total", "peak", "cost", "p_partkey", (5, 3, 2)).select("p_partkey", "p_brand")
 
 
@@ -67,7 +69,9 @@ def t7_history_order(spark, d):
   round(s_nationkey % 5 + s_suppkey % 7 + s_acctbal / 100, 4) AS total FROM supplier ORDER BY total DESC, s_suppkey""")
 def t8_strength_ranking(spark, d):
     a, b = F.col("s_nationkey") % 5 + F.col("s_suppkey") % 7, F.col("s_acctbal") / 100
-    return table(spark, d, "supplier").select("s_suppkey", a.alias("attack"), F.round(b, 4).alias("defence"), F.round(a + b, 4).alias("total")).orderBy(F.desc("total"), "s_suppkey")
+    return table(spark, d, "supplier").select(
+        "s_suppkey", a.alias("attack"), F.round(b, 4).alias("defence"), F.round(a + b, 4).alias("total")
+    ).orderBy(F.desc("total"), "s_suppkey")
 
 
 _SQUADS = """{f}, s AS (SELECT entity % 20 AS owner, date_diff('week', DATE '2024-01-01', ts::DATE) AS week, entity AS member, bool_or(minutes >= 90) AS starts
@@ -110,10 +114,18 @@ def _board(spark, d):
         F.array_sort(F.collect_list(F.when(F.col("rn") <= 10, F.struct((-F.col("rn")).alias("o"), "points")))).alias("r"),
         F.sum(F.when(own, F.col("points"))).alias("day_points"), F.sum(F.when(own, F.col("minutes"))).alias("day_min"), F.count_if(own & (F.col("minutes") >= 60)).alias("starts"),
     )
-    ahead = f.where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp")).withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))).where("k <= 3")
-    coming = ahead.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "kind"))), lambda x: x["kind"]), ", ").alias("next_kinds"), F.round(F.avg("minutes"), 4).alias("next_diff"))
+    ahead = f.where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp")).withColumn(
+        "k", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))
+    ).where("k <= 3")
+    coming = ahead.groupBy("entity").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "kind"))), lambda x: x["kind"]), ", ").alias("next_kinds"),
+        F.round(F.avg("minutes"), 4).alias("next_diff")
+    )
     recent = F.array_join(F.transform("r", lambda x: x["points"].cast("string")), ";")
-    return per.join(coming, "entity", "left").select("entity", r6(F.when(F.col("form_min") >= 200, F.col("form"))).alias("form"), recent.alias("recent"), r6("day_points").alias("day_points"), "day_min", "starts", "next_kinds", "next_diff")
+    return per.join(coming, "entity", "left").select(
+        "entity", r6(F.when(F.col("form_min") >= 200, F.col("form"))).alias("form"), recent.alias("recent"), r6("day_points").alias("day_points"),
+        "day_min", "starts", "next_kinds", "next_diff"
+    )
 
 
 @query(f"WITH {_BOARD} SELECT * FROM board")
@@ -137,7 +149,9 @@ def a12_filtered_form(spark, d):
 @query("""WITH {f}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) AS rn FROM f)
   SELECT entity, array_to_string(list(points::VARCHAR ORDER BY rn DESC), ';') AS recent FROM r WHERE rn <= 10 GROUP BY entity""")
 def a13_recent_array(spark, d):
-    r = fact(spark, d).withColumn("rn", W.recency(K, O)).where("rn <= 10").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("o"), "points"))).alias("r"))
+    r = fact(spark, d).withColumn("rn", W.recency(K, O)).where("rn <= 10").groupBy("entity").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("o"), "points"))).alias("r")
+    )
     return r.select("entity", F.array_join(F.transform("r", lambda x: x["points"].cast("string")), ";").alias("recent"))
 
 
@@ -160,14 +174,18 @@ def a15_latest_season(spark, d):
 def a16_last_completed_season(spark, d):
     o = table(spark, d, "orders")
     last = o.agg((F.max(F.year("o_orderdate")) - 1).alias("y"))
-    return o.join(F.broadcast(last), F.year("o_orderdate") == F.col("y")).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("spent"))  # one row
+    return o.join(F.broadcast(last), F.year("o_orderdate") == F.col("y")).groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("spent")
+    )  # one row
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q, round(sum(l_extendedprice) / greatest(sum(l_quantity), 1) * 90.37, 4) AS per90
   FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_partkey, per90 FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey
   ORDER BY q DESC, l_partkey) = 1""")
 def a17_first_choice(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.round(F.sum("l_extendedprice") / F.greatest(F.sum("l_quantity"), F.lit(1)) * 90.37, 4).alias("per90"))
+    s = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+        F.sum("l_quantity").alias("q"), F.round(F.sum("l_extendedprice") / F.greatest(F.sum("l_quantity"), F.lit(1)) * 90.37, 4).alias("per90")
+    )
     return R.top_n(s, ["l_suppkey"], [F.desc("q"), F.col("l_partkey")], 1).select("l_suppkey", "l_partkey", "per90")
 
 
@@ -183,7 +201,10 @@ def a19_class_distribution(spark, d):
 @query("""WITH {f} SELECT entity, round::TIMESTAMP AS round, round(sum(points), 6) AS points, max(minutes) AS top_minutes,
   round(avg(minutes), 6) AS mean_minutes, arg_min(kind, (ts, event_id)) AS first_kind FROM f GROUP BY entity, round""")
 def a11_double_round_rollup(spark, d):
-    return fact(spark, d).groupBy("entity", F.col("round").cast("timestamp_ntz").alias("round")).agg(r6(F.sum("points")).alias("points"), F.max("minutes").alias("top_minutes"), r6(F.avg("minutes")).alias("mean_minutes"), F.min_by("kind", F.struct("ts", "event_id")).alias("first_kind"))
+    return fact(spark, d).groupBy("entity", F.col("round").cast("timestamp_ntz").alias("round")).agg(
+        r6(F.sum("points")).alias("points"), F.max("minutes").alias("top_minutes"), r6(F.avg("minutes")).alias("mean_minutes"),
+        F.min_by("kind", F.struct("ts", "event_id")).alias("first_kind")
+    )
 
 
 @query("""WITH {f} SELECT entity, round::TIMESTAMP AS round, round(sum(CASE WHEN kind = 'click' THEN points ELSE 0 END), 6) AS click,
@@ -195,7 +216,10 @@ def a31_component_sums(spark, d):
 
 @query("""WITH {f} SELECT count(DISTINCT round) AS rounds, min(round)::TIMESTAMP AS first_round, count(*) AS n, count(DISTINCT entity) AS pool FROM f""")
 def a30_distinct_rounds(spark, d):
-    return fact(spark, d).agg(F.count_distinct("round").alias("rounds"), F.min("round").cast("timestamp_ntz").alias("first_round"), F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("pool"))
+    return fact(spark, d).agg(
+        F.count_distinct("round").alias("rounds"), F.min("round").cast("timestamp_ntz").alias("first_round"), F.count(F.lit(1)).alias("n"),
+        F.count_distinct("entity").alias("pool")
+    )
 
 
 # -- evaluation ----------------------------------------------------------------------------------
@@ -281,7 +305,10 @@ def e6_quantile_metrics(spark, d):
 @query(f"""WITH {_PRED} SELECT kind, round(-avg(ln(CASE WHEN minutes < 1 THEN 0.1 WHEN minutes < 60 THEN 0.3 ELSE predicted / (predicted + 40) END + 1e-9)),
   6) AS log_loss FROM x GROUP BY kind""")
 def e7_class_log_loss(spark, d):
-    x = _pred(spark, d).select("kind", F.when(F.col("minutes") < 1, 0).when(F.col("minutes") < 60, 1).otherwise(2).alias("y"), F.lit(0.1).alias("p0"), F.lit(0.3).alias("p1"), (F.col("predicted") / (F.col("predicted") + 40)).alias("p2"))
+    x = _pred(spark, d).select(
+        "kind", F.when(F.col("minutes") < 1, 0).when(F.col("minutes") < 60, 1).otherwise(2).alias("y"), F.lit(0.1).alias("p0"),
+        F.lit(0.3).alias("p1"), (F.col("predicted") / (F.col("predicted") + 40)).alias("p2")
+    )
     return E.class_log_loss(x, ["kind"], "y", ["p0", "p1", "p2"]).select("kind", r6("log_loss").alias("log_loss"))
 
 
@@ -329,7 +356,9 @@ def e9_acceptance_gate(spark, d):
     """The last-five average against minutes as a prediction, kinds as folds; the late rule is said to be in some of them."""
     x = _pred(spark, d)
     models = F.array(F.struct(F.lit("new").alias("model"), F.col("predicted").alias("p")), F.struct(F.lit("old").alias("model"), F.col("minutes").cast("double").alias("p")))
-    y = x.select("kind", "round", "actual", F.explode(models).alias("m")).select("kind", "round", "actual", "m.*").withColumns({"q": F.col("p") / (F.col("p") + 40), "hit": F.col("actual") >= 50})
+    y = x.select("kind", "round", "actual", F.explode(models).alias("m")).select("kind", "round", "actual", "m.*").withColumns({
+        "q": F.col("p") / (F.col("p") + 40), "hit": F.col("actual") >= 50
+    })
     keys = ["kind", "model"]
     tail = E.tail_metrics(y, keys, "p", "actual", [80], least=1).select(*keys, F.col("rmse").alias("tail_rmse"))
     metrics = (
@@ -370,7 +399,9 @@ def e12_leaking_feature(spark, d):
     cut = F.lit("2024-01-15").cast("timestamp")
     later = f.withColumn("points", F.when(F.col("ts") > cut, F.col("points") * 3 + 7).otherwise(F.col("points")))
     w = W.over(K, O)
-    made = lambda x: x.select("event_id", "ts", F.avg("points").over(w.rowsBetween(-2, 0)).alias("own_row"), F.avg("points").over(w.rowsBetween(-2, 1)).alias("next_row")).where(F.col("ts") <= cut)
+    made = lambda x: x.select(
+        "event_id", "ts", F.avg("points").over(w.rowsBetween(-2, 0)).alias("own_row"), F.avg("points").over(w.rowsBetween(-2, 1)).alias("next_row")
+    ).where(F.col("ts") <= cut)
     return E.differing(made(f), made(later), "event_id", ["own_row", "next_row"]).select("feature", "n_changed")
 
 

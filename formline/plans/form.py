@@ -35,7 +35,10 @@ def slice_top_form(spark, d):
 @query("""WITH {f} SELECT event_id, round(avg(points) OVER w3, 6) AS avg3, round(sum(points) OVER w5, 6) AS sum5, round(avg(points) OVER w10, 6) AS avg10, sum(minutes) OVER w5 AS min5 FROM f
 WINDOW w3 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""".replace("sum(minutes) OVER w5", "(sum(minutes) OVER w5)::BIGINT"))
 def w1_lagged_rolling(spark, d):
-    return fact(spark, d).select("event_id", r6(W.rolling(F.col("points"), K, O, 3)).alias("avg3"), r6(W.rolling(F.col("points"), K, O, 5, "sum")).alias("sum5"), r6(W.rolling(F.col("points"), K, O, 10)).alias("avg10"), W.rolling(F.col("minutes"), K, O, 5, "sum").alias("min5"))
+    return fact(spark, d).select(
+        "event_id", r6(W.rolling(F.col("points"), K, O, 3)).alias("avg3"), r6(W.rolling(F.col("points"), K, O, 5, "sum")).alias("sum5"),
+        r6(W.rolling(F.col("points"), K, O, 10)).alias("avg10"), W.rolling(F.col("minutes"), K, O, 5, "sum").alias("min5")
+    )
 
 
 @query("""WITH {f}, g AS (SELECT *, CASE WHEN minutes >= 20 THEN points END AS p FROM f)
@@ -64,7 +67,10 @@ def w3_lagged_rolling_min_obs(spark, d):
 WINDOW w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
   w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def w4_rolling_per90(spark, d):
-    return fact(spark, d).select("event_id", r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 5)).alias("per90_5"), r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 10)).alias("per90_10"))
+    return fact(spark, d).select(
+        "event_id", r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 5)).alias("per90_5"),
+        r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 10)).alias("per90_10")
+    )
 
 
 @query("""WITH {f} SELECT event_id, round(sum(points) OVER w5 / greatest(sum(minutes) OVER w5, 1) * 90, 6) AS rate5,
@@ -72,7 +78,10 @@ def w4_rolling_per90(spark, d):
 WINDOW w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
   w20 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def w5_inclusive_rates(spark, d):
-    return fact(spark, d).select("event_id", r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 5, lagged=False)).alias("rate5"), r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 20, lagged=False)).alias("rate20"))
+    return fact(spark, d).select(
+        "event_id", r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 5, lagged=False)).alias("rate5"),
+        r6(W.rolling_rate(F.col("points"), F.col("minutes"), K, O, 20, lagged=False)).alias("rate20")
+    )
 
 
 @query("""WITH {f}, g AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS i, CASE WHEN minutes >= 10 THEN points END AS p FROM f)
@@ -125,7 +134,10 @@ round(avg((minutes > 0)::INT) OVER (PARTITION BY entity ORDER BY ts, event_id RO
   WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)""")
 def w12_start_shares(spark, d):
     started, played = (F.col("minutes") >= 60).cast("double"), (F.col("minutes") > 0).cast("double")
-    return fact(spark, d).select("event_id", W.lagged_flag(F.col("minutes") >= 60, K, O).alias("started_last"), r6(W.rolling(started, K, O, 5)).alias("start5"), r6(W.rolling(started, K, O, 10)).alias("start10"), r6(W.rolling(played, K, O, 5)).alias("played5"))
+    return fact(spark, d).select(
+        "event_id", W.lagged_flag(F.col("minutes") >= 60, K, O).alias("started_last"), r6(W.rolling(started, K, O, 5)).alias("start5"),
+        r6(W.rolling(started, K, O, 10)).alias("start10"), r6(W.rolling(played, K, O, 5)).alias("played5")
+    )
 
 
 @query("""WITH {f} SELECT event_id, round(avg(points) OVER w, 6) AS vs_mean, count(points) OVER w AS vs_n FROM f
@@ -151,7 +163,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   least(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey), 8)::INTEGER AS place FROM g""")
 def w16_capped_rank(spark, d):
     g = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return g.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", W.capped_rank("l_extendedprice", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).alias("place"))
+    return g.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        W.capped_rank("l_extendedprice", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).alias("place")
+    )
 
 
 @query("""WITH g AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority AS p, round(o_totalprice / 1000) AS v FROM orders),
@@ -174,7 +189,9 @@ def w18_quantile_buckets(spark, d):
 def _sides(spark, d):
     f = fact(spark, d)
     left = f.where("kind = 'click'").select("event_id", "entity", "ts")
-    right = f.where("kind = 'view'").select("entity", F.date_trunc("hour", "ts").alias("rts"), "event_id", F.when(F.col("minutes") >= 10, F.col("points")).alias("elo")).withColumnRenamed("event_id", "rid")
+    right = f.where("kind = 'view'").select(
+        "entity", F.date_trunc("hour", "ts").alias("rts"), "event_id", F.when(F.col("minutes") >= 10, F.col("points")).alias("elo")
+    ).withColumnRenamed("event_id", "rid")
     return left.withColumn("ts", F.when(F.col("event_id") % 3 == 0, F.date_trunc("hour", "ts")).otherwise(F.col("ts"))), right
 
 
@@ -216,7 +233,10 @@ def j6_asof_day_offset(spark, d):
 CASE WHEN lag(ts) OVER (PARTITION BY entity ORDER BY ts) IS NOT NULL THEN least((epoch_us(ts) - epoch_us(lag(ts)
   OVER (PARTITION BY entity ORDER BY ts))) // 86400000000, 60) END::BIGINT AS since FROM f""")
 def j7_interval_counts(spark, d):
-    return fact(spark, d).select("event_id", asof.trailing_count("ts", K, 2).alias("last2d"), asof.trailing_count("ts", K, 7).alias("last7d"), asof.days_since_last("ts", K).cast("long").alias("since"))
+    return fact(spark, d).select(
+        "event_id", asof.trailing_count("ts", K, 2).alias("last2d"), asof.trailing_count("ts", K, 7).alias("last7d"),
+        asof.days_since_last("ts", K).cast("long").alias("since")
+    )
 
 
 @query("""WITH {f} SELECT event_id, round(avg(points) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS form
@@ -226,6 +246,9 @@ UNION ALL SELECT -event_id - 1, round(avg(points) OVER (PARTITION BY entity ORDE
 def t10_history_with_stubs(spark, d):
     """A stub row after each entity's history goes through the same windows as history."""
     f = fact(spark, d).withColumn("is_inference", F.lit(False))
-    stubs = f.groupBy("entity").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("entity", (F.col("m.ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), (-F.col("m.event_id") - 1).alias("event_id"), F.lit(True).alias("is_inference"))
+    stubs = f.groupBy("entity").agg(F.max(F.struct("ts", "event_id")).alias("m")).select(
+        "entity", (F.col("m.ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), (-F.col("m.event_id") - 1).alias("event_id"),
+        F.lit(True).alias("is_inference")
+    )
     both = f.unionByName(stubs, allowMissingColumns=True)
     return both.select("event_id", r6(W.rolling(F.col("points"), K, O, 5)).alias("form"))

@@ -26,7 +26,9 @@ def j1_star_join(spark, d):
 @query("""SELECT p_partkey, p_brand, o_orderkey, true AS is_inference FROM part JOIN (SELECT o_orderkey, 'Brand#' || (o_orderkey % 25 + 1)::VARCHAR AS p_brand
   FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) = 1) USING (p_brand)""")
 def j2_inference_stubs(spark, d):
-    fx = table(spark, d, "orders").where((F.year("o_orderdate") == 1995) & (F.month("o_orderdate") == 1)).select("o_orderkey", F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 25 + 1).cast("string")).alias("p_brand"))
+    fx = table(spark, d, "orders").where((F.year("o_orderdate") == 1995) & (F.month("o_orderdate") == 1)).select(
+        "o_orderkey", F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 25 + 1).cast("string")).alias("p_brand")
+    )
     return J.stubs(table(spark, d, "part").select("p_partkey", "p_brand"), fx, "p_brand")
 
 
@@ -87,7 +89,9 @@ SELECT a.l_orderkey, a.team, a.form, b.form AS opp_form FROM g a LEFT JOIN g b O
 def j11_opponent_form(spark, d):
     t = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_suppkey").alias("team")).agg(F.sum("l_quantity").alias("form"))
     w = Window.partitionBy("l_orderkey")
-    g = t.withColumns({"lo": F.min("team").over(w), "hi": F.max("team").over(w)}).where("team in (lo, hi)").withColumn("opponent", F.when(F.col("team") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).drop("lo", "hi")
+    g = t.withColumns({"lo": F.min("team").over(w), "hi": F.max("team").over(w)}).where("team in (lo, hi)").withColumn(
+        "opponent", F.when(F.col("team") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    ).drop("lo", "hi")
     return J.opposite(g, ["l_orderkey"], "team", "opponent", ["form"]).select("l_orderkey", "team", "form", "opp_form")
 
 
@@ -188,9 +192,14 @@ SELECT o_orderkey, round(coalesce(m, 0), 2) AS minutes, coalesce(n, 0) AS n,
   LEFT JOIN t ON t.o_custkey = o.o_custkey AND t.y = year(o_orderdate)""")
 def p11_bridge_features(spark, d):
     o = table(spark, d, "orders")
-    t = o.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey", (F.year("o_orderdate") + 1).alias("y")).agg(F.sum("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last"))
+    t = o.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey", (F.year("o_orderdate") + 1).alias("y")).agg(
+        F.sum("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last")
+    )
     j = o.withColumn("y", F.year("o_orderdate")).join(t, ["o_custkey", "y"], "left")
-    return j.select("o_orderkey", F.round(F.coalesce("m", F.lit(0.0)), 2).alias("minutes"), F.coalesce("n", F.lit(0)).alias("n"), clip(F.datediff("o_orderdate", "last"), 0, 90).cast("long").alias("rest"))
+    return j.select(
+        "o_orderkey", F.round(F.coalesce("m", F.lit(0.0)), 2).alias("minutes"), F.coalesce("n", F.lit(0)).alias("n"),
+        clip(F.datediff("o_orderdate", "last"), 0, 90).cast("long").alias("rest")
+    )
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_linenumber END = 1)::INT,
@@ -217,7 +226,10 @@ def p14_age(spark, d):
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, round(value / 100, 4) AS p FROM events""")
 def p21_json_round_trip(spark, d):
     e = table(spark, d, "events")
-    doc = sinks.drivers_json(F.array(F.struct(F.lit("k").alias("name"), F.get_json_object("props", "$.k").cast("double").alias("points"))), F.round(F.col("value") / 100, 4), F.lit(0.0), F.lit(None).cast("double"), F.lit(False))
+    doc = sinks.drivers_json(
+        F.array(F.struct(F.lit("k").alias("name"), F.get_json_object("props", "$.k").cast("double").alias("points"))),
+        F.round(F.col("value") / 100, 4), F.lit(0.0), F.lit(None).cast("double"), F.lit(False)
+    )
     back = F.from_json(doc, "components array<struct<name string, points double>>, p_start double")
     return e.select("event_id", back.alias("b")).select("event_id", F.col("b.components")[0]["points"].cast("int").alias("k"), F.col("b.p_start").alias("p"))
 
@@ -226,7 +238,10 @@ def p21_json_round_trip(spark, d):
   p_size - coalesce(nullif(p_partkey % 3, 0), 0) AS net FROM part""")
 def p29_price_arithmetic(spark, d):
     price = F.col("p_retailprice") / 10
-    return table(spark, d, "part").select("p_partkey", F.round(price, 4).alias("price"), r6(F.col("p_size") / price).alias("per_million"), (F.col("p_size") - F.coalesce(F.nullif(F.col("p_partkey") % 3, F.lit(0)), F.lit(0))).alias("net"))
+    return table(spark, d, "part").select(
+        "p_partkey", F.round(price, 4).alias("price"), r6(F.col("p_size") / price).alias("per_million"),
+        (F.col("p_size") - F.coalesce(F.nullif(F.col("p_partkey") % 3, F.lit(0)), F.lit(0))).alias("net")
+    )
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_shipdate, l_linenumber, max(l_extendedprice) AS x FROM lineitem WHERE l_quantity >= 25 GROUP BY ALL)
@@ -239,7 +254,9 @@ def a8_team_max(spark, d):
   SELECT kind, round::TIMESTAMP AS round, pos, round(CASE WHEN count(pts) OVER w >= 5 THEN avg(pts) OVER w END, 6) AS conceded FROM c
   WINDOW w AS (PARTITION BY kind, pos ORDER BY round ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def a9_conceded_by_position(spark, d):
-    c = fact(spark, d).where("minutes >= 60").groupBy("kind", F.col("round").cast("timestamp_ntz").alias("round"), (F.col("entity") % 4).alias("pos")).agg(F.avg("points").alias("pts"))
+    c = fact(spark, d).where("minutes >= 60").groupBy(
+        "kind", F.col("round").cast("timestamp_ntz").alias("round"), (F.col("entity") % 4).alias("pos")
+    ).agg(F.avg("points").alias("pts"))
     return c.select("kind", "round", "pos", r6(W.rolling(F.col("pts"), ["kind", "pos"], ["round"], 10, min_obs=5, lagged=False)).alias("conceded"))
 
 
@@ -252,7 +269,10 @@ SELECT c.team, coalesce(nullif(n.strength, 0), b.last, m.mean)::BIGINT AS streng
 def a10_strength_backfill(spark, d):
     n = F.count(F.lit(1))
     s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("team"), F.year("o_orderdate").alias("y")).agg(F.when(n % 3 != 0, n).alias("strength"))
-    by = s.groupBy("team").agg(F.max(F.when(F.col("y") == 2001, F.col("strength"))).alias("now"), F.max_by("strength", F.when((F.col("y") < 2001) & F.col("strength").isNotNull(), F.col("y"))).alias("last"))
+    by = s.groupBy("team").agg(
+        F.max(F.when(F.col("y") == 2001, F.col("strength"))).alias("now"),
+        F.max_by("strength", F.when((F.col("y") < 2001) & F.col("strength").isNotNull(), F.col("y"))).alias("last")
+    )
     mean = s.where("y < 2001").agg(F.round(F.avg("strength")).alias("mean"))
     return by.crossJoin(F.broadcast(mean)).select("team", F.coalesce("now", "last", "mean").cast("long").alias("strength"))  # one row
 
@@ -293,9 +313,15 @@ k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY uid, match_id ORDE
   SELECT uid, match_id, season::INTEGER AS season, coalesce(h.league, a.league, 'unknown') AS league FROM k LEFT JOIN l h ON h.team = home
   LEFT JOIN l a ON a.team = away""")
 def s4_match_rows(spark, d):
-    leagues = table(spark, d, "nation").where("n_nationkey % 4 != 3").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")).select(F.col("n_name").alias("team"), F.col("r_name").alias("league"))
+    leagues = table(spark, d, "nation").where("n_nationkey % 4 != 3").join(
+        table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")
+    ).select(F.col("n_name").alias("team"), F.col("r_name").alias("league"))
     k = F.col("o_orderkey")
-    m = table(spark, d, "orders").select(F.col("o_custkey").alias("uid"), (k % 50).alias("match_id"), k.alias("seq"), F.year("o_orderdate").alias("season"), F.concat(F.lit("NATION_"), (k % 30).cast("string")).alias("home"), F.concat(F.lit("NATION_"), (F.col("o_custkey") % 25).cast("string")).alias("away"))
+    m = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("uid"), (k % 50).alias("match_id"), k.alias("seq"), F.year("o_orderdate").alias("season"),
+        F.concat(F.lit("NATION_"), (k % 30).cast("string")).alias("home"),
+        F.concat(F.lit("NATION_"), (F.col("o_custkey") % 25).cast("string")).alias("away")
+    )
     return files.match_rows(m, leagues, 1998).select("uid", "match_id", "season", "league")
 
 
@@ -304,7 +330,10 @@ def s4_match_rows(spark, d):
   SELECT trim(team) AS team, max_by(league, seq) AS league FROM p GROUP BY 1""")
 def s5_team_leagues(spark, d):
     k = F.col("o_custkey")
-    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("L"), (F.col("o_orderkey") % 5).cast("string")).alias("league"), F.concat(F.lit("T"), (k % 40).cast("string"), F.lit(", T"), (k % 7).cast("string")).alias("team_title"))
+    p = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.lit("L"), (F.col("o_orderkey") % 5).cast("string")).alias("league"),
+        F.concat(F.lit("T"), (k % 40).cast("string"), F.lit(", T"), (k % 7).cast("string")).alias("team_title")
+    )
     return files.team_leagues(p)
 
 
@@ -317,13 +346,18 @@ def s6_known_seasons(spark, d):
     name = F.concat(F.lit("S"), F.col("y").cast("string"))
     seasons = o.where("y < 2000").select(name.alias("name"), (F.col("y") - 1990).alias("id")).distinct()
     known, unknown = files.with_known_season(o.select("o_orderkey", name.alias("season_name")), seasons)
-    return known.agg(F.count(F.lit(1)).alias("n"), F.sum("season_id").alias("ids")).select(F.lit("known").alias("side"), "n", "ids").unionByName(unknown.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown").alias("side"), "n", F.lit(None).cast("long").alias("ids")))
+    return known.agg(F.count(F.lit(1)).alias("n"), F.sum("season_id").alias("ids")).select(F.lit("known").alias("side"), "n", "ids").unionByName(
+        unknown.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown").alias("side"), "n", F.lit(None).cast("long").alias("ids"))
+    )
 
 
 @query("""SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS valid_from, (o_orderdate + INTERVAL 30 DAY)::DATE::VARCHAR AS valid_to FROM orders
   WHERE o_orderdate + INTERVAL 30 DAY >= DATE '1999-06-01'""")
 def s7_rating_history(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("valid_from"), F.date_add(F.to_date("o_orderdate"), 30).cast("string").alias("valid_to"))
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.to_date("o_orderdate").cast("string").alias("valid_from"),
+        F.date_add(F.to_date("o_orderdate"), 30).cast("string").alias("valid_to")
+    )
     return files.rating_history(o, "1999-06-01").select("o_orderkey", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
 
@@ -373,10 +407,16 @@ def s12_versioned_predictions(spark, d):
 
 def _names(spark, d):
     """Customers under misspelt names against their own list, blocked by nation and segment."""
-    c = table(spark, d, "customer").select("c_custkey", F.concat_ws(" ", F.lower("c_mktsegment"), F.translate(F.substring("c_name", 10, 9), "0123456789", "abcdefghij")).alias("name"), F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("team"))
+    c = table(spark, d, "customer").select(
+        "c_custkey", F.concat_ws(" ", F.lower("c_mktsegment"), F.translate(F.substring("c_name", 10, 9), "0123456789", "abcdefghij")).alias("name"),
+        F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("team")
+    )
     right = c.select(F.col("c_custkey").alias("code"), "name", "team")
     k = F.col("c_custkey")
-    left = c.select((k + 500000).alias("uid"), F.when(k % 3 == 0, F.concat(F.col("name"), F.lit("s"))).otherwise(F.col("name")).alias("name"), F.when(k % 5 == 1, "elsewhere").otherwise(F.col("team")).alias("team"))
+    left = c.select(
+        (k + 500000).alias("uid"), F.when(k % 3 == 0, F.concat(F.col("name"), F.lit("s"))).otherwise(F.col("name")).alias("name"),
+        F.when(k % 5 == 1, "elsewhere").otherwise(F.col("team")).alias("team")
+    )
     return left, right
 
 
@@ -452,7 +492,9 @@ SELECT c_custkey, coalesce(n, 0) AS n, coalesce(last, max(last) OVER (PARTITION
   LEFT JOIN a ON o_custkey = c_custkey""")
 def j16_enrich_squads(spark, d):
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("country"))
-    a = table(spark, d, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 1996)).groupBy(F.col("o_custkey").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last_match"))
+    a = table(spark, d, "orders").where(
+        (F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 1996)
+    ).groupBy(F.col("o_custkey").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last_match"))
     zero = [F.lit(0).cast("long").alias(c) for c in ("minutes", "matches", "starts", "goals")]
     return wiki.enrich(s, a.select("*", *zero)).select(F.col("name").alias("c_custkey"), F.coalesce("n", F.lit(0)).alias("n"), "last_match")
 
@@ -468,7 +510,9 @@ def _pages(spark, d):
     off = F.when(k % 4 == 1, F.concat(F.lit(" || {{suboff|"), (k % 30 + 60).cast("string"), F.lit("}}"))).otherwise("")
     on = F.when(k % 2 == 1, F.concat(F.lit(" || {{subon|"), (k % 30 + 20).cast("string"), F.lit("}}"))).otherwise("")
     row = F.concat(F.lit("|DF || '''4''' || "), name, F.when(k % 3 == 0, on).otherwise(off))
-    goal = F.when(k % 7 == 1, F.concat(F.lit("* "), name, F.lit(" {{goal|12|45+2}}"))).when(k % 7 == 2, F.concat(F.lit("* "), name, F.lit(" 50', 82'"))).when(k % 7 == 3, F.concat(F.lit("* "), name, F.lit(" {{goal|30|o.g.}}")))
+    goal = F.when(k % 7 == 1, F.concat(F.lit("* "), name, F.lit(" {{goal|12|45+2}}"))).when(
+        k % 7 == 2, F.concat(F.lit("* "), name, F.lit(" 50', 82'"))
+    ).when(k % 7 == 3, F.concat(F.lit("* "), name, F.lit(" {{goal|30|o.g.}}")))
     listed = lambda x, when: F.array_join(F.array_sort(F.collect_list(F.when(when, x))), "\n")
     per = table(spark, d, "orders").groupBy("o_custkey").agg(listed(row, k % 3 != 0).alias("start"), listed(row, k % 3 == 0).alias("bench"), listed(goal, k > 0).alias("goals"))
     box = F.when(c % 2 == 0, "{{#invoke:football box|main").otherwise("{{football box")
@@ -476,7 +520,9 @@ def _pages(spark, d):
     block = F.concat_ws("\n", box, date, F.concat(F.lit("| goals1 =\n"), F.col("goals")), F.lit("| penalties1 =\n* [[P1]] {{goal|120}}"), F.when(c % 5 == 0, "| aet = y"), F.lit("}}\n{|"), F.col("start"),
                         F.lit("|-\n'''Substitutions:'''"), F.col("bench"), F.lit("'''Manager:'''\n|}\n"))
     pages = per.select((c % 100).alias("page"), "o_custkey", block.alias("block")).groupBy("page")
-    return pages.agg(F.concat(F.lit("intro\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_custkey", "block"))), lambda x: x["block"]), "")).alias("wikitext"))
+    return pages.agg(F.concat(
+        F.lit("intro\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_custkey", "block"))), lambda x: x["block"]), "")
+    ).alias("wikitext"))
 
 
 _PAGES_SQL = """p AS (SELECT o_custkey % 100 AS page, 'P' || o_orderkey AS name, o_orderkey AS k, o_custkey AS c, o_orderkey % 3 <> 0 AS started,
@@ -499,14 +545,19 @@ SELECT name, sum(minutes)::BIGINT AS minutes, count(*) AS matches, count(*) FILT
 def a28_tournament_totals(spark, d):
     pages = staging.staged(_pages(spark, d), "pages")
     totals = wiki.tournament_totals(wiki.appearances(pages), wiki.goals(pages))
-    return totals.select("name", F.col("minutes").cast("long").alias("minutes"), "matches", "starts", F.col("goals").cast("long").alias("goals"), F.col("last_match").cast("string").alias("last_match"))
+    return totals.select(
+        "name", F.col("minutes").cast("long").alias("minutes"), "matches", "starts", F.col("goals").cast("long").alias("goals"),
+        F.col("last_match").cast("string").alias("last_match")
+    )
 
 
 @query("""SELECT n_regionkey AS page, n_name AS country, 'C' || c_custkey AS name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def p32_squad_pages(spark, d):
     """Squad pages made of the given tables: a region is a page, a nation a heading, its customers the players."""
     member = F.concat(F.lit("{{nat fs g player|no=1|pos=DF|name=[[C"), F.col("c_custkey").cast("string"), F.lit("]]|age=20}}"))
-    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey").groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list(member)), "\n").alias("players"))
+    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey").groupBy("n_nationkey").agg(
+        F.array_join(F.array_sort(F.collect_list(member)), "\n").alias("players")
+    )
     n = table(spark, d, "nation").join(c, "n_nationkey").select("n_regionkey", F.concat(F.lit("=== "), F.col("n_name"), F.lit(" ===\n"), F.col("players")).alias("part"))
     pages = n.groupBy(F.col("n_regionkey").alias("page")).agg(F.concat(F.lit("intro\n"), F.array_join(F.array_sort(F.collect_list("part")), "\n")).alias("wikitext"))
     return wiki.squads(pages).select("page", "country", "name")

@@ -159,7 +159,10 @@ SELECT x.bucket, y.returns, round(coalesce(CASE WHEN c.n >= 420 THEN c.m END, CA
   0), 6) AS expectation FROM (SELECT DISTINCT bucket FROM g) x CROSS JOIN (SELECT DISTINCT returns FROM g) y
   LEFT JOIN c ON c.bucket = x.bucket AND c.returns = y.returns LEFT JOIN b ON b.bucket = x.bucket LEFT JOIN r ON r.returns = y.returns""")
 def a21_conditional_distribution(spark, d):
-    f = fact(spark, d).select((F.col("event_id") % 8 + 1).cast("int").alias("bucket"), F.least(F.floor(F.col("minutes") / 40), F.lit(2)).cast("int").alias("returns"), F.when(F.col("minutes") == 99, 3).otherwise(F.col("event_id") % 4).alias("bonus"))
+    f = fact(spark, d).select(
+        (F.col("event_id") % 8 + 1).cast("int").alias("bucket"), F.least(F.floor(F.col("minutes") / 40), F.lit(2)).cast("int").alias("returns"),
+        F.when(F.col("minutes") == 99, 3).otherwise(F.col("event_id") % 4).alias("bonus")
+    )
     return S.conditional_distribution(f, "bucket", "returns", "bonus", least=420).select("bucket", "returns", r6("expectation").alias("expectation"))
 
 

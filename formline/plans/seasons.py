@@ -18,7 +18,10 @@ def _totals(spark, d):
 @query(f"""WITH {_TOTALS} SELECT entity, year::INTEGER AS year, round(points, 2) AS points, exposure::BIGINT AS exposure, games, starts,
   round(stat_sum, 4) AS stat_sum, stat_exposure::BIGINT AS stat_exposure FROM t""")
 def a1_season_totals(spark, d):
-    return _totals(spark, d).select("entity", "year", F.round("points", 2).alias("points"), "exposure", "games", "starts", F.round("stat_sum", 4).alias("stat_sum"), "stat_exposure")
+    return _totals(spark, d).select(
+        "entity", "year", F.round("points", 2).alias("points"), "exposure", "games", "starts", F.round("stat_sum", 4).alias("stat_sum"),
+        "stat_exposure"
+    )
 
 
 @query(f"""WITH {_TOTALS} SELECT entity, year::INTEGER AS year, round(CASE WHEN sum(exposure) OVER w2 >= 200 THEN sum(points) OVER w2 / sum(games) OVER w2 END,
@@ -26,7 +29,10 @@ def a1_season_totals(spark, d):
 WINDOW w2 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING),
   w3 AS (PARTITION BY entity ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
 def a2_trailing_years(spark, d):
-    return _totals(spark, d).select("entity", "year", F.round(A.trailing_rate(["entity"], "year", 2, least=200), 4).alias("ppg2"), F.round(A.trailing_rate(["entity"], "year", 3, least=200), 4).alias("ppg3"))
+    return _totals(spark, d).select(
+        "entity", "year", F.round(A.trailing_rate(["entity"], "year", 2, least=200), 4).alias("ppg2"),
+        F.round(A.trailing_rate(["entity"], "year", 3, least=200), 4).alias("ppg3")
+    )
 
 
 @query(f"""WITH {_TOTALS} SELECT a.entity, a.year::INTEGER AS year, round(b.points / b.games, 4) AS prev_ppg, round(b.exposure / 3420, 6) AS prev_share,
@@ -37,7 +43,11 @@ def a3_j8_previous_season(spark, d):
     t = _totals(spark, d).withColumn("ppg", F.col("points") / F.col("games"))
     two = F.max("ppg").over(A.Window.partitionBy("entity").orderBy("year").rangeBetween(-2, -2))
     seen = F.count(F.lit(1)).over(A.Window.partitionBy("entity").orderBy("year").rangeBetween(A.Window.unboundedPreceding, -1))
-    return t.select("entity", "year", F.round(A.previous("ppg", ["entity"], "year"), 4).alias("prev_ppg"), F.round(A.previous("exposure", ["entity"], "year") / 3420, 6).alias("prev_share"), A.previous("starts", ["entity"], "year").alias("prev_starts"), F.round(two, 4).alias("ppg_two_back"), seen.alias("experience"))
+    return t.select(
+        "entity", "year", F.round(A.previous("ppg", ["entity"], "year"), 4).alias("prev_ppg"),
+        F.round(A.previous("exposure", ["entity"], "year") / 3420, 6).alias("prev_share"),
+        A.previous("starts", ["entity"], "year").alias("prev_starts"), F.round(two, 4).alias("ppg_two_back"), seen.alias("experience")
+    )
 
 
 _LADDER = """l AS (SELECT entity, year, CASE WHEN e1 >= 90 THEN s1 / e1 * 90 WHEN e3 >= 40 THEN s3 / e3 * 90 ELSE s1 / nullif(e1, 0) * 90 END AS prior FROM
@@ -100,7 +110,9 @@ SELECT a.entity, a.year::INTEGER AS year,
 def a6_weighted_career(spark, d):
     f = yearly(spark, d)
     coef = f.select("grp").distinct().withColumn("coef", 0.5 + F.row_number().over(A.Window.orderBy("grp")) / 10)  # five rows
-    s = f.join(F.broadcast(coef), "grp").groupBy("entity", "year").agg(F.sum("minutes").alias("m"), F.sum(F.col("points") * F.col("coef")).alias("p"), F.max_by("coef", "id").alias("c"))
+    s = f.join(F.broadcast(coef), "grp").groupBy("entity", "year").agg(
+        F.sum("minutes").alias("m"), F.sum(F.col("points") * F.col("coef")).alias("p"), F.max_by("coef", "id").alias("c")
+    )
     back = lambda c, n: F.max(c).over(A.Window.partitionBy("entity").orderBy("year").rangeBetween(-n, -n))
     two = lambda c: F.coalesce(back(c, 1), F.lit(0)) + F.coalesce(back(c, 2), F.lit(0))
     return s.select("entity", "year", F.round(F.when(two("m") >= 100, two("p") / two("m") * 90), 3).alias("career"), r6(F.coalesce(back("c", 1), back("c", 2))).alias("coef"))
@@ -111,9 +123,13 @@ def a6_weighted_career(spark, d):
 def a7_league_coefficients(spark, d):
     from formline.plans.tables import table
 
-    a = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.expr("s_nationkey = n_nationkey")).groupBy(F.col("n_regionkey").alias("league")).agg(F.avg("s_acctbal").alias("level"))
+    a = table(spark, d, "supplier").join(
+        F.broadcast(table(spark, d, "nation")), F.expr("s_nationkey = n_nationkey")
+    ).groupBy(F.col("n_regionkey").alias("league")).agg(F.avg("s_acctbal").alias("level"))
     base = a.where("league = 0").select(F.col("level").alias("base"))
-    return a.crossJoin(F.broadcast(base)).select("league", r6(F.least(F.greatest(F.pow(F.lit(10.0), (F.col("level") - F.col("base")) / 4000), F.lit(0.5)), F.lit(1.0))).alias("coef"))  # base is one row
+    return a.crossJoin(F.broadcast(base)).select(
+        "league", r6(F.least(F.greatest(F.pow(F.lit(10.0), (F.col("level") - F.col("base")) / 4000), F.lit(0.5)), F.lit(1.0))).alias("coef")
+    )  # base is one row
 
 
 @query("""WITH g AS (SELECT l_linenumber % 4 + 1 AS position, floor(l_quantity / 10)::INTEGER AS y, 2.0 + l_discount * 10 AS mu
@@ -125,7 +141,10 @@ SELECT position::INTEGER AS position, arg_max(alpha, ll)::DOUBLE AS alpha, max(n
 def a26_fit_dispersion(spark, d):
     from formline.plans.tables import table
 
-    g = table(spark, d, "lineitem").select((F.col("l_linenumber") % 4 + 1).cast("int").alias("position"), F.floor(F.col("l_quantity") / 10).cast("int").alias("y"), (2.0 + F.col("l_discount") * 10).alias("mu"))
+    g = table(spark, d, "lineitem").select(
+        (F.col("l_linenumber") % 4 + 1).cast("int").alias("position"), F.floor(F.col("l_quantity") / 10).cast("int").alias("y"),
+        (2.0 + F.col("l_discount") * 10).alias("mu")
+    )
     return fits.fit_dispersion(g, "position", "y", "mu", [0.02, 0.1, 0.3, 1.0]).select("position", "alpha", "n_rows", F.round("ll", 2).alias("ll"))
 
 
@@ -159,7 +178,10 @@ def a26_choose_family(spark, d):
     """Dispersion fitted on four fifths of the orders, the family chosen on the rest."""
     from formline.plans.tables import table
 
-    g = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 4 + 1).cast("int").alias("position"), F.floor(F.col("l_quantity") / 10).cast("int").alias("y"), (2.0 + F.col("l_discount") * 10).alias("mu"))
+    g = table(spark, d, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") % 4 + 1).cast("int").alias("position"), F.floor(F.col("l_quantity") / 10).cast("int").alias("y"),
+        (2.0 + F.col("l_discount") * 10).alias("mu")
+    )
     held = F.col("l_orderkey") % 5 == 0
     fitted = fits.fit_dispersion(g.where(~held), "position", "y", "mu", [0.02, 0.1, 0.3, 1.0])
     return fits.choose_family(g.where(held), fitted, "position", "y", "mu").select("position", r6("poisson").alias("poisson"), r6("negbin").alias("negbin"), "family")
@@ -177,6 +199,9 @@ def a27_held_out_losses(spark, d):
     from formline.plans.tables import table
 
     k = F.col("o_orderkey")
-    g = table(spark, d, "orders").where(k % 4 == 0).select((F.col("o_totalprice") / 1000 - 200).alias("diff"), (k % 3).cast("int").alias("res"), (1.5 + k % 7 / 2).alias("h"), (3.0 + k % 3 / 4).alias("dr"), (1.8 + (k % 5)).alias("a"))
+    g = table(spark, d, "orders").where(k % 4 == 0).select(
+        (F.col("o_totalprice") / 1000 - 200).alias("diff"), (k % 3).cast("int").alias("res"), (1.5 + k % 7 / 2).alias("h"),
+        (3.0 + k % 3 / 4).alias("dr"), (1.8 + (k % 5)).alias("a")
+    )
     routes = {"elo": S.elo_probabilities(F.col("diff"), 50.0, 0.27, 270.0), "odds": S.implied(F.col("h"), F.col("dr"), F.col("a"))}
     return fits.held_out_losses(g, "res", routes).select("route", r6("loss").alias("loss"))
