@@ -361,7 +361,10 @@ def _suffix_blocks(batches):
     def part_of_hot():
         whole = [(doc, start, raw, core, 0) for (raw, core), (doc, start) in group.items()]
         d, p, again, row = _windows(whole)
-        first = [hashlib.blake2b(whole[r][2][q - whole[r][1] : q - whole[r][1] + LENGTH], digest_size=8).digest() for r, q in zip(row[~again].tolist(), p[~again].tolist(), strict=True)]
+        first = [
+            hashlib.blake2b(whole[r][2][q - whole[r][1] : q - whole[r][1] + LENGTH], digest_size=8).digest() for r,
+            q in zip(row[~again].tolist(), p[~again].tolist(), strict=True)
+        ]
         yield rows(list(zip(*(x.tolist() for x in _merged(d[again], p[again], p[again] + LENGTH)), strict=True)))
         names = np.frombuffer(b"".join(first), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(d[~again]), pa.array(p[~again]), pa.array(np.full(len(first), -1)), pa.array(names, pa.int64())], schema=kinds)
@@ -403,7 +406,10 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, stop) byte intervals, as a table, that together cover all repeated windows of a narrow input."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    met = written(docs.select("doc_id", "text").mapInArrow(_occurrences, _SCHEMA).repartition("anchor").sortWithinPartitions("anchor", "around", "doc_id", "pos").mapInArrow(_meet, _SCHEMA), "sa-met")
+    met = written(
+        docs.select("doc_id", "text").mapInArrow(_occurrences, _SCHEMA).repartition("anchor").sortWithinPartitions("anchor", "around", "doc_id", "pos").mapInArrow(_meet, _SCHEMA),
+        "sa-met"
+    )
     open_ = met.where("stop < 0").select("anchor", "doc_id", "pos", "shape")
     hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)  # at most one in HOT rows
     hot = written(hot.select("anchor", F.ceil(F.col("n") / HOT).cast("long").alias("salts")), "sa-hot")
@@ -417,12 +423,18 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
             raw = text.encode("utf-8", "surrogatepass")
             for row in at:
                 core, n = divmod(row["shape"], 256)
-                for name, value in (("key", row["anchor"]), ("salt", row["salt"]), ("doc_id", doc), ("start", row["pos"]), ("core", core), ("part", raw[row["pos"] : row["pos"] + n + LENGTH - 1])):
+                for name, value in (
+                    ("key", row["anchor"]), ("salt", row["salt"]), ("doc_id", doc), ("start", row["pos"]), ("core", core),
+                    ("part", raw[row["pos"] : row["pos"] + n + LENGTH - 1])
+                ):
                     out[name].append(value)
         return out
 
     parts = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), surroundings, "key long, salt long, doc_id long, start long, core int, part binary")
-    edges = written(parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "start").mapInArrow(_suffix_blocks, "doc_id long, pos long, stop long, window long"), "sa-edges")
+    edges = written(
+        parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "start").mapInArrow(_suffix_blocks, "doc_id long, pos long, stop long, window long"),
+        "sa-edges"
+    )
     spans = met.where("stop >= 0").select("doc_id", "pos", "stop").unionByName(edges.where("stop >= 0").drop("window"))
     if hot.isEmpty():
         return spans
@@ -455,9 +467,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     runs.append([a, z])
             edge = [0, *(v for r in runs for v in r), len(raw)]
             kept = b"".join(raw[a:z] for a, z in zip(edge[::2], edge[1::2], strict=True))
-            for name, value in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(kept)), ("n_spans", len(runs)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept if keep_text else None)):
+            for name, value in (
+                ("n_bytes", len(raw)), ("n_removed", len(raw) - len(kept)), ("n_spans", len(runs)), ("kept_sha256", hashlib.sha256(kept).hexdigest()),
+                ("kept", kept if keep_text else None)
+            ):
                 out[name].append(value)
         return out
 
-    done = map_batches(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").select(real_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    done = map_batches(
+        rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    ).select(real_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return done if keep_text else done.drop("kept")

@@ -128,7 +128,9 @@ def trees(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         nodes = [[{"level": k, "hash": n[0].hex(), "start": n[1], "end": n[2]} for k, level in enumerate((t.sections, t.paragraphs, t.chunks)) for n in level] for t in made]
         return {"doc_id": x["doc_id"], "fingerprint": [t.root for t in made], "nodes": nodes}
 
-    return map_batches(narrow(df, id_col, text_col), run, "doc_id long, fingerprint string, nodes array<struct<level:int,hash:string,start:long,end:long>>").select(real_id(), "fingerprint", "nodes")
+    return map_batches(
+        narrow(df, id_col, text_col), run, "doc_id long, fingerprint string, nodes array<struct<level:int,hash:string,start:long,end:long>>"
+    ).select(real_id(), "fingerprint", "nodes")
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

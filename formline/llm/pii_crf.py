@@ -256,7 +256,10 @@ def made_up(kind: str, rng: np.random.Generator) -> tuple[str, int, int]:
     before = after = ""
     if kind == "email":
         name, host, end = pick(*_NAMES) + pick("", d(1), d(2)), pick(*_HOSTS) + pick("", d(1)), pick(*_ENDS)
-        at, dot = pick(("@", "."), ("@", "."), (" @ ", "."), (" [at] ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[@]", "."), (" (at) ", "."))
+        at, dot = pick(
+            ("@", "."), ("@", "."), (" @ ", "."), (" [at] ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."),
+            ("[@]", "."), (" (at) ", ".")
+        )
         value = name + at + host + dot + end
     elif kind == "ip":
         four = [str(x) for x in rng.integers(0, 256, 4)]
@@ -266,7 +269,10 @@ def made_up(kind: str, rng: np.random.Generator) -> tuple[str, int, int]:
         value = pick("", " ", "-", ".", "  ", "/", " - ", "_").join(digits[i : i + 4] for i in range(0, 16, 4))
     elif kind == "phone":
         a, b, c = d(3), d(3), d(4)
-        value = pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{d(2)} {a} {b}{c}", f"0{d(2)}/{b}{c}", f"1-{a}-{b}-{c}", f"+{d(2)}/{a}/{b}{c}", f"({a}){b}{c}")
+        value = pick(
+            f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{d(2)} {a} {b}{c}", f"0{d(2)}/{b}{c}",
+            f"1-{a}-{b}-{c}", f"+{d(2)}/{a}/{b}{c}", f"({a}){b}{c}"
+        )
     else:
         if rng.random() < 0.35:
             value = pick(*_PREFIXES) + chars(_ALPHABETS[int(rng.integers(1, 3))], int(rng.integers(16, 36)))

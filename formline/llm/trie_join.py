@@ -231,7 +231,9 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     pairs = written(pairs.select("hub", "member"), "pairs")
     blocks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     hubs = blocks.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
-    members = pairs.join(blocks, "hub").select(F.col("member").alias("doc_id"), "hub", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"))
+    members = pairs.join(blocks, "hub").select(
+        F.col("member").alias("doc_id"), "hub", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind")
+    )
     goes = written(hubs.unionByName(members).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "block", "kind")).alias("to")), "sends")
     wanted = F.broadcast(goes) if (goes.agg(F.sum(F.size("to") + 1)).first()[0] or 0) <= BROADCAST_PLACES else goes
 
@@ -402,7 +404,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = verified(docs, _possible(near, firsts, percent), n, percent)
     groups = connected(links)
 
-    labelled = firsts.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp"), "parity", "prefix")
+    labelled = firsts.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp"), "parity", "prefix"
+    )
 
     def post(x):
         sizes = [len(p) // 6 for p in x["prefix"]]
@@ -413,7 +417,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return {"token": wide.view("<i8").ravel(), "doc_id": each("doc_id"), "comp": each("comp"), "at": each("n_shingles") << 32 | pos}
 
     postings = map_batches(labelled.select("doc_id", "n_shingles", "comp", "prefix"), post, "token long, doc_id long, comp long, at long")
-    found = written(postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _candidates(b, percent), "hub long, member long, token long, size int"), "candidates")
+    found = written(
+        postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _candidates(b, percent), "hub long, member long, token long, size int"),
+        "candidates"
+    )
     small = _possible(found.where("size = 0").select("hub", "member").distinct(), firsts, percent)
     large = _large(found.where("size > 0").select(F.col("hub").alias("doc_id"), "token", "size"), labelled, percent)
     more = verified(docs, small.union(large).distinct(), n, percent)
