@@ -84,6 +84,18 @@ def unique_ids(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "text", "given_id", *[c for c in docs.columns if c not in ("doc_id", "text")])
 
 
+def commonest(table: DataFrame, most: int) -> list[tuple]:
+    """(key, c) of the rows with the largest counts, at most ``most``: all from the least count that keeps to it."""
+    by = table.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(most).collect()  # each count has a row at least
+    cut, held = None, 0
+    for r in by:
+        held += r.n
+        if held > most:
+            break
+        cut = r.c
+    return [] if cut is None else [tuple(r) for r in table.where(F.col("c") >= cut).select(table.columns[0], "c").collect()]
+
+
 class Cache(dict):
     """A dict that fills itself by ``make``; at ``limit`` keys it ages, and what is not asked for again while it refills is forgotten."""
 

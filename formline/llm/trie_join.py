@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from formline.llm.common import Cache, map_batches, narrow, real_id, unique_ids, written
+from formline.llm.common import Cache, commonest, map_batches, narrow, real_id, unique_ids, written
 from formline.llm.components import connected
 
 BANDS = 5
@@ -163,8 +163,9 @@ def _hot(docs: DataFrame, n: int) -> np.ndarray:
         return {"s": value.view(np.int64), "c": count}
 
     seen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text")
-    top = map_batches(seen, run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "s").limit(HOT_KEPT)
-    return np.sort(np.array([r.s for r in top.select("s").collect()], np.int64).view(np.uint64))  # at most HOT_KEPT
+    counts = map_batches(seen, run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_LEAST)
+    top = commonest(written(counts, "hot"), HOT_KEPT)  # bounded, whatever the number of tasks
+    return np.sort(np.array([s for s, _ in top], np.int64).view(np.uint64))
 
 
 _MARKS = "bands array<long>, parity binary, prefix binary"
