@@ -33,6 +33,7 @@ PLACES = 4
 WINDOW, STRIDE = 96, 48
 HIDDEN, EMBED = 20, 12
 TAGS = 1 + 2 * len(KINDS)
+BATCH, STEPS = 64, 400
 
 # The base patterns.  Where a pattern could rescan a long run, the run's start is looked
 # for first; the matches are those of a plain left-to-right search.
@@ -190,7 +191,7 @@ class BiLstmCrf:
         np.add.at(grad["emb"], ids.ravel(), dx.reshape(-1, EMBED))
         return (z.sum() - gold) / b, {k: v / b for k, v in grad.items()}
 
-    def fit(self, ids, tags, epochs: int, batch: int = 64, rate: float = 0.012, seed: int = 5) -> float:
+    def fit(self, ids, tags, epochs: int, batch: int = BATCH, rate: float = 0.012, seed: int = 5) -> float:
         """Adam over shuffled batches; returns the last epoch's mean loss."""
         rng, step, mean = np.random.default_rng(seed), 0, 0.0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
@@ -393,7 +394,8 @@ LEAST = 7
 
 
 def all_spans(model: BiLstmCrf | None, texts: list[str]) -> list[tuple[list, list]]:
-    """Per text: (base spans, all spans).  Network spans are trimmed to their first and last letter or digit and touch no base span."""
+    """Per text: (base spans, all spans).  Network spans are trimmed to their first and last letter or digit, hold a digit or an
+    at sign of some form themselves, and touch no base span."""
     found = label_texts(model, texts) if model is not None else [[] for _ in texts]
     out = []
     for text, extra in zip(texts, found, strict=True):
@@ -404,7 +406,7 @@ def all_spans(model: BiLstmCrf | None, texts: list[str]) -> list[tuple[list, lis
                 a += 1
             while a < z and not text[z - 1].isalnum():
                 z -= 1
-            if z - a >= LEAST and not any(b < z and a < e for _, b, e in base):
+            if z - a >= LEAST and _HINT.search(text, a, z) and not any(b < z and a < e for _, b, e in base):
                 spans.append((kind, a, z))
         out.append((base, spans))
     return out
@@ -420,10 +422,11 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS, epochs: int = 6) -> BiLstmCrf | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS, steps: int = STEPS) -> BiLstmCrf | None:
     """A model from the ``max_docs`` documents with the smallest id hash among those with a digit or at sign; None without any.
 
-    Tasks send a text's ``places`` only, so what comes to the driver is bounded in characters too.
+    Tasks send a text's ``places`` only, so what comes to the driver is bounded in characters too.  Fewer
+    windows are gone over more often: there are about ``steps`` steps of BATCH windows in any case.
     """
     rows = narrow(df, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -435,7 +438,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     if not windows.shape[1]:
         return None
     model = BiLstmCrf()
-    model.fit(windows, tags, epochs)
+    model.fit(windows, tags, -(-steps * BATCH // max(windows.shape[1], BATCH)))
     return model
 
 
