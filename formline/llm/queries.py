@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import attention_lm, bitpack, byte_bpe, host_rules, lyndon_sa, merkle, pii_crf, poisson_mix, quality_knn, trie_join
+from formline.llm import attention_lm, bitpack, byte_bpe, host_rules, license_scan, lyndon_sa, merkle, pii_crf, poisson_mix, quality_knn, trie_join
 
 #: Target shares of the mix: the hot source is brought down, the others share the rest evenly.
 MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 20)}
@@ -101,6 +101,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_docs(spark, sf_dir)).drop("detections")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_merkle": op2_merkle,
@@ -112,5 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_crf": op8_pii_crf,
     "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_license_rules": op13_license_rules,
 }
 ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": OP6_SQL, "op9_host_rules": OP9_SQL}
