@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import attention_lm, bitpack, byte_bpe, host_rules, license_scan, lyndon_sa, merkle, pii_crf, poisson_mix, quality_knn, trie_join
+from formline.llm import attention_lm, bitpack, byte_bpe, host_rules, license_scan, lyndon_sa, merkle, periodic_runs, pii_crf, poisson_mix, quality_knn, trie_join
 
 #: Target shares of the mix: the hot source is brought down, the others share the rest evenly.
 MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 20)}
@@ -101,6 +102,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _planted_period(doc_id: int, words: list[bytes]) -> list[bytes]:
+    """One text in ten, by its id's digest, goes on with a period from some word."""
+    g, h = divmod(zlib.crc32(b"%d" % doc_id), 10)
+    n = len(words)
+    if h or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    turn = words[a : a + p]
+    return words[:a] + (turn * ((n - a) // p + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find(_docs(spark, sf_dir), rewrite=_planted_period)
+
+
 def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(_docs(spark, sf_dir)).drop("detections")
 
@@ -116,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_crf": op8_pii_crf,
     "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_license_rules": op13_license_rules,
 }
 ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": OP6_SQL, "op9_host_rules": OP9_SQL}
