@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import attention_lm, bitpack, byte_bpe, host_rules, license_scan, lyndon_sa, merkle, periodic_runs, pii_crf, poisson_mix, quality_knn, trie_join
+from formline.llm import attention_lm, bitpack, byte_bpe, host_rules, license_scan, lyndon_sa, merkle, periodic_runs, phrases, pii_crf, poisson_mix, quality_knn, trie_join
 
 #: Target shares of the mix: the hot source is brought down, the others share the rest evenly.
 MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 20)}
@@ -118,6 +118,27 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find(_docs(spark, sf_dir), rewrite=_planted_period)
 
 
+def op12_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_docs(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM w, unnest(range(1, 5)) s(k), unnest(range(1, len(w) - k + 2)) r(i)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT c.lang, c.g, c.f AS a, j, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score
+  FROM f c, unnest(range(1, c.k)) s(j) JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : j] JOIN f r ON r.lang = c.lang AND r.g = c.g[j + 1 : c.k] WHERE c.k > 1),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+i AS (SELECT lang, g[s : s + m - 1] AS g, max(f) AS around FROM f, unnest(range(2, k)) t(m), unnest(range(1, k - m + 2)) u(s) WHERE k > 2 GROUP BY ALL),
+kept AS (SELECT b.*, array_to_string(g, ' ') AS phrase FROM b LEFT JOIN i USING (lang, g) WHERE around IS NULL OR 100 * around < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(_docs(spark, sf_dir)).drop("detections")
 
@@ -134,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_filters": op12_phrase_filters,
     "op13_license_rules": op13_license_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": OP6_SQL, "op9_host_rules": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": OP6_SQL, "op9_host_rules": OP9_SQL, "op12_phrase_filters": OP12_SQL}
