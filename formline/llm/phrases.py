@@ -30,8 +30,8 @@ TOP = 2000
 SCALE = 2_000_000
 #: Words of a block, at about; keys that a task holds; distinct keys that a range of merged filters may have, at about.
 BLOCK = 1 << 18
-HELD = 1 << 21
-RANGE = 1 << 20
+HELD = 1 << 20
+RANGE = 1 << 19
 #: The bitmap of frequent pairs has at most so many bits (8 MB).
 SIEVE_BITS = 26
 #: Texts are read in parts of about so many bytes.
@@ -111,7 +111,7 @@ def _blocks(batches):
                 if part.endswith(b"\n"):  # no phrase goes on
                     if sizes[lang] >= BLOCK:
                         yield close(lang)
-                    if sum(sizes.values()) >= 8 * BLOCK:
+                    if sum(sizes.values()) >= 4 * BLOCK:
                         for each in list(open_):
                             yield close(each)
     for lang in list(open_):
