@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formline.operators.intervals import clipped_days
+
 BUCKET_SECONDS = 30 * 86_400
 
 
@@ -59,7 +61,6 @@ def trailing_count(ts: str, keys: Sequence[str], days: int) -> Column:
 
 
 def days_since_last(ts: str, keys: Sequence[str], most: int = 60) -> Column:
-    """Whole days since the latest earlier row of the keys, at most ``most``; null without one."""
+    """Days, with their fraction, since the latest earlier row of the keys, at most ``most``; null without one."""
     w = Window.partitionBy(*keys).orderBy(F.unix_micros(ts)).rangeBetween(Window.unboundedPreceding, -1)
-    days = F.floor((F.unix_micros(ts) - F.max(F.unix_micros(ts)).over(w)) / 86_400_000_000)
-    return F.when(days.isNotNull(), F.least(days, F.lit(most)))
+    return clipped_days(F.unix_micros(ts), F.max(F.unix_micros(ts)).over(w), most)

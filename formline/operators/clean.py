@@ -55,11 +55,19 @@ def start_year(name: Column) -> Column:
 PROGRESS_MINUTES = (180.0, 270.0, 340.0, 420.0, 500.0, 580.0, 580.0)
 
 
-def fading_load(minutes: Column, progress: Column, round_no: Column, first: int = 1, span: int = 8, proxy: Sequence[float] = (0.0, *PROGRESS_MINUTES)) -> tuple[Column, Column]:
-    """(minutes, progress) of an earlier tournament, fading to nothing over ``span`` rounds from ``first``; null minutes stand by progress."""
-    fade = F.when(round_no < first, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (round_no - first) / span))
-    stood = F.element_at(F.array(*[F.lit(p) for p in proxy]), F.least(F.greatest(progress, F.lit(0)), F.lit(len(proxy) - 1)).cast("int") + 1)
-    return F.coalesce(minutes, stood, F.lit(0.0)) * fade, F.coalesce(progress, F.lit(0)) * fade
+def fading_load(minutes: Column, progress: Column, round_no: Column, first: int = 1, span: int = 8, there: Column | None = None,
+                proxy: Sequence[float] = PROGRESS_MINUTES) -> tuple[Column, Column]:
+    """(minutes, progress) of an earlier tournament, fading to nothing over ``span`` rounds from ``first``.
+
+    A null or zero level counts as the first.  Null minutes stand by their level, levels out of range by the first.
+    Rows that were not ``there``, and rows without a round, have 0 of both.
+    """
+    there = F.lit(True) if there is None else F.coalesce(there, F.lit(False))
+    fade = F.when(there & (round_no >= first), F.greatest(F.lit(0.0), 1 - (round_no - first) / span)).otherwise(0.0)
+    level = F.coalesce(F.nullif(progress, F.lit(0)), F.lit(1))
+    place = F.when(level.between(1, len(proxy)), level.cast("int")).otherwise(1)
+    stood = F.element_at(F.array(*[F.lit(float(p)) for p in proxy]), place)
+    return F.coalesce(minutes, stood) * fade, level * fade
 
 
 def age_years(at: Column, born: Column) -> Column:

@@ -12,13 +12,19 @@ from formline.operators.windows import average_rank
 EPS = 1e-9
 
 
-def fold_column(year: str, round_no: str, folds: Sequence[tuple[str, int, int, int]]) -> Column:
-    """Array of (fold, part): test rows are those of (name, year, first round, last round), train all before them."""
+def fold_parts(year: str, round_no: str, folds: Sequence[tuple[str, int, int | None]]) -> Column:
+    """Array of (fold, part) of a row, for folds (name, test year, round after which its test begins or None for the whole year).
+
+    ``test`` is the test year, after the split; ``valid`` the year before it; ``fit`` all earlier years, and the
+    test year up to the split.  Train rows are those of fit and valid.  A null round is before no split.
+    """
     parts = []
-    for name, y, first, last in folds:
-        test = (F.col(year) == y) & F.col(round_no).between(first, last)
-        train = (F.col(year) < y) | ((F.col(year) == y) & (F.col(round_no) < first))
-        parts.append(F.struct(F.lit(name).alias("fold"), F.when(test, "test").when(train, "train").alias("part")))
+    for name, y, split in folds:
+        held = F.col(year) == y
+        test = held if split is None else held & (F.col(round_no) > split)
+        fit = F.col(year) < y - 1 if split is None else (F.col(year) < y - 1) | (held & (F.col(round_no) <= split))
+        part = F.when(test, "test").when(F.col(year) == y - 1, "valid").when(fit, "fit")
+        parts.append(F.struct(F.lit(name).alias("fold"), part.alias("part")))
     return F.filter(F.array(*parts), lambda x: x["part"].isNotNull())
 
 
@@ -33,6 +39,12 @@ def top_mae(df: DataFrame, keys: Sequence[str], predicted: str, actual: str, tie
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy(*keys).agg(F.avg(F.abs(F.col(predicted) - F.col(actual))).alias("top_mae"))
 
 
+def early_metrics(df: DataFrame, keys: Sequence[str], round_no: str, predicted: str, actual: str, tie: str, last: int = 8, least: int = 100, top: int = 50) -> DataFrame:
+    """Point metrics and top MAE of each key's rows up to round ``last``; keys with fewer than ``least`` such rows have none."""
+    early = df.where(F.col(round_no) <= last)
+    return point_metrics(early, keys, predicted, actual).where(F.col("n") >= least).join(top_mae(early, keys, predicted, actual, tie, top), list(keys))
+
+
 def spearman(df: DataFrame, keys: Sequence[str], round_key: str, predicted: str, actual: str) -> DataFrame:
     """Mean over rounds of the rank correlation, ties at average ranks; rounds with one constant side are left out."""
     part = [*keys, round_key]

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.functions.text import similarity, sorted_similarity
+from formline.functions.text import sorted_similarity
+from formline.operators import similar
 
 
 def _candidates(right: DataFrame, name: str, code: str, keep: Sequence[str], second: str | None, role: str | None) -> DataFrame:
@@ -24,15 +25,20 @@ def _sane(df: DataFrame, role: str | None) -> Column:
     return F.coalesce(F.col(role) == F.col("_role"), F.lit(True)) if role and role in df.columns else F.lit(True)
 
 
-def _close(name: Column, least: float, shared: bool) -> Column:
-    """False only for pairs that cannot reach ``least``: a ratio bounds how lengths differ, and shared words must be there to count."""
+def _close(name: Column, least: float) -> Column:
+    """False only for pairs that cannot reach ``least``: a ratio bounds how lengths differ."""
     bound = least / (200.0 - least)
+    a, b = F.length(name), F.length("_name")
+    return F.least(a, b) >= bound * F.greatest(a, b) - 1e-9
 
-    def near(other: str) -> Column:
-        a, b = F.length(name), F.length(other)
-        return (F.least(a, b) >= bound * F.greatest(a, b) - 1e-9) | (F.lit(shared) & F.arrays_overlap(F.split(name, " "), F.split(other, " ")))
 
-    return near("_name") | F.coalesce(near("_second"), F.lit(False))
+def _pairs(left: DataFrame, found: DataFrame, block: str, name: str, least: float, role: str | None) -> DataFrame:
+    """Left rows with the candidates of their block, and roles, that score ``least`` or more, once for each of a candidate's names."""
+    called = found.select(block, "_code", "_role", F.explode(F.array_distinct(F.array_compact(F.array("_name", "_second")))).alias("_other"))
+    sides = [x.select(F.col(block).alias("block"), F.col(n).alias("name")) for x, n in ((left, name), (called, "_other"))]
+    scores = similar.scored(*sides, least).select(F.col("block").alias(block), F.col("name").alias(name), F.col("other").alias("_other"), "score")
+    pairs = left.join(scores, [block, name]).join(called, [block, "_other"])
+    return pairs.where(_sane(pairs, role))
 
 
 def _sure(pairs: DataFrame, uid: str, least: float, margin: float) -> DataFrame:
@@ -51,7 +57,7 @@ def resolve(left: DataFrame, right: DataFrame, overrides: DataFrame, block: str
     right row has (0.95); the best score within the block, against the name or the ``second`` one, if at
     least ``least`` and ``margin`` ahead of the runner-up (score / 100 - 0.05, two places); else unmatched.
     Where ``role`` is given, rows of another known role are no candidates.  Only rows that nothing exact
-    matched are scored, against those of their block whose length or words let them reach ``least - margin``.
+    matched are scored, against those of their block that an index of rare parts says can reach ``least - margin``.
     """
     found = _candidates(right, name, code, [block], second, role)
     named = left.join(found.withColumnRenamed(block, "_block"), F.col(name) == F.col("_name"))
@@ -63,8 +69,7 @@ def resolve(left: DataFrame, right: DataFrame, overrides: DataFrame, block: str
     ladder = ladder.withColumns({"code": F.coalesce("_over", "_exact", "_alone"), "method": method})
     done = ladder.where("method is not null").select(uid, "code", "method", F.when(F.col("method") == "unique_name", 0.95).otherwise(1.0).alias("confidence"))
     rest = ladder.where("method is null").select(*left.columns)
-    pairs = rest.join(found, block)
-    pairs = pairs.where(_sane(pairs, role) & _close(F.col(name), least - margin, True)).withColumn("score", similarity(F.col(name), F.col("_name"), F.col("_second")))
+    pairs = _pairs(rest, found, block, name, least - margin, role)
     fuzzy = _sure(pairs, uid, least, margin).select(uid, F.col("_code").alias("code"), F.lit("fuzzy").alias("method"), F.round(F.col("score") / 100 - 0.05, 2).alias("confidence"))
     out = rest.select(uid).join(fuzzy, uid, "left").select(uid, "code", F.coalesce("method", F.lit("unmatched")).alias("method"), "confidence")
     return done.unionByName(out)
@@ -75,8 +80,7 @@ def claim(left: DataFrame, right: DataFrame, matched: DataFrame, block: str, nam
     """(uid, code, score) between rows that ``matched`` has on neither side: the best of each left row, then the best claimant of each right one."""
     a = left.join(matched.select(uid), uid, "left_anti")
     b = _candidates(right.join(matched.select(code), code, "left_anti"), name, code, [block], second, role)
-    pairs = a.join(b, block)
-    pairs = pairs.where(_sane(pairs, role) & _close(F.col(name), least - margin, True)).withColumn("score", similarity(F.col(name), F.col("_name"), F.col("_second")))
+    pairs = _pairs(a, b, block, name, least - margin, role)
     v = Window.partitionBy("_code").orderBy(F.desc("score"), uid)
     return _sure(pairs, uid, least, margin).withColumn("_c", F.row_number().over(v)).where("_c = 1").select(uid, F.col("_code").alias("code"), "score")
 
@@ -118,7 +122,7 @@ def alias(names: DataFrame, known: DataFrame, name: str = "name", code: str = "c
     other = found.select("_code", F.explode(F.array_distinct(F.array_compact(F.array("_name", "_second")))).alias("_name"))
     common = other.select(F.explode(_grams(F.col("_name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     pairs = _rarest(rest, ["name"], "name", common, least).join(_rarest(other, ["_code", "_name"], "_name", common, least), "gram").select("name", "_code", "_name").distinct()
-    pairs = pairs.withColumn("_second", F.lit(None).cast("string")).where(_close(F.col("name"), least, False))
+    pairs = pairs.withColumn("_second", F.lit(None).cast("string")).where(_close(F.col("name"), least))
     scored = pairs.withColumn("score", sorted_similarity(F.col("name"), F.col("_name"), F.col("_second")))
     w = Window.partitionBy("name").orderBy(F.desc("score"), "_code")
     best = scored.where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1")

@@ -75,7 +75,7 @@ def t8_strength_ranking(spark, d):
 
 
 _SQUADS = """{f}, s AS (SELECT entity % 20 AS owner, date_diff('week', DATE '2024-01-01', ts::DATE) AS week, entity AS member, bool_or(minutes >= 90) AS starts
-  FROM f WHERE kind <> 'error' AND points > 60 GROUP BY ALL)"""
+  FROM f GROUP BY ALL)"""
 
 
 @query(f"""WITH {_SQUADS}, n AS (SELECT owner, week, member, starts AS now FROM s), b AS (SELECT owner, week + 1 AS week, member, starts AS was
@@ -85,7 +85,7 @@ SELECT owner, week::INTEGER AS week, member,
   WHERE (owner, week) IN (SELECT owner, week FROM s) AND week > (SELECT min(week) FROM s x
   WHERE x.owner = j.owner) AND (was IS NULL OR now IS NULL OR now <> was)""")
 def t9_week_diff(spark, d):
-    f = fact(spark, d).where("kind <> 'error' and points > 60")
+    f = fact(spark, d)
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int")
     s = f.groupBy((F.col("entity") % 20).alias("owner"), week.alias("week"), F.col("entity").alias("member")).agg(F.max(F.col("minutes") >= 90).alias("starts"))
     return R.changes(s, "owner", "week", "member", "starts")
@@ -234,15 +234,30 @@ def _pred(spark, d):
     return e.where("predicted is not null").select("event_id", "entity", "kind", "round", "minutes", "actual", "predicted")
 
 
-@query("""SELECT f.fold, CASE WHEN year(o_orderdate) = f.y AND month(o_orderdate) BETWEEN f.a AND f.b THEN 'test' ELSE 'train' END AS part, count(*) AS n
-  FROM orders, (VALUES ('1998', 1998, 1, 12), ('1999b', 1999, 7, 12)) f(fold, y, a, b)
-WHERE year(o_orderdate) < f.y OR (year(o_orderdate) = f.y AND month(o_orderdate) <= f.b) GROUP BY ALL""")
+_FOLDS = (("1997", 1997, None), ("1998", 1998, None), ("1998 H2", 1998, 3))
+_FOLDS_SQL = "(VALUES ('1997', 1997, NULL), ('1998', 1998, NULL), ('1998 H2', 1998, 3)) f(fold, y, split)"
+
+
+@query(f"""WITH o AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders)
+SELECT fold, CASE WHEN o.y = f.y AND (split IS NULL OR m > split) THEN 'test' WHEN o.y = f.y - 1 THEN 'valid' ELSE 'fit' END AS part, count(*) AS n
+FROM o, {_FOLDS_SQL} WHERE o.y < f.y OR o.y = f.y GROUP BY ALL""")
 def e1_walk_forward_folds(spark, d):
+    """Fit, valid and test rows of each fold; where a season is split its first part joins the fit side."""
     o = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
-    parts = o.select(F.explode(E.fold_column("y", "m", [("1998", 1998, 1, 12), ("1999b", 1999, 7, 12)])).alias("x"))
+    parts = o.select(F.explode(E.fold_parts("y", "m", _FOLDS)).alias("x"))
     return parts.groupBy("x.fold", "x.part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {{f}}, {_PRED[5:] if _PRED.startswith("{f}, ") else _PRED}, d AS (SELECT *, dayofmonth(round) AS gw, CASE WHEN month(round) = 1 THEN kind ELSE kind || '/' || month(round) END AS part FROM x),
+s AS (SELECT * FROM d WHERE gw <= 8), m AS (SELECT part, count(*) AS n, avg(abs(predicted - actual)) AS mae, sqrt(avg(pow(predicted - actual, 2))) AS rmse FROM s GROUP BY part HAVING count(*) >= 100),
+t AS (SELECT part, avg(abs(predicted - actual)) AS top FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY part ORDER BY predicted DESC, event_id) <= 50) GROUP BY part)
+SELECT part, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(top, 6) AS top_mae FROM m JOIN t USING (part)""".replace("WITH {f}, {f}, ", "WITH {f}, "))
+def e2_early_rounds(spark, d):
+    """Point metrics over the first eight rounds of each part, where it has a hundred rows of them."""
+    x = _pred(spark, d).withColumns({"gw": F.dayofmonth("round"), "part": F.when(F.month("round") == 1, F.col("kind")).otherwise(F.concat_ws("/", "kind", F.month("round")))})
+    return E.early_metrics(x, ["part"], "gw", "predicted", "actual", "event_id").select("part", "n", *[r6(c).alias(c) for c in ("mae", "rmse", "top_mae")])
+
+
 @query(f"""WITH {_PRED}, m AS (SELECT kind, count(*) AS n, avg(abs(predicted - actual)) AS mae, sqrt(avg(pow(predicted - actual, 2))) AS rmse FROM x
   GROUP BY kind), t AS (SELECT kind, avg(abs(predicted - actual)) AS top
   FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY kind ORDER BY predicted DESC, event_id) <= 50) GROUP BY kind)

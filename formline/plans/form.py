@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from formline.operators import asof, windows as W
+from formline.operators import asof, intervals, spread, windows as W
 from formline.plans.tables import fact, query, r6, table
 
 K, O = ["entity"], ["ts", "event_id"]
@@ -230,15 +230,93 @@ def j6_asof_day_offset(spark, d):
 
 @query("""WITH {f} SELECT event_id, count(*) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND 1 PRECEDING) AS last2d,
   count(*) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS last7d,
-CASE WHEN lag(ts) OVER (PARTITION BY entity ORDER BY ts) IS NOT NULL THEN least((epoch_us(ts) - epoch_us(lag(ts)
-  OVER (PARTITION BY entity ORDER BY ts))) // 86400000000, 60) END::BIGINT AS since FROM f""")
+round(least((epoch_us(ts) - max(epoch_us(ts)) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  / 86400000000.0, 60.0), 6) AS since FROM f""".replace("round(least((", "round(CASE WHEN count(*) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN least((").replace("60.0), 6)", "60.0) END, 6)"))
 def j7_interval_counts(spark, d):
     return fact(spark, d).select(
         "event_id", asof.trailing_count("ts", K, 2).alias("last2d"), asof.trailing_count("ts", K, 7).alias("last7d"),
-        asof.days_since_last("ts", K).cast("long").alias("since")
+        r6(asof.days_since_last("ts", K)).alias("since")
     )
 
 
+@query("""WITH {f}, h AS (SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN -1 ELSE entity % 50 END AS entity FROM f WHERE kind <> 'view'),
+r AS (SELECT CASE WHEN event_id % 2 = 0 THEN -1 ELSE entity % 50 END AS entity, ts FROM f WHERE kind = 'view'),
+s AS (SELECT h.event_id, count(r.ts) FILTER (epoch_us(r.ts) >= epoch_us(h.ts) - 1209600000000) AS last14d, count(r.ts) FILTER (epoch_us(r.ts) >= epoch_us(h.ts) - 129600000000) AS last36h,
+  (epoch_us(h.ts) - max(epoch_us(r.ts))) / 86400000000.0 AS days, any_value(k.entity) AS known
+  FROM h LEFT JOIN r ON h.entity = r.entity AND r.ts < h.ts LEFT JOIN (SELECT DISTINCT entity FROM r) k ON k.entity = h.entity GROUP BY h.event_id, h.ts)
+SELECT event_id, CASE WHEN known IS NOT NULL THEN last14d END AS last14d, CASE WHEN known IS NOT NULL THEN last36h END AS last36h,
+  round(CASE WHEN days IS NOT NULL THEN least(days, 60.0) END, 6) AS since FROM s""")
+def j7_other_table_counts(spark, d):
+    """Days since, and counts of, another table's dates before each row; half of the rows have one key."""
+    f = fact(spark, d).withColumn("entity", _hot_entity(F.col("entity") % 50))
+    left, right = f.where("kind <> 'view'").select("event_id", "entity", "ts"), f.where("kind = 'view'").select("entity", "ts")
+    made = intervals.trailing_counts(left, right, K, ["event_id"], "ts", "ts", {"last14d": 14, "last36h": 1.5}, since="since", bucket_seconds=86_400)
+    return made.select("event_id", "last14d", "last36h", r6("since").alias("since"))
+
+
+#: Half of the rows have one entity, so it is cut into runs of so many rows.
+_CUTS = {"run_rows": 400, "bucket_seconds": 3600}
+_HOT = """{f}, h AS (SELECT event_id, ts, kind, round, minutes, CASE WHEN minutes >= 10 THEN points END AS p, CASE WHEN event_id % 2 = 0 THEN -1 ELSE entity END AS entity FROM f)"""
+
+
+def _hot_entity(entity):
+    return F.when(F.col("event_id") % 2 == 0, -1).otherwise(entity)
+
+
+def _hot(spark, d):
+    p = F.when(F.col("minutes") >= 10, F.col("points"))
+    return fact(spark, d).withColumn("p", p).select("event_id", "ts", "kind", "round", "minutes", "p", _hot_entity(F.col("entity")).alias("entity"))
+
+
+@query(f"""WITH {_HOT} SELECT event_id, round(avg(p) OVER w3, 6) AS avg3, round(CASE WHEN count(p) OVER w10 >= 4 THEN sum(p) OVER w10 END, 6) AS sum10,
+  round(sum(p) OVER w5 / greatest(sum(minutes) OVER w5, 1) * 90, 6) AS per90, round(avg((minutes >= 60)::INT) OVER w5, 6) AS start5,
+  CASE WHEN lag(kind) OVER w IS NULL THEN 1.0 ELSE (lag(kind) OVER w <> kind)::INT END::DOUBLE AS new_kind, coalesce(lag((minutes >= 60)::INT::DOUBLE) OVER w, 0.0) AS started_last,
+  CASE WHEN lag(ts) OVER w IS NOT NULL THEN least((epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 86400000000, 60) END::BIGINT AS rest FROM h
+WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id), w3 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+  w5 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
+def w1_spread_form(spark, d):
+    """Bounded frames (form, rates, flags, rest) of an entity with half of the rows, cut into runs with halos."""
+    p, m = F.col("p"), F.col("minutes")
+
+    def build(k, o):
+        return {
+            "avg3": W.rolling(p, k, o, 3), "sum10": W.rolling(p, k, o, 10, "sum", 4), "per90": W.rolling_rate(p, m, k, o, 5), "start5": W.rolling((m >= 60).cast("int"), k, o, 5),
+            "new_kind": W.changed(F.col("kind"), k, o), "started_last": W.lagged_flag(m >= 60, k, o), "rest": W.rest_days(F.col("ts"), k, o).cast("long"),
+        }
+
+    made = spread.bounded(_hot(spark, d), K, O, 10, build, **_CUTS)
+    return made.select("event_id", *[r6(c).alias(c) for c in ("avg3", "sum10", "per90", "start5")], "new_kind", "started_last", "rest")
+
+
+@query(f"""WITH {_HOT}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS i FROM h),
+x AS (SELECT a.event_id, sum(b.p * pow(2, (b.i - a.i) / 3.0)) / sum(CASE WHEN b.p IS NOT NULL THEN pow(2, (b.i - a.i) / 3.0) END) AS ewm3,
+  sum(b.p * pow(2, (b.i - a.i) / 8.0)) / sum(CASE WHEN b.p IS NOT NULL THEN pow(2, (b.i - a.i) / 8.0) END) AS ewm8
+  FROM o a LEFT JOIN (SELECT entity, i, p, unnest(range(i + 1, i + 301)) AS at FROM o) b ON b.entity = a.entity AND b.at = a.i GROUP BY a.event_id)
+SELECT event_id, round(ewm3, 6) AS ewm3, round(ewm8, 6) AS ewm8 FROM x""")
+def w6_spread_ewma(spark, d):
+    """Decayed means of such an entity; the SQL looks back 300 rows, beyond which weights are under 2 ** -37."""
+    made = spread.lagged_ewma(_hot(spark, d), F.col("p"), K, O, {"ewm3": 3, "ewm8": 8}, **_CUTS)
+    return made.select("event_id", r6("ewm3").alias("ewm3"), r6("ewm8").alias("ewm8"))
+
+
+@query(f"""WITH {_HOT}, g AS (SELECT event_id, lag(p) OVER w AS before, sum(p) OVER b AS s, coalesce(sum(CASE WHEN p IS NOT NULL THEN minutes END) OVER b, 0) AS seen,
+  coalesce(sum((minutes > 60)::INT) OVER b, 0) AS late, count(p) OVER b AS n, row_number() OVER w AS i, count(*) OVER (PARTITION BY entity) AS m FROM h
+WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id), b AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, round(CASE WHEN before IS NOT NULL THEN s / (i - 1) END, 6) AS ppg, seen::BIGINT AS seen, round(s / nullif(seen, 0) * 90, 6) AS rate, late::BIGINT AS late,
+  round(s / nullif(n, 0), 6) AS vs_mean, n::BIGINT AS vs_n, (m - i + 1)::BIGINT AS rn FROM g""")
+def w7_spread_to_date(spark, d):
+    """Season-to-date means, rates, totals, expanding means and recency of such an entity, in one pass over its runs."""
+    p, m = F.col("p"), F.col("minutes")
+    sums = {"s": p, "e": F.when(p.isNotNull(), m), "late": (m > 60).cast("long"), "n": p.isNotNull().cast("long")}
+    made = spread.running(_hot(spark, d), K, O, sums, {"before": p}, left="later", **_CUTS)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rate = F.col("s") / F.nullif(F.col("e"), F.lit(0)) * 90
+    return made.select(
+        "event_id", r6(F.when(F.col("before").isNotNull(), F.col("s") / F.col("_place"))).alias("ppg"), zero("e").alias("seen"), r6(rate).alias("rate"), zero("late").alias("late"),
+        r6(F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("vs_mean"), zero("n").alias("vs_n"), (F.col("later") + 1).cast("long").alias("rn"),
+    )
+
+
 @query("""WITH {f} SELECT event_id, round(avg(points) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS form
   FROM f
 UNION ALL SELECT -event_id - 1, round(avg(points) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) FROM f

@@ -43,13 +43,18 @@ def p8_home_away_views(spark, d):
     return v.groupBy("team", "was_home").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("scored"), 4).alias("scored"))
 
 
-@query(f"""WITH {_VIEWS}, n AS (SELECT team, count(*) AS n, min(l_orderkey) AS first FROM v WHERE l_orderkey >= 9000 GROUP BY team) SELECT s_suppkey, n, first
-  FROM supplier LEFT JOIN n ON team = s_suppkey""")
+@query("""WITH g AS (SELECT l_orderkey, l_shipdate, l_suppkey AS home, l_partkey AS away FROM lineitem), now AS (SELECT max(l_shipdate) - INTERVAL 60 DAY AS t FROM g),
+n AS (SELECT s.s_suppkey, count(*) AS n, min(l_shipdate) AS first FROM supplier s JOIN g ON home = s_suppkey OR away = s_suppkey, now WHERE l_shipdate >= t AND (home <> away) GROUP BY 1
+  UNION ALL SELECT home, 2 * count(*), min(l_shipdate) FROM g, now WHERE l_shipdate >= t AND home = away GROUP BY 1)
+SELECT supplier.s_suppkey, sum(n)::BIGINT AS n, min(first)::DATE::VARCHAR AS first FROM supplier LEFT JOIN n USING (s_suppkey) GROUP BY 1""")
 def j18_either_side_next(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey >= 9000")
-    v = J.both_views(li, ["l_orderkey"], {"team": ("l_suppkey", "l_partkey")})
-    n = v.groupBy(F.col("team").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first"))
-    return table(spark, d, "supplier").select("s_suppkey").join(n, "s_suppkey", "left")
+    """What comes next for every team, at home or away: fixtures of the last sixty days; teams with none stay."""
+    li = table(spark, d, "lineitem").select("l_shipdate", "l_suppkey", "l_partkey")
+    now = li.agg((F.max("l_shipdate") - F.expr("INTERVAL 60 DAY")).alias("now"))
+    coming = li.crossJoin(F.broadcast(now)).where("l_shipdate >= now")  # one row
+    v = J.both_views(coming, ["l_shipdate"], {"team": ("l_suppkey", "l_partkey")})
+    n = v.groupBy(F.col("team").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("first"))
+    return table(spark, d, "supplier").select("s_suppkey").join(n, "s_suppkey", "left").select("s_suppkey", "n", F.to_date("first").cast("string").alias("first"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_custkey END::DOUBLE AS picked FROM orders
@@ -175,13 +180,16 @@ def p9_price_buckets(spark, d):
     return table(spark, d, "orders").select("o_orderkey", bins(F.col("o_custkey") % 130, [0, 45, 55, 65, 80, 100, 1000]).alias("bucket"))
 
 
-@query("""WITH {f}, g AS (SELECT event_id, CASE WHEN minutes % 4 = 0 THEN NULL ELSE minutes * 5 END AS m, minutes % 7 AS pr, event_id % 20 + 1 AS gw
-  FROM f), h AS (SELECT *, greatest(0, 1 - (gw - 1) / 8) AS a, CASE WHEN gw < 17 THEN 0 ELSE greatest(0, 1 - (gw - 17) / 8) END AS b,
-  coalesce(m, CASE pr WHEN 0 THEN 0 WHEN 1 THEN 180 WHEN 2 THEN 270 WHEN 3 THEN 340 WHEN 4 THEN 420 WHEN 5 THEN 500 ELSE 580 END) AS mm FROM g)
-SELECT event_id, round(greatest(mm * a, mm * b), 6) AS load, round(greatest(pr * a, pr * b), 6) AS progress FROM h""")
+@query("""WITH {f}, g AS (SELECT event_id, CASE WHEN minutes % 4 = 0 THEN NULL ELSE minutes * 5 END AS m, CASE WHEN minutes % 11 = 0 THEN NULL ELSE minutes % 9 END AS pr,
+  CASE WHEN event_id % 23 = 0 THEN NULL ELSE event_id % 20 + 1 END AS gw, event_id % 10 <> 7 AS there FROM f),
+h AS (SELECT *, CASE WHEN gw IS NULL THEN 0 ELSE greatest(0, 1 - (gw - 1) / 8) END AS a, CASE WHEN gw IS NULL OR gw < 17 THEN 0 ELSE greatest(0, 1 - (gw - 17) / 8) END AS b,
+  coalesce(m, [180, 270, 340, 420, 500, 580, 580][CASE WHEN pr BETWEEN 1 AND 7 THEN pr ELSE 1 END]) AS mm, CASE WHEN pr IS NULL OR pr = 0 THEN 1 ELSE pr END AS level FROM g)
+SELECT event_id, CASE WHEN there THEN round(greatest(mm * a, mm * b), 6) ELSE 0 END::DOUBLE AS load, CASE WHEN there THEN round(greatest(level * a, level * b), 6) ELSE 0 END::DOUBLE AS progress FROM h""")
 def p10_fading_load(spark, d):
-    m, pr, gw = F.when(F.col("minutes") % 4 != 0, F.col("minutes") * 5), F.col("minutes") % 7, F.col("event_id") % 20 + 1
-    (a, x), (b, y) = C.fading_load(m, pr, gw), C.fading_load(m, pr, gw, first=17)
+    """Rows of one kind took no part; some minutes, levels and rounds are unknown, some levels out of range."""
+    m, pr = F.when(F.col("minutes") % 4 != 0, F.col("minutes") * 5), F.when(F.col("minutes") % 11 != 0, F.col("minutes") % 9)
+    gw, there = F.when(F.col("event_id") % 23 != 0, F.col("event_id") % 20 + 1), F.col("event_id") % 10 != 7
+    (a, x), (b, y) = C.fading_load(m, pr, gw, there=there), C.fading_load(m, pr, gw, first=17, there=there)
     return fact(spark, d).select("event_id", r6(F.greatest(a, b)).alias("load"), r6(F.greatest(x, y)).alias("progress"))
 
 
@@ -430,20 +438,53 @@ def j13_entity_resolution(spark, d):
     return resolve.resolve(left, right, over).where("method not in ('fuzzy', 'unmatched')").select("uid", "code", "method")
 
 
-def j13_fuzzy_matches(spark, d):
-    """The fuzzy rung of the ladder; its scores have no SQL, tests hold them against brute force."""
+def _roled(spark, d):
+    """The same names with roles on both sides, and the list's last words as second names."""
     left, right = _names(spark, d)
-    return resolve.resolve(left, right, left.where("false").select("uid", F.lit(0).cast("long").alias("code"))).where("method in ('fuzzy', 'unmatched')")
+    k = F.col("uid") - 500000
+    short = F.element_at(F.split("name", " "), -1)
+    left = left.withColumns({"name": F.when(k % 6 == 0, F.concat(F.translate(short, "s", ""), F.lit("x"))).otherwise(F.col("name")), "role": F.when(k % 7 != 0, k % 2)})
+    return left, right.withColumns({"web": F.when(F.col("code") % 4 != 1, short), "role": F.col("code") % 2})
+
+
+#: Names as ``_roled`` makes them, and the score of every pair in ``pairs`` (a, b, c) as the better of both names: longest common subsequences by bits.
+_ROLED = """c AS (SELECT c_custkey AS k, translate(substring(c_name, 10, 9), '0123456789', 'abcdefghij') AS w, lower(c_mktsegment) AS seg, c_nationkey || '/' || c_mktsegment AS team FROM customer),
+r AS (SELECT k AS code, seg || ' ' || w AS b, CASE WHEN k % 4 <> 1 THEN w END AS c, team, k % 2 AS role FROM c),
+l AS (SELECT k + 500000 AS uid, CASE WHEN k % 6 = 0 THEN w || 'x' WHEN k % 3 = 0 THEN seg || ' ' || w || 's' ELSE seg || ' ' || w END AS a,
+  CASE WHEN k % 5 = 1 THEN 'elsewhere' ELSE team END AS team, CASE WHEN k % 7 <> 0 THEN k % 2 END AS role FROM c)"""
+_SCORES = """two AS (SELECT DISTINCT a, b FROM pairs UNION SELECT DISTINCT a, c FROM pairs WHERE c IS NOT NULL),
+ws AS (SELECT a, b, list_sort(string_split(a, ' ')) AS x, list_sort(string_split(b, ' ')) AS y FROM two),
+st AS (SELECT a, b, array_to_string(x, ' ') AS sa, array_to_string(y, ' ') AS sb, array_to_string(list_filter(list_sort(list_distinct(x)), lambda w: list_contains(y, w)), ' ') AS common,
+  array_to_string(list_filter(list_sort(list_distinct(x)), lambda w: NOT list_contains(y, w)), ' ') AS lo, array_to_string(list_filter(list_sort(list_distinct(y)), lambda w: NOT list_contains(x, w)), ' ') AS ro FROM ws),
+cmp AS (SELECT a, b, unnest([{'x': sa, 'y': sb, 'd': 0}, {'x': trim(common || ' ' || lo), 'y': trim(common || ' ' || ro), 'd': 2}, {'x': common, 'y': trim(common || ' ' || lo), 'd': 2}, {'x': common, 'y': trim(common || ' ' || ro), 'd': 2}]) AS s
+  FROM st),
+lcs AS (SELECT a, b, s.x AS x, s.y AS y, s.d AS d, (1::BIGINT << length(s.x)) - 1 AS full_, list_reduce(list_prepend((1::BIGINT << length(s.x)) - 1, list_transform(string_split(s.y, ''),
+  lambda ch: list_sum(list_transform(range(length(s.x)), lambda i: CASE WHEN substring(s.x, i + 1, 1) = ch THEN 1::BIGINT << i ELSE 0 END))::BIGINT)),
+  lambda row, m: ((row + (row & m)) | (row - (row & m))) & ((1::BIGINT << length(s.x)) - 1)) AS row FROM cmp WHERE s.x <> ''),
+sc AS (SELECT a, b, max(200.0 * (length(x) - bit_count(row)) / (length(x) + length(y)) - d) AS score FROM lcs GROUP BY a, b),
+scored AS (SELECT p.*, greatest(s.score, coalesce(t.score, 0)) AS score FROM pairs p JOIN sc s ON s.a = p.a AND s.b = p.b LEFT JOIN sc t ON t.a = p.a AND t.b = p.c),
+best AS (SELECT *, coalesce(lead(score) OVER (PARTITION BY uid ORDER BY score DESC, code), 0) AS next FROM scored QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, code) = 1)"""
+
+
+@query(f"""WITH {_ROLED}, e AS (SELECT uid, bool_or(l.team = r.team) AS here, count(DISTINCT code) AS n FROM l JOIN r ON a = b AND (l.role IS NULL OR l.role = r.role) GROUP BY uid),
+rest AS (SELECT l.* FROM l LEFT JOIN e USING (uid) WHERE e.uid IS NULL OR (NOT here AND n > 1)),
+pairs AS (SELECT uid, a, b, c, code FROM rest JOIN r USING (team) WHERE rest.role IS NULL OR rest.role = r.role), {_SCORES}
+SELECT rest.uid, b.code, CASE WHEN b.code IS NULL THEN 'unmatched' ELSE 'fuzzy' END AS method, round(b.score / 100 - 0.05, 2) AS confidence
+FROM rest LEFT JOIN (SELECT * FROM best WHERE score >= 88 AND score - next >= 3) b USING (uid)""")
+def j13_fuzzy_matches(spark, d):
+    """The fuzzy rung of the ladder, with second names and roles."""
+    left, right = _roled(spark, d)
+    none = left.where("false").select("uid", F.lit(0).cast("long").alias("code"))
+    return resolve.resolve(left, right, none, second="web", role="role").where("method in ('fuzzy', 'unmatched')")
 
 
+@query(f"""WITH {_ROLED}, pairs AS (SELECT uid, a, b, c, code FROM l JOIN r USING (team) WHERE uid % 2 <> 0 AND code % 2 <> 0 AND (l.role IS NULL OR l.role = r.role)), {_SCORES}
+SELECT uid, code, round(score, 6) AS score FROM best WHERE score >= 93 AND score - next >= 3 QUALIFY row_number() OVER (PARTITION BY code ORDER BY score DESC, uid) = 1""")
 def j14_foreign_claims(spark, d):
-    left, right = _names(spark, d)
+    """Rows that nothing matched before, each candidate going to its best claimant."""
+    left, right = _roled(spark, d)
     matched = left.where("uid % 2 = 0").select("uid", (F.col("uid") - 500000).alias("code"))
-    return resolve.claim(left, right, matched, "team")
-
-
-query(name="j13_fuzzy_matches")(j13_fuzzy_matches)
-query(name="j14_foreign_claims")(j14_foreign_claims)
+    return resolve.claim(left, right, matched, "team", second="web", role="role").select("uid", "code", r6("score").alias("score"))
 
 
 @query("""WITH n AS (SELECT p_name, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY p_name)

@@ -20,6 +20,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, with no lineage behind it."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, beside: str) -> DataFrame:
     """The frame written and read back: under spark.checkpoint.dir, or beside the given path where that is unset."""
     spark = df.sparkSession
