@@ -119,7 +119,22 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     empty = names.where(F.size("ws") == 0).select("side", "block", "name", F.lit(_NONE).alias("kind"), F.lit("").alias("key"))  # equal to the score
     keys = written(keys.unionByName(empty).distinct(), "similar-keys")
     a, b = keys.where("side = 0").drop("side"), keys.where("side = 1").drop("side").withColumnRenamed("name", "other")
-    return a.join(b, ["block", "kind", "key"]).select("block", "name", "other").distinct()
+    met = a.join(b, ["block", "kind", "key"]).select("block", "name", "other").distinct()
+    seen = names.withColumns({"letters": _numbered(_letters(F.array_join("ws", " "))), "n": F.length(F.array_join("ws", " ")), "u": F.length(F.array_join("set", " "))})
+    seen = seen.select("side", "block", "name", F.struct("set", "u", "n", F.transform("letters", lambda x: F.concat(x["p"], x["k"].cast("string"))).alias("letters")).alias("x"))
+    left = seen.where("side = 0").select("block", "name", F.col("x").alias("l"))
+    right = seen.where("side = 1").select("block", F.col("name").alias("other"), F.col("x").alias("r"))
+    return met.join(left, ["block", "name"]).join(right, ["block", "other"]).where(_may_score(F.col("l"), F.col("r"), least)).select("block", "name", "other")
+
+
+def _may_score(a: Column, b: Column, least: float) -> Column:
+    """False only for pairs that cannot reach ``least``: by the letters that both have, and by the length of their shared words."""
+    shared = F.size(F.array_intersect(a["letters"], b["letters"])) 
+    spaces = F.least(a["n"] - F.size(a["letters"]), b["n"] - F.size(b["letters"]))
+    letters = 200.0 * (shared + spaces) / F.greatest(a["u"] + b["u"], F.lit(1)) >= least - _EPS
+    both = F.length(F.array_join(F.array_intersect(a["set"], b["set"]), " "))
+    words = (both > 0) & (200.0 * both / (both + F.least(a["u"], b["u"])) >= least + SHARED_DISCOUNT - _EPS)
+    return letters | words | ((a["n"] == 0) & (b["n"] == 0))
 
 
 def scored(left: DataFrame, right: DataFrame, least: float) -> DataFrame:

@@ -544,10 +544,11 @@ def _pages(spark, d):
     """Match pages in line markup made of the given tables: a customer is a match block, its orders are the players on the pitch.
 
     Starters are orders not divisible by 3; of the others those divisible by 2 never came on.  Every fifth
-    customer's match has extra time, every second block is of the module form.
+    customer's match has extra time, every second block is of the module form, one in thirteen lacks its date; rows after the
+    second manager belong to no team.
     """
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    name = F.concat(F.lit("[[P"), k.cast("string"), F.lit("]]"))
+    name = F.concat(F.lit("[[P"), k.cast("string"), F.when(k % 5 == 0, " (footballer)]]").otherwise("]]"))
     off = F.when(k % 4 == 1, F.concat(F.lit(" || {{suboff|"), (k % 30 + 60).cast("string"), F.lit("}}"))).otherwise("")
     on = F.when(k % 2 == 1, F.concat(F.lit(" || {{subon|"), (k % 30 + 20).cast("string"), F.lit("}}"))).otherwise("")
     row = F.concat(F.lit("|DF || '''4''' || "), name, F.when(k % 3 == 0, on).otherwise(off))
@@ -557,9 +558,10 @@ def _pages(spark, d):
     listed = lambda x, when: F.array_join(F.array_sort(F.collect_list(F.when(when, x))), "\n")
     per = table(spark, d, "orders").groupBy("o_custkey").agg(listed(row, k % 3 != 0).alias("start"), listed(row, k % 3 == 0).alias("bench"), listed(goal, k > 0).alias("goals"))
     box = F.when(c % 2 == 0, "{{#invoke:football box|main").otherwise("{{football box")
-    date = F.concat(F.lit("| date = {{Start date|2024|"), (c % 12 + 1).cast("string"), F.lit("|"), (c % 28 + 1).cast("string"), F.lit("}}"))
-    block = F.concat_ws("\n", box, date, F.concat(F.lit("| goals1 =\n"), F.col("goals")), F.lit("| penalties1 =\n* [[P1]] {{goal|120}}"), F.when(c % 5 == 0, "| aet = y"), F.lit("}}\n{|"), F.col("start"),
-                        F.lit("|-\n'''Substitutions:'''"), F.col("bench"), F.lit("'''Manager:'''\n|}\n"))
+    date = F.when(c % 13 != 0, F.concat(F.lit("| date = {{Start date|2024|"), (c % 12 + 1).cast("string"), F.lit("|"), (c % 28 + 1).cast("string"), F.lit("}}"))).otherwise("| date = unknown")
+    kits = F.concat(*[F.concat(F.lit("}}\n{{Football kit\n| pattern = x\n| title = "), (c % m).cast("string"), F.lit("<br>\n")) for m in (25, 7)])
+    block = F.concat_ws("\n", box, date, F.concat(F.lit("| goals1 =\n"), F.col("goals")), F.lit("| penalties1 =\n* [[P1]] {{goal|120}}"), F.when(c % 5 == 0, "| aet = y"), kits, F.lit("}}\n{|"), F.col("start"),
+                        F.lit("|-\n'''Substitutions:'''"), F.col("bench"), F.lit("'''Manager:'''\n|}\n'''Manager:'''\n|GK || 1 || [[Nobody]]\n"))
     pages = per.select((c % 100).alias("page"), "o_custkey", block.alias("block")).groupBy("page")
     return pages.agg(F.concat(
         F.lit("intro\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_custkey", "block"))), lambda x: x["block"]), "")
@@ -571,7 +573,8 @@ _PAGES_SQL = """p AS (SELECT o_custkey % 100 AS page, 'P' || o_orderkey AS name,
   CASE WHEN o_custkey % 5 = 0 THEN 120 ELSE 90 END AS full_time FROM orders),
 a AS (SELECT page, name, match_date, started,
   CASE WHEN started THEN CASE WHEN k % 4 = 1 THEN k % 30 + 60 ELSE full_time END ELSE full_time - (k % 30 + 20) END AS minutes,
-  CASE WHEN k % 7 IN (1, 2) THEN 2 ELSE 0 END AS goals FROM p WHERE started OR k % 2 = 1)"""
+  CASE WHEN k % 7 IN (1, 2) THEN 2 ELSE 0 END AS goals FROM p WHERE (started OR k % 2 = 1) AND c % 13 <> 0),
+a0 AS (SELECT page, c, match_date FROM p WHERE (started OR k % 2 = 1) AND c % 13 <> 0)"""
 
 
 @query(f"WITH {_PAGES_SQL} SELECT page, name, match_date::VARCHAR AS match_date, started, minutes::INTEGER AS minutes FROM a")
@@ -580,8 +583,7 @@ def p33_lineup_pages(spark, d):
     return wiki.appearances(_pages(spark, d)).select("page", "name", F.col("match_date").cast("string").alias("match_date"), "started", "minutes")
 
 
-@query(f"""WITH {_PAGES_SQL}, g AS (SELECT 'P' || k AS name, 2 AS goals FROM p WHERE k % 7 IN (1, 2))
-SELECT name, sum(minutes)::BIGINT AS minutes, count(*) AS matches, count(*) FILTER (started) AS starts, sum(goals)::BIGINT AS goals,
+@query(f"""WITH {_PAGES_SQL}, SELECT name, sum(minutes)::BIGINT AS minutes, count(*) AS matches, count(*) FILTER (started) AS starts, sum(goals)::BIGINT AS goals,
   max(match_date)::VARCHAR AS last_match FROM a GROUP BY name""")
 def a28_tournament_totals(spark, d):
     pages = staging.staged(_pages(spark, d), "pages")
@@ -592,6 +594,28 @@ def a28_tournament_totals(spark, d):
     )
 
 
+@query(f"""WITH {_PAGES_SQL}, b AS (SELECT page, match_date, c, count(*) AS slots FROM a0 GROUP BY ALL),
+g AS (SELECT sum(CASE WHEN k % 7 IN (1, 2) THEN 2 ELSE 0 END) AS goals FROM p WHERE c IN (SELECT c FROM b))
+SELECT count(*) AS parsed, round(avg(slots), 6) AS slots, round(max(goals) / count(*), 6) AS goals, round(count(*) / (SELECT count(DISTINCT c) FROM p), 6) AS share,
+  count(*) >= 0.95 * (SELECT count(DISTINCT c) FROM p) AND avg(slots) BETWEEN 24 AND 42 AND max(goals) / count(*) BETWEEN 1.5 AND 4 AS healthy FROM b, g""")
+def a28_parse_health(spark, d):
+    """Whether a parse can be trusted: blocks found against those expected, players and goals per block."""
+    pages = staging.staged(_pages(spark, d), "pages")
+    expected = table(spark, d, "orders").agg(F.count_distinct("o_custkey").alias("expected"))
+    row = wiki.health(wiki.appearances(pages), wiki.goals(pages), F.lit(1.0)).crossJoin(F.broadcast(expected))  # one row each
+    share = F.col("parsed") / F.col("expected")
+    sound = (share >= wiki.LEAST_PARSED) & F.col("slots").between(*wiki.SLOTS) & F.col("goals").between(*wiki.GOALS)
+    return row.select("parsed", r6("slots").alias("slots"), r6("goals").alias("goals"), r6(share).alias("share"), sound.alias("healthy"))
+
+
+@query(f"""WITH {_PAGES_SQL}, t AS (SELECT (c % m)::VARCHAR AS country, match_date FROM a0, (VALUES (25), (7)) v(m))
+SELECT country, max(match_date)::VARCHAR AS last_match FROM t GROUP BY country""")
+def j16_country_dates(spark, d):
+    """The latest match of each country, from the titles of the kits in its match blocks."""
+    pages = staging.staged(_pages(spark, d), "pages")
+    return wiki.country_dates(pages).select("country", F.col("last_match").cast("string").alias("last_match"))
+
+
 @query("""SELECT n_regionkey AS page, n_name AS country, 'C' || c_custkey AS name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def p32_squad_pages(spark, d):
     """Squad pages made of the given tables: a region is a page, a nation a heading, its customers the players."""

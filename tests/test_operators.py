@@ -108,37 +108,71 @@ def test_ladder(spark):
 
 PAGE = """===Northland===
 {{nat fs player|no=1|pos=GK|name=[[Al One]]}}
-{{nat fs player|no=2|pos=DF|name=[[Bo Two (footballer)|Bo Two]]}}
-===Southland===
+{{nat fs g player|no=2|pos=DF|name=[[Bo Two (footballer)|Bo Two]]}}
+{{nat fs g player|no=3|pos=DF|name=[[Fay Six (defender)]]|age=20}}
+==={{flag|x}} [[Southland]]===
 {{nat fs player|no=1|pos=GK|name=Cy Three}}
 {{football box
-|date={{Start date|2026|7|4}}
-|goals1= [[Al One]] {{goal|12||55|pen.}}
+|date = {{Start date|2026|7|4}}
+|goals1= [[Al One]] {{goal|3}}
+* [[Al One]] {{goal|12||55|pen.}}
 * [[Bo Two]] {{goal|80|o.g.}}
-|goals2=
-|penalties1=[[Cy Three]] {{goal|91}}
+* [[Di Four]] 50', 82+1'
+* [[Og Nine]] {{goal|7}}
+|goals2=* [[Ed Five]] 33' (o.g.)
+|penalties1=
+* [[Cy Three]] {{goal|91}}
 }}
+{{Football kit
+| title = Northland<br>x
+}}
+{{Football kit | title = [[x]] | y}}
 {|
 |GK || 1 || [[Al One]] || {{suboff|78}}
-|DF || 2 || [[Bo Two (footballer)|Bo Two]]
+|DF || '''2''' || [[Bo Two (footballer)|Bo Two]]
+|DF || 3 || [[Fay Six (defender)]] || {{yel|40}}
 |-
-| '''Substitutes:'''
-|MF || 9 || [[Di Four]] || {{subon|63}}
+| '''Substitutions:'''
+|MF || 9 || [[Di Four]] || {{subon|63}} || {{suboff|85}}
 |FW || 8 || [[Ed Five]]
+| '''Manager:'''
+|}
+{|
+|GK || 1 || [[Gil Seven]]
+| '''Manager:'''
 |}
+|GK || 1 || [[Not Playing]]
+{{#invoke: football box|main
+|goals1=
+* [[Al One]] {{goal|1}}
+}}
+|GK || 1 || [[No Date]]
+{{#invoke:Football box|main
+|date={{Start date|2026|7|9}}
+|aet= Yes
+}}
+|GK || 1 || [[Al One]]
 """
 
 
 def test_pages(spark):
     df = spark.createDataFrame([("p", PAGE), ("empty", None)], "page string, wikitext string")
-    assert {(r.country, r.name) for r in wiki.squads(df).collect()} == {("Northland", "Al One"), ("Northland", "Bo Two"), ("Southland", "Cy Three")}
+    assert {(r.country, r.name) for r in wiki.squads(df).collect()} == {("Northland", "Al One"), ("Northland", "Bo Two"), ("Northland", "Fay Six"), ("Southland", "Cy Three")}
     seen = wiki.appearances(df)
-    assert {(r.name, r.started, r.minutes, str(r.match_date)) for r in seen.collect()} == {("Al One", True, 78, "2026-07-04"), ("Bo Two", True, 90, "2026-07-04"), ("Di Four", False, 27, "2026-07-04")}
+    assert {(r.name, r.started, r.minutes, str(r.match_date)) for r in seen.collect()} == {
+        ("Al One", True, 78, "2026-07-04"), ("Bo Two", True, 90, "2026-07-04"), ("Fay Six", True, 90, "2026-07-04"), ("Di Four", False, 22, "2026-07-04"),
+        ("Gil Seven", True, 90, "2026-07-04"), ("Al One", True, 120, "2026-07-09"),
+    }
     scored = wiki.goals(df)
-    assert {(r.name, r.goals) for r in scored.collect()} == {("Al One", 2), ("Bo Two", 0)}
-    totals = {r.name: (r.minutes, r.starts, r.goals) for r in wiki.tournament_totals(seen, scored).collect()}
-    assert totals == {"Al One": (78, 1, 2), "Bo Two": (90, 1, 0), "Di Four": (27, 0, 0)}
-    assert wiki.health(seen, scored, wiki.blocks(df)).first().healthy is False
+    assert {(r.name, r.goals) for r in scored.collect()} == {("Al One", 2), ("Di Four", 2), ("Og Nine", 1)}
+    totals = wiki.tournament_totals(seen, scored)
+    assert {r.name: (r.minutes, r.matches, r.starts, r.goals, str(r.last_match)) for r in totals.collect()}["Al One"] == (198, 2, 2, 2, "2026-07-09")
+    dates = wiki.country_dates(df)
+    assert {(r.country, str(r.last_match)) for r in dates.collect()} == {("Northland", "2026-07-04"), ("[[x]]", "2026-07-04")}
+    row = wiki.health(seen, scored, F.lit(2)).first()
+    assert (row.parsed, row.slots, row.goals, row.share, row.healthy) == (2, 3.0, 2.5, 1.0, False)
+    rich = {r.name: (r.minutes, str(r.last_match)) for r in wiki.enrich(wiki.squads(df).drop("page", "line_no"), totals, dates=dates).collect()}
+    assert rich == {"Al One": (198, "2026-07-09"), "Bo Two": (90, "2026-07-04"), "Fay Six": (90, "2026-07-04"), "Cy Three": (0, "None")}
 
 
 def test_ranking(spark):
