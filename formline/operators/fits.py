@@ -1,14 +1,17 @@
-"""Parameter fits over a broadcast grid: losses are summed where the rows are, one small row set is left."""
+"""Parameter fits: losses and their derivatives are summed where the rows are, and one small row is left to decide on."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.operators.scoring import LEAST_PROB, elo_probabilities
+from formline.sources.staging import written
 
 
 def log_rising(y: Column, r: Column) -> Column:
@@ -51,10 +54,109 @@ def held_out_losses(df: DataFrame, result: str, routes: dict[str, Sequence[Colum
     return row.unpivot([], list(routes), "route", "loss")
 
 
-def fit_elo(df: DataFrame, diff: str, result: str, hfa: Sequence[float], c: Sequence[float], s: Sequence[float]) -> DataFrame:
-    """One row: the map parameters of least mean log loss, ties to the smallest; call again around it to refine."""
-    grid = df.sparkSession.createDataFrame([tuple(map(float, x)) for x in product(hfa, c, s)], "hfa double, c double, s double")
-    h, d, a = elo_probabilities(F.col(diff), F.col("hfa"), F.col("c"), F.col("s"))
-    p = F.when(F.col(result) == 0, h).when(F.col(result) == 1, d).otherwise(a)
-    losses = df.crossJoin(F.broadcast(grid)).groupBy("hfa", "c", "s").agg(F.round(F.avg(-F.ln(p + LEAST_PROB)), 9).alias("loss"))
-    return losses.orderBy("loss", "hfa", "c", "s").limit(1).select("hfa", "c", "s", F.round("loss", 6).alias("loss"))
+_PARAMETERS = "hcs"
+_PAIRS = [a + b for i, a in enumerate(_PARAMETERS) for b in _PARAMETERS[i:]]
+
+
+def _shares(d: np.ndarray, theta: Sequence[float]) -> dict[str, dict[str, np.ndarray]]:
+    """Home (h), draw (d) and away (a) shares at gaps d, with first and second derivatives by the parameters' letters.
+
+    The draw share is c exp(-x**2 / 2 s**2) at x = gap + hfa, the home share a logistic less half of it, the rest is away; all
+    are clipped, where they have no derivatives, and scaled to sum to one.
+    """
+    h, c, s = (float(x) for x in theta)
+    x, rate = d + h, math.log(10) / 400
+    bell, even = np.exp(-(x**2) / (2 * s * s)), 1 / (1 + 10 ** (-x / 400))
+    raw = c * bell
+    draw = {
+        "h": -raw * x / s**2, "c": bell, "s": raw * x * x / s**3, "hh": raw * (x * x / s**4 - 1 / s**2), "hc": -bell * x / s**2, "hs": raw * (2 * x / s**3 - x**3 / s**5), "cc": 0 * x,
+        "cs": bell * x * x / s**3, "ss": raw * (x**4 / s**6 - 3 * x * x / s**4),
+    }
+    clipped = lambda raw, slopes, high=np.inf: {"": np.clip(raw, LEAST_PROB, high)} | {k: v * ((raw > LEAST_PROB) & (raw < high)) for k, v in slopes.items()}
+    draw = clipped(raw, draw, 0.6)
+    slopes = {k: -draw[k] / 2 for k in draw if k}
+    slopes["h"] = slopes["h"] + rate * even * (1 - even)
+    slopes["hh"] = slopes["hh"] + rate**2 * even * (1 - even) * (1 - 2 * even)
+    home = clipped(even - draw[""] / 2, slopes)
+    away = clipped(1 - home[""] - draw[""], {k: -home[k] - draw[k] for k in slopes})
+    total = {k: home[k] + draw[k] + away[k] for k in draw}
+    out = {}
+    for name, q in (("h", home), ("d", draw), ("a", away)):
+        p = {"": q[""] / total[""]}
+        for k in _PARAMETERS:
+            p[k] = (q[k] - p[""] * total[k]) / total[""]
+        for k in _PAIRS:
+            p[k] = (q[k] - p[k[0]] * total[k[1]] - p[k[1]] * total[k[0]] - p[""] * total[k]) / total[""]
+        out[name] = p
+    return out
+
+
+def entropy_sums(d: np.ndarray, targets: Sequence[np.ndarray], thetas: Sequence[Sequence[float]]) -> list[list[float]]:
+    """Of each map the summed cross-entropy, its gradient and its second derivatives, ten numbers, over some points."""
+    out = []
+    for theta in thetas:
+        sums = np.zeros(1 + len(_PARAMETERS) + len(_PAIRS))
+        for t, p in zip(targets, _shares(d, theta).values(), strict=True):
+            q = p[""] + LEAST_PROB
+            sums[0] -= (t * np.log(q)).sum()
+            sums[1:4] -= [(t * p[k] / q).sum() for k in _PARAMETERS]
+            sums[4:] -= [(t * (p[k] / q - p[k[0]] * p[k[1]] / q**2)).sum() for k in _PAIRS]
+        out.append(sums.tolist())
+    return out
+
+
+def _summed(points: DataFrame, thetas: Sequence[Sequence[float]]) -> list[list[float]]:
+    """``entropy_sums`` over all points: each batch gives one short row a map, and these are added up."""
+    thetas = [list(map(float, t)) for t in thetas]
+    size = 1 + len(_PARAMETERS) + len(_PAIRS)
+
+    def run(batches):
+        for batch in batches:
+            d, *targets = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            rows = entropy_sums(d, targets, thetas)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), *[pa.array([r[j] for r in rows], pa.float64()) for j in range(size)]], names=["i", *[f"x{j}" for j in range(size)]])
+
+    made = points.select("d", "t0", "t1", "t2").mapInArrow(run, "i int, " + ", ".join(f"x{j} double" for j in range(size)))
+    rows = made.groupBy("i").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(size)]).orderBy("i").collect()  # one row a map
+    return [list(r)[1:] for r in rows]
+
+
+def fit_elo_map(df: DataFrame, diff: str, targets: Sequence[str], start: Sequence[float] = (50.0, 0.3, 300.0), tolerance: float = 1e-8, rounds: int = 60) -> tuple[float, float, float, float]:
+    """(hfa, c, s, loss): the map of least mean cross-entropy against target probabilities of home, draw and away.
+
+    Newton's method: a pass over the different gaps sums loss, gradient and second derivatives at eight steps along the
+    direction, and the best of them is where the next round starts.  Where the second derivatives don't show
+    down, the direction is damped towards the gradient's.  It stops when a step moves no parameter by more than
+    ``tolerance`` of its size.  Rows with a null are left out; without rows the start stands, with a null loss.
+    """
+    known = F.col(diff).isNotNull()
+    for t in targets:
+        known &= F.col(t).isNotNull()
+    sums = [F.sum(t).alias(f"t{i}") for i, t in enumerate(targets)]
+    points = written(df.where(known).groupBy(F.col(diff).cast("double").alias("d")).agg(*sums), "elo-points")
+    weight = points.agg(F.sum(F.col("t0") + F.col("t1") + F.col("t2"))).first()[0]
+    if not weight:
+        return (*map(float, start), None)
+    theta, damp = np.array(start, float), 0.0
+    unit = np.abs(theta) + 1e-3
+    here = _summed(points, [theta])[0]
+    for _ in range(rounds):
+        gradient = np.array(here[1:4]) * unit
+        second = dict(zip(_PAIRS, here[4:], strict=True))
+        hessian = np.array([[second["".join(sorted(a + b, key=_PARAMETERS.index))] for b in _PARAMETERS] for a in _PARAMETERS]) * np.outer(unit, unit)
+        low, top = np.linalg.eigvalsh(hessian)[0], max(np.abs(hessian).max(), 1e-12)
+        shift = damp * top + max(0.0, 1e-6 * top - low)
+        step = -np.linalg.solve(hessian + shift * np.eye(3), gradient) * unit
+        tries = [t for t in (theta + step * 0.5**i for i in range(8)) if t[1] > 0 and t[2] > 0]
+        sums = _summed(points, tries) if tries else []
+        best = min(range(len(tries)), key=lambda i: sums[i][0], default=None)
+        if best is None or sums[best][0] >= here[0]:
+            if np.max(np.abs(step) / unit) <= max(tolerance, 1e-7) or damp > 1e6:
+                break
+            damp = max(10 * damp, 1e-3)
+            continue
+        moved = np.max(np.abs(tries[best] - theta) / unit)
+        theta, here, damp = tries[best], sums[best], damp / 10 if damp > 1e-9 else 0.0
+        if moved <= tolerance:
+            break
+    return (*theta.tolist(), here[0] / weight)

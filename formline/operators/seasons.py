@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,20 +68,56 @@ def fit_strength(
     df: DataFrame, grid: Sequence[float], current: str, prior: str, n: str, target: str, exposure: str | None = None, default: float = 10.0,
     least: int = 500
 ) -> DataFrame:
-    """One row: the k of least loss (squared error, or Poisson deviance with an exposure), ties to the smallest.
+    """One row (k, n_rows) of a single statistic, among rows with a prior: see ``fit_strengths``."""
+    one = Stat("stat", current, prior, n, target, exposure, default)
+    return fit_strengths(df.where(F.col(prior).isNotNull() & F.col(n).isNotNull()), [one], grid, least).select("k", "n_rows")
 
-    The grid is broadcast and losses are summed where the rows are; with fewer than ``least`` usable rows the default stands.
+
+@dataclass(frozen=True)
+class Stat:
+    """A statistic's columns: this season's value, the prior, how much is behind the value, and what came; with an exposure
+    column the target is a count over it and losses are Poisson deviances, without they are squared errors."""
+
+    name: str
+    current: str
+    prior: str
+    n: str
+    target: str
+    exposure: str | None = None
+    default: float = 10.0
+
+
+def _loss(stat: Stat, k: float) -> Column:
+    """A row's loss at strength k."""
+    cur, prior, y = (F.col(c).cast("double") for c in (stat.current, stat.prior, stat.target))
+    w = F.coalesce(F.col(stat.n).cast("double"), F.lit(0.0))
+    guess = blend(cur, prior, w, k)[0]
+    if not stat.exposure:
+        return F.pow(y - guess, 2)
+    mean = F.greatest(F.greatest(guess, F.lit(0.0)) * F.col(stat.exposure), F.lit(1e-6))
+    return 2 * (F.when(y > 0, y * F.ln(F.when(y > 0, y) / mean)).otherwise(0.0) - (y - mean))
+
+
+def fit_strengths(df: DataFrame, stats: Sequence[Stat], grid: Sequence[float], least: int = 500) -> DataFrame:
+    """(stat, k, loss, n_rows): of each statistic the strength of least mean loss among the grid and its default, ties to the smallest.
+
+    All losses of all statistics are sums of one aggregate, so rows are read once and none is multiplied.  A statistic
+    with fewer than ``least`` rows that have a target and a value or a prior keeps its default, without a loss.
     """
-    ks = df.sparkSession.createDataFrame([(float(k),) for k in sorted({*grid, default})], "k double")
-    usable = df.where(F.col(prior).isNotNull() & F.col(target).isNotNull() & F.col(n).isNotNull())
-    w = F.col(n) / (F.col(n) + F.col("k"))
-    guess = F.coalesce(w * F.col(current) + (1 - w) * F.col(prior), F.col(prior))
-    if exposure:
-        mean = F.greatest(guess * F.col(exposure), F.lit(1e-6))
-        y = F.col(target)
-        loss = 2 * (F.when(y > 0, y * F.ln(F.when(y > 0, y) / mean)).otherwise(0.0) - (y - mean))
-    else:
-        loss = F.pow(F.col(target) - guess, 2)
-    sums = usable.crossJoin(F.broadcast(ks)).groupBy("k").agg(F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
-    best = F.min_by("k", F.struct(F.round("loss", 6), "k"))
-    return sums.agg(F.coalesce(F.when(F.max("n_rows") >= least, best), F.lit(float(default))).alias("k"), F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"))
+    sums, tried = [], []
+    for i, s in enumerate(stats):
+        usable = F.coalesce(s.current, s.prior).isNotNull() & F.col(s.target).isNotNull()
+        if s.exposure:
+            usable &= F.col(s.exposure).isNotNull()
+        ks = sorted({float(k) for k in grid} | {float(s.default)})
+        tried.append(ks)
+        sums.append(F.count_if(usable).alias(f"n{i}"))
+        sums += [F.sum(F.when(usable, _loss(s, k))).alias(f"l{i}_{j}") for j, k in enumerate(ks)]
+    row = df.agg(*sums)
+
+    def chosen(i: int, s: Stat, ks: list[float]) -> Column:
+        losses = F.array(*[F.struct(F.round(F.col(f"l{i}_{j}") / F.col(f"n{i}"), 9).alias("loss"), F.lit(k).alias("k")) for j, k in enumerate(ks)])
+        best = F.when(F.col(f"n{i}") >= least, F.array_min(losses))
+        return F.struct(F.lit(s.name).alias("stat"), F.coalesce(best["k"], F.lit(float(s.default))).alias("k"), best["loss"].alias("loss"), F.col(f"n{i}").alias("n_rows"))
+
+    return row.select(F.explode(F.array(*[chosen(i, s, ks) for i, (s, ks) in enumerate(zip(stats, tried, strict=True))])).alias("x")).select("x.*")

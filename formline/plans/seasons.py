@@ -148,18 +148,80 @@ def a26_fit_dispersion(spark, d):
     return fits.fit_dispersion(g, "position", "y", "mu", [0.02, 0.1, 0.3, 1.0]).select("position", "alpha", "n_rows", F.round("ll", 2).alias("ll"))
 
 
-@query("""WITH g AS (SELECT (o_totalprice / 1000 - 200) AS diff, o_orderkey % 3 AS res
-  FROM orders), p AS (SELECT unnest([0.0, 50.0, 100.0]) AS hfa, 0 AS j), q AS (SELECT unnest([0.2, 0.27, 0.33]) AS c),
-  r AS (SELECT unnest([150.0, 270.0]) AS s),
-a AS (SELECT hfa, c, s, res, greatest(least(c * exp(-pow(diff + hfa, 2) / (2 * s * s)), 0.6), 1e-6) AS d, 1 / (1 + pow(10, -(diff + hfa) / 400)) AS e
-  FROM g, p, q, r), b AS (SELECT *, greatest(e - d / 2, 1e-6) AS h FROM a), x AS (SELECT *, greatest(1 - h - d, 1e-6) AS w FROM b),
-l AS (SELECT hfa, c, s, round(avg(-ln(CASE res WHEN 0 THEN h WHEN 1 THEN d ELSE w END / (h + d + w) + 1e-6)), 9) AS loss FROM x GROUP BY ALL)
-  SELECT hfa::DOUBLE AS hfa, c::DOUBLE AS c, s::DOUBLE AS s, round(loss, 6) AS loss FROM l ORDER BY loss, hfa, c, s LIMIT 1""")
-def a27_fit_elo_map(spark, d):
+def _map_sql(diff: str, hfa: str, c: str, s: str) -> str:
+    """The rating map's home, draw and away shares in SQL, as a list."""
+    draw = f"greatest(least({c} * exp(-pow({diff} + {hfa}, 2) / (2 * {s} * {s})), 0.6), 1e-6)"
+    home = f"greatest(1 / (1 + pow(10, -({diff} + {hfa}) / 400)) - {draw} / 2, 1e-6)"
+    away = f"greatest(1 - {home} - {draw}, 1e-6)"
+    return f"[{home} / ({home} + {draw} + {away}), {draw} / ({home} + {draw} + {away}), {away} / ({home} + {draw} + {away})]"
+
+
+def _fit_sql(where: str, levels: int = 34) -> str:
+    """CTEs that end in ``m`` (hfa, c, s, loss): the least cross-entropy by a grid of five steps a side that closes in, level by level."""
+    steps = "(VALUES (-1.0), (-0.5), (0.0), (0.5), (1.0))"
+    out = [f"""g AS MATERIALIZED (SELECT o_orderkey AS k, o_totalprice / 1000 - 200 AS diff, (o_totalprice / 1000 - 200) * 0.8 + (o_orderkey % 7 - 3) * 20 AS seen FROM orders),
+t AS MATERIALIZED (SELECT k, diff, {_map_sql("seen", "60", "0.26", "250")} AS t FROM g), f AS MATERIALIZED (SELECT * FROM t WHERE {where}),
+m0 AS MATERIALIZED (SELECT 50.0::DOUBLE AS hfa, 0.3::DOUBLE AS c, 300.0::DOUBLE AS s, 0.0::DOUBLE AS loss)"""]
+    for i in range(levels):
+        w = 0.7**i
+        grid = f"SELECT hfa + a * {80 * w!r} AS hfa, greatest(c + b * {0.15 * w!r}, 0.01) AS c, greatest(s + d * {150 * w!r}, 10) AS s FROM m{i}, {steps} x(a), {steps} y(b), {steps} z(d)"
+        p = _map_sql("diff", "hfa", "c", "s")
+        inner = f"SELECT hfa, c, s, t, {p} AS p FROM f, ({grid})"
+        out.append(f"m{i + 1} AS MATERIALIZED (SELECT hfa, c, s, avg(-(t[1] * ln(p[1] + 1e-6) + t[2] * ln(p[2] + 1e-6) + t[3] * ln(p[3] + 1e-6))) AS loss FROM ({inner}) GROUP BY hfa, c, s ORDER BY loss, hfa, c, s LIMIT 1)")
+    return ",\n".join(out) + f",\nm AS (SELECT * FROM m{levels})"
+
+
+def _rated(spark, d):
+    """Orders as matches: a rating difference and the probabilities that odds on a shifted, noisy difference imply."""
+    from formline.operators import scoring as S
     from formline.plans.tables import table
 
-    g = table(spark, d, "orders").select((F.col("o_totalprice") / 1000 - 200).alias("diff"), (F.col("o_orderkey") % 3).cast("int").alias("res"))
-    return fits.fit_elo(g, "diff", "res", [0.0, 50.0, 100.0], [0.2, 0.27, 0.33], [150.0, 270.0])
+    k, diff = F.col("o_orderkey"), F.col("o_totalprice") / 1000 - 200
+    home, draw, away = S.elo_probabilities(diff * 0.8 + (k % 7 - 3) * 20, 60.0, 0.26, 250.0)
+    odds = [1 / (1.05 * p) for p in (home, draw, away)]
+    return table(spark, d, "orders").select(k.alias("k"), diff.alias("diff"), *[p.alias(n) for p, n in zip(S.implied(*odds), ("home", "draw", "away"), strict=True)])
+
+
+@query(f"WITH {_fit_sql('true')} SELECT round(hfa, 2) AS hfa, round(c, 4) AS c, round(s, 2) AS s, round(loss, 6) AS loss FROM m")
+def a27_fit_elo_map(spark, d):
+    """The rating map of least cross-entropy against what odds imply."""
+    hfa, c, s, loss = fits.fit_elo_map(_rated(spark, d), "diff", ["home", "draw", "away"])
+    one = spark.createDataFrame([(hfa, c, s, loss)], "hfa double, c double, s double, loss double")
+    return one.select(F.round("hfa", 2).alias("hfa"), F.round("c", 4).alias("c"), F.round("s", 2).alias("s"), r6("loss").alias("loss"))
+
+
+_RATES = """fy4 AS (SELECT id, entity, year, grp, minutes, stat, points * 0.001 AS pts, (id % 7 % 3)::INTEGER AS goals, CASE WHEN id % 11 = 0 THEN NULL ELSE (id // 7) % 5 END AS saves FROM fy),
+cells AS (SELECT grp, year, sum(stat) AS s1, count(stat) AS n1, sum(pts) AS s2, count(pts) AS n2, sum(goals) AS s3, sum(saves) AS s4, sum(minutes) AS m FROM fy4 GROUP BY ALL),
+pri AS (SELECT grp, year, sum(s1) OVER w / sum(n1) OVER w AS p1, sum(s2) OVER w / sum(n2) OVER w AS p2, sum(s3) OVER w / sum(m) OVER w * 90 AS p3, sum(s4) OVER w / sum(m) OVER w * 90 AS p4 FROM cells
+  WINDOW w AS (PARTITION BY grp ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT o.*, p1, p2, p3, p4, count(stat) OVER w AS n1, avg(stat) OVER w AS c1, count(pts) OVER w AS n2, avg(pts) OVER w AS c2, coalesce(sum(minutes) OVER w, 0) / 90 AS e,
+  sum(goals) OVER w / nullif(sum(minutes) OVER w, 0) * 90 AS c3, sum(saves) OVER w / nullif(sum(minutes) OVER w, 0) * 90 AS c4 FROM fy4 o LEFT JOIN pri USING (grp, year)
+  WINDOW w AS (PARTITION BY entity ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT unnest([{'stat': 'stat', 'cur': c1, 'prior': p1, 'n': n1::DOUBLE, 'y': stat, 'ex': NULL}, {'stat': 'points', 'cur': c2, 'prior': p2, 'n': n2::DOUBLE, 'y': pts, 'ex': NULL},
+  {'stat': 'goals', 'cur': c3, 'prior': p3, 'n': e, 'y': goals::DOUBLE, 'ex': minutes / 90}, {'stat': 'saves', 'cur': c4, 'prior': p4, 'n': e, 'y': saves::DOUBLE, 'ex': minutes / 90}]) AS u FROM x WHERE minutes >= 1),
+v AS (SELECT u.stat AS stat, k, u.y AS y, u.ex AS ex, coalesce(u.n / (u.n + k) * u.cur + (1 - u.n / (u.n + k)) * u.prior, u.cur, u.prior) AS g FROM u, (VALUES (1.0), (3.0), (10.0), (30.0), (100.0)) t(k)),
+l AS (SELECT stat, k, count(*) AS n, round(avg(CASE WHEN ex IS NULL THEN pow(y - g, 2) ELSE 2 * (CASE WHEN y > 0 THEN y * ln(y / greatest(greatest(g, 0) * ex, 1e-6)) ELSE 0 END - (y - greatest(greatest(g, 0) * ex, 1e-6))) END), 9) AS loss
+  FROM v WHERE g IS NOT NULL AND y IS NOT NULL GROUP BY stat, k)"""
+
+
+@query(f"""WITH {{fy}}, {_RATES} SELECT stat, CASE WHEN max(n) >= 500 THEN arg_min(k, (loss, k)) ELSE 10.0 END::DOUBLE AS k, round(CASE WHEN max(n) >= 500 THEN min(loss) END, 5) AS loss, max(n) AS n_rows FROM l GROUP BY stat""")
+def a25_fit_strengths(spark, d):
+    """Strengths of four statistics in one scan: two by squared error, two rates by Poisson deviance."""
+    i = F.col("id")
+    f = yearly(spark, d).withColumns({"pts": F.col("points") * 0.001, "goals": (i % 7 % 3).cast("int"), "saves": F.when(i % 11 != 0, F.floor(i / 7) % 5)})
+    f = f.select("id", "entity", "year", "grp", "minutes", "stat", "pts", "goals", "saves")
+    cells = f.groupBy("grp", "year").agg(*[F.sum(c).alias(f"s_{c}") for c in ("stat", "pts", "goals", "saves", "minutes")], *[F.count(c).alias(f"n_{c}") for c in ("stat", "pts")])
+    w = A.Window.partitionBy("grp").orderBy("year").rowsBetween(A.Window.unboundedPreceding, -1)  # a row per group and year
+    so_far = lambda c: F.sum(c).over(w)
+    prior = cells.select("grp", "year", *[(so_far(f"s_{c}") / so_far(f"n_{c}")).alias(f"p_{c}") for c in ("stat", "pts")], *[(so_far(f"s_{c}") / so_far("s_minutes") * 90).alias(f"p_{c}") for c in ("goals", "saves")])
+    v = A.Window.partitionBy("entity").orderBy("id").rowsBetween(A.Window.unboundedPreceding, -1)
+    played = F.sum("minutes").over(v)
+    x = f.withColumns({
+        **{f"n_{c}": F.count(c).over(v) for c in ("stat", "pts")}, **{f"c_{c}": F.avg(c).over(v) for c in ("stat", "pts")}, "n_90": F.coalesce(played, F.lit(0)) / 90,
+        **{f"c_{c}": F.sum(c).over(v) / F.nullif(played, F.lit(0)) * 90 for c in ("goals", "saves")}, "e": F.col("minutes") / 90,
+    }).join(prior, ["grp", "year"], "left").where("minutes >= 1")
+    stats = [A.Stat("stat", "c_stat", "p_stat", "n_stat", "stat"), A.Stat("points", "c_pts", "p_pts", "n_pts", "pts"), A.Stat("goals", "c_goals", "p_goals", "n_90", "goals", "e"), A.Stat("saves", "c_saves", "p_saves", "n_90", "saves", "e")]
+    return A.fit_strengths(x, stats, [1, 3, 10, 30, 100]).select("stat", "k", F.round("loss", 5).alias("loss"), "n_rows")
 
 
 _COUNTS = """g AS (SELECT l_linenumber % 4 + 1 AS position, l_orderkey, floor(l_quantity / 10)::INTEGER AS y, 2.0 + l_discount * 10 AS mu
@@ -187,21 +249,14 @@ def a26_choose_family(spark, d):
     return fits.choose_family(g.where(held), fitted, "position", "y", "mu").select("position", r6("poisson").alias("poisson"), r6("negbin").alias("negbin"), "family")
 
 
-@query("""WITH g AS (SELECT (o_totalprice / 1000 - 200) AS diff, o_orderkey % 3 AS res, 1.5 + o_orderkey % 7 / 2 AS h, 3.0 + o_orderkey % 3 / 4 AS d,
-  1.8 + o_orderkey % 5 AS a FROM orders WHERE o_orderkey % 4 = 0),
-e AS (SELECT *, greatest(least(0.27 * exp(-pow(diff + 50, 2) / (2 * 270 * 270)), 0.6), 1e-6) AS ed, 1 / (1 + pow(10, -(diff + 50) / 400)) AS s
-  FROM g), f AS (SELECT *, greatest(s - ed / 2, 1e-6) AS eh FROM e), x AS (SELECT *, greatest(1 - eh - ed, 1e-6) AS ea FROM f)
-SELECT 'elo' AS route, round(avg(-ln(CASE res WHEN 0 THEN eh WHEN 1 THEN ed ELSE ea END / (eh + ed + ea) + 1e-6)), 6) AS loss FROM x
-UNION ALL SELECT 'odds', round(avg(-ln(CASE res WHEN 0 THEN 1 / h WHEN 1 THEN 1 / d ELSE 1 / a END / (1 / h + 1 / d + 1 / a) + 1e-6)), 6) FROM x""")
+@query(f"""WITH {_fit_sql("k % 4 <> 0")}, h AS (SELECT (k % 3)::INTEGER AS res, {_map_sql("diff", "hfa", "c", "s")} AS e, t FROM t, m WHERE k % 4 = 0)
+SELECT 'elo' AS route, round(avg(-ln(e[res + 1] + 1e-6)), 5) AS loss FROM h UNION ALL SELECT 'odds', round(avg(-ln(t[res + 1] + 1e-6)), 5) FROM h""")
 def a27_held_out_losses(spark, d):
-    """Held-out log loss of the rating map against what the odds imply."""
+    """Log loss on held-out rows of the map fitted on the others, against what the odds imply."""
     from formline.operators import scoring as S
-    from formline.plans.tables import table
 
-    k = F.col("o_orderkey")
-    g = table(spark, d, "orders").where(k % 4 == 0).select(
-        (F.col("o_totalprice") / 1000 - 200).alias("diff"), (k % 3).cast("int").alias("res"), (1.5 + k % 7 / 2).alias("h"),
-        (3.0 + k % 3 / 4).alias("dr"), (1.8 + (k % 5)).alias("a")
-    )
-    routes = {"elo": S.elo_probabilities(F.col("diff"), 50.0, 0.27, 270.0), "odds": S.implied(F.col("h"), F.col("dr"), F.col("a"))}
-    return fits.held_out_losses(g, "res", routes).select("route", r6("loss").alias("loss"))
+    g = _rated(spark, d)
+    hfa, c, s, _ = fits.fit_elo_map(g.where("k % 4 <> 0"), "diff", ["home", "draw", "away"])
+    held = g.where("k % 4 = 0").withColumn("res", (F.col("k") % 3).cast("int"))
+    routes = {"elo": S.elo_probabilities(F.col("diff"), hfa, c, s), "odds": (F.col("home"), F.col("draw"), F.col("away"))}
+    return fits.held_out_losses(held, "res", routes).select("route", F.round("loss", 5).alias("loss"))
