@@ -28,20 +28,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, r
     other = right.where(F.col(right_ts).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_ts).alias("_t"), F.lit(0 if exact else 1).alias("_side"),
                          F.lit(None).cast(own.schema["_left"].dataType).alias("_left"), row.alias("_right"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(tie)])
     part = [f"_k{i}" for i in range(len(keys))]
-    both = own.unionByName(other)
+    both = own.unionByName(other).withColumn("_later", F.lit(1))
+    order = ["_t", "_side", *[f"_o{i}" for i in range(len(tie))]]
+    bucket = []
     if bucket_seconds:
+        bucket = ["_b"]
         both = both.withColumn("_b", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / bucket_seconds))
-    order = ["_t", "_side", *[f"_o{i}" for i in range(len(tie))]]
-    w = Window.partitionBy(*part, *(["_b"] if bucket_seconds else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        ends = both.groupBy(*part, "_b").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct(*order))).alias("_right"))
+        before = F.last("_right", ignorenulls=True).over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        firsts = ends.withColumn("_right", before).where("_right is not null").withColumn("_later", F.lit(0))  # what a bucket starts from
+        both = both.unionByName(firsts, allowMissingColumns=True)
+    w = Window.partitionBy(*part, *bucket).orderBy("_later", *order).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
-    if bucket_seconds:
-        ends = other.withColumn(
-            "_b", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / bucket_seconds)
-        ).groupBy(*part, "_b").agg(F.max_by("_right", F.struct(*order)).alias("_right"))
-        spine = both.select(*part, "_b").distinct().join(ends, [*part, "_b"], "left")
-        seed = F.last("_right", ignorenulls=True).over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-        seeds = spine.withColumn("_seed", seed).select(*part, "_b", "_seed")
-        out = out.join(seeds, [*part, "_b"], "left").withColumn("_hit", F.coalesce("_hit", "_seed"))
     known = F.col("_t").isNotNull()
     for p in part:
         known &= F.col(p).isNotNull()

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.operators.windows import average_rank
 
 EPS = 1e-9
+#: Rows that a task keeps of groups it may see again.
+HELD = 100_000
 
 
 def fold_parts(year: str, round_no: str, folds: Sequence[tuple[str, int, int | None]]) -> Column:
@@ -95,17 +99,65 @@ def best_route(df: DataFrame, keys: Sequence[str], routes: Sequence[str], actual
     return errors.select(*keys, least.alias("x")).select(*keys, "x.route", "x.mae")
 
 
+def near_best(df: DataFrame, weights: Sequence[float], group: Sequence[str], ev: str, extra: str, actual: str, tie: str, top: int) -> DataFrame:
+    """(_g, _ev, _extra, _actual, _tie, _key): rows that can be among a group's ``top`` for some weight, as far as their task knows.
+
+    Each task keeps, batch after batch, the rows that are so among those it has seen; with over HELD of them it passes
+    them on.  Groups are told apart by a 64-bit hash.
+    """
+    rows = df.select(F.struct(*group).alias("_g"), F.col(ev).cast("double").alias("_ev"), F.col(extra).cast("double").alias("_extra"), F.col(actual).cast("double").alias("_actual"), F.col(tie).cast("long").alias("_tie"))
+    rows = rows.where(F.col("_ev").isNotNull() & F.col("_extra").isNotNull() & F.col("_tie").isNotNull()).withColumn("_key", F.xxhash64("_g"))
+    grid = np.array([float(w) for w in weights])
+
+    def cut(keys: np.ndarray, values: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Places (of index) of rows among the first ``top`` of their key for some weight."""
+        kept = np.zeros(len(keys), bool)
+        for w in grid:
+            order = np.lexsort((values[:, 2], -(values[:, 0] + w * values[:, 1]), keys))
+            first = np.concatenate([[0], (keys[order][1:] != keys[order][:-1]).nonzero()[0] + 1])
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            kept[order[place < top]] = True
+        return index[kept]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            ev_, ex, tie_ = (held.column(n).to_numpy() for n in ("_ev", "_extra", "_tie"))
+            keep = cut(held.column("_key").to_numpy(), np.stack([ev_, ex, tie_], 1), np.arange(held.num_rows))
+            held = held.take(pa.array(keep)).combine_chunks()
+            if held.num_rows > HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def best_per_weight(df: DataFrame, weights: Sequence[float], group: Sequence[str], ev: str, extra: str, actual: str, tie: str, top: int = 3) -> DataFrame:
+    """(weight, group, actual): of each group the ``top`` rows by ev + weight * extra, ties to the smaller ``tie``, for every weight.
+
+    Only what ``near_best`` leaves is multiplied by the weights and shuffled.  ``tie`` is a whole number; rows with a null
+    score are no picks.
+    """
+    score = lambda w: F.col("_ev") + F.lit(float(w)) * F.col("_extra")
+    near = near_best(df, weights, group, ev, extra, actual, tie, top)
+    each = near.select("_g", "_actual", "_tie", F.explode(F.array(*[F.struct(F.lit(float(w)).alias("weight"), score(w).alias("_s")) for w in weights])).alias("w"))
+    w = Window.partitionBy("w.weight", "_g").orderBy(F.col("w._s").desc(), "_tie")
+    picks = each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    return picks.select(F.col("w.weight").alias("weight"), F.col("_g").alias("group"), F.col("_actual").alias("actual"))
+
+
 def pick_weight(
     df: DataFrame, grid: Sequence[float], fold: str, round_key: str, ev: str, extra: str, actual: str, tie: str, top: int = 3, haul: float = 10,
     tolerance: float = 0.02
 ) -> DataFrame:
     """Per weight on the extra term: mean points and haul rate of each (fold, round)'s top picks, whether its points are
     within the tolerance of the best, and whether its haul rate is a standard error above weight 0's; then the choice."""
-    weights = df.sparkSession.createDataFrame([(float(g),) for g in grid], "weight double")
-    scored = df.crossJoin(F.broadcast(weights)).withColumn("_s", F.col(ev) + F.col("weight") * F.col(extra))
-    w = Window.partitionBy("weight", fold, round_key).orderBy(F.col("_s").desc(), tie)
-    picks = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
-    by = picks.groupBy("weight").agg(F.avg(actual).alias("points"), F.avg((F.col(actual) >= haul).cast("double")).alias("haul_rate"), F.count(F.lit(1)).alias("n"))
+    picks = best_per_weight(df, grid, [fold, round_key], ev, extra, actual, tie, top)
+    by = picks.groupBy("weight").agg(F.avg("actual").alias("points"), F.avg((F.col("actual") >= haul).cast("double")).alias("haul_rate"), F.count(F.lit(1)).alias("n"))
     best = by.agg(F.max("points").alias("best"), F.max_by("haul_rate", -F.col("weight")).alias("base"), F.max("n").alias("m"))
     out = by.crossJoin(F.broadcast(best))  # a row per weight
     error = F.sqrt(F.col("base") * (1 - F.col("base")) / F.col("m"))

@@ -8,6 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formline.operators.ranks import quantiles
+from formline.operators.spread import null_safe_join
+from formline.sources.staging import written
+
 # Points per event, by position 1 to 4 where a list; a count step means points per so many events.
 RULES = {
     "long_play": 2, "short_play": 1, "goals": [6, 6, 5, 4], "assists": 3, "clean_sheets": [4, 4, 1, 0], "goals_conceded": [-1, -1, 0, 0], "saves": 1,
@@ -166,16 +170,17 @@ def gate(df: DataFrame, gated: Column, zero: Sequence[str], one: str = "p_blank"
     return df.withColumns({c: F.when(shut, 0.0).otherwise(F.col(c)) for c in zero} | {one: F.when(shut, 1.0).otherwise(F.col(one))})
 
 
-def sample_summary(df: DataFrame, keys: Sequence[str], draw: str, value: str, marks: tuple[float, float, float] = (2, 5, 10)) -> DataFrame:
-    """Mean, tail shares and quantiles per keys; values of one draw are summed first, so doubles add before quantiles."""
-    sums = df.groupBy(*keys, draw).agg(F.sum(value).alias("x"))
+def sample_summary(df: DataFrame, keys: Sequence[str], draw: str, value: str, marks: tuple[float, float, float] = (2, 5, 10), finish: int = 10_000) -> DataFrame:
+    """Mean, tail shares and quantiles per keys; values of one draw are summed first, so doubles add before quantiles.
+
+    Groups with over ``finish`` draws find their quantiles in passes that narrow the values down, so no group is held in one task.
+    """
+    sums = written(df.groupBy(*keys, draw).agg(F.sum(value).alias("x")), "summary-sums")
     low, mid, high = marks
-    q = F.percentile("x", F.array(*[F.lit(p) for p in (0.1, 0.5, 0.9)]))
-    by = sums.groupBy(*keys).agg(
-        F.avg("x").alias("mean"), F.avg((F.col("x") <= low).cast("int")).alias("p_blank"), F.avg((F.col("x") >= mid).cast("int")).alias("p_return"),
-        F.avg((F.col("x") >= high).cast("int")).alias("p_haul"), q.alias("q")
-    )
-    return by.select(*keys, "mean", "p_blank", "p_return", "p_haul", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
+    share = lambda hit: F.avg(hit.cast("int"))
+    by = sums.groupBy(*keys).agg(F.avg("x").alias("mean"), share(F.col("x") <= low).alias("p_blank"), share(F.col("x") >= mid).alias("p_return"), share(F.col("x") >= high).alias("p_haul"))
+    both = null_safe_join(by, quantiles(sums, keys, "x", (0.1, 0.5, 0.9), finish), keys)
+    return both.select(*keys, "mean", "p_blank", "p_return", "p_haul", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
 def conditional_distribution(df: DataFrame, bucket: str, returns: str, outcome: str, least: int = 40) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from formline.operators import evaluate as E, ranking as R, windows as W
+from formline.operators import evaluate as E, ranking as R, ranks, windows as W
 from formline.plans.tables import fact, query, r6, table
 
 K, O = ["entity"], ["ts", "event_id"]
@@ -277,6 +277,16 @@ def e3_spearman(spark, d):
     return E.spearman(_pred(spark, d), ["kind"], "round", "predicted", "actual").select("kind", r6("spearman").alias("spearman"), "rounds")
 
 
+@query(f"""WITH {_PRED}, y AS (SELECT *, CASE WHEN event_id % 10 < 9 THEN 'all' ELSE kind END AS g FROM x),
+r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY predicted) + (count(*) OVER (PARTITION BY g, predicted) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY g ORDER BY actual) + (count(*) OVER (PARTITION BY g, actual) - 1) / 2 AS b FROM y)
+SELECT g, round(corr(a, b), 6) AS rho FROM r GROUP BY g HAVING stddev_pop(a) > 0 AND stddev_pop(b) > 0""")
+def e3_spread_spearman(spark, d):
+    """Rank correlation in groups of which one has nine tenths of the rows: ranks run along ranges of values."""
+    x = _pred(spark, d).withColumn("g", F.when(F.col("event_id") % 10 < 9, "all").otherwise(F.col("kind")))
+    return ranks.rank_correlation(x, ["g"], "predicted", "actual", run_values=300).select("g", r6("rho").alias("rho"))
+
+
 @query(f"""WITH {_PRED} SELECT kind, mark::DOUBLE AS mark, count(*) AS n, round(avg(abs(predicted - actual)), 6) AS mae,
   round(sqrt(avg(pow(predicted - actual, 2))), 6) AS rmse FROM x, (VALUES (80), (150)) v(mark) WHERE actual >= mark GROUP BY kind, mark
   HAVING count(*) >= 20""")

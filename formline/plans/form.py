@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from formline.operators import asof, intervals, spread, windows as W
+from formline.operators import asof, intervals, ranks, spread, windows as W
 from formline.plans.tables import fact, query, r6, table
+from formline.sources import staging
 
 K, O = ["entity"], ["ts", "event_id"]
 
@@ -27,7 +28,7 @@ def slice_top_form(spark, d):
         F.avg(F.when(F.col("rn") <= 5, F.col("points"))).alias("form"), F.sum(F.when(F.col("rn") <= 5, F.col("minutes"))).alias("mins"),
         F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("o"), "points"))).alias("r"),
     )
-    rated = W.rank_share(per.where("mins >= 90"), "form").withColumn("rating", W.labelled(F.col("share")))
+    rated = W.rank_share(staging.written(per.where("mins >= 90"), "form"), "form").withColumn("rating", W.labelled(F.col("share")))
     recent = F.array_join(F.transform("r", lambda x: F.format_string("%.2f", x["points"])), ";")
     return rated.select("entity", r6("form").alias("form"), recent.alias("recent"), "mins", "rating").orderBy(F.desc("form"), "entity").limit(20)
 
@@ -178,6 +179,33 @@ def w17_percent_rank_rating(spark, d):
     return g.select("o_orderkey", W.rating("v", ["y", "p"]).alias("rating"))
 
 
+@query("""WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 9 THEN 0 ELSE year(o_orderdate) END AS y, CASE WHEN o_orderkey % 5 = 0 THEN 100000.0 WHEN o_orderkey % 23 <> 0 THEN o_totalprice END AS v FROM orders),
+c AS (SELECT *, (rank() OVER (PARTITION BY y ORDER BY v) + (count(*) OVER (PARTITION BY y, v) - 1) / 2) / count(*) OVER (PARTITION BY y) AS pct FROM g WHERE v IS NOT NULL)
+SELECT g.o_orderkey, round(pct, 6) AS pct, CASE WHEN pct >= 0.9 THEN 'excellent' WHEN pct >= 0.65 THEN 'good' WHEN pct >= 0.35 THEN 'average' ELSE 'poor' END AS rating
+FROM g LEFT JOIN c ON c.o_orderkey = g.o_orderkey""")
+def w17_spread_rating(spark, d):
+    """Ratings where one group has nine tenths of the rows and one value a fifth of them; nulls have no rank."""
+    k = F.col("o_orderkey")
+    g = table(spark, d, "orders").select("o_orderkey", F.when(k % 10 < 9, 0).otherwise(F.year("o_orderdate")).alias("y"), F.when(k % 5 == 0, 100000.0).when(k % 23 != 0, F.col("o_totalprice")).alias("v"))
+    made = ranks.average_ranks(g, ["y"], "v", "rank", "size", run_values=200, hot_rows=100)
+    share = F.col("rank") / F.col("size")
+    return made.select("o_orderkey", r6(share).alias("pct"), W.labelled(share).alias("rating"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE l_orderkey END AS grp,
+  CASE WHEN l_partkey % 9 <> 0 THEN l_quantity END AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN v IS NULL THEN 8 ELSE least(row_number() OVER (PARTITION BY grp ORDER BY v DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey), 8) END::INTEGER AS place FROM g""")
+def w16_spread_rank(spark, d):
+    """Places in groups of which one has half of the rows: only each group's first eight are ever brought together."""
+    g = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(F.col("l_orderkey")).alias("grp"),
+        F.when(F.col("l_partkey") % 9 != 0, F.col("l_quantity")).alias("v"),
+    )
+    tie = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return ranks.capped(g, ["grp"], "v", tie).select(*tie, "place")
+
+
 @query("""WITH {f}, e AS (SELECT list_distinct(quantile_cont(points, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM f),
 b AS (SELECT f.*, len(list_filter(edges, lambda x: x <= points)) AS bucket FROM f, e)
 SELECT bucket::INTEGER AS bucket, count(*) AS n, round(avg((minutes >= 60)::INT), 6) AS rate FROM b GROUP BY bucket""")

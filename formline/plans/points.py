@@ -151,6 +151,19 @@ def a32_distribution_summary(spark, d):
     return out.select("entity", F.col("round").cast("timestamp_ntz").alias("round"), *[r6(c).alias(c) for c in ("mean", "p_blank", "p_return", "p_haul", "p10", "p50", "p90")])
 
 
+@query("""WITH {f}, g AS (SELECT CASE WHEN event_id % 10 < 8 THEN 'all' ELSE kind END AS g, event_id % 9001 AS draw, CASE WHEN event_id % 6 = 0 THEN 50.0 WHEN event_id % 13 = 0 THEN -1e6 ELSE points END AS p FROM f),
+s AS (SELECT g, draw, sum(p) AS x FROM g GROUP BY ALL)
+SELECT g, round(avg(x), 5) AS mean, round(avg((x <= 20)::INT), 6) AS p_blank, round(avg((x >= 50)::INT), 6) AS p_return, round(avg((x >= 100)::INT), 6) AS p_haul,
+  round(quantile_cont(x, 0.1), 5) AS p10, round(quantile_cont(x, 0.5), 5) AS p50, round(quantile_cont(x, 0.9), 5) AS p90 FROM s GROUP BY g""")
+def a32_large_groups(spark, d):
+    """Exact quantiles of groups too large to sort, with values that many rows share and some far outside, in narrowing passes."""
+    e = F.col("event_id")
+    p = F.when(e % 6 == 0, 50.0).when(e % 13 == 0, -1e6).otherwise(F.col("points"))
+    f = fact(spark, d).withColumns({"g": F.when(e % 10 < 8, "all").otherwise(F.col("kind")), "draw": e % 9001, "p": p})
+    out = S.sample_summary(f, ["g"], "draw", "p", (20, 50, 100), finish=100)
+    return out.select("g", F.round("mean", 5).alias("mean"), *[r6(c).alias(c) for c in ("p_blank", "p_return", "p_haul")], *[F.round(c, 5).alias(c) for c in ("p10", "p50", "p90")])
+
+
 @query("""WITH {f}, g AS (SELECT (event_id % 8 + 1)::INTEGER AS bucket, least(minutes // 40, 2)::INTEGER AS returns,
   CASE WHEN minutes = 99 THEN 3 ELSE event_id % 4 END AS bonus, * FROM f),
 c AS (SELECT bucket, returns, count(*) n, avg(bonus) m FROM g GROUP BY 1, 2), b AS (SELECT bucket, count(*) n, avg(bonus) m FROM g
