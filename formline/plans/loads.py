@@ -381,6 +381,22 @@ def s8_upsert(spark, d):
     return sinks.upsert(target, changed.unionByName(new), ["o_orderkey"])
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'moved' WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'O' ELSE o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 10 = 0 THEN -1.0 ELSE o_totalprice END AS price FROM orders
+UNION ALL SELECT o_orderkey + 100000000, 'new', 1.5 FROM orders WHERE o_orderkey % 100 = 1""")
+def s8_moving_keys(spark, d):
+    """Upserts into a table on disk by which rows change their partition, one of them run twice."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"))
+    path, k = staging.scratch(spark, "moving"), F.col("o_orderkey")
+    sinks.write_partitioned(o, path, ["status"])
+    sinks.upsert_table(spark, path, o.where("status = 'F' and o_orderkey % 2 = 0").select("o_orderkey", F.lit("O").alias("status")), ["o_orderkey"], ["status"])
+    moved = o.where(k % 10 == 0).select("o_orderkey", F.lit("moved").alias("status"), F.lit(-1.0).alias("price"))
+    new = o.where(k % 100 == 1).select((k + 100000000).alias("o_orderkey"), F.lit("new").alias("status"), F.lit(1.5).alias("price"))
+    for _ in range(2):
+        sinks.upsert_table(spark, path, moved.unionByName(new), ["o_orderkey"], ["status"])
+    return spark.read.parquet(path).select("o_orderkey", "status", "price")
+
+
 @query("""WITH s AS (SELECT c_custkey, 'X' || c_custkey AS seg FROM customer WHERE c_custkey % 7 = 0)
   SELECT customer.c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, c_acctbal FROM customer LEFT JOIN s USING (c_custkey)""")
 def s9_partial_update(spark, d):

@@ -2,19 +2,57 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from formline.operators.clean import conform, first_rows
 
 
+def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """The files under the paths by their header line; files without a line are left out.
+
+    One job reads them as text and keeps the first line of each, and the driver gets a line and a name a file.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").text(list(paths))
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("i"))
+    firsts = rows.where("start = 0").groupBy("file").agg(F.min_by("value", "i").alias("header"))  # a task reads a file's lines in order
+    groups: dict[str, list[str]] = {}
+    for r in firsts.orderBy("file").collect():
+        groups.setdefault(r.header, []).append(r.file)
+    return groups
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme and trailing slashes, percent signs decoded."""
+    return re.sub(r"^[a-z0-9]+:/*", "/", unquote(path)).rstrip("/")
+
+
 def season_csvs(spark: SparkSession, paths: Mapping[str, str], schema: StructType, renames: Mapping[str, str] = {}) -> DataFrame:
-    """One frame over seasons whose files differ in columns: each read with its own header as text, then conformed."""
-    frames = [conform(spark.read.csv(p, header=True), schema, renames).withColumn("season", F.lit(s)) for s, p in paths.items()]
+    """One frame over seasons whose files differ in columns, conformed, with the ``season`` of each row; a path is a file or a folder.
+
+    Files are grouped by their header line and each group is read by one scan, so the plan grows with the number of
+    different headers, not of files.  Without any file that has a header the frame is empty.
+    """
+    roots = {_plain(p): s for s, p in paths.items()}
+    frames = []
+    for files in header_groups(spark, list(paths.values())).values():
+        seasons = []
+        for f in files:
+            at = _plain(f)
+            while at not in roots and "/" in at:
+                at = at.rsplit("/", 1)[0]
+            seasons.append((f, roots[at]))
+        names = spark.createDataFrame(seasons, "_file string, season string")
+        rows = spark.read.csv([unquote(f) for f in files], header=True).withColumn("_file", F.col("_metadata.file_path"))
+        frames.append(conform(rows.join(F.broadcast(names), "_file"), StructType([*schema.fields, StructField("season", StringType())]), renames))  # one row a file
+    if not frames:
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("season", StringType())]))
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

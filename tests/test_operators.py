@@ -90,6 +90,76 @@ def test_season_csvs(spark, tmp_path):
     assert {(r.id, r.xg, r.season) for r in df.collect()} == {(1, 0.5, "s1"), (2, None, "s1"), (3, None, "s2")}
 
 
+def test_one_scan_for_each_header(spark, tmp_path):
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+    headers = ["id,xG", "id,other", "other,id,xG"]
+    paths, want = {}, set()
+    for season in range(10):
+        folder = tmp_path / f"season {season}"
+        folder.mkdir()
+        for i in range(100):
+            h, n = headers[(season + i) % 3], season * 100 + i
+            row = {"id": str(n), "xG": f"{n}.5", "other": "z"}
+            (folder / f"part-{i}.csv").write_text(h + "\n" + ",".join(row[c] for c in h.split(",")) + "\n")
+            want.add((n, n + 0.5 if "xG" in h else None, str(season)))
+        (folder / "empty.csv").write_text("")
+        paths[str(season)] = str(folder)
+    schema = StructType([StructField("id", IntegerType()), StructField("xg", DoubleType())])
+    df = files.season_csvs(spark, paths, schema, {"xG": "xg"})
+    assert {(r.id, r.xg, r.season) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.rstrip().endswith(" csv") for line in plan.splitlines() if "Relation [" in line) == 3
+    assert files.season_csvs(spark, {"a": str(tmp_path / "season 0" / "empty.csv")}, schema).count() == 0
+
+
+def test_rows_of_one_key_must_agree(spark):
+    target = spark.createDataFrame([(1, 1.0)], "id int, x double")
+    with pytest.raises(Exception, match="no order says"):
+        sinks.upsert(target, spark.createDataFrame([(1, 2.0), (1, 3.0)], "id int, x double"), ["id"]).collect()
+    same = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, None), (2, None)], "id int, x double")
+    assert {tuple(r) for r in sinks.upsert(target, same, ["id"]).collect()} == {(1, 2.0), (2, None)}
+    with pytest.raises(Exception, match="no order says"):
+        sinks.update(target, spark.createDataFrame([(1, 2.0), (1, 3.0)], "id int, x double"), ["id"], ["x"]).collect()
+
+
+def test_keys_that_change_partition(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a table")
+    first = [(i, i % 3, float(i), "kept") for i in range(30)]
+    spark.createDataFrame(first, "id int, p int, x double, note string").write.partitionBy("p").parquet(path)
+    rows = spark.createDataFrame([(0, 7, -1.0), (3, 1, -2.0), (4, 1, -3.0), (99, 5, -4.0)], "id int, p int, x double")
+    want = {i: (p, x, n) for i, p, x, n in first} | {0: (7, -1.0, "kept"), 3: (1, -2.0, "kept"), 4: (1, -3.0, "kept"), 99: (5, -4.0, None)}
+
+    def now():
+        got = spark.read.parquet(path).collect()
+        assert len(got) == len({r.id for r in got})
+        return {r.id: (r.p, r.x, r.note) for r in got}
+
+    class Stopped(Exception):
+        pass
+
+    real = sinks.write_partitioned
+    for stop_at in (f"{path}", f"{path}_index"):  # after staging, before the table; after the table, before the index
+        def stopping(df, to, by, stop_at=stop_at):
+            if to == stop_at:
+                raise Stopped
+            real(df, to, by)
+
+        sinks.build_index(spark, path, ["id"], ["p"])
+        monkeypatch.setattr(sinks, "write_partitioned", stopping)
+        with pytest.raises(Stopped):
+            sinks.upsert_table(spark, path, rows, ["id"], ["p"])
+        monkeypatch.setattr(sinks, "write_partitioned", real)
+    for _ in range(2):
+        sinks.upsert_table(spark, path, rows, ["id"], ["p"])
+        assert now() == want
+    twos = spark.createDataFrame([(i, 9) for i in range(30) if i % 3 == 2], "id int, p int")  # a partition that empties
+    sinks.upsert_table(spark, path, twos, ["id"], ["p"])
+    assert now() == {i: (9, *v[1:]) if v[0] == 2 else v for i, v in want.items()} and not (tmp_path / "a table" / "p=2").exists()
+    sinks.upsert_table(spark, path, spark.createDataFrame([(5, 100.0)], "id int, x double"), ["id"], ["p"])  # no partition named: the key stays where it is
+    assert now()[5] == (9, 100.0, "kept")
+
+
 def test_clean_names_and_scores(spark):
     names = spark.createDataFrame([("Jos&eacute; Ñu-ñez.O'Neil ",), (None,), ("",)], "n string")
     assert [r.x for r in names.select(normalised(F.col("n")).alias("x")).collect()] == ["jose nu nez oneil", None, ""]
