@@ -254,6 +254,30 @@ def test_personal_data(spark, docs, empty):
     assert Counter((r.doc_id, r.base_sha256) for r in odd) == Counter((i, hashlib.sha256(pii_crf.joined(brute_spans(t)).encode()).hexdigest()) for i, t in rows_of(docs))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the given tables")
+def test_marks_on_the_given_texts(spark):
+    """No run of a card's length without a right check digit is marked, and values of ``token`` and the like are exact."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii_crf.train(df.where("doc_id >= 3000"))
+    texts = [r.text or "" for r in df.where("doc_id < 3000").select("text").collect()]
+    runs, exact, named = 0, 0, 0
+    for text, (base, spans) in zip(texts, pii_crf.all_spans(model, texts), strict=True):
+        for kind, a, z in spans[len(base):]:
+            digits = re.sub("[^0-9]", "", text[a:z])
+            assert kind != "card" or (13 <= len(digits) <= 19 and pii_crf.luhn(digits))
+        marked = {(a, z) for _, a, z in spans}
+        runs += sum(any(a < m.end() and m.start() < z for a, z in marked) for m in re.finditer(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", text) if not pii_crf.luhn(re.sub("[^0-9]", "", m[0])))
+        for m in re.finditer(r'token = "([^"]+)"', text):
+            named, exact = named + 1, exact + (m.span(1) in marked)
+    assert runs <= 3 and named > 20 and exact >= 0.95 * named, (runs, exact, named)
+
+
+def test_bounds_of_marks():
+    assert pii_crf.settled('token = "abc123def456ghi"', "secret", 11, 20) == ("secret", 9, 24)
+    assert pii_crf.settled("n 4111.1111.1111.1111.", "card", 2, 22) == ("card", 2, 21)
+    assert pii_crf.settled("n 4111.1111.1111.1112.", "card", 2, 22) is None and pii_crf.settled("x 12 y", "ip", 2, 4) is None
+
+
 def test_viterbi_is_the_best_path():
     model, rng = pii_crf.BiLstmCrf(seed=8), np.random.default_rng(2)
     model.p["trans"] = (model.p["trans"] + rng.standard_normal(model.p["trans"].shape)).astype(np.float32)
