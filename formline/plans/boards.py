@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from formline.operators import evaluate as E, ranking as R, ranks, windows as W
+from formline.operators import boards as B, evaluate as E, ranking as R, ranks, windows as W
 from formline.plans.tables import fact, query, r6, table
 
 K, O = ["entity"], ["ts", "event_id"]
@@ -61,17 +61,15 @@ def t6_predictions_listing(spark, d):
 @query("""SELECT o_custkey, o_orderkey, year(o_orderdate)::INTEGER AS season,
   (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INTEGER AS place FROM orders""")
 def t7_history_order(spark, d):
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("season"), place.alias("place"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.year("o_orderdate").alias("season"))
+    return B.ordered_history(o, "o_custkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 @query("""SELECT s_suppkey, s_nationkey % 5 + s_suppkey % 7 AS attack, round(s_acctbal / 100, 4) AS defence,
   round(s_nationkey % 5 + s_suppkey % 7 + s_acctbal / 100, 4) AS total FROM supplier ORDER BY total DESC, s_suppkey""")
 def t8_strength_ranking(spark, d):
-    a, b = F.col("s_nationkey") % 5 + F.col("s_suppkey") % 7, F.col("s_acctbal") / 100
-    return table(spark, d, "supplier").select(
-        "s_suppkey", a.alias("attack"), F.round(b, 4).alias("defence"), F.round(a + b, 4).alias("total")
-    ).orderBy(F.desc("total"), "s_suppkey")
+    ranked = B.strength_ranking(table(spark, d, "supplier"), "s_suppkey", F.col("s_nationkey") % 5 + F.col("s_suppkey") % 7, F.col("s_acctbal") / 100)
+    return ranked.select("s_suppkey", "attack", F.round("defence", 4).alias("defence"), F.round("total", 4).alias("total"))
 
 
 _SQUADS = """{f}, s AS (SELECT entity % 20 AS owner, date_diff('week', DATE '2024-01-01', ts::DATE) AS week, entity AS member, bool_or(minutes >= 90) AS starts
@@ -105,27 +103,9 @@ board AS (SELECT entity, round(CASE WHEN form_min >= 200 THEN form END, 6) AS fo
 
 
 def _board(spark, d):
-    """The wide row per entity: form, recent values, latest round's totals, next opponents, from shared windows."""
-    f = fact(spark, d)
-    ranked = f.withColumns({"rn": W.recency(K, O), "last_round": F.max("round").over(Window.partitionBy("entity"))})
-    five, own = F.col("rn") <= 5, F.col("round") == F.col("last_round")
-    per = ranked.groupBy("entity").agg(
-        F.avg(F.when(five, F.col("points"))).alias("form"), F.sum(F.when(five, F.col("minutes"))).alias("form_min"),
-        F.array_sort(F.collect_list(F.when(F.col("rn") <= 10, F.struct((-F.col("rn")).alias("o"), "points")))).alias("r"),
-        F.sum(F.when(own, F.col("points"))).alias("day_points"), F.sum(F.when(own, F.col("minutes"))).alias("day_min"), F.count_if(own & (F.col("minutes") >= 60)).alias("starts"),
-    )
-    ahead = f.where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp")).withColumn(
-        "k", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))
-    ).where("k <= 3")
-    coming = ahead.groupBy("entity").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "kind"))), lambda x: x["kind"]), ", ").alias("next_kinds"),
-        F.round(F.avg("minutes"), 4).alias("next_diff")
-    )
-    recent = F.array_join(F.transform("r", lambda x: x["points"].cast("string")), ";")
-    return per.join(coming, "entity", "left").select(
-        "entity", r6(F.when(F.col("form_min") >= 200, F.col("form"))).alias("form"), recent.alias("recent"), r6("day_points").alias("day_points"),
-        "day_min", "starts", "next_kinds", "next_diff"
-    )
+    """The wide row per entity of the events; what comes after the 25th stands for what is still to be played."""
+    b = B.player_board(fact(spark, d), "entity", O, "round", "points", "minutes", "kind", F.col("ts") >= F.lit("2024-01-25").cast("timestamp"))
+    return b.withColumns({"form": r6("form"), "day_points": r6("day_points")})
 
 
 @query(f"WITH {_BOARD} SELECT * FROM board")
@@ -149,10 +129,8 @@ def a12_filtered_form(spark, d):
 @query("""WITH {f}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) AS rn FROM f)
   SELECT entity, array_to_string(list(points::VARCHAR ORDER BY rn DESC), ';') AS recent FROM r WHERE rn <= 10 GROUP BY entity""")
 def a13_recent_array(spark, d):
-    r = fact(spark, d).withColumn("rn", W.recency(K, O)).where("rn <= 10").groupBy("entity").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("o"), "points"))).alias("r")
-    )
-    return r.select("entity", F.array_join(F.transform("r", lambda x: x["points"].cast("string")), ";").alias("recent"))
+    r = B.recent_values(fact(spark, d), "entity", O, "points")
+    return r.select("entity", B.values_text(F.col("recent"), "points").alias("recent"))
 
 
 @query("""WITH {f}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS k FROM f WHERE ts >= TIMESTAMP '2024-01-25')
@@ -165,28 +143,23 @@ def a14_next_opponents(spark, d):
 @query("""SELECT o_custkey, max(year(o_orderdate))::INTEGER AS season, count(*) FILTER (y = m) AS n, round(sum(o_totalprice) FILTER (y = m), 2) AS spent
   FROM (SELECT *, year(o_orderdate) AS y, max(year(o_orderdate)) OVER (PARTITION BY o_custkey) AS m FROM orders) GROUP BY o_custkey""")
 def a15_latest_season(spark, d):
-    by = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("season")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("spent"))
-    return by.groupBy("o_custkey").agg(F.max("season").alias("season"), F.max_by("n", "season").alias("n"), F.round(F.max_by("spent", "season"), 2).alias("spent"))
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("season"), F.col("o_totalprice").alias("spent"))
+    return B.latest_season(o, "o_custkey", "season", ["spent"]).withColumn("spent", F.round("spent", 2))
 
 
 @query("""SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) - 1
   FROM orders) GROUP BY o_custkey""")
 def a16_last_completed_season(spark, d):
-    o = table(spark, d, "orders")
-    last = o.agg((F.max(F.year("o_orderdate")) - 1).alias("y"))
-    return o.join(F.broadcast(last), F.year("o_orderdate") == F.col("y")).groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("spent")
-    )  # one row
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("season"), F.col("o_totalprice").alias("spent"))
+    return B.last_completed(o, "o_custkey", "season", ["spent"]).withColumn("spent", F.round("spent", 2))
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q, round(sum(l_extendedprice) / greatest(sum(l_quantity), 1) * 90.37, 4) AS per90
   FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_partkey, per90 FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey
   ORDER BY q DESC, l_partkey) = 1""")
 def a17_first_choice(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
-        F.sum("l_quantity").alias("q"), F.round(F.sum("l_extendedprice") / F.greatest(F.sum("l_quantity"), F.lit(1)) * 90.37, 4).alias("per90")
-    )
-    return R.top_n(s, ["l_suppkey"], [F.desc("q"), F.col("l_partkey")], 1).select("l_suppkey", "l_partkey", "per90")
+    s = B.first_choice(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", 90.37)
+    return s.select("l_suppkey", "l_partkey", F.round("rate", 4).alias("per90"))
 
 
 @query("""WITH {f}, c AS (SELECT kind, minutes >= 50 AS played, CASE WHEN points < 5 THEN 0 WHEN points < 40 THEN 1 ELSE 2 END AS class
@@ -194,32 +167,27 @@ def a17_first_choice(spark, d):
   SELECT played, class::INTEGER AS class, n, round(n / sum(n) OVER (PARTITION BY played), 6) AS share FROM n""")
 def a19_class_distribution(spark, d):
     c = fact(spark, d).select((F.col("minutes") >= 50).alias("played"), F.when(F.col("points") < 5, 0).when(F.col("points") < 40, 1).otherwise(2).alias("class"))
-    n = c.groupBy("played", "class").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("played"))))
+    return B.class_shares(c, "played", "class").withColumn("share", r6("share"))
 
 
 @query("""WITH {f} SELECT entity, round::TIMESTAMP AS round, round(sum(points), 6) AS points, max(minutes) AS top_minutes,
   round(avg(minutes), 6) AS mean_minutes, arg_min(kind, (ts, event_id)) AS first_kind FROM f GROUP BY entity, round""")
 def a11_double_round_rollup(spark, d):
-    return fact(spark, d).groupBy("entity", F.col("round").cast("timestamp_ntz").alias("round")).agg(
-        r6(F.sum("points")).alias("points"), F.max("minutes").alias("top_minutes"), r6(F.avg("minutes")).alias("mean_minutes"),
-        F.min_by("kind", F.struct("ts", "event_id")).alias("first_kind")
-    )
+    f = fact(spark, d).withColumn("round", F.col("round").cast("timestamp_ntz"))
+    r = B.round_rollup(f, ["entity", "round"], O, ["points"], ["minutes"], ["minutes"], ["kind"])
+    return r.withColumns({"points": r6("points"), "mean_minutes": r6("mean_minutes")})
 
 
 @query("""WITH {f} SELECT entity, round::TIMESTAMP AS round, round(sum(CASE WHEN kind = 'click' THEN points ELSE 0 END), 6) AS click,
   round(sum(CASE WHEN kind = 'view' THEN points ELSE 0 END), 6) AS view FROM f GROUP BY entity, round""")
 def a31_component_sums(spark, d):
-    part = lambda k: r6(F.sum(F.when(F.col("kind") == k, F.col("points")).otherwise(0.0)))
-    return fact(spark, d).groupBy("entity", F.col("round").cast("timestamp_ntz").alias("round")).agg(part("click").alias("click"), part("view").alias("view"))
+    f = fact(spark, d).withColumn("round", F.col("round").cast("timestamp_ntz"))
+    return B.component_sums(f, ["entity", "round"], "kind", "points", ["click", "view"]).withColumns({"click": r6("click"), "view": r6("view")})
 
 
 @query("""WITH {f} SELECT count(DISTINCT round) AS rounds, min(round)::TIMESTAMP AS first_round, count(*) AS n, count(DISTINCT entity) AS pool FROM f""")
 def a30_distinct_rounds(spark, d):
-    return fact(spark, d).agg(
-        F.count_distinct("round").alias("rounds"), F.min("round").cast("timestamp_ntz").alias("first_round"), F.count(F.lit(1)).alias("n"),
-        F.count_distinct("entity").alias("pool")
-    )
+    return B.pool_report(fact(spark, d).withColumn("round", F.col("round").cast("timestamp_ntz")), "round", "entity")
 
 
 # -- evaluation ----------------------------------------------------------------------------------
