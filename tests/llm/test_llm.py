@@ -777,6 +777,26 @@ def test_poisson_inverse_of_large_means(spark):
         assert [r.k for r in df.orderBy("u").select(poisson_mix.poisson_inverse(F.col("u"), F.lit(mean)).alias("k")).collect()] == want
 
 
+def test_rates_of_a_million(spark, monkeypatch):
+    df = spark.range(8).select(((F.col("id") + 0.5) / 8).alias("u"))
+    for mean in (260.0, 300.0, 1e6, 5e7, 3e9):
+        reach = 12 * math.sqrt(mean) + 40
+        k = np.arange(int(mean - reach), int(mean + reach)) if mean > 1e5 else np.arange(int(mean + reach))
+        log_p = -mean + k * math.log(mean) - np.array([math.lgamma(x + 1.0) for x in k])
+        cdf = np.cumsum(np.exp(log_p))
+        got = [r.k for r in df.orderBy("u").select(poisson_mix.poisson_inverse(F.col("u"), F.lit(mean)).alias("k")).collect()]
+        want = k[[int((cdf < (i + 0.5) / 8 * cdf[-1]).sum()) for i in range(8)]]
+        assert np.abs(np.array(got) - want).max() <= (0 if mean < 1e5 else 1 + 1e-6 * math.sqrt(mean))
+    rows = spark.range(4001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "rare").otherwise("b").alias("source"), F.lit("t").alias("text"))
+    first = poisson_mix.mix(rows, {"rare": 1.0, "b": 1.0}, total=400_000.0)
+    monkeypatch.setattr(poisson_mix, "MANY_COPIES", 1e9)
+    plain = poisson_mix.mix(rows, {"rare": 1.0, "b": 1.0}, total=400_000.0)
+    total = lambda df: df.agg(F.count(F.lit(1)), F.countDistinct("doc_id", "mix_copy"), F.sum(F.crc32("mix_key")), F.sum("mix_copy")).first()
+    assert total(first) == total(plain) and total(first)[0] == total(first)[1]
+    rare = first.where("doc_id = 7").agg(F.count(F.lit(1)).alias("n"), F.min("mix_copy").alias("a"), F.max("mix_copy").alias("b"), F.max("mix_count").alias("c")).first()
+    assert rare.a == 1 and rare.n == rare.b == rare.c and abs(rare.n - 200_000) < 3000
+
+
 def test_hot_passage_is_cut(spark, monkeypatch):
     passage = long_text(60, 123)
     rows = [(i, f"{long_text(12, 2000 + i)} {passage} {'same tail ' if i % 3 else ''}{long_text(20, 5000 + i % 250)}") for i in range(300)]
