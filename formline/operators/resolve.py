@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from formline.functions.text import sorted_similarity
 from formline.operators import similar
+from formline.operators.spread import null_safe_join
+from formline.sources.staging import written
 
 
 def _candidates(right: DataFrame, name: str, code: str, keep: Sequence[str], second: str | None, role: str | None) -> DataFrame:
@@ -32,21 +34,40 @@ def _close(name: Column, least: float) -> Column:
     return F.least(a, b) >= bound * F.greatest(a, b) - 1e-9
 
 
-def _pairs(left: DataFrame, found: DataFrame, block: str, name: str, least: float, role: str | None) -> DataFrame:
-    """Left rows with the candidates of their block, and roles, that score ``least`` or more, once for each of a candidate's names."""
-    called = found.select(block, "_code", "_role", F.explode(F.array_distinct(F.array_compact(F.array("_name", "_second")))).alias("_other"))
-    sides = [x.select(F.col(block).alias("block"), F.col(n).alias("name")) for x, n in ((left, name), (called, "_other"))]
-    scores = similar.scored(*sides, least).select(F.col("block").alias(block), F.col("name").alias(name), F.col("other").alias("_other"), "score")
-    pairs = left.join(scores, [block, name]).join(called, [block, "_other"])
-    return pairs.where(_sane(pairs, role))
+def _asked(left: DataFrame, block: str, name: str, role: str | None) -> list[str]:
+    """The columns that decide what a left row is matched with: rows that agree in them have the same answer."""
+    return [block, name, *([role] if role and role in left.columns else [])]
 
 
-def _sure(pairs: DataFrame, uid: str, least: float, margin: float) -> DataFrame:
-    """Each left row's best candidate where its score is high enough and far enough ahead of the next candidate's."""
-    by = pairs.groupBy(uid, "_code").agg(F.max("score").alias("score"))
-    w = Window.partitionBy(uid).orderBy(F.desc("score"), "_code")
+def _known(left: DataFrame, found: DataFrame, keys: Sequence[str], block: str, name: str, role: str | None) -> DataFrame:
+    """(keys, _exact, _alone): of each asked name the smallest code in its block, and the code where all its rows have one."""
+    asks = left.where(F.col(name).isNotNull()).select(*keys).distinct()
+    codes = [F.min("_code").alias("_lo"), F.max("_code").alias("_hi")]
+    everywhere = asks.join(found.groupBy(F.col("_name").alias(name), "_role").agg(*codes), name).where(_sane(asks, role))
+    here = asks.join(found.groupBy(F.col("_name").alias(name), block, "_role").agg(*codes), [name, block]).where(_sane(asks, role))
+    none = F.lit(None)
+    both = everywhere.select(*keys, "_lo", "_hi", none.alias("_here")).unionByName(here.select(*keys, none.alias("_lo"), none.alias("_hi"), F.col("_lo").alias("_here")))
+    return both.groupBy(*keys).agg(F.min("_here").alias("_exact"), F.when(F.min("_lo") == F.max("_hi"), F.min("_lo")).alias("_alone"))
+
+
+def _sure(left: DataFrame, found: DataFrame, keys: Sequence[str], block: str, name: str, least: float, margin: float, role: str | None) -> DataFrame:
+    """(keys, _code, score): each asked name's best candidate of its block and role where its score is high enough and far enough
+    ahead of the next candidate's.
+
+    Only different names meet, and of the candidates that share a name, block and role the two smallest codes: any other has two
+    ahead of it, so it is neither the best nor the next.
+    """
+    asks = left.where(F.col(block).isNotNull() & F.col(name).isNotNull()).select(*keys).distinct()
+    called = found.select(block, "_code", "_role", F.explode(F.array_distinct(F.array_compact(F.array("_name", "_second")))).alias("_other")).distinct()
+    first = Window.partitionBy(block, "_other", "_role").orderBy("_code")
+    called = called.withColumn("_r", F.row_number().over(first)).where("_r <= 2").drop("_r")
+    sides = [x.select(F.col(block).alias("block"), F.col(n).alias("name")) for x, n in ((asks, name), (called, "_other"))]
+    scores = similar.scored(*sides, least - margin).select(F.col("block").alias(block), F.col("name").alias(name), F.col("other").alias("_other"), "score")
+    pairs = asks.join(scores, [block, name]).join(called, [block, "_other"]).where(_sane(asks, role))
+    by = pairs.groupBy(*keys, "_code").agg(F.max("score").alias("score"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "_code")
     best = by.withColumns({"_r": F.row_number().over(w), "_next": F.coalesce(F.lead("score").over(w), F.lit(0.0))}).where("_r = 1")
-    return best.where((F.col("score") >= least) & (F.col("score") - F.col("_next") >= margin)).select(uid, "_code", "score")
+    return best.where((F.col("score") >= least) & (F.col("score") - F.col("_next") >= margin)).select(*keys, "_code", "score")
 
 
 def resolve(left: DataFrame, right: DataFrame, overrides: DataFrame, block: str = "team", name: str = "name", uid: str = "uid", code: str = "code",
@@ -60,18 +81,15 @@ def resolve(left: DataFrame, right: DataFrame, overrides: DataFrame, block: str
     matched are scored, against those of their block that an index of rare parts says can reach ``least - margin``.
     """
     found = _candidates(right, name, code, [block], second, role)
-    named = left.join(found.withColumnRenamed(block, "_block"), F.col(name) == F.col("_name"))
-    here = F.when(F.col(block) == F.col("_block"), F.col("_code"))
-    exact = named.where(_sane(named, role)).groupBy(uid).agg(F.min(here).alias("_exact"), F.when(F.count_distinct("_code") == 1, F.min("_code")).alias("_alone"))
+    keys = _asked(left, block, name, role)
     over = overrides.select(F.col(uid), F.col(code).alias("_over"))
-    ladder = left.join(over, uid, "left").join(exact, uid, "left")
+    ladder = null_safe_join(left.join(over, uid, "left"), _known(left, found, keys, block, name, role), keys)
     method = F.when(F.col("_over").isNotNull(), "override").when(F.col("_exact").isNotNull(), "exact").when(F.col("_alone").isNotNull(), "unique_name")
-    ladder = ladder.withColumns({"code": F.coalesce("_over", "_exact", "_alone"), "method": method})
-    done = ladder.where("method is not null").select(uid, "code", "method", F.when(F.col("method") == "unique_name", 0.95).otherwise(1.0).alias("confidence"))
-    rest = ladder.where("method is null").select(*left.columns)
-    pairs = _pairs(rest, found, block, name, least - margin, role)
-    fuzzy = _sure(pairs, uid, least, margin).select(uid, F.col("_code").alias("code"), F.lit("fuzzy").alias("method"), F.round(F.col("score") / 100 - 0.05, 2).alias("confidence"))
-    out = rest.select(uid).join(fuzzy, uid, "left").select(uid, "code", F.coalesce("method", F.lit("unmatched")).alias("method"), "confidence")
+    ladder = written(ladder.select(uid, *keys, F.coalesce("_over", "_exact", "_alone").alias("_code"), method.alias("method")), "resolve-ladder")
+    done = ladder.where("method is not null").select(uid, F.col("_code").alias("code"), "method", F.when(F.col("method") == "unique_name", 0.95).otherwise(1.0).alias("confidence"))
+    rest = ladder.where("method is null").select(uid, *keys)
+    fuzzy = _sure(rest, found, keys, block, name, least, margin, role).select(*keys, F.col("_code").alias("code"), F.lit("fuzzy").alias("method"), F.round(F.col("score") / 100 - 0.05, 2).alias("confidence"))
+    out = null_safe_join(rest, fuzzy, keys).select(uid, "code", F.coalesce("method", F.lit("unmatched")).alias("method"), "confidence")
     return done.unionByName(out)
 
 
@@ -80,9 +98,11 @@ def claim(left: DataFrame, right: DataFrame, matched: DataFrame, block: str, nam
     """(uid, code, score) between rows that ``matched`` has on neither side: the best of each left row, then the best claimant of each right one."""
     a = left.join(matched.select(uid), uid, "left_anti")
     b = _candidates(right.join(matched.select(code), code, "left_anti"), name, code, [block], second, role)
-    pairs = _pairs(a, b, block, name, least - margin, role)
+    keys = _asked(a, block, name, role)
+    first = a.groupBy(*keys).agg(F.min(uid).alias(uid))  # of rows with one answer the first claims it
+    claims = null_safe_join(first, _sure(a, b, keys, block, name, least, margin, role), keys, "inner")
     v = Window.partitionBy("_code").orderBy(F.desc("score"), uid)
-    return _sure(pairs, uid, least, margin).withColumn("_c", F.row_number().over(v)).where("_c = 1").select(uid, F.col("_code").alias("code"), "score")
+    return claims.withColumn("_c", F.row_number().over(v)).where("_c = 1").select(uid, F.col("_code").alias("code"), "score")
 
 
 def _grams(name: Column) -> Column:

@@ -326,6 +326,19 @@ def test_resolve_and_claim_equal_all_pairs(spark):
     assert {(r.uid, r.code) for r in resolve.claim(lf, rf, known, "team", second="web", role="role").collect()} == {(min(v)[1], k) for k, v in claims.items()}
 
 
+def test_copies_of_a_name_meet_once(spark):
+    n = 3000  # copies of either side: as rows 9,000,000 pairs for one pair of names
+    near, far = spark.range(n).selectExpr("id AS code", "'harry kane' AS name", "'T' AS team"), spark.createDataFrame([(n, "john smith", "T")], "code long, name string, team string")
+    left = spark.range(n).selectExpr("id AS uid", "CASE WHEN id % 2 = 0 THEN 'harry kan' ELSE 'john smit' END AS name", "'T' AS team")
+    found = resolve._candidates(near.unionByName(far), "name", "code", ["team"], None, None)
+    sure = resolve._sure(left, found, ["team", "name"], "team", "name", 88.0, 3.0, None).collect()
+    assert [(r.name, r["_code"]) for r in sure] == [("john smit", n)]  # one row a name; equal candidates are no sure match
+    none = left.where("false").select("uid", F.lit(0).cast("long").alias("code"))
+    out = resolve.resolve(left, near.unionByName(far), none)
+    assert {(r.method, r.code, r["count"]) for r in out.groupBy("method", "code").count().collect()} == {("fuzzy", n, n // 2), ("unmatched", None, n // 2)}
+    assert [(r.uid, r.code) for r in resolve.claim(left, near.unionByName(far), none, "team").collect()] == [(1, n)]
+
+
 def test_alias_equals_all_pairs(spark):
     left, right = _people(9)
     right = [*right, (90, "anna anna berto", None, "x", "gk")]
