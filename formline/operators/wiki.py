@@ -3,7 +3,9 @@
 Every line is read once into its parts, whatever they are: templates with their arguments, links, a field's name and
 value, bold words, table cells.  What a part means is looked up in ``ROLES``; what a line means follows from the
 latest part of some kind before it, which a running window over the page's lines carries along.  A page is
-a few thousand lines, so a window over one page is small; pages are spread.
+a few thousand lines, so a window over one page is small; pages are spread.  Nothing that is read from a match block
+follows from lines before it, so larger pages may come as rows of parts, cut where blocks start: ``page`` then
+names several columns, that of the page and those that tell its parts apart, and ``block`` counts inside a part.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ _CLOSED = r"\{\{([^{}]*)\}\}"
 _MINUTE = r"^[0-9]+(\+[0-9]+)?$"
 
 
+def _names(page: str | Sequence[str]) -> list[str]:
+    return [page] if isinstance(page, str) else list(page)
+
+
 def _template(raw: Column) -> Column:
     """(role, args) of what stands between a template's braces."""
     parts = F.transform(F.split(raw, r"\|"), lambda x: F.trim(x))
@@ -38,13 +44,13 @@ def _template(raw: Column) -> Column:
     return F.struct(F.try_element_at(known, name).alias("role"), F.slice(parts, 2, 1000).alias("args"))
 
 
-def lines(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFrame:
+def lines(df: DataFrame, page: str | Sequence[str] = "page", text: str = "wikitext") -> DataFrame:
     """(page, line_no, line, templates, links, field, value, bold): every line with its parts.
 
     ``templates`` has those that close on their line and those that open on it, ``links`` the names that links show (the
     label, or the target without a last part in brackets); ``field`` is the name in ``| name = value`` or null.
     """
-    rows = df.select(page, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
+    rows = df.select(*_names(page), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
     opened = F.regexp_extract_all(F.regexp_replace("line", _CLOSED, ""), F.lit(r"\{\{([^{}]*)"), 1)
     whole = F.concat(F.regexp_extract_all("line", F.lit(_CLOSED), 1), opened)
     shown = F.transform(
@@ -80,11 +86,11 @@ def squads(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFra
     return rows.where(_has("member") & F.col("country").isNotNull()).withColumn("name", name).where("name != ''").select(page, "country", "name", "line_no")
 
 
-def match_lines(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFrame:
+def match_lines(df: DataFrame, page: str | Sequence[str] = "page", text: str = "wikitext") -> DataFrame:
     """Lines of match blocks with ``block`` (1, 2, ... on the page), ``match_date`` and ``full_time``; blocks without a date are left out."""
-    block = F.sum(_has("match").cast("int")).over(Window.partitionBy(page).orderBy("line_no"))
+    block = F.sum(_has("match").cast("int")).over(Window.partitionBy(*_names(page)).orderBy("line_no"))
     rows = lines(df, page, text).withColumn("block", block).where("block > 0")
-    one = Window.partitionBy(page, "block")
+    one = Window.partitionBy(*_names(page), "block")
     part = lambda i: F.get(F.get(_of("date"), 0)["args"], i).try_cast("int")
     day = F.when(F.col("field") == "date", F.try_to_date(F.format_string("%04d-%02d-%02d", part(0), part(1), part(2))))
     extra = F.max(((F.col("field") == "aet") & F.lower("value").startswith("y")).cast("int")).over(one)
@@ -92,7 +98,7 @@ def match_lines(df: DataFrame, page: str = "page", text: str = "wikitext") -> Da
     return rows.where("match_date is not null")
 
 
-def appearances(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFrame:
+def appearances(df: DataFrame, page: str | Sequence[str] = "page", text: str = "wikitext") -> DataFrame:
     """(page, block, match_date, name, started, minutes): one row per player who was on the pitch.
 
     The substitutions' heading makes the rows after it substitutes, a manager's ends a team; what follows the second
@@ -100,7 +106,7 @@ def appearances(df: DataFrame, page: str = "page", text: str = "wikitext") -> Da
     one did not play.  Of two rows with one name in a block the later counts.
     """
     rows = match_lines(df, page, text)
-    keys = [page, "block"]
+    keys = [*_names(page), "block"]
     manager, bench = F.exists("bold", lambda b: b.startswith("manager")), F.exists("bold", lambda b: b.startswith("substitut"))
     so_far = Window.partitionBy(*keys).orderBy("line_no")
     mark = F.when(bench, True).when(manager | F.col("line").startswith("{|"), False)
@@ -133,10 +139,10 @@ def _credited() -> Column:
     return F.when(_has("goal"), F.aggregate(scored, F.lit(0), lambda a, n: a + n)).when(spoilt, 0).otherwise(bare)
 
 
-def goals(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFrame:
+def goals(df: DataFrame, page: str | Sequence[str] = "page", text: str = "wikitext") -> DataFrame:
     """(page, block, name, goals) from the bullets in the two goal fields of each block, players without a goal left out."""
     rows = match_lines(df, page, text)
-    keys = [page, "block"]
+    keys = [*_names(page), "block"]
     mark = F.when(F.col("field").isNotNull(), F.col("field")).when(F.ltrim("line").startswith("}}"), "")
     bullet = F.when(F.col("field").isNotNull(), F.col("value")).otherwise(F.ltrim("line")).startswith("*")
     rows = rows.withColumn("_in", _latest(mark, keys)).where(F.col("_in").isin("goals1", "goals2") & bullet & (F.size("links") > 0))
@@ -144,10 +150,10 @@ def goals(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFram
     return by.where("goals > 0")
 
 
-def country_dates(df: DataFrame, page: str = "page", text: str = "wikitext") -> DataFrame:
+def country_dates(df: DataFrame, page: str | Sequence[str] = "page", text: str = "wikitext") -> DataFrame:
     """(country, last_match): the latest match of each country, by the titles of a block's first two kits; blocks without line-ups don't count."""
     rows = match_lines(df, page, text)
-    keys = [page, "block"]
+    keys = [*_names(page), "block"]
     opens = F.when(F.size("templates") > 0, F.get(F.filter("templates", lambda t: t["role"].isin("kit", "match")), 0)["role"])
     inline = F.get(F.filter(F.flatten(F.transform(_of("kit"), lambda t: t["args"])), lambda a: a.rlike(r"^title\s*=")), 0)
     title = F.coalesce(F.regexp_replace(inline, r"^title\s*=\s*", ""), F.when((F.col("field") == "title") & (_latest(opens, keys) == "kit"), F.regexp_extract("value", r"^([^<|}]*)", 1)))
@@ -157,19 +163,19 @@ def country_dates(df: DataFrame, page: str = "page", text: str = "wikitext") ->
     return first_two.join(parsed, keys, "left_semi").groupBy("country").agg(F.max("match_date").alias("last_match"))
 
 
-def tournament_totals(seen: DataFrame, scored: DataFrame, page: str = "page") -> DataFrame:
+def tournament_totals(seen: DataFrame, scored: DataFrame, page: str | Sequence[str] = "page") -> DataFrame:
     """Per name: minutes, matches, starts, goals and the last match date."""
-    keyed = seen.join(scored, [page, "block", "name"], "left")
+    keyed = seen.join(scored, [*_names(page), "block", "name"], "left")
     return keyed.groupBy("name").agg(
         F.sum("minutes").alias("minutes"), F.count(F.lit(1)).alias("matches"), F.count_if("started").alias("starts"),
         F.sum(F.coalesce("goals", F.lit(0))).alias("goals"), F.max("match_date").alias("last_match")
     )
 
 
-def health(seen: DataFrame, scored: DataFrame, expected: Column, page: str = "page") -> DataFrame:
+def health(seen: DataFrame, scored: DataFrame, expected: Column, page: str | Sequence[str] = "page") -> DataFrame:
     """One row: blocks parsed, players and goals per parsed block, the parsed share of the ``expected`` number, and whether all are plausible."""
-    blocks = seen.groupBy(page, "block").agg(F.count(F.lit(1)).alias("slots"))
-    marks = scored.join(blocks.select(page, "block"), [page, "block"], "left_semi").agg(F.coalesce(F.sum("goals"), F.lit(0)).alias("goals"))
+    blocks = seen.groupBy(*_names(page), "block").agg(F.count(F.lit(1)).alias("slots"))
+    marks = scored.join(blocks.select(*_names(page), "block"), [*_names(page), "block"], "left_semi").agg(F.coalesce(F.sum("goals"), F.lit(0)).alias("goals"))
     both = blocks.agg(F.count(F.lit(1)).alias("parsed"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).crossJoin(F.broadcast(marks))  # one row each
     some = F.greatest("parsed", F.lit(1))
     both = both.select("parsed", (F.col("slots") / some).alias("slots"), (F.col("goals") / some).alias("goals"), F.try_divide(F.col("parsed"), expected).alias("share"))

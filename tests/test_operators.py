@@ -1,6 +1,8 @@
 """Points, shrinkage, sinks, resolution, pages and streams on small hand-made frames."""
 
+import itertools
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +247,17 @@ def test_pages(spark):
     assert rich == {"Al One": (198, "2026-07-09"), "Bo Two": (90, "2026-07-04"), "Fay Six": (90, "2026-07-04"), "Cy Three": (0, "None")}
 
 
+def test_pages_in_parts(spark):
+    cut = [PAGE[a:b] for a, b in itertools.pairwise([0, *[m.start() for m in re.finditer(r"(?m)^\{\{(#invoke:|[Ff]ootball box)", PAGE)], len(PAGE)])]
+    assert len(cut) > 3
+    whole = spark.createDataFrame([("p", 0, PAGE)], "page string, part int, wikitext string")
+    parts = spark.createDataFrame([("p", i, x) for i, x in enumerate(cut)], "page string, part int, wikitext string")
+    both = ["page", "part"]
+    for made in (lambda df: wiki.appearances(df, both).drop("part", "block"), lambda df: wiki.goals(df, both).drop("part", "block"), lambda df: wiki.country_dates(df, both),
+                 lambda df: wiki.health(wiki.appearances(df, both), wiki.goals(df, both), F.lit(2), both)):
+        assert sorted(map(str, made(parts).collect())) == sorted(map(str, made(whole).collect())) != []
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([(1, 0, 10.0, 10.0, 50), (2, 0, 9.0, 30.0, 60), (3, 0, 8.0, 8.0, 5), (4, 0, 7.0, 7.0, 90)], "id int, g int, total double, peak double, cost int")
     assert {r.id for r in ranking.prune(df, "g", "total", "peak", "cost", "id", (1, 1, 1)).collect()} == {1, 2, 3}
