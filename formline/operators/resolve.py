@@ -105,11 +105,58 @@ def claim(left: DataFrame, right: DataFrame, matched: DataFrame, block: str, nam
     return claims.withColumn("_c", F.row_number().over(v)).where("_c = 1").select(uid, F.col("_code").alias("code"), "score")
 
 
+#: Names of at most LETTERS letters that are at most NEAR letters apart meet by what is left when letters are taken out.
+NEAR, LETTERS = 2, 32
+
+
+def _form(name: Column) -> Column:
+    """The name with its words in order and single spaces, as its score reads it."""
+    return F.array_join(F.array_sort(F.filter(F.split(name, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")), " ")
+
+
+def _without(form: Column, letters: int) -> Column:
+    """The different strings that are left when so many letters are taken out."""
+    one = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))).otherwise(F.array().cast("array<string>"))
+    out = F.array(form)
+    for _ in range(letters):
+        out = F.array_distinct(F.flatten(F.transform(out, one)))
+    return out
+
+
+def _left_over(forms: DataFrame, distance: int, least: float, side: int) -> DataFrame:
+    """The forms' columns with (x, key): what is left of a form when it gives up its part of ``distance`` letters, x of them being the left
+    side's; only where a partner at that distance can score ``least``."""
+    parts = []
+    for x in range(distance + 1):
+        own, other = (x, distance - x) if side == 0 else (distance - x, x)
+        can = distance <= (1 - least / 100) * (2 * F.length("form") - own + other) + 1e-9
+        parts.append(forms.where(can).select("*", F.lit(x).alias("x"), F.explode(_without(F.col("form"), own)).alias("key")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _nearest(asked: DataFrame, called: DataFrame, distance: int, least: float) -> DataFrame:
+    """(form, _code) of the asked forms whose nearest called one is ``distance`` letters away and scores ``least``; none may be nearer.
+
+    Forms so far apart have a string in common after x letters of the asked one and the rest of the other are taken out.
+    All that is asked of a string is its smallest code, so no pair of forms is made.
+    """
+    lengths = asked.select(F.length("form").alias("_n")).distinct()  # no more than the longest form has letters
+    known = _left_over(called, distance, least, 1).withColumn("_n", F.length("form") - distance + 2 * F.col("x"))
+    known = known.join(F.broadcast(lengths), "_n", "left_semi").groupBy("x", "key").agg(F.min("_code").alias("_code"))
+    n = F.length("form")
+    both = 2 * n + distance - 2 * F.col("x")  # letters of the two forms
+    score = F.when(both > 0, 200.0 * (n - F.col("x")) / F.greatest(both, F.lit(1))).otherwise(100.0)
+    met = _left_over(asked.select("form"), distance, least, 0).withColumn("score", score).join(known, ["x", "key"])
+    return met.where(F.col("score") >= least).groupBy("form").agg(F.min(F.struct((-F.col("score")).alias("s"), "_code")).alias("b")).select("form", "b._code")
+
+
 def _grams(name: Column) -> Column:
-    """Distinct three-letter runs of the name with its words in order; a shorter name is one run."""
-    words = F.array_join(F.array_sort(F.split(F.trim(name), " ")), " ")
-    n = F.length(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(words, i, F.lit(3)))
+    """Distinct three-letter runs of a form; a shorter one is one run."""
+    n = F.length(name)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3)))
     return F.array_distinct(runs)
 
 
@@ -126,11 +173,46 @@ def _rarest(df: DataFrame, key: Sequence[str], name: str, common: DataFrame, lea
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_most")).select(*key, "gram")
 
 
+def _by_runs(asked: DataFrame, called: DataFrame, least: float) -> DataFrame:
+    """(form, _code): the best called form of ``least`` by shared runs, for forms that are long or further apart than ``NEAR``."""
+    other = called.select("_code", F.col("form").alias("_name"))
+    common = other.select(F.explode(_grams(F.col("_name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _rarest(asked, ["form"], "form", common, least).join(_rarest(other, ["_code", "_name"], "_name", common, least), "gram").select("form", "_code", "_name").distinct()
+    pairs = pairs.withColumn("_second", F.lit(None).cast("string")).where(_close(F.col("form"), least))
+    scored = pairs.withColumn("score", sorted_similarity(F.col("form"), F.col("_name"), F.col("_second")))
+    return scored.where(F.col("score") >= least).groupBy("form").agg(F.min(F.struct((-F.col("score")).alias("s"), "_code")).alias("b")).select("form", "b._code")
+
+
+def _best_form(asked: DataFrame, called: DataFrame, least: float) -> DataFrame:
+    """(form, _code) of each asked form that a called one scores ``least`` (90 or more) against: the best, ties to the smaller code.
+
+    By distance, nearest first: at these scores any form d letters away beats every one further away, as d (d + 1) is less
+    than the form's letters, so a form that is found is asked no more.
+    """
+    short = asked.where(F.length("form") <= LETTERS - NEAR)  # all within NEAR letters of them have at most LETTERS
+    near = called.where(F.length("form") <= LETTERS)
+    found = []
+    for distance in range(NEAR + 1):
+        found.append(written(_nearest(short, near, distance, least), "alias-near"))
+        short = written(short.join(found[-1], "form", "left_anti"), "alias-rest")
+        if short.isEmpty():
+            break
+    further = NEAR + 1 <= (1 - least / 100) * (2 * F.length("form") + NEAR + 1) + 1e-9
+    far = written(short.where(further).unionByName(asked.where(F.length("form") > LETTERS - NEAR)), "alias-far")
+    if not far.isEmpty():
+        found.append(_by_runs(far, called, least))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def alias(names: DataFrame, known: DataFrame, name: str = "name", code: str = "code", second: str | None = None, least: float = 93.0) -> DataFrame:
     """(name, code, method) of each distinct name: the one known row of that very name; none where several have it
     (``ambiguous``); else the best sorted-words score of at least ``least`` (90 or more), ties to the smaller code.
 
-    Names meet for scoring by their rarest three-letter runs, which leaves no pair of ``least`` out.
+    Short names meet what they are nearest to by the strings left when letters are taken out; long ones, and those further off, are
+    scored with what they share rare three-letter runs with.  Neither leaves a pair of ``least`` out.
     """
     asked = names.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct()
     found = _candidates(known, name, code, [], second, None)
@@ -138,15 +220,11 @@ def alias(names: DataFrame, known: DataFrame, name: str = "name", code: str = "c
     told = asked.join(exact, "name", "left")
     method = F.when(F.col("_n") == 1, "exact").otherwise("ambiguous")
     sure = told.where("_n is not null").select("name", F.when(F.col("_n") == 1, F.col("_code")).alias("code"), method.alias("method"))
-    rest = told.where("_n is null").select("name")
+    rest = written(told.where("_n is null").select("name", _form(F.col("name")).alias("form")), "alias-asked")
     other = found.select("_code", F.explode(F.array_distinct(F.array_compact(F.array("_name", "_second")))).alias("_name"))
-    common = other.select(F.explode(_grams(F.col("_name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    pairs = _rarest(rest, ["name"], "name", common, least).join(_rarest(other, ["_code", "_name"], "_name", common, least), "gram").select("name", "_code", "_name").distinct()
-    pairs = pairs.withColumn("_second", F.lit(None).cast("string")).where(_close(F.col("name"), least))
-    scored = pairs.withColumn("score", sorted_similarity(F.col("name"), F.col("_name"), F.col("_second")))
-    w = Window.partitionBy("name").orderBy(F.desc("score"), "_code")
-    best = scored.where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    fuzzy = rest.join(best.select("name", F.col("_code").alias("code")), "name", "left")
+    called = written(other.groupBy(_form(F.col("_name")).alias("form")).agg(F.min("_code").alias("_code")), "alias-called")
+    best = _best_form(rest.select("form").distinct(), called, least)
+    fuzzy = rest.join(best.withColumnRenamed("_code", "code"), "form", "left")
     return sure.unionByName(fuzzy.select("name", "code", F.when(F.col("code").isNotNull(), "fuzzy").otherwise("unmatched").alias("method")))
 
 
