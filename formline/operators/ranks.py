@@ -16,6 +16,8 @@ Names = Sequence[str]
 #: Groups with more different values than this are cut; ranges of them hold about as many.
 RUN_VALUES = 1_000_000
 MOST_RANGES = 4096
+#: Bounds of ranges are looked up in parts of so many, so that no row carries them all.
+PART = 64
 #: A value with more rows than this is joined by broadcast, so its rows stay where they are.
 HOT_ROWS = 1_000_000
 
@@ -25,6 +27,24 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _below(edges: str, value: str) -> Column:
+    """How many of an ascending array's values, at most ``PART``, are less: 0 without an array."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(PART.bit_length()))])
+    return F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get(F.col(edges), i + h - 1) < F.col(value), i + h).otherwise(i))
+
+
+def ranges_of(df: DataFrame, edges: DataFrame, groups: Names, value: str, out: str) -> DataFrame:
+    """Adds how many of its group's ``_edges`` (ascending, at most ``PART`` ** 2) a value is above: first by each ``PART``-th of them, then by those
+    between two such."""
+    starts = F.sequence(F.lit(0), F.size("_edges") - 1, F.lit(PART))
+    some = edges.where(F.size("_edges") > 0)
+    coarse = some.select(*groups, F.transform(starts, lambda i: F.get("_edges", i)).alias("_firsts"))
+    fine = some.select(*groups, F.posexplode(F.transform(starts, lambda i: F.slice("_edges", i + 1, F.lit(PART)))).alias("_part", "_fine"))
+    rows = null_safe_join(df, _small(coarse), groups).withColumn("_part", _below("_firsts", value) - 1).drop("_firsts")
+    rows = null_safe_join(rows, _small(fine), [*groups, "_part"])
+    return rows.withColumn(out, F.when(F.col("_part") >= 0, F.col("_part") * PART + _below("_fine", value)).otherwise(0)).drop("_part", "_fine")
+
+
 def running_counts(df: DataFrame, groups: Names, value: str, run_values: int = RUN_VALUES) -> DataFrame:
     """(groups, value, n, before, all): each different non-null value of a group with its rows, those below it, and the group's.
 
@@ -42,9 +62,8 @@ def running_counts(df: DataFrame, groups: Names, value: str, run_values: int = R
     ranges = min(MOST_RANGES, 2 * -(-most // run_values))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     named = null_safe_join(counts, _small(large).withColumn("_large", F.lit(True)), groups, "inner")
-    edges = written(named.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(10 * ranges))).alias("_edges")), "ranks-edges")
-    below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
-    cut = null_safe_join(counts, _small(edges), groups).withColumn("_run", below).drop("_edges", "_m", "_large")
+    edges = written(named.groupBy(*groups).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, probs, F.lit(10 * ranges)))).alias("_edges")), "ranks-edges")
+    cut = ranges_of(counts, edges, groups, value, "_run")
     totals = cut.groupBy(*groups, "_run").agg(F.sum("n").alias("_n"))
     along = Window.partitionBy(*groups).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*groups, "_run", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_carry"), F.sum("_n").over(Window.partitionBy(*groups)).alias("all"))
@@ -56,15 +75,16 @@ def running_counts(df: DataFrame, groups: Names, value: str, run_values: int = R
 def average_ranks(df: DataFrame, groups: Names, value: str, rank: str = "rank", size: str | None = None, run_values: int = RUN_VALUES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds the ascending rank inside the group, ties at their mean place, and with ``size`` the group's rows with a value; null where the value is.
 
-    Ranks come back by a join on the value; values with over ``hot_rows`` rows are few and come by broadcast.
+    Ranks come back by a join on the value; values with over ``hot_rows`` rows come by broadcast, only those with more where they are too many.
     """
     made = running_counts(df, groups, value, run_values)
     ranks = written(made.select(*groups, value, F.col("n").alias("_n"), (F.col("before") + (F.col("n") + 1) / 2).alias(rank), F.col("all").alias(size or "_all")), "ranks")
-    hot = ranks.where(F.col("_n") > hot_rows)
+    while (hot := ranks.where(F.col("_n") > hot_rows)).count() > BROADCAST_ROWS:
+        hot_rows *= 10
     keys, out = [*groups, value], [*df.columns, rank, *([size] if size else [])]
     if hot.isEmpty():
         return null_safe_join(df, ranks, keys).select(*out)
-    of_hot = null_safe_join(df, F.broadcast(hot), keys)  # at most one value in hot_rows rows
+    of_hot = null_safe_join(df, F.broadcast(hot), keys)  # counted above
     rest = null_safe_join(of_hot.where(F.col("_n").isNull()).select(*df.columns), ranks.where(F.col("_n") <= hot_rows), keys)
     return of_hot.where(F.col("_n").isNotNull()).select(*out).unionByName(rest.select(*out))
 

@@ -1,5 +1,6 @@
 """Ranks, places and quantiles in cut groups, top rows by weight, and the rating map's fit, each against a plain computation."""
 
+import bisect
 import math
 import random
 
@@ -140,3 +141,15 @@ def test_strengths_of_two_kinds(spark):
         loss, k, n = min(losses)
         assert got[stat][0] == k and math.isclose(got[stat][1], loss, abs_tol=1e-8) and got[stat][2] == n
     assert [r.k for r in seasons.fit_strengths(df.limit(3), stats, [1.0]).orderBy("stat").collect()] == [7.0, 10.0]
+
+
+def test_ranges_are_looked_up_in_parts(spark):
+    """Counts of smaller bounds against bisect, with no row that carries more than ``PART`` bounds at once."""
+    rng = random.Random(4)
+    sizes = {0: 0, 1: 1, 2: ranks.PART - 1, 3: ranks.PART, 4: ranks.PART + 1, 5: 1000, 6: ranks.PART**2, None: 200}
+    edges = [(g, sorted(rng.uniform(0, 1) for _ in range(n))) for g, n in sizes.items()]
+    values = [(g, v) for g, e in [*edges, (9, [])] for v in [-1.0, 2.0, *[rng.uniform(0, 1) for _ in range(60)], *rng.sample(e, min(len(e), 60)), *e[:1], *e[-1:]]]
+    made = ranks.ranges_of(spark.createDataFrame(values, "g int, v double"), spark.createDataFrame(edges, "g int, _edges array<double>"), ["g"], "v", "run")
+    bounds = dict(edges)
+    got = made.collect()
+    assert len(got) == len(values) and all(r.run == bisect.bisect_left(bounds.get(r.g, []), r.v) for r in got)
