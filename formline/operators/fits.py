@@ -105,27 +105,41 @@ def entropy_sums(d: np.ndarray, targets: Sequence[np.ndarray], thetas: Sequence[
     return out
 
 
+def entropy(d: np.ndarray, targets: Sequence[np.ndarray], theta: Sequence[float]) -> float:
+    """The summed cross-entropy of a map over some points, as ``entropy_sums`` has it, without derivatives."""
+    h, c, s = (float(x) for x in theta)
+    x = d + h
+    draw = np.clip(c * np.exp(-(x**2) / (2 * s * s)), LEAST_PROB, 0.6)
+    home = np.clip(1 / (1 + 10 ** (-x / 400)) - draw / 2, LEAST_PROB, np.inf)
+    away = np.clip(1 - home - draw, LEAST_PROB, np.inf)
+    total = home + draw + away
+    return -sum(float((t * np.log(p / total + LEAST_PROB)).sum()) for t, p in zip(targets, (home, draw, away), strict=True))
+
+
 def _summed(points: DataFrame, thetas: Sequence[Sequence[float]]) -> list[list[float]]:
-    """``entropy_sums`` over all points: each batch gives one short row a map, and these are added up."""
+    """``entropy_sums`` of the first map over all points, and of the others the loss alone: each task gives one short row a map, and these are added up."""
     thetas = [list(map(float, t)) for t in thetas]
     size = 1 + len(_PARAMETERS) + len(_PAIRS)
 
     def run(batches):
+        total = np.zeros((len(thetas), size))
         for batch in batches:
             d, *targets = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            rows = entropy_sums(d, targets, thetas)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), *[pa.array([r[j] for r in rows], pa.float64()) for j in range(size)]], names=["i", *[f"x{j}" for j in range(size)]])
+            total[0] += entropy_sums(d, targets, thetas[:1])[0]
+            total[1:, 0] += [entropy(d, targets, t) for t in thetas[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), *[pa.array(total[:, j]) for j in range(size)]], names=["i", *[f"x{j}" for j in range(size)]])
 
     made = points.select("d", "t0", "t1", "t2").mapInArrow(run, "i int, " + ", ".join(f"x{j} double" for j in range(size)))
-    rows = made.groupBy("i").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(size)]).orderBy("i").collect()  # one row a map
-    return [list(r)[1:] for r in rows]
+    rows = made.groupBy("i").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(size)]).collect()  # one row a map
+    return [list(r)[1:] for r in sorted(rows)]
 
 
 def fit_elo_map(df: DataFrame, diff: str, targets: Sequence[str], start: Sequence[float] = (50.0, 0.3, 300.0), tolerance: float = 1e-8, rounds: int = 60) -> tuple[float, float, float, float]:
     """(hfa, c, s, loss): the map of least mean cross-entropy against target probabilities of home, draw and away.
 
-    Newton's method: a pass over the different gaps sums loss, gradient and second derivatives at eight steps along the
-    direction, and the best of them is where the next round starts.  Where the second derivatives don't show
+    Newton's method: a pass over the different gaps sums the losses at eight steps along the direction, with gradient and
+    second derivatives at the whole step, and the best is where the next round starts; where that is a shorter one a second pass
+    has its derivatives.  Where the second derivatives don't show
     down, the direction is damped towards the gradient's.  It stops when a step moves no parameter by more than
     ``tolerance`` of its size.  Rows with a null are left out; without rows the start stands, with a null loss.
     """
@@ -156,7 +170,7 @@ def fit_elo_map(df: DataFrame, diff: str, targets: Sequence[str], start: Sequenc
             damp = max(10 * damp, 1e-3)
             continue
         moved = np.max(np.abs(tries[best] - theta) / unit)
-        theta, here, damp = tries[best], sums[best], damp / 10 if damp > 1e-9 else 0.0
+        theta, here, damp = tries[best], sums[0] if best == 0 else _summed(points, [tries[best]])[0], damp / 10 if damp > 1e-9 else 0.0
         if moved <= tolerance:
             break
     return (*theta.tolist(), here[0] / weight)

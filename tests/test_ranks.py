@@ -153,3 +153,14 @@ def test_ranges_are_looked_up_in_parts(spark):
     bounds = dict(edges)
     got = made.collect()
     assert len(got) == len(values) and all(r.run == bisect.bisect_left(bounds.get(r.g, []), r.v) for r in got)
+
+
+def test_shorter_steps_are_summed_without_derivatives(spark):
+    rng = np.random.default_rng(3)
+    d, thetas = rng.uniform(-900, 900, 500), [(62.0, 0.26, 240.0), (-300.0, 0.9, 40.0), (5.0, 0.01, 900.0)]
+    targets = list(rng.dirichlet([1, 1, 1], 500).T)
+    whole = fits.entropy_sums(d, targets, thetas)
+    assert np.allclose([fits.entropy(d, targets, t) for t in thetas], [w[0] for w in whole], rtol=1e-12)
+    points = spark.createDataFrame([tuple(map(float, r)) for r in zip(d, *targets, strict=True)], "d double, t0 double, t1 double, t2 double")
+    got = fits._summed(points, thetas)
+    assert np.allclose(got[0], whole[0], rtol=1e-9) and [any(r[1:]) for r in got] == [True, False, False] and np.allclose([r[0] for r in got], [w[0] for w in whole], rtol=1e-12)
