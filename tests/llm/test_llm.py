@@ -821,3 +821,19 @@ def test_hot_key_takes_bounded_suffix_arrays(monkeypatch):
     columns = {"key": [7] * n, "salt": [0] * n, "doc_id": list(range(n)), "start": [0] * n, "core": [34] * n, "part": raws}
     out = [r for b in lyndon_sa._suffix_blocks(iter([lyndon_sa.pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
     assert max(most) < 2 * lyndon_sa.BLOCK and len(most) > 2 and {r["doc_id"] for r in out} == set(range(n))
+
+
+def test_every_window_is_trained_on(spark, monkeypatch):
+    """Past the driver's draw the rounds take each window of each text once, whatever the number of windows."""
+    monkeypatch.setattr(attention_lm, "FIRST_WINDOWS", 8)
+    monkeypatch.setattr(attention_lm, "HELD_WINDOWS", 50)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 50, n).astype("<u2") for n in (2, 3, 33, 34, 900, *rng.integers(2, 4000, 25).tolist())]
+    learned = spark.createDataFrame([(i, i, bytearray(d.tobytes())) for i, d in enumerate(texts)], "doc_id long, th long, ids binary").repartition(3)
+    want = sum(len(attention_lm.windows(len(d) - 1)) for d in texts)
+    assert attention_lm.n_windows(learned, "<u2") == want and len(attention_lm.first_windows(learned, "<u2", want)) <= 8
+    seen, add = [], attention_lm.summed
+    monkeypatch.setattr(attention_lm, "summed", lambda rows, size: seen.append(add(rows, size)) or seen[-1])
+    slots = attention_lm.Slots(np.bincount(np.concatenate(texts), minlength=60).astype(float))
+    model = attention_lm.train(learned, slots, "<u2")
+    assert len(seen) == attention_lm.ROUNDS and sum(t[-1] for t in seen) == want and all(np.isfinite(v).all() for v in model.p.values())
