@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formline.functions.text import normalised, ratio, sorted_ratio, subsequence, token_score
-from formline.operators import clean, evaluate, ranking, resolve, scoring as S, seasons, wiki
+from formline.operators import clean, evaluate, joins, ranking, resolve, scoring as S, seasons, wiki
 from formline.sources import files, sinks
 from formline.streaming import upserts
 
@@ -367,3 +367,18 @@ def test_alias_equals_all_pairs(spark):
     rf = spark.createDataFrame([r[:3] for r in right], "code long, name string, web string")
     assert {r.name: (r.code, r.method) for r in resolve.alias(lf, rf, second="web").collect()} == want
     assert {"exact", "fuzzy", "unmatched"} <= {v[1] for v in want.values()}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_stubs_of_few_teams_take_many_tasks(spark, monkeypatch, most):
+    """One team holds nearly all members: its pairs are complete and no task makes most of them."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1000)
+    members = [(i, "a" if i % 20 else "b") for i in range(1000)] + [(1000, None), (1001, "none"), (7, "a")]
+    coming = [(i, "a" if i % 10 else "b") for i in range(50)] + [(50, None), (51, "nobody")]
+    out = joins.stubs(spark.createDataFrame(members, "member long, team string"), spark.createDataFrame(coming, "fixture long, team string"), "team")
+    got = sorted((r.member, r.team, r.fixture) for r in out.collect())
+    assert got == sorted((m, t, f) for m, t in members for f, u in coming if t is not None and t == u)
+    assert all(r.is_inference for r in out.select("is_inference").distinct().collect())
+    by_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(by_task) > 20 and max(by_task) < len(got) / 4
