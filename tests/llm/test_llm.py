@@ -837,3 +837,18 @@ def test_every_window_is_trained_on(spark, monkeypatch):
     slots = attention_lm.Slots(np.bincount(np.concatenate(texts), minlength=60).astype(float))
     model = attention_lm.train(learned, slots, "<u2")
     assert len(seen) == attention_lm.ROUNDS and sum(t[-1] for t in seen) == want and all(np.isfinite(v).all() for v in model.p.values())
+
+
+def test_outputs_are_made_for_counted_places_only(monkeypatch):
+    """Places that windows share, and places past a text's end, take no part in the loss and cost no output."""
+    _, model, rng = small_model(5)
+    ids, targets, other = rng.integers(0, attention_lm.SLOTS + 1, (3, 40, attention_lm.WINDOW))
+    weight = (rng.random(ids.shape) < 0.6).astype(np.float32)
+    seen, levels = [], attention_lm.AttentionLM._levels
+    monkeypatch.setattr(attention_lm.AttentionLM, "_levels", staticmethod(lambda target: seen.append(len(target)) or levels(target)))
+    loss, grad = model.loss_and_grad(ids, targets, weight)
+    assert seen == [int(weight.sum())]
+    again, same = model.loss_and_grad(ids, np.where(weight > 0, targets, other), weight)
+    assert again == loss and all(np.array_equal(grad[k], same[k]) for k in grad)
+    nothing, none = model.loss_and_grad(ids, targets, np.zeros_like(weight))
+    assert nothing == 0 and all(not g.any() for g in none.values())
