@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -852,3 +853,49 @@ def test_outputs_are_made_for_counted_places_only(monkeypatch):
     assert again == loss and all(np.array_equal(grad[k], same[k]) for k in grad)
     nothing, none = model.loss_and_grad(ids, targets, np.zeros_like(weight))
     assert nothing == 0 and all(not g.any() for g in none.values())
+
+
+@pytest.mark.parametrize(("low", "high"), [(0, None), (0, 20), (40, 50), (0, 1)])
+def test_network_equals_the_plain_form(low, high):
+    """The graph's loss, gradient and log probabilities, with and without rows in each level and class, and past the last slot."""
+    _, model, rng = small_model(7)
+    ids = rng.integers(0, attention_lm.SLOTS + 1, (30, attention_lm.WINDOW))
+    targets = rng.integers(low, attention_lm.SLOTS + 1 if high is None else high, ids.shape)
+    for weight in ((rng.random(ids.shape) < 0.7).astype(np.float32), np.eye(30, attention_lm.WINDOW, dtype=np.float32), np.zeros(ids.shape, np.float32)):
+        loss, grad = model.loss_and_grad(ids, targets, weight)
+        again, same = model.step(ids, targets, weight)
+        assert math.isclose(loss, again, rel_tol=1e-5, abs_tol=1e-6) and grad.keys() == same.keys()
+        for k, g in grad.items():
+            assert g.shape == same[k].shape == model.p[k].shape
+            np.testing.assert_allclose(same[k], g, rtol=1e-3, atol=1e-5 * max(float(np.abs(g).max()), 1e-6), err_msg=k)
+        at = weight.reshape(-1).nonzero()[0]
+        if len(at):
+            want = model.log_probs(model.body(ids)[0][at], targets.reshape(-1)[at])
+            np.testing.assert_allclose(model.outputs(ids, targets.reshape(-1)[at], at)[0], want, rtol=1e-4, atol=1e-4)
+
+
+def test_training_takes_the_graph_alone(monkeypatch):
+    """No step makes the network's output class by class in Python."""
+    slots, model, rng = small_model(8)
+    ids, targets = rng.integers(0, attention_lm.SLOTS + 1, (2, 200, attention_lm.WINDOW))
+    plain = attention_lm.AttentionLM(slots, 8)
+    monkeypatch.setattr(plain, "step", plain.loss_and_grad)
+    monkeypatch.setattr(model, "loss_and_grad", None)
+    weight = np.ones(ids.shape, np.float32)
+    assert math.isclose(model.fit(ids, targets, weight, 2, 0.01), plain.fit(ids, targets, weight, 2, 0.01), rel_tol=1e-4)
+
+
+def test_windows_as_arrays_are_all_windows(monkeypatch):
+    """Each window once, in the order of the texts and cut into equal parts, whatever the texts' lengths."""
+    monkeypatch.setattr(attention_lm, "HELD_WINDOWS", 20)
+    slots, _, rng = small_model(9)
+    texts = [rng.integers(0, 6000, n).astype("<u2") for n in (2, 3, 32, 33, 34, 61, 3000, 2, *rng.integers(2, 200, 40).tolist())]
+    seeds = rng.integers(-(2**63), 2**63, len(texts))
+    batches = [pa.RecordBatch.from_pydict({"seed": seeds[a : a + 7], "ids": [t.tobytes() for t in texts[a : a + 7]]}) for a in range(0, len(texts), 7)]
+    for chosen in (lambda h: h >= 0, lambda h: h % np.uint64(3) == 1, lambda h: h < 0):
+        rows = list(attention_lm.windows_of(batches, "<u2", chosen))
+        parts = list(attention_lm.held_windows(batches, "<u2", chosen))
+        assert [len(p[0]) for p in parts] == [min(20, len(rows) - a) for a in range(0, len(rows), 20)]
+        for a, part in zip(range(0, len(rows), 20), parts, strict=True):
+            for x, y in zip(attention_lm.as_batch(slots, rows[a : a + 20], "<u2"), attention_lm.framed(slots, *part), strict=True):
+                assert x.dtype == y.dtype and np.array_equal(x, y)
