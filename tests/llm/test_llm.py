@@ -899,3 +899,15 @@ def test_windows_as_arrays_are_all_windows(monkeypatch):
         for a, part in zip(range(0, len(rows), 20), parts, strict=True):
             for x, y in zip(attention_lm.as_batch(slots, rows[a : a + 20], "<u2"), attention_lm.framed(slots, *part), strict=True):
                 assert x.dtype == y.dtype and np.array_equal(x, y)
+
+
+def test_common_words_are_found_in_their_table():
+    """Words that share their hash's last bits are found all the same, and others are not."""
+    rng = np.random.default_rng(11)
+    common = np.unique(np.concatenate([rng.integers(-(2**63), 2**63, 500), np.arange(60) << 40, (np.arange(60) << 40) - 1]))
+    encoder = attention_lm.Encoder(byte_bpe.ByteBPE(open(RANKS, "rb").read(), public_tokenizers.PATTERN), common)
+    own = Words([""])
+    own.hash = rng.permutation(np.concatenate([common, common, rng.integers(-(2**63), 2**63, 3000), (np.arange(60) << 40) + 1, np.arange(60, 90) << 40]))
+    at, known = encoder.find(own)
+    assert known.tolist() == np.isin(own.hash, common).tolist() and np.array_equal(common[at[known]], own.hash[known])
+    assert len(encoder.table) >= 2 * len(common) and at.min() >= 0
