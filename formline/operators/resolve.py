@@ -13,6 +13,10 @@ from formline.operators.spread import null_safe_join
 from formline.sources.staging import written
 
 
+#: By how much at least the score that is asked for goes down in a step.
+STEP = 3.0
+
+
 def _candidates(right: DataFrame, name: str, code: str, keep: Sequence[str], second: str | None, role: str | None) -> DataFrame:
     """The right side's names, second names and roles under names of their own; missing ones are null."""
     null = F.lit(None).cast("string")
@@ -55,19 +59,39 @@ def _sure(left: DataFrame, found: DataFrame, keys: Sequence[str], block: str, na
     ahead of the next candidate's.
 
     Only different names meet, and of the candidates that share a name, block and role the two smallest codes: any other has two
-    ahead of it, so it is neither the best nor the next.
+    ahead of it, so it is neither the best nor the next.  Scores are asked for from the top down, step by step: a name whose best and
+    next are known is asked no more, so low scores, which much of a large block can have, are looked for by few names.
     """
-    asks = left.where(F.col(block).isNotNull() & F.col(name).isNotNull()).select(*keys).distinct()
+    asks = written(left.where(F.col(block).isNotNull() & F.col(name).isNotNull()).select(*keys).distinct(), "resolve-asked")
     called = found.select(block, "_code", "_role", F.explode(F.array_distinct(F.array_compact(F.array("_name", "_second")))).alias("_other")).distinct()
     first = Window.partitionBy(block, "_other", "_role").orderBy("_code")
     called = called.withColumn("_r", F.row_number().over(first)).where("_r <= 2").drop("_r")
-    sides = [x.select(F.col(block).alias("block"), F.col(n).alias("name")) for x, n in ((asks, name), (called, "_other"))]
-    scores = similar.scored(*sides, least - margin).select(F.col("block").alias(block), F.col("name").alias(name), F.col("other").alias("_other"), "score")
-    pairs = asks.join(scores, [block, name]).join(called, [block, "_other"]).where(_sane(asks, role))
-    by = pairs.groupBy(*keys, "_code").agg(F.max("score").alias("score"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "_code")
-    best = by.withColumns({"_r": F.row_number().over(w), "_next": F.coalesce(F.lead("score").over(w), F.lit(0.0))}).where("_r = 1")
-    return best.where((F.col("score") >= least) & (F.col("score") - F.col("_next") >= margin)).select(*keys, "_code", "score")
+    called = written(called.join(asks.select(block).distinct(), block, "left_semi"), "resolve-called")
+    asks = asks.join(called.select(block).distinct(), block, "left_semi")
+    step = max(margin, STEP)
+    sure, down = [], max(least - margin, 100.0 - 2 * step)
+    while True:
+        sides = [x.select(F.col(block).alias("block"), F.col(n).alias("name")) for x, n in ((asks, name), (called, "_other"))]
+        scores = similar.scored(*sides, down).select(F.col("block").alias(block), F.col("name").alias(name), F.col("other").alias("_other"), "score")
+        pairs = asks.join(scores, [block, name]).join(called, [block, "_other"]).where(_sane(asks, role))
+        by = pairs.groupBy(*keys, "_code").agg(F.max("score").alias("score"))
+        w = Window.partitionBy(*keys).orderBy(F.desc("score"), "_code")
+        best = by.withColumns({"_r": F.row_number().over(w), "_next": F.lead("score").over(w)}).where("_r = 1")
+        ahead = F.col("score") - F.coalesce("_next", F.lit(0.0))
+        if down <= least - margin:
+            sure.append(best.where((F.col("score") >= least) & (ahead >= margin)).select(*keys, "_code", "score"))
+            break
+        # what is next is known, or so low that it can't matter
+        known = written(best.where(F.col("_next").isNotNull() | (F.col("score") - down >= margin)), "resolve-known")
+        sure.append(known.where((F.col("score") >= least) & (ahead >= margin)).select(*keys, "_code", "score"))
+        asks = written(null_safe_join(asks, known.select(*keys), keys, "left_anti"), "resolve-asked")
+        if asks.isEmpty():
+            break
+        down = max(least - margin, down - step)
+    out = sure[0]
+    for s in sure[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def resolve(left: DataFrame, right: DataFrame, overrides: DataFrame, block: str = "team", name: str = "name", uid: str = "uid", code: str = "code",

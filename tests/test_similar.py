@@ -5,7 +5,7 @@ import random
 import pytest
 
 from formline.functions.text import token_score
-from formline.operators import similar
+from formline.operators import resolve, similar
 
 SYLLABLES = ["an", "be", "ro", "ta", "li", "mo", "ke", "su", "da", "fi", "no", "ge", "x", "o", "st"]
 
@@ -58,3 +58,32 @@ def test_repeated_names_are_scored_once(spark):
     left, right = [("a", "ann lee")] * 50 + [("b", "ann lee")], [("a", "ann leo")] * 40 + [("b", "ann leo")]
     assert {tuple(r) for r in similar.candidates(frame(spark, left), frame(spark, right), 80.0).collect()} == {("a", "ann lee", "ann leo"), ("b", "ann lee", "ann leo")}
     assert similar.scored(frame(spark, []), frame(spark, right), 80.0).count() == 0
+
+
+def test_near_names_of_one_block_meet_few(spark, monkeypatch):
+    """Names of digits, all alike at the lowest score: the sure ones are found without making the pairs of their block."""
+    n, real, counts = 400, similar.candidates, []
+
+    def counted(*args):
+        pairs = real(*args).localCheckpoint()
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(similar, "candidates", counted)
+    digits = "translate(lpad(cast(id * 7919 % 1000000 AS string), 9, '0'), '0123456789', 'abcdefghij')"
+    right = spark.range(n).selectExpr("id AS code", f"'building ' || {digits} AS name", "'t' AS team")
+    left = right.selectExpr("code AS uid", "name || 's' AS name", "team").unionByName(spark.createDataFrame([(n, "nobody", "elsewhere")], "uid long, name string, team string"))
+    got = resolve.resolve(left, right, left.where("false").selectExpr("uid", "uid AS code")).collect()
+    assert {(r.uid, r.code, r.method, r.confidence) for r in got} == {(i, i, "fuzzy", 0.92) for i in range(n)} | {(n, None, "unmatched", None)}
+    assert sum(counts) < 10 * n, counts
+
+
+def test_words_part_where_python_parts_them(spark):
+    left, right = frame(spark, [("a", "ann\tlee"), ("a", "bo\xa0ray")]), frame(spark, [("a", "lee ann"), ("a", "ray bo")])
+    assert {(r.name, r.other, r.score) for r in similar.scored(left, right, 99.0).collect()} == {("ann\tlee", "lee ann", 100.0), ("bo\xa0ray", "ray bo", 100.0)}
+
+
+def test_what_is_left_over():
+    assert set(similar.left_over(["ab", "c"], 0)) == {"ab c"}
+    assert set(similar.left_over(["ab", "c"], 1)) == {"ab c", "b c", "a c", "ab", "abc", "cab"}
+    assert "" in similar.left_over(["a", "b"], 2) and similar.left_over([], 2) == [""]
