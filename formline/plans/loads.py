@@ -444,16 +444,6 @@ def _names(spark, d):
     return left, right
 
 
-@query("""WITH k AS (SELECT c_custkey AS k FROM customer)
-  SELECT (k + 500000)::BIGINT AS uid, CASE WHEN k % 3 <> 0 OR k = 9 THEN k END AS code,
-  CASE WHEN k = 9 THEN 'override' WHEN k % 3 <> 0 AND k % 5 <> 1 THEN 'exact' WHEN k % 3 <> 0 THEN 'unique_name' ELSE 'unmatched' END AS method FROM k
-  WHERE k % 3 <> 0 OR k = 9""")
-def j13_entity_resolution(spark, d):
-    left, right = _names(spark, d)
-    over = left.where("uid = 500009").select("uid", (F.col("uid") - 500000).alias("code"))
-    return resolve.resolve(left, right, over).where("method not in ('fuzzy', 'unmatched')").select("uid", "code", "method")
-
-
 def _roled(spark, d):
     """The same names with roles on both sides, and the list's last words as second names."""
     left, right = _names(spark, d)
@@ -482,6 +472,22 @@ scored AS (SELECT p.*, greatest(s.score, coalesce(t.score, 0)) AS score FROM pai
 best AS (SELECT *, coalesce(lead(score) OVER (PARTITION BY uid ORDER BY score DESC, code), 0) AS next FROM scored QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, code) = 1)"""
 
 
+@query(f"""WITH c AS (SELECT c_custkey AS k, lower(c_mktsegment) || ' ' || translate(substring(c_name, 10, 9), '0123456789', 'abcdefghij') AS name, c_nationkey || '/' || c_mktsegment AS team FROM customer),
+r AS (SELECT k AS code, name AS b, NULL::VARCHAR AS c, team FROM c),
+l AS (SELECT k + 500000 AS uid, CASE WHEN k % 3 = 0 THEN name || 's' ELSE name END AS a, CASE WHEN k % 5 = 1 THEN 'elsewhere' ELSE team END AS team FROM c),
+here AS (SELECT uid, min(code) AS code FROM l JOIN r ON a = b AND l.team = r.team GROUP BY uid), alone AS (SELECT uid, min(code) AS code FROM l JOIN r ON a = b GROUP BY uid HAVING count(DISTINCT code) = 1),
+known AS (SELECT l.*, CASE WHEN uid = 500009 THEN uid - 500000 ELSE coalesce(here.code, alone.code) END AS code,
+  CASE WHEN uid = 500009 THEN 'override' WHEN here.code IS NOT NULL THEN 'exact' WHEN alone.code IS NOT NULL THEN 'unique_name' END AS method FROM l LEFT JOIN here USING (uid) LEFT JOIN alone USING (uid)),
+pairs AS (SELECT uid, a, b, c, r.code FROM known JOIN r USING (team) WHERE method IS NULL), {_SCORES}
+SELECT known.uid, coalesce(known.code, f.code)::BIGINT AS code, coalesce(method, CASE WHEN f.code IS NULL THEN 'unmatched' ELSE 'fuzzy' END) AS method
+FROM known LEFT JOIN (SELECT * FROM best WHERE score >= 88 AND score - next >= 3) f USING (uid)""")
+def j13_entity_resolution(spark, d):
+    """The whole ladder: every left row with what it was matched by, or unmatched."""
+    left, right = _names(spark, d)
+    over = left.where("uid = 500009").select("uid", (F.col("uid") - 500000).alias("code"))
+    return resolve.resolve(left, right, over).select("uid", "code", "method")
+
+
 @query(f"""WITH {_ROLED}, e AS (SELECT uid, bool_or(l.team = r.team) AS here, count(DISTINCT code) AS n FROM l JOIN r ON a = b AND (l.role IS NULL OR l.role = r.role) GROUP BY uid),
 rest AS (SELECT l.* FROM l LEFT JOIN e USING (uid) WHERE e.uid IS NULL OR (NOT here AND n > 1)),
 pairs AS (SELECT uid, a, b, c, code FROM rest JOIN r USING (team) WHERE rest.role IS NULL OR rest.role = r.role), {_SCORES}

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from formline.functions.text import normalised, ratio, sorted_ratio, subsequence, token_score
 from formline.operators import clean, evaluate, joins, ranking, resolve, scoring as S, seasons, wiki
+from formline.plans import registry
 from formline.sources import files, sinks
 from formline.streaming import upserts
 
@@ -178,6 +180,16 @@ def test_ladder(spark):
     assert out == {10: (2, "exact"), 11: (1, "unique_name"), 12: (1, "fuzzy"), 13: (None, "unmatched"), 14: (None, "unmatched"), 15: (2, "override")}
 
 
+def test_entity_resolution_returns_the_whole_ladder(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the given tables")
+    out = registry.QUERIES["j13_entity_resolution"](spark, data).collect()
+    assert len({r.uid for r in out}) == len(out) == spark.read.parquet(f"{data}/customer.parquet").count()
+    assert {r.method for r in out} == {"override", "exact", "unique_name", "fuzzy", "unmatched"}
+    assert all(r.code == r.uid - 500000 for r in out if r.method != "unmatched")
+
+
 PAGE = """===Northland===
 {{nat fs player|no=1|pos=GK|name=[[Al One]]}}
 {{nat fs g player|no=2|pos=DF|name=[[Bo Two (footballer)|Bo Two]]}}
