@@ -27,7 +27,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from formline.functions.text import SHARED_DISCOUNT, similarity
 from formline.sources.staging import written
@@ -221,9 +221,13 @@ def _may_score(a: Column, b: Column, least: float) -> Column:
     return letters | _words_score(a, b, least)
 
 
+#: Marked so that no filter on the score is moved below it, where pairs would be scored again.
+_score = F.pandas_udf(similarity.func, DoubleType()).asNondeterministic()
+
+
 def scored(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(block, name, other, score) of the candidates that score ``least`` or more; each pair of names is scored once."""
     pairs = written(candidates(left, right, least), "similar-pairs")
     null = F.lit(None).cast("string")
-    once = pairs.select("name", "other").distinct().withColumn("score", similarity(F.col("name"), F.col("other"), null)).where(F.col("score") >= least)
+    once = pairs.select("name", "other").distinct().withColumn("score", _score(F.col("name"), F.col("other"), null)).where(F.col("score") >= least)
     return pairs.join(once, ["name", "other"]).select("block", "name", "other", "score")

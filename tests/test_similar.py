@@ -78,6 +78,12 @@ def test_near_names_of_one_block_meet_few(spark, monkeypatch):
     assert sum(counts) < 10 * n, counts
 
 
+def test_a_pair_is_scored_in_one_place(spark):
+    scored = similar.scored(frame(spark, [("a", "ann lee")]), frame(spark, [("a", "ann leo")]), 80.0)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in scored.collect()] == [("a", "ann lee", "ann leo", token_score("ann lee", "ann leo"))]
+
+
 def test_words_part_where_python_parts_them(spark):
     left, right = frame(spark, [("a", "ann\tlee"), ("a", "bo\xa0ray")]), frame(spark, [("a", "lee ann"), ("a", "ray bo")])
     assert {(r.name, r.other, r.score) for r in similar.scored(left, right, 99.0).collect()} == {("ann\tlee", "lee ann", 100.0), ("bo\xa0ray", "ray bo", 100.0)}
